@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, secrets
+from quarry.llm import decontam, exact_dedup, secrets
 from quarry.llm.common import table
 
 
@@ -14,10 +15,26 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return held.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_matched").alias("n_matched"), F.max("containment").alias("containment"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+OP6_SQL = r"""
+with w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws from documents),
+d as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from w where len(ws) >= 5),
+v as (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws from benchmark),
+i as (select distinct item_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from v where len(ws) >= 5),
+n as (select item_id, count(*) n_shingles from i group by 1),
+m as (select doc_id, item_id, count(*) n_matched from d join i using (s) group by 1, 2)
+select doc_id, item_id, n_shingles, n_matched, round(n_matched / n_shingles, 6) containment
+from m join n using (item_id) where n_matched >= ceil(n_shingles * 0.8 - 1e-9)
+"""
+
 OP9_SQL = r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) text_sha256 from documents)
 select doc_id, min(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size,
@@ -29,9 +46,10 @@ from d
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
+        "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op6_benchmark_decontamination": OP6_SQL, "op9_exact_dedup": OP9_SQL}

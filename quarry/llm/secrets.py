@@ -87,8 +87,8 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = F.array_sort(F.collect_list("span"))
     named = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(named, s["kind"]), s["start"], s["end"])), ",")
-    rows = spans.groupBy("row", "doc_id").agg(found.alias("__found"))
+    counts = [F.count_if(F.col("span.kind") == i).alias(f"n_{k}") for i, (k, *_) in enumerate(STRONG)]
+    rows = spans.groupBy("row", "doc_id").agg(found.alias("__found"), *counts)
     base = F.filter("__found", lambda s: s["strong"])
-    counts = [F.size(F.filter("__found", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, (k, *_) in enumerate(STRONG)]
     linked = F.size(F.filter("__found", lambda s: ~s["strong"])).cast("long").alias("n_linked")
-    return rows.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__found")).alias("spans"), linked)
+    return rows.select("doc_id", *[f"n_{k}" for k, *_ in STRONG], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("__found")).alias("spans"), linked)
