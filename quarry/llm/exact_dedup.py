@@ -63,7 +63,7 @@ class DigestIndex:
             fresh = fresh.hint("merge").join(known, "text_sha256", "left_anti")
         self._append(fresh)
         index = self.spark.table(self.name)
-        verdict = groups.select("text_sha256", "group_size").join(index, "text_sha256")
+        verdict = written(groups.select("text_sha256", "group_size").join(index, "text_sha256"), "digest-verdicts")
         ours = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
         return rows.join(verdict, "text_sha256").select("doc_id", "keep_id", "group_size", ours.alias("kept"), "text_sha256")
 
