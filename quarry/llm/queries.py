@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact_dedup, secrets
+from quarry.llm import decontam, exact_dedup, mixing, secrets
 from quarry.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP6_SQL = r"""
 with w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws from documents),
 d as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from w where len(ws) >= 5),
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scans": op1_secret_scans,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
