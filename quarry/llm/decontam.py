@@ -16,11 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, written
-
-#: At most so many rows are ever broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
+from quarry.llm.common import small, text_of, written
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -39,11 +35,6 @@ def shingle_hashes(words: Column, widths: list[int]) -> Column:
     return F.get(F.transform(F.array(words), all_of), F.lit(0))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast where a count proves it small, else leave the join to shuffle."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), text_of(text_col))
 
@@ -80,11 +71,11 @@ def contained_items(
     bound = F.greatest(*[F.when(F.size("hashes") >= needed, F.lit(b)) for b, needed in bounds.values()], F.lit(-(2**63)), F.lit(-(2**63)))
     probes = hashed.withColumn("bound", bound)
     probes = probes.select("key", F.explode(F.filter("hashes", lambda h: h <= F.col("bound"))).alias("hash"))
-    found = probes.join(_small(sketches.select("item_id", "hash")), "hash").select("key", "item_id").distinct()
+    found = probes.join(small(sketches.select("item_id", "hash")), "hash").select("key", "item_id").distinct()
     found = written(found, "candidates")
 
-    texts = rows.join(_small(found), "key")
-    pairs = texts.join(_small(item_sets.select("item_id", "shingles", "n_shingles")), "item_id")
+    texts = rows.join(small(found), "key")
+    pairs = texts.join(small(item_sets.select("item_id", "shingles", "n_shingles")), "item_id")
     matched = F.size(F.array_intersect("shingles", shingle_hashes(words_of(F.col("text")), widths))).cast("long")
     pairs = pairs.select("key", "doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), matched.alias("n_matched"))
     held = pairs.filter(F.col("n_matched") >= F.ceil(F.col("n_shingles") * threshold - 1e-9)).distinct()
@@ -94,4 +85,4 @@ def contained_items(
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no item, all columns; null and empty texts stay."""
     bad = written(contained_items(docs, items, id_col, text_col, **options).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    return docs.withColumn("__key", keyed(docs, id_col, text_col)).join(_small(bad), "__key", "left_anti").drop("__key")
+    return docs.withColumn("__key", keyed(docs, id_col, text_col)).join(small(bad), "__key", "left_anti").drop("__key")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact_dedup, mixing, secrets
+from quarry.llm import decontam, exact_dedup, mixing, ngram_join, secrets
 from quarry.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return held.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_matched").alias("n_matched"), F.max("containment").alias("containment"))
@@ -50,6 +54,7 @@ from d
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
