@@ -1,8 +1,10 @@
 """N-gram Jaccard join over a token-group matrix.
 
 Equal shingle sets are one node. Nodes that may be similar share a token of their prefixes
-(the first n - ceil(t n) + 1 tokens in one global order; corpus-wide frequent tokens come
-last in it, so that shared passages bring nobody together). The steps:
+(the first n - ceil(t n) + 1 tokens in one global order). The order is rare first, by a sketch
+of token counts over the whole corpus, so that shared passages bring nobody together; it
+decides the cost and never the result. A token that few nodes share gives their pairs. For
+the others, which near copies in great numbers share:
 
 * every node joins the group of one leader met under its prefix tokens, and is compared with
   that leader alone: this settles most near copies by one comparison each;
@@ -11,8 +13,8 @@ last in it, so that shared passages bring nobody together). The steps:
   the overlap with the union bounds the overlap with any member, and only blocks whose bound
   reaches ceil(t n) are opened. In an open block all members are counted through token postings.
 
-No step lists the pairs within a group: what leaves a block is at most one link per query and
-component. Every pair that links is compared, or already joined by other links.
+No step lists the pairs within a large group: what leaves a block is at most one link per query
+and component. Every pair that links is compared, or already joined by other links.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from quarry.llm.common import small, text_of, written
 from quarry.llm.components import components
 from quarry.llm.shingles import set_digests, shingle_sets
 
-#: Counters of the token frequency sketch, by leading bits; fixed, so what is broadcast is 128 KB.
-SKETCH_BITS = 20
-SKETCH_CHUNK = 1 << 14
-#: A counter this often above the mean, and by this much, holds a frequent token.
-FREQUENT_TIMES, FREQUENT_MORE = 4, 64
+#: Counters of the token count sketch, by leading bits; fixed, so what is broadcast is 4 MB.
+SKETCH_BITS = 22
+SKETCH_CHUNK = 1 << 16
+#: A token that at most so many nodes share gives their pairs; a group is formed around others.
+PAIRED = 32
 #: Stands for a null doc_id on the way through pandas, where a null would turn ids into floats.
 NO_ID = -(2**63)
 #: Tokens in a block of a group, and queries sent to a block in one piece.
@@ -43,6 +45,16 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _packed(part: np.ndarray) -> bytes:
+    """Counts in as few bytes as the largest needs, after one byte that says how many."""
+    size = next(k for k in (1, 2, 4, 8) if int(part.max()) < 256**k)
+    return bytes([size]) + part.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _nodes_and_sketch(width: int):
     """Rows (doc_id, n, node), and the task's token counts as rows (chunk, counts)."""
 
@@ -55,45 +67,44 @@ def _nodes_and_sketch(width: int):
                 yield pd.DataFrame({"doc_id": ids, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "counts": None})
         for chunk, part in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": None, "node": None, "chunk": chunk, "counts": [part.astype("<i8").tobytes()]})
+                yield pd.DataFrame({"doc_id": [None], "n": None, "node": None, "chunk": chunk, "counts": [_packed(part)]})
 
     return run
 
 
-def _frequent(sketch: DataFrame) -> np.ndarray:
-    """Which counters hold frequent tokens. The driver gets one bit per counter, whatever the corpus."""
+def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SKETCH_CHUNK, np.int64)
+    for raw in rows["counts"]:
+        total += _unpacked(raw)
+    return pd.DataFrame({"chunk": [key[0]], "counts": [_packed(total)], "total": [int(total.sum())]})
 
-    def summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum((np.frombuffer(x, "<i8") for x in rows["counts"]), np.zeros(SKETCH_CHUNK, np.int64))
-        return pd.DataFrame({"chunk": [key[0]], "counts": [total.astype("<i8").tobytes()], "total": [int(total.sum())]})
 
+def _levels(sketch: DataFrame) -> np.ndarray:
+    """How frequent the tokens of each counter are, 0 to 255. The driver gets one byte per counter, whatever the corpus."""
+    schema = "chunk int, counts binary, total long"
     salted = sketch.withColumn("salt", F.spark_partition_id() % 16)
-    part = salted.groupBy("chunk", "salt").applyInPandas(summed, "chunk int, counts binary, total long")
-    sums = written(part.groupBy("chunk").applyInPandas(summed, "chunk int, counts binary, total long"), "token-sketch")
+    sums = written(salted.groupBy("chunk", "salt").applyInPandas(_summed, schema).groupBy("chunk").applyInPandas(_summed, schema), "token-sketch")
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            bits = [np.packbits(np.frombuffer(x, "<i8") > FREQUENT_TIMES * mean + FREQUENT_MORE).tobytes() for x in batch["counts"]]
-            yield pd.DataFrame({"chunk": batch["chunk"], "bits": bits})
+            bytes_of = [np.minimum(_unpacked(x) * (64 / max(mean, 16)), 255).astype(np.uint8).tobytes() for x in batch["counts"]]
+            yield pd.DataFrame({"chunk": batch["chunk"], "level": bytes_of})
 
-    found = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, bool).reshape(-1, SKETCH_CHUNK)
-    for row in sums.mapInPandas(over, "chunk int, bits binary").collect():
-        found[row["chunk"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8))
+    found = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, np.uint8).reshape(-1, SKETCH_CHUNK)
+    for row in sums.mapInPandas(level, "chunk int, level binary").toLocalIterator():
+        found[row["chunk"]] = np.frombuffer(row["level"], np.uint8)
     return found.ravel()
 
 
-def _prefixes(width: int, t: int, frequent: np.ndarray):
+def _prefixes(width: int, t: int, levels: np.ndarray):
     """Rows (node, doc_id, n, keys): keys are the prefix tokens. Sets of equal text repeat."""
-    packed = np.packbits(frequent)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hot = np.unpackbits(packed).astype(bool)
         for batch in batches:
             for at, hashes, ends in shingle_sets(batch["text"], width):
                 sizes = np.diff(ends, prepend=0)
                 owner = np.repeat(np.arange(len(ends)), sizes)
-                order = np.lexsort((hashes, hot[hashes >> np.uint64(64 - SKETCH_BITS)], owner))
+                order = np.lexsort((hashes, levels[hashes >> np.uint64(64 - SKETCH_BITS)], owner))
                 rank = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
                 keep = rank < (sizes - -(-t * sizes // 100) + 1)[owner]
                 keys = np.split(_signed(hashes[order][keep]), np.cumsum(np.bincount(owner[keep], minlength=len(ends)))[:-1])
@@ -156,9 +167,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(text_col).alias("text"))
     seen = rows.mapInPandas(_nodes_and_sketch(width), "doc_id long, n long, node long, chunk int, counts binary")
     seen = written(seen.select(given, "n", "node", "chunk", "counts"), "shingled")
-    frequent = _frequent(seen.filter("chunk is not null").select("chunk", "counts"))
+    levels = _levels(seen.filter("chunk is not null").select("chunk", "counts"))
 
-    prefixed = rows.mapInPandas(_prefixes(width, percent, frequent), "node long, doc_id long, n long, keys array<long>").select("node", given, "n", "keys")
+    prefixed = rows.mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>").select("node", given, "n", "keys")
     nodes = prefixed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     posted = nodes.select("node", "n", "copies", F.explode("keys").alias("key"))
@@ -166,22 +177,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = posted.join(buckets, "key").select("node", "n", "key", F.struct("leader.copies", "met", "leader.node").alias("leader"))
     met = written(met, "met")
 
+    few = met.filter(F.col("leader.met") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "node"))).alias("all"))
+    # ascending by size: a partner is at least as large, and not too large
+    later = F.filter(F.slice("all", F.col("i") + 2, F.size("all")), lambda x: x["n"] * percent <= F.col("one.n") * 100)
+    few = few.select("all", F.posexplode("all").alias("i", "one")).select(F.col("one.node").alias("node"), F.explode(later["node"]).alias("home"))
+    met = met.filter(F.col("leader.met") > PAIRED)
     homes = written(met.groupBy("node", "n").agg(F.max("leader").alias("leader")).select("node", "n", F.col("leader.node").alias("home")), "homes")
-    wanted = nodes.select("node", "doc_id").join(homes.select("node"), "node", "left_semi")
-    wanted = written(wanted, "wanted")
-    held = rows.join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    pairs = few.select(F.least("node", "home").alias("node"), F.greatest("node", "home").alias("home")).distinct()
+    pairs = written(pairs.union(homes.select("node", "home").filter("node <> home")), "pairs")
+
+    wanted = pairs.select("node").union(pairs.select(F.col("home").alias("node"))).union(homes.select("node")).distinct()
+    wanted = written(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "wanted")
+    held = rows.join(small(wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = held.mapInPandas(_sets(width), "node long, n long, tokens array<long>").filter("n > 0")
     sets = sets.join(small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
     sets = written(sets, "sets")
 
-    # one comparison each, with the leader
-    pairs = homes.filter("node <> home").join(sets, "node")
     lead = sets.select(F.col("node").alias("home"), F.col("tokens").alias("lead"))
     shared = F.size(F.array_intersect("tokens", "lead"))
     linked = 100 * shared >= percent * (F.size("tokens") + F.size("lead") - shared)
-    ties = written(pairs.join(lead, "home").filter(linked).select("node", "home"), "ties")
+    ties = written(pairs.join(sets, "node").join(lead, "home").filter(linked).select("node", "home"), "ties")
     first = components(ties.select(F.col("node").alias("u"), F.col("home").alias("v")), "first-components")
-    state = homes.join(ties.select("node", F.lit(True).alias("tied")), "node", "left").join(first, "node", "left")
+    state = homes.join(ties.select("node", "home", F.lit(True).alias("tied")), ["node", "home"], "left").join(first, "node", "left")
     tied = F.coalesce("tied", F.col("node") == F.col("home"))
     state = written(state.select("node", "n", "home", tied.alias("tied"), F.coalesce("component", "node").alias("component")), "state")
 
