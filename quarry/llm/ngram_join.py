@@ -98,7 +98,7 @@ def _levels(sketch: DataFrame) -> np.ndarray:
 
 
 def _prefixes(width: int, t: int, levels: np.ndarray):
-    """Rows (node, doc_id, n, keys): keys are the prefix tokens. Sets of equal text repeat."""
+    """Rows (node, doc_id, n, keys, bits): keys are the prefix tokens, bits the parities. Sets of equal text repeat."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at, hashes, ends in shingle_sets(batch["text"], width):
@@ -108,12 +108,36 @@ def _prefixes(width: int, t: int, levels: np.ndarray):
                 rank = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
                 keep = rank < (sizes - -(-t * sizes // 100) + 1)[owner]
                 keys = np.split(_signed(hashes[order][keep]), np.cumsum(np.bincount(owner[keep], minlength=len(ends)))[:-1])
-                frame = {"node": _signed(set_digests(hashes, ends)), "doc_id": batch["doc_id"].iloc[at : at + len(ends)].to_numpy(), "n": sizes, "keys": keys}
+                frame = {"node": _signed(set_digests(hashes, ends)), "doc_id": batch["doc_id"].iloc[at : at + len(ends)].to_numpy(), "n": sizes, "keys": keys, "bits": [_parities(x) for x in np.split(hashes, ends[:-1])]}
                 yield pd.DataFrame(frame)[sizes > 0]
 
     return run
 
 
+def _parities(tokens: np.ndarray) -> bytes:
+    """One bit per counter of tokens, odd or even; about as many counters as tokens."""
+    bits = max(64, 1 << int(len(tokens) - 1).bit_length()) if len(tokens) else 64
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _may_link(t: int):
+    """Pairs that the parities don't rule out: two sets differ in at least as many tokens as parities."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = []
+            for m, n, a, b in zip(batch["m"], batch["n"], batch["a"], batch["b"], strict=True):
+                a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+                while len(a) != len(b):  # the longer folds to half the counters
+                    if len(a) < len(b):
+                        a, b = b, a
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                keep.append(int(np.bitwise_count(a ^ b).sum()) <= m + n - 2 * -(-t * (m + n) // (100 + t)))
+            yield batch.loc[keep, ["node", "home"]]
+
+    return run
+
+
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,8 +193,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     seen = written(seen.select(given, "n", "node", "chunk", "counts"), "shingled")
     levels = _levels(seen.filter("chunk is not null").select("chunk", "counts"))
 
-    prefixed = rows.mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>").select("node", given, "n", "keys")
-    nodes = prefixed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"))
+    prefixed = rows.mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>, bits binary").select("node", given, "n", "keys", "bits")
+    nodes = prefixed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
     posted = nodes.select("node", "n", "copies", F.explode("keys").alias("key"))
     buckets = posted.groupBy("key").agg(F.count("*").alias("met"), F.max(F.struct("copies", "node")).alias("leader")).filter("met > 1")
@@ -184,19 +208,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = met.filter(F.col("leader.met") > PAIRED)
     homes = written(met.groupBy("node", "n").agg(F.max("leader").alias("leader")).select("node", "n", F.col("leader.node").alias("home")), "homes")
     pairs = few.select(F.least("node", "home").alias("node"), F.greatest("node", "home").alias("home")).distinct()
-    pairs = written(pairs.union(homes.select("node", "home").filter("node <> home")), "pairs")
+    pairs = pairs.union(homes.select("node", "home").filter("node <> home"))
+    pairs = pairs.join(nodes.select("node", F.col("n").alias("m"), F.col("bits").alias("a")), "node").join(nodes.select(F.col("node").alias("home"), "n", F.col("bits").alias("b")), "home")
+    pairs = written(pairs.mapInPandas(_may_link(percent), "node long, home long"), "pairs")
 
     wanted = pairs.select("node").union(pairs.select(F.col("home").alias("node"))).union(homes.select("node")).distinct()
     wanted = written(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "wanted")
     held = rows.join(small(wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()), "doc_id", "left_semi")
     sets = held.mapInPandas(_sets(width), "node long, n long, tokens array<long>").filter("n > 0")
-    sets = sets.join(small(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    sets = written(sets, "sets")
+    # repeated rows repeat their set; that only repeats comparisons
+    sets = written(sets.join(small(wanted.select("node")), "node", "left_semi").select("node", "tokens"), "sets")
 
     lead = sets.select(F.col("node").alias("home"), F.col("tokens").alias("lead"))
     shared = F.size(F.array_intersect("tokens", "lead"))
     linked = 100 * shared >= percent * (F.size("tokens") + F.size("lead") - shared)
-    ties = written(pairs.join(sets, "node").join(lead, "home").filter(linked).select("node", "home"), "ties")
+    ties = written(pairs.join(sets, "node").join(lead, "home").filter(linked).select("node", "home").distinct(), "ties")
     first = components(ties.select(F.col("node").alias("u"), F.col("home").alias("v")), "first-components")
     state = homes.join(ties.select("node", "home", F.lit(True).alias("tied")), ["node", "home"], "left").join(first, "node", "left")
     tied = F.coalesce("tied", F.col("node") == F.col("home"))
