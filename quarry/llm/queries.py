@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontam, exact_dedup, mixing, ngram_join, secrets
+from quarry.llm import decontam, exact_dedup, html_text, mixing, ngram_join, pii, quality, secrets, token_files, toxicity
 from quarry.llm.common import table
 
 
@@ -19,11 +19,33 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extracted(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("page_id").cast("long").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return held.groupBy("doc_id", "item_id", "n_shingles").agg(F.max("n_matched").alias("n_matched"), F.max("containment").alias("containment"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_index(token_files.write_tokens(table(spark, sf_dir, "documents")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicated(table(spark, sf_dir, "documents"))
 
@@ -55,7 +77,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_pii": op4_pii,
+        "op5_html_extraction": op5_html_extraction,
         "op6_benchmark_decontamination": op6_benchmark_decontamination,
+        "op7_token_files": op7_token_files,
+        "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
     }
