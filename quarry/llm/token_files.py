@@ -16,9 +16,12 @@ Spark writes can hold them.
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,10 +34,16 @@ from quarry.llm.common import partitions, small, text_of, written
 
 MAGIC = b"QTS1"
 #: Ids in a block, and about how many in a segment. A document is never cut between segments.
-BLOCK, SEGMENT = 1024, 1 << 22
-#: Texts given to the tokenizer at once, which holds much more than the ids while it works.
-TEXTS = 256
-CONTEXTS = 512
+BLOCK, SEGMENT = 1024, 1 << 21
+#: Texts tokenized at once, and pre-tokens whose ids are remembered.
+TEXTS, REMEMBERED = 512, 200_000
+CONTEXTS = 256
+#: Texts of these characters are cut here just as by the tokenizer; others are left to it whole.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026]*")
+#: The pattern of byte-level pre-tokens, with the letters and numbers among those characters spelt out.
+LETTERS, NUMBERS = "A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
+PRE_TOKEN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
+WORD_ALONE = re.compile(f" ?[{LETTERS}]+")
 EVENT_BITS, ID_BITS = 12, 18
 WORD, HALF = np.uint64(1 << 32), np.uint64(32)
 SEGMENT_SCHEMA = "part int, at long, n_tokens long, data binary"
@@ -54,14 +63,13 @@ def order0(counts: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """State of all blocks: what each context saw last, how sure it is, and the mixed probabilities."""
+    """State of all blocks: what each context saw last and how sure it is (id * 4 + sureness), and the mixed probabilities."""
 
     def __init__(self, blocks: int):
-        self.lane = np.arange(blocks)
-        self.seen = [np.full(blocks * CONTEXTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(blocks * CONTEXTS, np.int8) for _ in range(2)]
-        self.last = np.zeros(blocks, np.int64)
-        self.before = np.zeros(blocks, np.int64)
+        self.lane = np.arange(blocks, dtype=np.int32)
+        self.seen = [np.full(blocks * CONTEXTS, -4, np.int32) for _ in range(2)]
+        self.last = np.zeros(blocks, np.int32)
+        self.before = np.zeros(blocks, np.int32)
         # by order: 4 confidences; joint: 4 x 4
         self.alone = [np.full(blocks * 4, 1 << 10, np.int32) for _ in range(2)]
         self.joint = [np.full(blocks * 16, 1 << 10, np.int32) for _ in range(2)]
@@ -71,36 +79,34 @@ class _Model:
         """For the first n blocks: the two guesses, and shares (of 2**EVENT_BITS) of either being right."""
         lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
         base = lane * CONTEXTS
-        self.at = [base + ((last * 40503 + before * 30011) >> 3) % CONTEXTS, base + (last * 25173 >> 2) % CONTEXTS]
-        self.guess = [s[a] for s, a in zip(self.seen, self.at, strict=True)]
-        sure = [s[a] for s, a in zip(self.sure, self.at, strict=True)]
-        self.of_alone = [lane * 4 + s for s in sure]
-        self.of_joint = lane * 16 + sure[0] * 4 + sure[1]
-        self.p_alone = [p[i] for p, i in zip(self.alone, self.of_alone, strict=True)]
-        self.p_joint = [p[self.of_joint] for p in self.joint]
-        mixed = [(w[:n] * j + (256 - w[:n]) * a) >> 8 for w, j, a in zip(self.weight, self.p_joint, self.p_alone, strict=True)]
-        top = (1 << EVENT_BITS) - 64
-        first = np.clip(mixed[0], 16, top)
-        second = np.clip((((1 << EVENT_BITS) - first) * mixed[1]) >> EVENT_BITS, 8, None)
-        self.shares = first, np.minimum(second, (1 << EVENT_BITS) - first - 16)
+        self.at = [base + ((last * 10007 + before * 30011 >> 3) & (CONTEXTS - 1)), base + (last * 25173 >> 2 & (CONTEXTS - 1))]
+        held = [s.take(a) for s, a in zip(self.seen, self.at, strict=True)]
+        self.guess = [h >> 2 for h in held]
+        self.sure = [h & 3 for h in held]
+        self.of_alone = [lane * 4 + s for s in self.sure]
+        self.of_joint = lane * 16 + self.sure[0] * 4 + self.sure[1]
+        self.p_alone = [p.take(i) for p, i in zip(self.alone, self.of_alone, strict=True)]
+        self.p_joint = [p.take(self.of_joint) for p in self.joint]
+        mixed = [a + (w[:n] * (j - a) >> 8) for w, j, a in zip(self.weight, self.p_joint, self.p_alone, strict=True)]
+        whole = 1 << EVENT_BITS
+        first = np.minimum(np.maximum(mixed[0], 16), whole - 64)
+        second = np.maximum((whole - first) * mixed[1] >> EVENT_BITS, 8)
+        self.shares = first, np.minimum(second, whole - first - 16)
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
         n = len(ids)
         for k in range(2):
-            hit = event == k
-            goal = hit.astype(np.int32) << EVENT_BITS
-            # the second guess learns only where the first was wrong
-            rows = slice(None) if k == 0 else np.flatnonzero(event > 0)
-            i, j, g = self.of_alone[k][rows], self.of_joint[rows], goal[rows]
-            pa, pj = self.p_alone[k][rows], self.p_joint[k][rows]
-            self.alone[k][i] = pa + ((g - pa) >> 4)
-            self.joint[k][j] = pj + ((g - pj) >> 4)
-            w = self.weight[k][:n]
-            w[rows] = np.clip(w[rows] + np.sign(np.abs(g - pa) - np.abs(g - pj)) * 2, 16, 240)
+            pa, pj, w = self.p_alone[k], self.p_joint[k], self.weight[k][:n]
+            goal = (event == k).astype(np.int32) << EVENT_BITS
+            da, dj, better = goal - pa >> 4, goal - pj >> 4, np.sign(np.abs(goal - pa) - np.abs(goal - pj)) * 2
+            if k:  # the second guess learns only where the first was wrong
+                learns = event > 0
+                da, dj, better = da * learns, dj * learns, better * learns
+            self.alone[k][self.of_alone[k]] = pa + da
+            self.joint[k][self.of_joint] = pj + dj
+            np.minimum(np.maximum(w + better, 16), 240, out=w)
             right = self.guess[k] == ids
-            at = self.at[k]
-            self.sure[k][at] = np.where(right, np.minimum(self.sure[k][at] + 1, 3), 0)
-            self.seen[k][at] = ids
+            self.seen[k][self.at[k]] = (ids << 2) + np.minimum(self.sure[k] + 1, 3) * right
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -114,8 +120,8 @@ class _Coder:
 
     def narrow(self, rows, start: np.ndarray, share: np.ndarray, bits: int):
         """Returns which of the rows give out a word; low must be read before it is shifted."""
-        unit = self.range[rows] >> np.uint64(bits)
-        low, size = self.low[rows] + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        unit = self.range.take(rows) >> np.uint64(bits)
+        low, size = self.low.take(rows) + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
         out = np.flatnonzero(size < WORD)
         l, s = low[out], size[out]
         cut = (l >> HALF) != ((l + s - np.uint64(1)) >> HALF)
@@ -129,7 +135,7 @@ class _Coder:
 def _shape(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids as blocks side by side (position, block), longest first, and how many blocks are that long."""
     blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros(blocks * BLOCK, np.int64)
+    grid = np.zeros(blocks * BLOCK, np.int32)
     grid[: len(ids)] = ids
     alive = np.full(BLOCK, blocks)
     if len(ids) % BLOCK:
@@ -149,7 +155,7 @@ def encode(ids: np.ndarray) -> bytes:
 
     def put(rows: np.ndarray, start, of, bits) -> None:
         out, words = coder.narrow(rows, start, of, bits)
-        out_block.append(rows[out])
+        out_block.append(rows[out].astype(np.int32))
         out_word.append(words.astype(np.uint32))
 
     for k in range(BLOCK):
@@ -165,7 +171,7 @@ def encode(ids: np.ndarray) -> bytes:
         rows = model.lane[:n]
         put(rows, start, of, EVENT_BITS)
         rows = np.flatnonzero(event == 2)
-        put(rows, begin[now[rows]], share[now[rows]], ID_BITS)
+        put(rows, begin.take(now[rows]), share.take(now[rows]), ID_BITS)
         model.update(now, event)
     every = np.arange(blocks)
     for shift in (32, 0):
@@ -213,11 +219,11 @@ def decode(raw: bytes, n_ids: int) -> np.ndarray:
         model.predict(n)
         first, second = model.shares
         slot = slots(rows, EVENT_BITS)
-        event = (slot >= first).astype(np.int64) + (slot >= first + second)
+        event = (slot >= first).astype(np.int8) + (slot >= first + second)
         start = np.where(event == 0, 0, np.where(event == 1, first, first + second))
         of = np.where(event == 0, first, np.where(event == 1, second, (1 << EVENT_BITS) - first - second))
         take_words(rows, start, of, EVENT_BITS)
-        now = np.where(event == 0, model.guess[0], model.guess[1]).astype(np.int64)
+        now = np.where(event == 0, model.guess[0], model.guess[1])
         rows = np.flatnonzero(event == 2)
         index = of_slot[slots(rows, ID_BITS)]
         take_words(rows, begin[index], share[index], ID_BITS)
@@ -252,9 +258,67 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(named, known, strict=True)], sizes, decode(body[17 * n :], n_ids)
 
 
+class Ids:
+    """Ids of whole texts by the tokenizers library.
+
+    A byte-level tokenizer cuts a text by its pattern and merges within each pre-token alone, so
+    the library encodes each pre-token once and the ids are remembered, within bounds. Texts
+    with rare characters, or with the name of an added token, go to the library whole.
+    """
+
+    def __init__(self, path: str):
+        self.coder = Tokenizer.from_file(path)
+        plan = json.loads(self.coder.to_str())
+        first = plan["pre_tokenizer"] or {}
+        self.cuts = plan["normalizer"] is None and first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True)
+        self.pattern = re.compile(PRE_TOKEN)
+        self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
+        self.line = self.whole(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # pre-token to its place in sizes and ends
+        self.flat, self.sizes, self.ends = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str]) -> list[list[int]]:
+        """Ids of words, told in one text by line breaks, which are pre-tokens of their own there."""
+        ids = self.whole(["\n".join(words)])[0]
+        cuts = [-1, *(i for i, x in enumerate(ids) if x == self.line[0]), len(ids)]
+        return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(words) + 1 and len(self.line) == 1 else self.whole(words)
+
+    def _learn(self, fresh: list[str]) -> None:
+        alone = [w for w in fresh if WORD_ALONE.fullmatch(w)]
+        other = [w for w in fresh if not WORD_ALONE.fullmatch(w)]
+        read = (self._lines(alone) if alone else []) + (self.whole(other) if other else [])
+        self.known.update(zip(alone + other, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(read), np.uint32)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, read), np.int64)])
+        self.ends = np.cumsum(self.sizes)
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.cuts and PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
+        odd = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
+        cut = [self.pattern.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        fresh = set(chain.from_iterable(cut)) - self.known.keys()
+        if fresh:
+            self._learn(list(fresh))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        first = np.repeat(self.ends[at] - ends, sizes)
+        ids = self.flat[first + np.arange(len(first))]
+        bounds = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
+        return [ids[e - n : e] if p else np.array(next(odd), np.uint32) for p, e, n in zip(plain, bounds, np.diff(bounds, prepend=0), strict=True)]
+
+
 def _write(tokenizer: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Tokenizer.from_file(tokenizer)
+        ids_of = Ids(tokenizer)
         docs: list[int | None] = []
         parts: list[np.ndarray] = []
         part, at, held = None, 0, 0
@@ -267,10 +331,9 @@ def _write(tokenizer: str, end_id: int):
             part = int(batch["part"].iloc[0]) if len(batch) else part
             for i in range(0, len(batch), TEXTS):
                 piece = batch.iloc[i : i + TEXTS]
-                coded = coder.encode_batch_fast(piece["text"].to_list(), add_special_tokens=False)
-                for doc_id, e in zip(piece["doc_id"], coded, strict=True):
+                for doc_id, ids in zip(piece["doc_id"], ids_of.of(piece["text"].to_list()), strict=True):
                     docs.append(None if doc_id is None else int(doc_id))
-                    parts.append(np.array([*e.ids, end_id], np.uint32))
+                    parts.append(np.append(ids, np.uint32(end_id)))
                     held += len(parts[-1])
                     if held >= SEGMENT:
                         yield segment()

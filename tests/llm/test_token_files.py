@@ -55,3 +55,14 @@ def test_nulls_ties_and_empty(spark):
     got = sorted(map(tuple, tf.read_index(tf.write_tokens(spark.createDataFrame(rows, schema))).collect()), key=lambda r: r[1])
     assert got == expected([(None, "a b"), (1, ""), (3, None), (3, None), (2**62 + 1, "é 😀")])
     assert tf.read_index(tf.write_tokens(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_remembered_pre_tokens_give_the_library_s_ids(monkeypatch):
+    """Cut, remembered and told apart by line breaks, or left to the library: the same ids."""
+    monkeypatch.setattr(tf, "REMEMBERED", 50)
+    r = np.random.default_rng(7)
+    pieces = ["a", "thon", "É", "ß", " ", "  ", "\n", "\t", "\r\n", "1", "²", "'s", "'", "%%%", ".", "\u00a0", "\x1c", "\x85", "中", "😀", "<|endoftext|>", "\u2019", "ǆ", "ª"]
+    texts = ["".join(r.choice(pieces, r.integers(0, 30))) for _ in range(3000)] + ["", "\n", " a\nb", "\n\n a"]
+    ids = tf.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(0, len(texts), 100):
+        assert [x.tolist() for x in ids.of(texts[i : i + 100])] == ids.whole(texts[i : i + 100])
