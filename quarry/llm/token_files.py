@@ -36,7 +36,7 @@ MAGIC = b"QTS1"
 #: Ids in a block, and about how many in a segment. A document is never cut between segments.
 BLOCK, SEGMENT = 1024, 1 << 21
 #: Texts tokenized at once, and pre-tokens whose ids are remembered.
-TEXTS, REMEMBERED = 512, 200_000
+TEXTS, REMEMBERED = 512, 500_000
 CONTEXTS = 256
 #: Texts of these characters are cut here just as by the tokenizer; others are left to it whole.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026]*")
