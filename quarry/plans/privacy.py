@@ -1,0 +1,147 @@
+"""Queries over texts: privacy spans, scalar text and time functions, pages, windows on events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.functions import time as C
+from quarry.operators import spans as S
+from quarry.sources.items import table
+
+IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+HEX = r"[0-9a-f]{24,}"
+LICENSE = r"[Ll]icensed under [A-Z -]+"
+
+
+def _spanned(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.concat(S.matches(F.col("text"), IPV4, "private-personal"), S.matches(F.col("text"), HEX, "credential"), S.matches(F.col("text"), LICENSE, "third-party"))
+    return docs.withColumn("spans", S.without_overlaps(found))
+
+
+def g1_validate_findings(spark, sf_dir):
+    """Synthetic findings on conversation turns, each with its first fault."""
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("item_id"), F.col("text").alias("content"))
+    category = F.when(F.col("event_id") % 11 == 0, "other").otherwise("sensitive")
+    e = F.when(F.col("event_id") % 13 != 0, (F.col("event_id") % 40).cast("int"))
+    findings = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 60 * 100 + F.col("event_id") % 9).alias("item_id"), (F.col("event_id") % 30).cast("int").alias("s"), e.alias("e"), category.alias("category"))
+    return S.rejected(findings, turns).select("event_id", "reject_reason")
+
+
+def g2_greedy_spans(spark, sf_dir):
+    found = _spanned(spark, sf_dir).filter(F.size("spans") > 0)
+    return found.select("doc_id", F.explode("spans").alias("x")).select("doc_id", F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"), F.col("x.c").alias("category"))
+
+
+def g3_apply_spans(spark, sf_dir):
+    found = _spanned(spark, sf_dir)
+    return found.select("doc_id", F.sha2(S.applied(F.col("text"), F.col("spans")), 256).alias("redacted_sha256"))
+
+
+def a6_categories(spark, sf_dir):
+    """Spans by category, with the total."""
+    found = _spanned(spark, sf_dir).select(F.explode("spans.c").alias("category"))
+    return found.rollup("category").agg(F.count("*").alias("n")).select(F.coalesce("category", F.lit("all")).alias("category"), "n")
+
+
+def a7_name_leaks(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
+    common = spark.createDataFrame([("the",), ("licensed",), ("que",)], "name string")
+    spanned = _spanned(spark, sf_dir).withColumnsRenamed({"doc_id": "item_id", "text": "content"})
+    return S.leaks(spanned, names.union(common))
+
+
+def g6_decisions(spark, sf_dir):
+    """Labels as review decisions on spans that need confirmation."""
+    labels = table(spark, sf_dir, "labels")
+    state = F.when(F.col("toxic") == 1, "confirmed_redact").otherwise("confirmed_keep")
+    return labels.select("doc_id", state.alias("review_state"), F.when(F.col("toxic") == 1, "active").otherwise("removed").alias("status"))
+
+
+def n1_lengths(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.length("text").cast("long").alias("points"), F.octet_length("text").cast("long").alias("bytes"), T.utf16_length(F.col("text")).alias("utf16"))
+
+
+def n8_claims(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.claim_normal(F.concat("p_name", F.lit(" (v. 2)!  "), "p_type")).alias("claim"), T.slug(F.concat("p_type", F.lit(" / "), "p_brand")).alias("slug"))
+
+
+def n10_language(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.language_class(F.col("text")).alias("language"))
+
+
+def n12_pasted_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.pasted(F.col("html")), 256).alias("text_sha256"))
+
+
+def n15_credentials(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(T.CREDENTIAL).alias("credential"))
+
+
+def n19_escaped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.length(T.html_escaped(F.col("html"))).cast("long").alias("escaped_chars"))
+
+
+def n22_skeletons(spark, sf_dir):
+    """Line layouts of documents, and how many lines have each."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(F.sha2(T.skeleton(F.col("line")), 256).alias("layout")).agg(F.count("*").alias("n"))
+
+
+def d1_instants(spark, sf_dir):
+    """Clocks written in several ways, read as exact seconds and nanoseconds."""
+    day = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(day, F.lit("Z"))).when(F.col("event_id") % 4 == 1, F.concat(day, F.lit(".25+02:00"))).when(F.col("event_id") % 4 == 2, F.concat(day, F.lit("-00:00"))).otherwise(day)
+    found = table(spark, sf_dir, "events").select("event_id", C.instant(text).alias("at"))
+    return found.select("event_id", F.col("at.s").alias("s"), F.col("at.ns").alias("ns"))
+
+
+def x_hourly_windows(spark, sf_dir):
+    """Tumbling windows on events; the streaming form is in quarry.streaming."""
+    events = table(spark, sf_dir, "events")
+    found = events.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return found.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def f1_friction(spark, sf_dir):
+    """Cues of preference in users' turns, with the length of their run of turns."""
+    turns = table(spark, sf_dir, "conversations").filter("lower(role) = 'user'")
+    cue = F.lower("text").rlike(r"\b(always|never|next time|instead|again|wrong)\b")
+    return turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(cue).alias("cues"))
+
+
+def t8_language_policy(spark, sf_dir):
+    """Language of each source's texts, and of all."""
+    docs = table(spark, sf_dir, "documents").withColumn("language", T.language_class(F.col("text")))
+    return docs.rollup("source").agg(F.count("*").alias("n"), F.count_if(F.col("language") == "en").alias("en"), F.count_if(F.col("language") == "mixed").alias("mixed")).select(F.coalesce("source", F.lit("all")).alias("owner"), "n", "en", "mixed")
+
+
+QUERIES = {f.__name__: f for f in (g1_validate_findings, g2_greedy_spans, g3_apply_spans, g6_decisions, a6_categories, a7_name_leaks, n1_lengths, n8_claims, n10_language, n12_pasted_pages, n15_credentials, n19_escaped, n22_skeletons, d1_instants, x_hourly_windows, f1_friction, t8_language_policy)}
+
+_CREDENTIAL = T.CREDENTIAL.replace("'", "''")
+_LANGUAGE = r"""case when h + l = 0 then 'mixed' when h * 5 >= (h + l) * 4 then 'zh' when l * 5 >= (h + l) * 4 then 'en' else 'mixed' end"""
+_LETTERS = r"len(regexp_extract_all(text, '\p{Han}')) as h, len(regexp_extract_all(text, '[A-Za-z]')) as l"
+ORACLE = {
+    "g1_validate_findings": """with t as (select conv_id * 100 + turn as item_id, length(text) as size from conversations),
+      f as (select event_id, event_id % 60 * 100 + event_id % 9 as item_id, event_id % 30 as s, case when event_id % 13 <> 0 then event_id % 40 end as e, case when event_id % 11 = 0 then 'other' else 'sensitive' end as category from events)
+      select event_id, case when size is null then 'unknown event id' when category = 'other' then 'unknown category' when e is null then 'offsets are not integers' when s >= e or e > size then 'offsets out of range' end as reject_reason from f left join t using (item_id)""",
+    "a6_categories": rf"""with t as (select 'private-personal' as category, len(regexp_extract_all(text, '{IPV4}')) as n from documents union all select 'credential', len(regexp_extract_all(text, '{HEX}')) from documents union all select 'third-party', len(regexp_extract_all(text, '{LICENSE}')) from documents)
+      select coalesce(category, 'all') as category, cast(sum(n) as bigint) as n from t group by rollup (category) having sum(n) > 0""",
+    "g6_decisions": "select doc_id, case when toxic = 1 then 'confirmed_redact' else 'confirmed_keep' end as review_state, case when toxic = 1 then 'active' else 'removed' end as status from labels",
+    "g3_apply_spans": rf"""select doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '{IPV4}', '<redacted category="private-personal"/>', 'g'), '{HEX}', '<redacted category="credential"/>', 'g'), '{LICENSE}', '<redacted category="third-party"/>', 'g')) as redacted_sha256 from documents""",
+    "n1_lengths": r"select doc_id, length(text) as points, strlen(text) as bytes, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) as utf16 from documents",
+    "n8_claims": r"""select p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (v. 2)!  ' || p_type), '[^\p{L}\p{N}_./:+-]+', ' ', 'g'), ' +', ' ', 'g')) as claim,
+      coalesce(nullif(regexp_replace(regexp_replace(p_type || ' / ' || p_brand, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'item') as slug from part""",
+    "n10_language": f"with t as (select doc_id, {_LETTERS} from documents) select doc_id, {_LANGUAGE} as language from t",
+    "n12_pasted_pages": r"select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '(?s)<[^>]*>', '', 'g'), '[\r\x00]', '', 'g')) as text_sha256 from pages",
+    "n15_credentials": f"select doc_id, regexp_matches(text, '{_CREDENTIAL}') as credential from documents",
+    "n19_escaped": "select page_id, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) as escaped_chars from pages",
+    "n22_skeletons": r"with t as (select unnest(string_split(text, chr(10))) as line from documents) select sha256(regexp_replace(line, '[\p{L}\p{N}]+', '{}', 'g')) as layout, count(*) as n from t group by 1",
+    "d1_instants": """select event_id, case event_id % 4 when 0 then cast(epoch(date_trunc('second', ts)) as bigint) when 1 then cast(epoch(date_trunc('second', ts)) as bigint) - 7200 end as s,
+      case event_id % 4 when 0 then 0 when 1 then 250000000 end as ns from events""",
+    "x_hourly_windows": "select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "f1_friction": r"select conv_id, count(*) as turns, count(*) filter (regexp_matches(lower(text), '\b(always|never|next time|instead|again|wrong)\b')) as cues from conversations where lower(role) = 'user' group by 1",
+    "t8_language_policy": f"with t as (select source, {_LETTERS} from documents), u as (select source, {_LANGUAGE} as language from t) select coalesce(source, 'all') as owner, count(*) as n, count(*) filter (language = 'en') as en, count(*) filter (language = 'mixed') as mixed from u group by rollup (source)",
+}

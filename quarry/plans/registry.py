@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from quarry.plans import corpus, privacy
+
+MODULES = (corpus, privacy)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
