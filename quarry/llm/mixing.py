@@ -10,6 +10,7 @@ are never stored between steps: a document's rate is the fold of the few step ve
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,12 +42,17 @@ def features(text: Column) -> Column:
     return F.array(*[F.least(x, F.lit(1.0)) for x in share])
 
 
-def _posterior(model: dict[str, tuple[float, list[float], list[float]]], names: list[str]) -> Column:
-    """Naive Bayes with one normal density per feature and domain, over the column ``x``."""
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often body names it, and never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _logs(model: dict[str, tuple[float, list[float], list[float]]], names: list[str], x: Column) -> Column:
+    """Naive Bayes with one normal density per feature and domain."""
     logs = []
     for name in names:
         prior, mean, var = model[name]
-        terms = [-0.5 * (F.get("x", F.lit(j)) - m) * (F.get("x", F.lit(j)) - m) / v for j, (m, v) in enumerate(zip(mean, var, strict=True))]
+        terms = [-0.5 * (F.get(x, F.lit(j)) - m) * (F.get(x, F.lit(j)) - m) / v for j, (m, v) in enumerate(zip(mean, var, strict=True))]
         constant = float(np.log(prior) - 0.5 * np.sum(np.log(var)))
         logs.append(sum(terms, F.lit(constant)))
     return F.array(*logs)
@@ -72,11 +78,13 @@ class Domains:
     def scored(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Add tokens (words) and p (the posterior over names) to the rows."""
         text = text_of(text_col)
-        rows = docs.withColumns({"tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("double"), "x": features(text)})
-        rows = rows.withColumn("logs", _posterior(self.model, self.names) if self.model else F.array(F.lit(0.0)))
-        rows = rows.withColumn("e", F.transform("logs", lambda v: F.exp(v - F.array_max("logs"))))
-        rows = rows.withColumn("z", F.aggregate("e", F.lit(0.0), lambda a, v: a + v))
-        return rows.withColumn("p", F.transform("e", lambda v: v / F.col("z"))).drop("x", "logs", "e", "z")
+        p = bound(features(text), self._shares) if self.model else F.array(F.lit(1.0))
+        return docs.withColumns({"tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("double"), "p": p})
+
+    def _shares(self, x: Column) -> Column:
+        likely = lambda logs: F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
+        scaled = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda z: F.transform(e, lambda v: v / z))
+        return bound(_logs(self.model, self.names, x), lambda logs: bound(likely(logs), scaled))
 
 
 def _rate(steps: list[np.ndarray], p: Column, t: Column) -> Column:
@@ -97,7 +105,7 @@ class Rates:
     report: dict[str, dict[str, float]]
 
     def of(self, tokens: str = "tokens", p: str = "p") -> Column:
-        return _rate(self.steps, F.col(p), F.col(tokens) / self.mean)
+        return bound(F.struct(F.col(p).alias("p"), (F.col(tokens) / self.mean).alias("t")), lambda s: _rate(self.steps, s["p"], s["t"]))
 
 
 def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | None = None, rounds: int = 12, tolerance: float = 1e-4) -> Rates:
@@ -139,7 +147,7 @@ def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | N
 def copies(rate: Column, key: Column) -> Column:
     """Whole copies of a row: the rate rounded up or down by a draw fixed by the row's key."""
     draw = F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1_000_003)) / 1_000_003.0
-    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
+    return bound(rate, lambda r: (F.floor(r) + (draw < r - F.floor(r)).cast("long")).cast("int"))
 
 
 def quality_domain(lang: str = "lang", quality: str = "quality") -> Column:
@@ -181,5 +189,5 @@ def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     domains, _, rates = fitted(docs, labels, **options)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), text_of().alias("__text"))
     rows = domains.scored(rows, "__text").withColumn("__n", copies(rates.of(), F.xxhash64("__id", "__text")))
-    rows = rows.filter(F.col("__n") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
+    rows = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__n"))))
     return rows.select("__row.*")
