@@ -67,7 +67,7 @@ class Domains:
 
     @staticmethod
     def fitted(labelled: DataFrame, domain: Column, text_col: str = "text") -> Domains:
-        """From all labelled rows, as sums per domain. Rows whose domain is null teach nothing."""
+        """From the labelled rows, as sums per domain. Rows whose domain is null teach nothing."""
         rows = labelled.select(domain.alias("domain"), features(text_of(text_col)).alias("x")).filter(F.col("domain").isNotNull())
         sums = [f(F.get("x", F.lit(j))).alias(f"{n}{j}") for n, f in (("m", F.avg), ("v", F.var_pop)) for j in range(WIDTH)]
         found = {r["domain"]: r for r in rows.groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()}
@@ -155,9 +155,16 @@ def quality_domain(lang: str = "lang", quality: str = "quality") -> Column:
     return F.concat_ws("-", F.col(lang), F.when(F.col(quality) == 1, "good").when(F.col(quality) == 0, "poor"))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+#: The classifier is fitted on at most about so many labels, a sample by hash; rates use all rows.
+LABELLED = 20_000
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", limit: int = LABELLED) -> DataFrame:
     """Documents with a label; a label given twice counts once, two different ones both."""
     known = labels.select(F.col("doc_id").alias(id_col), F.col("quality").alias("__quality")).filter(F.col("quality").isNotNull()).distinct()
+    n = known.count()
+    if n > limit:
+        known = known.filter(F.pmod(F.xxhash64(id_col, F.lit("mixing")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
     return docs.select(id_col, "text", "lang").join(known, id_col)
 
 
