@@ -30,8 +30,8 @@ from quarry.llm.common import small, text_of, written
 from quarry.llm.components import components
 from quarry.llm.shingles import set_digests, shingle_sets
 
-#: Counters of the token count sketch, by leading bits; fixed, so what is broadcast is 4 MB.
-SKETCH_BITS = 22
+#: Counters of the token count sketch, by leading bits; fixed, so what is broadcast is 2 MB.
+SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
 #: A token that at most so many nodes share gives their pairs; a group is formed around others.
 PAIRED = 32
@@ -59,10 +59,11 @@ def _nodes_and_sketch(width: int):
     """Rows (doc_id, n, node), and the task's token counts as rows (chunk, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
             for at, hashes, ends in shingle_sets(batch["text"], width):
-                counts += np.bincount(hashes >> np.uint64(64 - SKETCH_BITS), minlength=len(counts))
+                met, often = np.unique(hashes >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[met] += often.astype(np.int32)
                 ids = batch["doc_id"].iloc[at : at + len(ends)].to_numpy()
                 yield pd.DataFrame({"doc_id": ids, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "counts": None})
         for chunk, part in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
@@ -272,8 +273,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows of null doc_id and documents without shingles stay.
     """
-    kept = similar_groups(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = written(kept, "kept")
-    known = docs.filter(F.col(id_col).isNotNull())
-    one = known.join(small(kept), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    return one.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = similar_groups(docs, id_col, text_col, **options).filter("doc_id is not null")
+    kept = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    kept = written(kept.filter("stays"), "kept")
+    mine = F.col(id_col).cast("long") == F.col("__id")
+    # whole rows are shuffled for repeated ids only
+    once, often = kept.filter("n = 1").select("__id"), kept.filter("n > 1").select("__id")
+    out = docs.join(small(once), mine, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    return out if often.isEmpty() else out.unionByName(docs.join(small(often), mine, "left_semi").dropDuplicates([id_col]))

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at once: bounds the working arrays, not the texts.
-SLAB = 1_000_000
+SLAB = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _UNBASE = np.uint64(pow(int(_BASE), -1, 2**64))
 
