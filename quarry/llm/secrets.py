@@ -59,7 +59,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = [_parts(F.col("__text"), i, role, *rest) for i, (_, role, *rest) in enumerate(STRONG + WEAK)]
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("__text"))
     rows = rows.select("row", "doc_id", F.concat(*[F.coalesce(k, F.array().cast(PART)) for k in kinds]).alias("__parts"))
-    rows = rows.select("row", "doc_id", F.explode_outer("__parts").alias("p")).select("row", "doc_id", "p.*")
+    # one part of no kind for every text, so that a text whose parts all fall away keeps its row
+    none = F.array(F.struct(F.lit(None).alias("kind"), F.lit(None).alias("role"), F.lit(0).alias("rank"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit(False).alias("holds"))).cast(PART)
+    rows = rows.select("row", "doc_id", F.explode(F.concat("__parts", none)).alias("p")).select("row", "doc_id", "p.*")
 
     walked = Window.partitionBy("row", "kind").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(walked)).withColumn("start", F.col("end") - F.col("size"))
