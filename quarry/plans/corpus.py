@@ -172,9 +172,9 @@ def j8_evidence(spark, sf_dir):
 
 
 def u2_cover_faults(spark, sf_dir):
-    """Orders as units, lines as members, parts as the universe."""
+    """Lines as members, parts as the universe: a part on several lines is a member of several units."""
     universe = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
-    members = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("item_id"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item_id"))
     return relate.cover_faults(universe, members)
 
 
@@ -185,8 +185,8 @@ def a17_membership(spark, sf_dir):
 
 def h2_revisions(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    now = orders.filter("o_orderkey % 7 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("digest"))
-    was = orders.filter("o_orderkey % 5 <> 0").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("digest"), (F.col("o_orderkey") % 4 + 1).alias("revision"))
+    now = orders.filter("o_orderpriority <> '5-LOW'").select("o_orderkey", F.col("o_orderstatus").alias("digest"))
+    was = orders.filter("o_totalprice > 100000").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("o_orderstatus")).alias("digest"), (F.col("o_orderkey") % 4 + 1).alias("revision"))
     return relate.revisions(now, was, "o_orderkey", "digest")
 
 
@@ -226,7 +226,7 @@ ORACLE = {
     "i5_adjacent_mirrors": f"with {ITEMS_SQL}, t as (select item_id, event_type, lag(event_type) over (partition by document_id order by sequence) as p from ev) select item_id from t where p is null or p <> event_type",
     "o7_top_documents": "select doc_id, length(text) as chars from documents order by chars desc, doc_id limit 10",
     "o9_page": f"with {ITEMS_SQL} select item_id from conv order by document_id, sequence, item_id limit 20 offset 40",
-    "u2_cover_faults": "with m as (select l_partkey as item, count(*) as n from lineitem where l_linenumber = 1 group by 1), t as (select coalesce(p_partkey, item) as item, case when p_partkey is null then 'unknown' when n is null then 'missing' when n > 1 then 'repeated' end as code from part full outer join m on p_partkey = item) select code, item from t where code is not null",
+    "u2_cover_faults": "with m as (select l_partkey as item, count(*) as n from lineitem group by 1), t as (select coalesce(p_partkey, item) as item, case when p_partkey is null then 'unknown' when n is null then 'missing' when n > 1 then 'repeated' end as code from part full outer join m on p_partkey = item) select code, item from t where code is not null",
     "u6_concat": f"with {ITEMS_SQL} select split_part(document_id, '-', 1) as kind, count(*) as n, count(distinct document_id) as documents from items group by 1",
     "j7_most_overlap": """with a as (select o_orderkey as id, date_diff('day', date '1990-01-01', cast(o_orderdate as date)) as s, date_diff('day', date '1990-01-01', cast(o_orderdate as date)) + 1 + o_orderkey % 9 as e from orders),
       b as (select p_partkey as label, 700 + (p_partkey * 37) % 3000 as s, 700 + (p_partkey * 37) % 3000 + 3 + p_partkey % 5 as e from part),
@@ -236,8 +236,8 @@ ORACLE = {
       tails as (select split_part(item_id, ':', -1) as tail, count(*) as n, min(item_id) as one from conv group by 1),
       t as (select ref, case when c.item_id is not null then 'exact' when n = 1 then 'suffix' when n > 1 then 'ambiguous' else 'missing' end as state, c.item_id, one from r left join conv c on c.item_id = ref left join tails on tail = ref)
       select ref, state, case state when 'exact' then item_id when 'suffix' then one end as item_id from t""",
-    "h2_revisions": """with n as (select o_orderkey, o_orderstatus as d from orders where o_orderkey % 7 <> 0),
-      w as (select o_orderkey, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as d, o_orderkey % 4 + 1 as r from orders where o_orderkey % 5 <> 0),
+    "h2_revisions": """with n as (select o_orderkey, o_orderstatus as d from orders where o_orderpriority <> '5-LOW'),
+      w as (select o_orderkey, case when o_orderkey % 3 = 0 then 'X' else o_orderstatus end as d, o_orderkey % 4 + 1 as r from orders where o_totalprice > 100000),
       t as (select coalesce(n.o_orderkey, w.o_orderkey) as o_orderkey, case when n.d is null then 'removed' when w.d is null then 'added' when n.d = w.d then 'same' else 'changed' end as change, r from n full outer join w on n.o_orderkey = w.o_orderkey)
       select o_orderkey, change, case change when 'added' then 1 when 'changed' then r + 1 else r end as revision from t""",
 }

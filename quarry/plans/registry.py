@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, privacy
+from quarry.plans import corpus, privacy, relations
 
-MODULES = (corpus, privacy)
+MODULES = (corpus, privacy, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
