@@ -181,11 +181,11 @@ class Model:
 
 
 def learned_words(rows: DataFrame) -> dict[str, float]:
-    """Words (after "=") and stems that labels show to be insults, with weights up to 1. Near copies count once."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0)))
+    """Words (after "=") and stems that labels show to be insults, with weights up to 1. Texts of equal word sets count once, as toxic if one is."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0))))
     rows = rows.select("toxic", words.alias("words")).filter(F.size("words") > 0)
-    hashed = F.transform("words", lambda w: F.xxhash64(w))
-    rows = rows.groupBy(F.array_min(hashed).alias("a"), F.array_max(hashed).alias("b")).agg(F.first("toxic").alias("toxic"), F.first("words").alias("words"))
+    # words hold no spaces, so that equal digests are equal sets
+    rows = rows.groupBy(F.sha2(F.array_join("words", " "), 256)).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
     rows = written(rows.select("toxic", "words"), "toxicity-words")
     total = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     if not total["t"] or total["t"] == total["n"]:

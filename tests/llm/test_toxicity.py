@@ -46,3 +46,18 @@ def test_nulls_and_empty(spark):
     assert tox.toxicity(docs.filter("false"), labels).count() == 0
     assert sorted(str(r["doc_id"]) for r in tox.without_toxic(docs, labels).collect()) == ["1", "1", "3"]
     assert tox.without_toxic(docs, labels).columns == docs.columns
+
+
+def test_texts_of_equal_extremes_all_give_evidence(spark):
+    # a long shared vocabulary, so that nearly all texts have the smallest and the largest word hash in common
+    names = ["".join(chr(97 + int(c)) for c in f"{i:04d}") for i in range(300)]
+    base = " ".join(f"w{x}" for x in names)
+    rows = [(base + " zorblat " + x, 1) for x in names[:40]] + [(base + " plain " + "q" + x, 0) for x in names]
+    rows = [(text.replace("w" + names[i % 300], "x" + names[i % 300]), toxic) for i, (text, toxic) in enumerate(rows)]
+    assert tox.learned_words(spark.createDataFrame(rows, "text string, toxic int"))["=zorblat"] > 0.95
+
+
+def test_a_word_set_is_toxic_if_one_label_says_so(spark):
+    for order in ((0, 1), (1, 0)):
+        rows = [(f"vile{chr(97 + i)} zorblat", toxic) for i in range(20) for toxic in order] + [(f"fine{chr(97 + i // 26)}{chr(97 + i % 26)}", 0) for i in range(200)]
+        assert "=zorblat" in tox.learned_words(spark.createDataFrame(rows, "text string, toxic int").coalesce(1))
