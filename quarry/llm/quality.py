@@ -4,23 +4,30 @@ The content view sees the text's statistics, the metadata view what is known abo
 (language, source, length). Both start from the labelled rows. In every round each view names
 the unlabelled documents it is surest of, and the other view learns them as its own. Each
 view is then calibrated on the labelled rows, and one logistic step over the calibrated
-views scores all documents. Features and scores are built-in expressions; the driver holds
-bounded samples and the weights.
+views scores all documents. Features and scores are built-in expressions.
+
+Every unlabelled row takes part: a round scores them all in Spark, finds how sure a row must
+be from histograms of the scores, and refits the views from sums over the rows they were
+given. The driver holds a bounded sample of labelled rows, the sums and the weights.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, text_of, written
+from quarry.llm.common import SPACE, small, text_of, written
 from quarry.llm.toxicity import held_out, logistic
 
-#: At most about so many labelled rows, and unlabelled rows as the pool that views exchange; samples by hash.
-LABELLED, POOL = 20_000, 20_000
+#: At most about so many labelled rows, a sample by hash.
+LABELLED = 20_000
+#: Bins of raw scores from -20 to 20, and pieces in which the sums of tasks are added up.
+BINS, PIECES = 8_000, 16
 #: Hash buckets of languages and sources in the metadata view.
 LANGS, SOURCES = 16, 64
 
@@ -121,25 +128,173 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
     return CoTrained(*views, mix, len(given[0]) + len(given[1]))
 
 
-def _sampled(rows: DataFrame, n: int, limit: int) -> DataFrame:
-    return rows if n <= limit else rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < int(1_000_000 * limit / n))
+def _rows(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' features of a batch of unlabelled rows."""
+    hot = lambda c, n: (batch[c].to_numpy()[:, None] == np.arange(n)).astype(float)
+    plain = lambda k: np.column_stack([batch[c].to_numpy(float) for c in batch.columns if c[0] == k and c[1:].isdigit()])
+    return plain("a"), np.hstack([plain("b"), hot("lang", LANGS), hot("source", SOURCES)])
+
+
+def _bins(view: View, x: np.ndarray) -> np.ndarray:
+    """The bin of each row's raw score. Added up feature by feature, so that a row gets the same one in any batch."""
+    slope = view.weights[:-1] / view.scale
+    total = np.full(len(x), view.weights[-1] - slope @ view.mean)
+    for j, w in enumerate(slope):
+        total += x[:, j] * w
+    return np.minimum((np.clip(total, -20, 20) + 20) * (BINS / 40), BINS - 1).astype(int)
 
 
-def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, pool: int = POOL, **options) -> CoTrained:
-    """Learn from labelled rows outside the held-out fold, and from unlabelled rows.
+@dataclass
+class Given:
+    """What one view gave the other in a round, by bin: the share of its untaken rows given as good and as bad."""
+
+    giver: int
+    view: View
+    good: np.ndarray
+    bad: np.ndarray
+
+
+def _taken(x: tuple[np.ndarray, np.ndarray], draw: np.ndarray, rules: list[Given]) -> list[np.ndarray]:
+    """What each view has been given: 1, 0 or -1 for nothing, by the rules in their order."""
+    taken = [np.full(len(draw), -1), np.full(len(draw), -1)]
+    for rule in rules:
+        mine, at = taken[1 - rule.giver], _bins(rule.view, x[rule.giver])
+        free = mine < 0
+        mine[free & (draw < rule.good[at])] = 1
+        mine[free & (draw >= 1 - rule.bad[at])] = 0
+    return taken
+
+
+def _total(pool: DataFrame, of: Callable[[tuple[np.ndarray, np.ndarray], np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of what ``of`` makes of one, added up in pieces before the driver gets it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, salt = 0.0, 0
+        for batch in batches:
+            if len(batch):
+                total, salt = total + of(_rows(batch), batch["draw"].to_numpy()), int(batch["draw"].iloc[0] * 1e6) % PIECES
+        if not np.isscalar(total):
+            yield pd.DataFrame({"salt": [salt], "sums": [total.tobytes()]})
+
+    def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"salt": [key[0]], "sums": [np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0).tobytes()]})
+
+    schema = "salt int, sums binary"
+    found = pool.mapInPandas(run, schema).groupBy("salt").applyInPandas(added, schema).collect()
+    return np.sum([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["salt"])], axis=0)
+
+
+def _quota(counts: np.ndarray, most: int) -> np.ndarray:
+    """The share to take of each bin, first bins first, until ``most`` rows are taken."""
+    before = np.cumsum(counts) - counts
+    return np.clip((most - before) / np.maximum(counts, 1), 0, 1) * (counts > 0)
+
+
+def _refitted(pool: DataFrame, rules: list[Given], own: tuple[np.ndarray, np.ndarray], y: np.ndarray, old: list[View]) -> tuple[list[View], int]:
+    """Both views fitted to labelled rows and all rows given to them, by Newton steps over sums; and how many were given."""
+    wide = [x.shape[1] for x in own]
+
+    def moments(x, draw):
+        taken = _taken(x, draw, rules)
+        return np.concatenate([np.concatenate([[(k >= 0).sum()], v[k >= 0].sum(0), (v[k >= 0] ** 2).sum(0)]) for v, k in zip(x, taken, strict=True)])
+
+    sums = np.split(_total(pool, moments), [1 + 2 * wide[0]])
+    views, given = [], 0
+    for m, x, v in zip(sums, own, old, strict=True):
+        n, given = m[0] + len(x), given + int(m[0])
+        mean = (m[1 : len(v.mean) + 1] + x.sum(0)) / n
+        scale = np.sqrt(np.maximum((m[len(v.mean) + 1 :] + (x**2).sum(0)) / n - mean**2, 0))
+        scale = np.where(scale > 1e-7, scale, 1.0)
+        slope = v.weights[:-1] / v.scale
+        views.append(View(mean, scale, np.append(slope * scale, v.weights[-1] + slope @ (mean - v.mean))))
+
+    def newton(x, y, v):
+        x = np.hstack([(x - v.mean) / v.scale, np.ones((len(x), 1))])
+        z = x @ v.weights
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return np.concatenate([[(np.logaddexp(0, z) - y * z).sum()], x.T @ (y - p), ((x * (p * (1 - p) + 1e-9)[:, None]).T @ x).ravel()])
+
+    d, sure = [w + 1 for w in wide], [(np.inf, v.weights, 0.0) for v in views]  # loss, weights and step of the best so far
+    for _ in range(40):
+        now = list(views)
+
+        def steps(x, draw, now=now):
+            taken = _taken(x, draw, rules)
+            return np.concatenate([newton(f[k >= 0], k[k >= 0], v) for f, k, v in zip(x, taken, now, strict=True)])
+
+        largest = 0.0
+        for k, part in enumerate(np.split(_total(pool, steps), [1 + d[0] + d[0] ** 2])):
+            part, w = part + newton(own[k], y, now[k]), now[k].weights
+            keep = np.append(np.ones(wide[k]), 1e-6)
+            loss, best, step = part[0] + keep @ w**2 / 2, *sure[k][1:]
+            if loss <= sure[k][0] * (1 + 1e-12) + 1e-9:
+                best, step = w, np.linalg.solve(part[1 + d[k] :].reshape(d[k], d[k]) + np.diag(keep), part[1 : 1 + d[k]] - keep * w)
+                sure[k] = loss, best, step
+            else:
+                # too far: half the step from the best so far
+                step = step / 2
+                sure[k] = sure[k][0], best, step
+            views[k] = View(now[k].mean, now[k].scale, best + step)
+            largest = max(largest, np.abs(step).max())
+        # a Newton step squares the error
+        if largest < 1e-4:
+            break
+    return views, given
 
-    A document labelled twice is good only if both labels say so.
+
+def co_train_all(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool: DataFrame, n: int, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> CoTrained:
+    """``co_train`` over a pool that stays in Spark: n rows of columns a0.., b0.., lang, source, draw.
+
+    Where a bin holds more rows than may still be given, ``draw``, fixed for each row, says which.
+    """
+    start = co_train(a, b, y, a[:0], b[:0])
+    if len(set(y)) < 2 or not n:
+        return start
+    own, views, rules, given = (a, b), [start.text, start.page], [], 0
+    edge = int(np.ceil((np.log(sure / (1 - sure)) + 20) * BINS / 40))
+    most = [max(1, int(share * n * p)) for p in (np.mean(y), 1 - np.mean(y))]
+    for _ in range(rounds):
+        now, held = list(views), list(rules)
+
+        def histogram(x, draw, now=now, held=held):
+            taken = _taken(x, draw, held)
+            return np.concatenate([np.bincount(_bins(now[k], x[k])[taken[1 - k] < 0], minlength=BINS) for k in (0, 1)]).astype(float)
+
+        fresh = 0.0
+        for giver, counts in enumerate(np.split(_total(pool, histogram), 2)):
+            good, bad = counts.copy(), counts.copy()
+            good[:edge], bad[BINS - edge :] = 0, 0
+            rule = Given(giver, now[giver], _quota(good[::-1], most[0])[::-1], _quota(bad, most[1]))
+            rules.append(rule)
+            fresh += (counts * (rule.good + rule.bad)).sum()
+        if not fresh:
+            break
+        views, given = _refitted(pool, rules, own, y, views)
+    for v, x in zip(views, own, strict=True):
+        v.calibration = tuple(logistic(v.raw(x)[:, None], y, decay=1e-3))
+    mix = logistic(np.column_stack([v.logit(x) for v, x in zip(views, own, strict=True)]), y, decay=1e-3)
+    return CoTrained(*views, mix, given)
+
+
+def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, **options) -> CoTrained:
+    """Learn from at most about ``limit`` labelled rows outside the held-out fold, and from all unlabelled rows.
+
+    A document labelled twice is good only if both labels say so. Labelled rows are sampled
+    row by row, so that a repeated doc_id brings no more of them.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = _sampled(known, known.count(), limit).filter(~held_out(F.col("doc_id")))
-    sides = docs.select("doc_id", F.array(*content(text_of())).alias("a"), F.array(*metadata(F.col("lang"), F.col("source"), F.col("n_chars"))).alias("b"))
-    labelled = sides.join(marked, "doc_id").select("a", "b", "quality").collect()
-    unlabelled = _sampled(docs, docs.count(), pool).select("doc_id", "text", "lang", "source", "n_chars").join(known.select("doc_id"), "doc_id", "left_anti")
-    others = unlabelled.select(F.array(*content(text_of())).alias("a"), F.array(*metadata(F.col("lang"), F.col("source"), F.col("n_chars"))).alias("b")).collect()
-    wide = len(labelled[0]["a"]) if labelled else 13, len(labelled[0]["b"]) if labelled else 3 + LANGS + SOURCES
-    take = lambda rows, k, w: np.array([r[k] for r in rows], dtype=float).reshape(-1, w)
-    y = np.array([float(r["quality"] > 0) for r in labelled])
-    return co_train(take(labelled, "a", wide[0]), take(labelled, "b", wide[1]), y, take(others, "a", wide[0]), take(others, "b", wide[1]), **options)
+    a, b = content(text_of()), metadata(F.col("lang"), F.col("source"), F.col("n_chars"))
+    bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(n)).cast("int").alias(c)
+    features = [*[c.alias(f"a{i}") for i, c in enumerate(a)], *[c.alias(f"b{i}") for i, c in enumerate(b[: -LANGS - SOURCES])], bucket("lang", LANGS), bucket("source", SOURCES)]
+    # drawn by row, not by text or id, and written, so that it stays
+    draw = (F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("quality")), F.lit(1_000_000_000)) / 1e9).alias("draw")
+    rows = written(docs.select("doc_id", draw, *features).join(small(written(known, "quality-labels")), "doc_id", "left"), "quality-features")
+    pool = rows.filter("quality is null").drop("doc_id", "quality")
+    marked = rows.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).drop("doc_id")
+    n = marked.count()
+    found = marked.filter(F.col("draw") < limit / max(n, limit)).toPandas()
+    y = (found["quality"].to_numpy() > 0).astype(float)
+    return co_train_all(*_rows(found), y, pool, pool.count(), **options)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

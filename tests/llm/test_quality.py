@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
 
 from quarry.llm import quality as q
 
@@ -37,3 +39,40 @@ def test_nulls_and_empty(spark):
     assert q.quality(docs, both).count() == 4
     assert q.quality(docs.filter("false"), labels).count() == 0
     assert q.good(docs, labels).columns == docs.columns
+
+
+def quality_rows(spark, n, repeated=0):
+    """n unlabelled rows, ids from 1000; ``repeated`` labelled rows of id 0; 200 labelled rows."""
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("A clean line of plain words, no "), F.col("id"), F.lit(".\nAnd a second one."))).otherwise(F.concat(F.lit("BUY!!! $$$ "), F.col("id"), F.lit(" ### WIN WIN")))
+    ids = spark.range(200).select("id", F.col("id").alias("doc_id")).union(spark.range(n).select("id", (F.col("id") + 1000).alias("doc_id"))).union(spark.range(repeated).select((F.col("id") * 2).alias("id"), F.lit(0).alias("doc_id")))
+    docs = ids.select("doc_id", text.alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("xx").alias("lang"), F.lit("s").alias("source"), (F.col("id") % 97).alias("n_chars"))
+    return docs, spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"))
+
+
+def test_all_unlabelled_rows_are_exchanged(spark):
+    model = q.fit(*quality_rows(spark, 60_000))
+    # at most a tenth of the rows a round for each view; of a pool of 20,000 it would be 16,000 in all
+    assert 30_000 < model.exchanged <= 48_000
+
+
+def test_repeated_labelled_id_is_sampled(spark, monkeypatch):
+    met = []
+    fitted = q.View.fitted
+    monkeypatch.setattr(q.View, "fitted", staticmethod(lambda x, y: met.append(len(x)) or fitted(x, y)))
+    q.fit(*quality_rows(spark, 100, repeated=30_000), limit=2_000)
+    assert 0 < max(met) < 2_600
+
+
+def test_sums_give_the_views_of_local_rows(spark):
+    r = np.random.default_rng(5)
+    pool = pd.DataFrame({f"a{i}": r.normal(0, 1, 900) for i in range(13)} | {f"b{i}": r.normal(0, 1, 900) for i in range(3)} | {"lang": r.integers(0, 4, 900), "source": r.integers(0, 9, 900), "draw": r.random(900)})
+    a, b = q._rows(pool)
+    y = (a[:, 0] + b[:, 0] + r.normal(0, 0.3, 900) > 0).astype(float)
+    x, views = (a[300:], b[300:]), [q.View.fitted(a[:300], y[:300]), q.View.fitted(b[:300], y[:300])]
+    rules = [q.Given(k, views[k], (np.arange(q.BINS) > q.BINS * 0.52) * 1.0, (np.arange(q.BINS) < q.BINS * 0.47) * 0.5) for k in (0, 1)]
+    got, given = q._refitted(spark.createDataFrame(pool[300:]), rules, (a[:300], b[:300]), y[:300], views)
+    taken = q._taken(x, pool["draw"].to_numpy()[300:], rules)
+    assert given == sum((k >= 0).sum() for k in taken) > 200
+    for v, own, f, k in zip(got, (a[:300], b[:300]), x, taken, strict=True):
+        want = q.View.fitted(np.vstack([own, f[k >= 0]]), np.concatenate([y[:300], k[k >= 0]]))
+        assert np.allclose(v.raw(f), want.raw(f), atol=1e-5)
