@@ -1,8 +1,8 @@
 """Secret scans with multipart credential linking.
 
 Each text is scanned once for the parts of a credential: identifiers, secrets and
-endpoints. Parts become small rows; a range window over their start positions joins every
-part with those of its scope. Strong forms (an assignment to a secret name, an access key,
+endpoints. Parts become small rows; windows over their start positions join every part
+with those of its scope, by the gap from the end of one part to the start of the next. Strong forms (an assignment to a secret name, an access key,
 a long hex run) always count. Weak forms (a bare identifier, an opaque token, an endpoint)
 count only where the parts that complete a credential lie within the scope.
 """
@@ -52,8 +52,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of secrets in whole texts, one row per span, and one with null kind where there is none.
 
     Returns row (tells repeated rows apart), doc_id, kind (index into KINDS), start, end
-    (code points, end exclusive), strong. ``scope`` is the largest distance of two starts
-    within which parts complete each other. Null and empty texts have no spans. A weak part
+    (code points, end exclusive), strong. ``scope`` is the largest gap between two parts,
+    from the end of one to the start of the other, within which they complete each other. Null and empty texts have no spans. A weak part
     that overlaps a strong one is left to the strong one. Other columns are not read.
     """
     kinds = [_parts(F.col("__text"), i, role, *rest) for i, (_, role, *rest) in enumerate(STRONG + WEAK)]
@@ -69,14 +69,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     strong = F.col("kind") < len(STRONG)
     by_start = Window.partitionBy("row").orderBy("start")
-    near = by_start.rangeBetween(-scope, scope)
     before, after = by_start.rangeBetween(Window.unboundedPreceding, 0), by_start.rangeBetween(0, Window.unboundedFollowing)
-    seen = {role: F.max(F.col("role") == role).over(near) for role in ("id", "secret", "endpoint")}
+    # a part that starts no later is near if its end is; of those that start no earlier, the first is the nearest
+    back = lambda role: F.max(F.when(F.col("role") == role, F.col("end"))).over(before) >= F.col("start") - scope
+    ahead = lambda role: F.min(F.when(F.col("role") == role, F.col("start"))).over(after) <= F.col("end") + scope
+    seen = {role: F.coalesce(back(role), F.lit(False)) | F.coalesce(ahead(role), F.lit(False)) for role in ("id", "secret", "endpoint")}
     covered = (F.max(F.when(strong, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"))
     completed = (
         F.when(F.col("role") == "secret", seen["id"] | seen["endpoint"])
         .when(F.col("role") == "id", seen["secret"])
-        .otherwise(seen["id"] & seen["secret"])
+        .when(F.col("role") == "endpoint", seen["id"] & seen["secret"])
     )
     rows = rows.withColumns({"strong": strong, "linked": completed & ~F.coalesce(covered, F.lit(False))})
     span = F.when(F.col("strong") | F.col("linked"), F.struct("start", "kind", "end", "strong"))

@@ -60,6 +60,34 @@ def test_weak_parts_count_only_together(spark):
     assert {r["doc_id"]: r["n_linked"] for r in secrets.secret_report(df).collect()} == {1: 3, 2: 0, 3: 0, 4: 0}
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    token, url = "Zx9kQ2mW7pL4vB8nT3rY" * 13, "https://db.example.org/" + "x" * 220
+    texts = [f"{token} user=bob", f"user=bob {token}", f"{url} {token}", f"{token} {'word ' * 39}user=bob", f"{token} {'word ' * 41}user=bob"]
+    got = {r["doc_id"]: r["n_linked"] for r in secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 2, 1: 2, 2: 1, 3: 2, 4: 0}
+
+
+def test_links_against_all_pairs(spark):
+    """Spans of a text with a scope, against the spans of one without bounds and the gaps of all their pairs."""
+    r = random.Random(8)
+    pieces = ["user=bob ", "Zx9kQ2mW7pL4vB8nT3rY ", "https://db.example.org/x ", "word " * 6, "Zx9kQ2mW7pL4vB8nT3rY" * 4 + " "]
+    tail = "word " * 9 + "user=bob Zx9kQ2mW7pL4vB8nT3rY"  # completes every part where the scope has no bound
+    df = spark.createDataFrame([(i, "".join(r.choice(pieces) for _ in range(r.randrange(2, 9))) + tail) for i in range(150)], "doc_id long, text string")
+    role = {"ident": "id", "opaque": "secret", "endpoint": "endpoint"}
+    cut = lambda rows: {x["doc_id"]: [(k, int(s), int(e)) for k, s, e in (y.split(":") for y in x["spans"].split(",") if y)] for x in rows.collect()}
+    every, got = cut(secrets.secret_report(df, scope=10**6)), cut(secrets.secret_report(df, scope=30))
+    linked = 0
+    for i, spans in every.items():
+        want = []
+        for k, s, e in spans:
+            near = {role[o] for o, s2, e2 in spans if max(s, s2) - min(e, e2) <= 30}
+            if {"secret": bool(near & {"id", "endpoint"}), "id": "secret" in near, "endpoint": {"id", "secret"} <= near}[role[k]]:
+                want.append((k, s, e))
+        assert got[i] == want
+        linked += len(want)
+    assert linked
+
+
 def test_secrets_edges(spark):
     df = spark.createDataFrame([(1, "token=abcdef", 1), (1, "token=abcdef", 1), (None, None, 2)], "doc_id long, text string, row long")
     assert sorted((str(r["doc_id"]), r["n_assign"]) for r in secrets.secret_report(df).collect()) == [("1", 1), ("1", 1), ("None", 0)]
