@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import small, text_of, written
@@ -56,7 +56,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _nodes_and_sketch(width: int):
-    """Rows (doc_id, n, node), and the task's token counts as rows (chunk, counts)."""
+    """Rows (doc_id, key, n, node), and the task's token counts as rows (chunk, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -64,11 +64,11 @@ def _nodes_and_sketch(width: int):
             for at, hashes, ends in shingle_sets(batch["text"], width):
                 met, often = np.unique(hashes >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 counts[met] += often.astype(np.int32)
-                ids = batch["doc_id"].iloc[at : at + len(ends)].to_numpy()
-                yield pd.DataFrame({"doc_id": ids, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "counts": None})
+                ids, keys = (batch[c].iloc[at : at + len(ends)].to_numpy() for c in ("doc_id", "key"))
+                yield pd.DataFrame({"doc_id": ids, "key": keys, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "counts": None})
         for chunk, part in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "n": None, "node": None, "chunk": chunk, "counts": [_packed(part)]})
+                yield pd.DataFrame({"doc_id": [None], "key": None, "n": None, "node": None, "chunk": chunk, "counts": [_packed(part)]})
 
     return run
 
@@ -179,19 +179,25 @@ def _links_in_block(t: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), text_of(text_col))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, keys: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row; rows link at a Jaccard of ``percent`` or more.
 
     component_id is the smallest doc_id that links reach. Null and empty texts have no
     shingles and link with nothing: they are their own component, as is a row of null
     doc_id, whose component_id is then that of other rows with its shingles, or null.
     Repeated rows repeat in the result. Rows of one doc_id and different texts are kept
-    apart. An empty table gives no rows. Other columns are not read.
+    apart. An empty table gives no rows. Other columns are not read. With ``keys`` also
+    key (of id and text), node (the set's digest) and component (null without shingles).
     """
     given = F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(text_col).alias("text"))
-    seen = rows.mapInPandas(_nodes_and_sketch(width), "doc_id long, n long, node long, chunk int, counts binary")
-    seen = written(seen.select(given, "n", "node", "chunk", "counts"), "shingled")
+    keyed = rows.withColumn("key", _key("doc_id", "text") if keys else F.lit(0).cast("long"))
+    seen = keyed.mapInPandas(_nodes_and_sketch(width), "doc_id long, key long, n long, node long, chunk int, counts binary")
+    seen = written(seen.select(given, "key", "n", "node", "chunk", "counts"), "shingled")
     levels = _levels(seen.filter("chunk is not null").select("chunk", "counts"))
 
     prefixed = rows.mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>, bits binary").select("node", given, "n", "keys", "bits")
@@ -262,22 +268,29 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = components(edges, "components")
     joined = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = written(joined.join(least, "component").select("node", "component_id"), "named")
+    named = written(joined.join(least, "component").select("node", "component_id", "component"), "named")
     result = seen.filter("chunk is null").join(named, "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return result.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *(["key", "node", "component"] if keys else []))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents with one of each group: the smallest doc_id; of its repeated rows one. All columns.
 
-    Rows of null doc_id and documents without shingles stay.
+    Texts of one doc_id are decided each by its own group. Of several in one group the one of
+    the smallest set digest stays. Rows of null doc_id stay, and of documents without
+    shingles all that differ in id or text.
     """
-    groups = similar_groups(docs, id_col, text_col, **options).filter("doc_id is not null")
-    kept = groups.groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
-    kept = written(kept.filter("stays"), "kept")
-    mine = F.col(id_col).cast("long") == F.col("__id")
-    # whole rows are shuffled for repeated ids only
-    once, often = kept.filter("n = 1").select("__id"), kept.filter("n > 1").select("__id")
+    groups = similar_groups(docs, id_col, text_col, keys=True, **options).filter("doc_id is not null and doc_id = component_id")
+    rows = groups.groupBy("doc_id", "key", "component", "node").agg(F.count("*").alias("n"))
+    one = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("node", "key", "doc_id", "n")).alias("one")).select("one.doc_id", "one.key", "one.n")
+    kept = one.unionByName(rows.filter("component is null").select("doc_id", "key", "n"))
+    kept = written(kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "n"), "kept")
+    mine = (F.col(id_col).cast("long") == F.col("__id")) & (_key(id_col, text_col) == F.col("__key"))
+    # whole rows are shuffled for repeated ids and texts only
+    once, often = kept.filter("n = 1").drop("n"), kept.filter("n > 1").drop("n")
     out = docs.join(small(once), mine, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
-    return out if often.isEmpty() else out.unionByName(docs.join(small(often), mine, "left_semi").dropDuplicates([id_col]))
+    if often.isEmpty():
+        return out
+    repeated = docs.join(small(often), mine, "left_semi").withColumn("__text", text_of(text_col))
+    return out.unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))

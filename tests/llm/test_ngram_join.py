@@ -93,3 +93,17 @@ def test_one_per_group_keeps_all_columns(spark):
     kept = ngram_join.one_per_group(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "component_id"]
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "4", "None"]
+
+
+def test_one_per_group_keeps_different_texts_of_one_id(spark):
+    copied, own, third = "a b c d e f g h i j k l", "nothing like it at all here", "some words that are still other ones"
+    rows = [(1, copied, "x"), (5, copied, "x"), (5, own, "x"), (5, third, "x"), (5, third, "y"), (5, "", "x"), (5, None, "x"), (5, "short one", "x"), (7, own, "x")]
+    for order in (rows, rows[::-1]):
+        kept = ngram_join.one_per_group(spark.createDataFrame(order, SCHEMA)).collect()
+        assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, copied), (5, ""), (5, own), (5, "short one"), (5, third)]
+
+
+def test_one_per_group_keeps_one_of_near_copies_of_one_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, words, "x"), (3, words + " more", "x"), (4, words, "x")]
+    assert [r["doc_id"] for r in ngram_join.one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()] == [3]
