@@ -1,7 +1,7 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their blocks; the page votes for its best
-container's path of tags and classes, generalised so that numbered classes agree. Votes are
+Each page's containers are scored by the text of their blocks; from the best one the page
+climbs to the article around it, or while that adds running text, and votes for the path of tags and classes, generalised so that numbered classes agree. Votes are
 counted per host, and every page is extracted again from its host's winning path. A page on
 which that path holds much less than the page's own best container keeps its own.
 """
@@ -35,6 +35,8 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 #: A page leaves its host's path if that holds less than this share of its own best text.
 OWN_BEST = 0.3
+#: A page climbs from its best container to one around it if at most this share of the added letters is in links.
+LINKED = 0.3
 
 
 class _Open:
@@ -61,10 +63,11 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return first, out
 
 
-def containers(page: str) -> list[tuple[str, float, list[str]]]:
-    """(path, score, blocks) of every container of a page, in page order; the page itself is the first."""
+def containers(page: str) -> list[tuple[str, float, list[str], int, int]]:
+    """(path, score, blocks, letters in links, number of the container around) of every container of a page, in page order; the page itself is the first."""
     root = _Open("", "", False, 0)
     stack, found, blocks = [root], [root], []  # blocks: (containers around, text, letters in links)
+    inside = [-1]
     held: list[str] = []
     linked, in_link = 0, 0
 
@@ -73,7 +76,7 @@ def containers(page: str) -> list[tuple[str, float, list[str]]]:
         text = " ".join("".join(held).split())
         if text:
             around = [x for x in stack if x.index >= 0]
-            blocks.append(([x.index for x in around], text))
+            blocks.append(([x.index for x in around], text, min(linked, len(text))))
             worth = len(text) * max(0.0, 1 - linked / len(text))
             for k, x in enumerate(reversed(around[-3:])):
                 x.score += worth / (k + 1)
@@ -131,27 +134,47 @@ def containers(page: str) -> list[tuple[str, float, list[str]]]:
         kept = tag in CONTAINERS and not out
         stack.append(_Open(tag, f"{stack[-1].path}/{tag}{name}" if tag in BLOCKS else stack[-1].path, out, len(found) if kept else -1))
         if kept:
+            inside.append(next(x.index for x in reversed(stack[:-1]) if x.index >= 0))
             found.append(stack[-1])
     if not skip:
         say(page[at:])
     flush()
     texts: list[list[str]] = [[] for _ in found]
-    for around, text in blocks:
+    links = [0] * len(found)
+    for around, text, in_links in blocks:
         for i in around:
             texts[i].append(text)
-    return [(x.path, x.score, t) for x, t in zip(found, texts, strict=True)]
-
-
-def best(found: list[tuple[str, float, list[str]]]) -> tuple[str, float, list[str]]:
-    """The container of the highest score; of equal ones the innermost, then the first."""
-    return max(found, key=lambda x: (x[1], x[0].count("/")))
+            links[i] += in_links
+    return [(x.path, x.score, t, n, i) for x, t, n, i in zip(found, texts, links, inside, strict=True)]
+
+
+def best(found: list[tuple[str, float, list[str], int, int]]) -> tuple[str, float, list[str], int, int]:
+    """From the container of the highest score (of equal ones the innermost, then the first) up: to the
+    nearest article or main, else as long as a container around adds text that is little linked."""
+    top = max(found, key=lambda x: (x[1], x[0].count("/")))
+    if not top[1]:
+        return top
+    at = top
+    while at[4] >= 0 or at[0]:
+        if re.search(r"/(?:article|main)(?:\.[^/]*)?$", at[0]):
+            return at
+        at = found[at[4]]
+    at = top
+    while at[4] >= 0:
+        at = found[at[4]]
+        added = sum(map(len, at[2])) - sum(map(len, top[2]))
+        if added:
+            if at[3] - top[3] > LINKED * added:
+                break
+            top = at
+    return top
 
 
 def main_text(page: str, path: str | None) -> str:
     found = containers(page)
     own = best(found)
     # only outermost elements of the path: a match inside another is part of it already
-    agreed = [t for p, _, ts in found if p == path for t in ts]
+    agreed = [t for p, _, ts, *_ in found if p == path for t in ts]
     if sum(map(len, agreed)) < OWN_BEST * sum(map(len, own[2])):
         agreed = own[2]
     return "\n".join(agreed)

@@ -23,6 +23,26 @@ def test_what_is_left_out(noise):
         assert html_text.main_text(page, None) == want
 
 
+LONG = "<p>" + "many words of the body " * 20 + "</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "holds"),
+    [
+        (f"<article><h1>Title</h1><p>lead</p><div class=body>{LONG}</div></article>", "Title lead many"),
+        (f"<main><h1>Title</h1><div class=a><div class=b>{LONG}</div></div><p>end</p></main>", "Title many end"),
+        (f"<body><h1>Title</h1><div class=one>{LONG}</div><div class=two><p>second</p>{LONG}</div></body>", "Title many second many"),
+        (f"<body><ul><li><a href=/>Home page</a><li><a href=/x>Other page</a></ul><div class=one>{LONG}</div></body>", "many"),
+        (f"<body><p>outside words</p><article>{LONG}</article></body>", "many"),
+    ],
+)
+def test_text_around_the_best_container(spark, page, holds):
+    text = html_text.main_text(page, None)
+    assert [line.split()[0] for line in text.split("\n")] == holds.split()
+    votes = spark.createDataFrame([(i, "http://a.org/x", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extracted(votes).collect()} == {text}
+
+
 def test_host_votes_decide(spark):
     """A page whose side box is longer than its article follows the host's path."""
     box = "<div class='box7'><p>" + "other words " * 14 + "</p></div>"
