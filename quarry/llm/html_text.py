@@ -1,15 +1,20 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of their blocks; from the best one the page
-climbs to the article around it, or while that adds running text, and votes for the path of tags and classes, generalised so that numbered classes agree. Votes are
-counted per host, and every page is extracted again from its host's winning path. A page on
-which that path holds much less than the page's own best container keeps its own.
+climbs to the article around it, or while that adds running text, and votes for the path of
+tags and classes, generalised so that numbered classes agree. Votes are counted per host, and
+every page is extracted again from its host's winning path. A page on which that path holds
+much less than the page's own best container keeps its own.
+
+An element is left out by its tag or by a word of its class, id or role; one that holds running
+text only if all words of a class, id or role say so. The header of an article keeps its headings.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,161 +34,216 @@ OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert aside banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disclaimer disqus footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promotion recommended related replies responses search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute's value is quoted only after "=". No part gives back what it took, so a page is read once.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?>[^=>]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+)>?|<!--(?:-?>|.*?(?:-->|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+>?", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>]*+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 #: A page leaves its host's path if that holds less than this share of its own best text.
 OWN_BEST = 0.3
 #: A page climbs from its best container to one around it if at most this share of the added letters is in links.
 LINKED = 0.3
+#: Tags that hold running text: left out only where every word of a class, id or role says so.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th b i em strong span a q cite mark small sub sup code time abbr u s".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Why an element is out: not at all, itself or one around it, or the header of an article, whose headings stay.
+IN, OUT, HEAD = 0, 1, 2
 
 
 class _Open:
-    __slots__ = ("tag", "path", "out", "score", "index")
+    """An element: number, number and digest of the path around it, name, and the container it is in."""
+
+    __slots__ = ("tag", "name", "around", "digest", "depth", "out", "score", "inner", "begin", "end")
+
+    def __init__(self, tag: str, name: str, around: _Open | None, out: int, begin: int):
+        self.tag, self.name, self.around, self.out, self.score, self.begin, self.end = tag, name, around, out, 0, begin, -1
+        said = f"/{name}".encode("utf-8", "surrogatepass") if name else b""
+        digest = around.digest if around else (0, 1)
+        self.digest = (zlib.crc32(said, digest[0]), zlib.adler32(said, digest[1]))
+        self.depth = (around.depth if around else 0) + bool(name)
+        self.inner = around.inner if around else None
 
-    def __init__(self, tag: str, path: str, out: bool, index: int):
-        self.tag, self.path, self.out, self.score, self.index = tag, path, out, 0.0, index
+    def path(self) -> str:
+        names, at = [], self
+        while at is not None:
+            if at.name:
+                names.append(at.name)
+            at = at.around
+        return "".join(f"/{n}" for n in reversed(names))
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
+def _digest(path: str) -> tuple[int, int]:
+    raw = path.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw), zlib.adler32(raw, 1)
+
+
+def _attributes(tag: str, raw: str) -> tuple[str, bool]:
     """The generalised first class, and whether class, id, role or style say that it is not article text."""
     first, out = "", False
-    for m in ATTRIBUTE.finditer(raw):
+    for m in ATTRIBUTE.finditer(raw) if raw else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ("class", "id", "role", "hidden", "style"):
+            continue
         if name == "hidden":
             out = True
         elif name == "style":
             out = out or bool(HIDDEN.search(value))
         else:
-            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            out = out or not OUT_WORDS.isdisjoint(words)
+            for said in value.split():
+                words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", said).lower()) if w]
+                named = [w in OUT_WORDS for w in words]
+                out = out or bool(named) and (all(named) if tag in TEXTS else any(named))
             if name == "class" and value.split():
-                first = "." + re.sub(r"[0-9]+", "#", value.split()[0])
+                first = "." + re.sub(r"[0-9]+", "#", value.split()[0]).replace("/", "_")
     return first, out
 
 
-def containers(page: str) -> list[tuple[str, float, list[str], int, int]]:
-    """(path, score, blocks, letters in links, number of the container around) of every container of a page, in page order; the page itself is the first."""
-    root = _Open("", "", False, 0)
-    stack, found, blocks = [root], [root], []  # blocks: (containers around, text, letters in links)
-    inside = [-1]
-    held: list[str] = []
-    linked, in_link = 0, 0
+class Page:
+    """A page's containers, and its blocks in page order. A container holds blocks begin to end; the page itself is the first."""
 
-    def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(held).split())
+    def __init__(self, page: str):
+        root = _Open("", "", None, IN, 0)
+        root.inner = root
+        self.stack, self.found, self.blocks = [root], [root], []
+        self.sizes, self.links = [0], [0]  # letters, and letters in links, of the blocks before each
+        self._held, self._linked, self._in_link = [], 0, 0
+        self._opened: dict[str, int] = {}
+        self._read(page)
+        self._flush()
+        while self.stack:
+            self._close()
+
+    def _flush(self) -> None:
+        text = " ".join("".join(self._held).split())
         if text:
-            around = [x for x in stack if x.index >= 0]
-            blocks.append(([x.index for x in around], text, min(linked, len(text))))
-            worth = len(text) * max(0.0, 1 - linked / len(text))
-            for k, x in enumerate(reversed(around[-3:])):
-                x.score += worth / (k + 1)
-        held.clear()
-        linked = 0
-
-    def say(raw: str) -> None:
-        nonlocal linked
-        if raw and not stack[-1].out:
+            linked = min(self._linked, len(text))
+            self.blocks.append(text)
+            self.sizes.append(self.sizes[-1] + len(text))
+            self.links.append(self.links[-1] + linked)
+            at = self.stack[-1].inner
+            for share in (6, 3, 2):
+                if at is not None:
+                    at.score += (len(text) - linked) * share
+                    at = at.around.inner if at.around else None
+        self._held.clear()
+        self._linked = 0
+
+    def _say(self, raw: str) -> None:
+        if raw and self.stack[-1].out == IN:
             raw = html.unescape(raw)
-            held.append(raw)
-            if in_link:
-                linked += len(raw)
-
-    at, skip = 0, ""
-    for m in TOKEN.finditer(page):
-        tag = (m[2] or "").lower()
-        if skip:
-            if not (m[1] and tag == skip):
+            self._held.append(raw)
+            if self._in_link:
+                self._linked += len(raw)
+
+    def _close(self) -> None:
+        at = self.stack.pop()
+        at.end = len(self.blocks)
+        self._opened[at.tag] = self._opened.get(at.tag, 1) - 1
+
+    def _read(self, page: str) -> None:
+        at = 0
+        while m := TAG.search(page, at):
+            self._say(page[at : m.start()])
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
                 continue
-            skip, at = "", m.end()
-            continue
-        say(page[at : m.start()])
-        at = m.end()
-        if not tag:
-            continue
-        if m[1]:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
-            if tag in BLOCKS:
-                flush()
-            if any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-            continue
-        if tag in RAW:
-            # a raw element's text is not markup: find its end by text
-            end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
-            skip = tag if end else ""
-            if end is None:
-                at = len(page)
-                break
-            continue
+            if m[1]:
+                if tag == "a":
+                    self._in_link = max(0, self._in_link - 1)
+                if tag in BLOCKS:
+                    self._flush()
+                if self._opened.get(tag):
+                    while self.stack[-1].tag != tag:
+                        self._close()
+                    self._close()
+            elif tag in RAW:
+                # a raw element's text is not markup: its end is found by text
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                self._start(tag, m[3])
+        self._say(page[at:])
+
+    def _start(self, tag: str, raw: str) -> None:
+        stack = self.stack
         if tag in BLOCKS:
-            flush()
+            self._flush()
             while len(stack) > 1 and (stack[-1].tag not in BLOCKS or stack[-1].tag == "p" or stack[-1].tag == tag == "li"):
-                stack.pop()
+                self._close()
         if tag == "br":
-            held.append(" ")
-        if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCKS:
-            continue
-        in_link += tag == "a"
-        name, out = _attributes(m[3])
-        out = out and tag not in ("html", "body", "article", "main") or tag in OUT_TAGS or stack[-1].out
-        kept = tag in CONTAINERS and not out
-        stack.append(_Open(tag, f"{stack[-1].path}/{tag}{name}" if tag in BLOCKS else stack[-1].path, out, len(found) if kept else -1))
-        if kept:
-            inside.append(next(x.index for x in reversed(stack[:-1]) if x.index >= 0))
-            found.append(stack[-1])
-    if not skip:
-        say(page[at:])
-    flush()
-    texts: list[list[str]] = [[] for _ in found]
-    links = [0] * len(found)
-    for around, text, in_links in blocks:
-        for i in around:
-            texts[i].append(text)
-            links[i] += in_links
-    return [(x.path, x.score, t, n, i) for x, t, n, i in zip(found, texts, links, inside, strict=True)]
-
-
-def best(found: list[tuple[str, float, list[str], int, int]]) -> tuple[str, float, list[str], int, int]:
-    """From the container of the highest score (of equal ones the innermost, then the first) up: to the
-    nearest article or main, else as long as a container around adds text that is little linked."""
-    top = max(found, key=lambda x: (x[1], x[0].count("/")))
-    if not top[1]:
+            self._held.append(" ")
+        if tag in VOID or raw.rstrip().endswith("/") and tag not in BLOCKS:
+            return
+        self._in_link += tag == "a"
+        name, said = _attributes(tag, raw)
+        around = stack[-1]
+        if around.out == HEAD and tag in HEADINGS and not said:
+            out = IN
+        elif around.out:
+            out = OUT if said or tag in OUT_TAGS else around.out
+        elif tag == "header" and self._opened.get("article") and not said:
+            out = HEAD
+        else:
+            out = OUT if tag in OUT_TAGS or said and tag not in ("html", "body", "article", "main") else IN
+        opened = _Open(tag, f"{tag}{name}" if tag in BLOCKS else "", around, out, len(self.blocks))
+        if tag in CONTAINERS and out == IN:
+            opened.inner = opened
+            self.found.append(opened)
+        stack.append(opened)
+        self._opened[tag] = self._opened.get(tag, 0) + 1
+
+    def size(self, x: _Open) -> int:
+        return self.sizes[x.end] - self.sizes[x.begin]
+
+    def linked(self, x: _Open) -> int:
+        return self.links[x.end] - self.links[x.begin]
+
+    def best(self) -> _Open:
+        """From the container of the highest score (of equal ones the innermost, then the first) up: to the
+        nearest article or main, else as long as a container around adds text that is little linked."""
+        top = max(self.found, key=lambda x: (x.score, x.depth))
+        if not top.score:
+            return top
+        at = top
+        while at is not None:
+            if at.tag in ("article", "main"):
+                return at
+            at = at.around
+        at = top
+        while at.around is not None:
+            at = at.around.inner
+            added = self.size(at) - self.size(top)
+            if added:
+                if self.linked(at) - self.linked(top) > LINKED * added:
+                    break
+                top = at
         return top
-    at = top
-    while at[4] >= 0 or at[0]:
-        if re.search(r"/(?:article|main)(?:\.[^/]*)?$", at[0]):
-            return at
-        at = found[at[4]]
-    at = top
-    while at[4] >= 0:
-        at = found[at[4]]
-        added = sum(map(len, at[2])) - sum(map(len, top[2]))
-        if added:
-            if at[3] - top[3] > LINKED * added:
-                break
-            top = at
-    return top
+
+    def text(self, path: str | None) -> str:
+        """The blocks of the path's outermost containers, or of the page's best where those hold much less."""
+        own = self.best()
+        digest = _digest(path) if path is not None else None
+        agreed, size, done = [], 0, 0
+        for x in self.found:
+            # a match inside another is part of it already
+            if x.digest == digest and x.begin >= done and x.end > x.begin:
+                agreed += self.blocks[x.begin : x.end]
+                size, done = size + self.size(x), x.end
+        return "\n".join(self.blocks[own.begin : own.end] if size < OWN_BEST * self.size(own) else agreed)
+
+
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*+>?", re.I) for tag in RAW}
 
 
 def main_text(page: str, path: str | None) -> str:
-    found = containers(page)
-    own = best(found)
-    # only outermost elements of the path: a match inside another is part of it already
-    agreed = [t for p, _, ts, *_ in found if p == path for t in ts]
-    if sum(map(len, agreed)) < OWN_BEST * sum(map(len, own[2])):
-        agreed = own[2]
-    return "\n".join(agreed)
+    return Page(page).text(path)
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        tops = [best(containers(page)) for page in batch["html"]]
-        yield pd.DataFrame({"host": batch["host"], "path": [t[0] for t in tops], "score": [float(t[1]) for t in tops]})
+        tops = [(top.path(), top.score) for top in (Page(page).best() for page in batch["html"])]
+        yield pd.DataFrame({"host": batch["host"], "path": [t[0] for t in tops], "score": [t[1] for t in tops]})
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +258,8 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Character references are decoded, white space inside a block is one space, blocks are
     joined by a line break. Null and empty pages have an empty text; pages of a null url
     or one without host share one host. Repeated rows repeat; an empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. Of paths with equal votes the one of the higher score wins,
+    then the later in the alphabet. A page of any length or depth is read once.
     """
     rows = pages.select(
         F.col(id_col).cast("string").alias("page_id"),
@@ -206,7 +267,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1)).alias("host"),
     )
-    votes = rows.select("host", "html").mapInPandas(_votes, "host string, path string, score double").filter("score > 0")
-    counted = votes.groupBy("host", "path").agg(F.struct(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("score")).alias("won"))
+    votes = rows.select("host", "html").mapInPandas(_votes, "host string, path string, score long").filter("score > 0")
+    counted = votes.groupBy("host", "path").agg(F.struct(F.count("*").alias("n"), F.sum("score").alias("score")).alias("won"))
     winners = written(counted.groupBy("host").agg(F.max(F.struct("won", "path")).alias("top")).select("host", F.col("top.path").alias("path")), "host-paths")
     return rows.join(small(winners), "host", "left").select("page_id", "url", "html", "path").mapInPandas(_texts, "page_id string, url string, text string")

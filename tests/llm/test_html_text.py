@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from tests.llm.bs_free import plain
@@ -60,3 +61,35 @@ def test_driver_rows(spark, data):
     df = spark.read.parquet(f"{data}/pages.parquet")
     want = {r["page_id"]: plain(r["html"]) for r in df.collect()}
     assert {int(r["page_id"]): r["text"] for r in html_text.extracted(df).collect()} == want
+
+
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        ("<article><p>one</p><p it's>two</p><p>three isn't lost</p></article>", ["one", "two", "three isn't lost"]),
+        (f"<article><p class=search-note>a note</p><p class=ad>Buy</p>{LONG}</article>", ["a note", None]),
+        (f"<body><header><h1>Site</h1></header><article><header><nav>Menu</nav><h1>Title</h1>By line</header>{LONG}</article></body>", ["Title", None]),
+        (f"<article><script>if (a<b && c='x') d('</p>')</script>{LONG}</article>", [None]),
+        (f"<article><p title='class=ad'>kept</p>{LONG}<p title=\"a > b\">also</p></article>", ["kept", None, "also"]),
+        (f"<article>{LONG}<p>3 < 4 and </ 5></p></article>", [None, "3 < 4 and"]),
+    ],
+)
+def test_odd_markup(page, lines):
+    got = html_text.main_text(page, None).split("\n")
+    assert len(got) == len(lines) and all(w is None or w == g for w, g in zip(lines, got, strict=True))
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<p", "<div></p>", "<a =\"", "<!--", "<script>", "</", "<div class='x", "<b><p>x", "&#", "<td>x"])
+def test_long_pages_take_linear_time(piece):
+    """A million characters of any of these, with a stray quotation mark, are read in seconds."""
+    began = time.perf_counter()
+    html_text.main_text(piece * (1_000_000 // len(piece)) + '"' + BODY, None)
+    assert time.perf_counter() - began < 20
+
+
+def test_ties_and_repeated_rows(spark):
+    """Two paths with equal votes: one wins for all pages of the host, whatever the order of rows."""
+    page = lambda name, other: f"<body><div class='{name}'>{BODY}</div><div class='{other}'><ul><li><a href=/>x</a></ul></div></body>"
+    rows = [(1, "http://a.org/x", page("one", "two")), (2, "http://a.org/y", page("two", "one")), (2, "http://a.org/y", page("two", "one"))]
+    got = [sorted(map(tuple, html_text.extracted(spark.createDataFrame(r, "page_id long, url string, html string")).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and len(got[0]) == 3 and all(t.startswith("First long") for _, _, t in got[0])
