@@ -75,7 +75,9 @@ def _from_digits(text: str, runs: list[int], pattern: re.Pattern, valid) -> list
 
 
 def _is_ip(s: str) -> bool:
-    return all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in s.split("."))
+    # parts may be of any length: what is left without leading noughts is short, or too large
+    parts = [x.lstrip("0") or "0" for x in s.split(".")]
+    return all(len(x) <= 3 and int(x) <= 255 for x in parts)
 
 
 def _is_card(s: str) -> bool:
@@ -161,7 +163,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id (as text), counts by kind, base_sha256 and spans (kind:start:end, by kind and start).
 
     Offsets are code points of the whole text, end exclusive. Null and empty texts have no
-    spans. Repeated rows repeat; an empty table gives no rows; other columns are not read.
+    spans; texts of any length are read whole, in time that grows with their length. Repeated
+    rows repeat; an empty table gives no rows; other columns are not read.
     """
     counts = ", ".join(f"n_{k} long" for k in BASE + ADDED)
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
@@ -169,14 +172,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every span of text_col replaced by its kind in brackets; null stays null."""
+    """The rows with every span of text_col replaced by its kind in brackets; null stays null. All columns, repeated rows repeat."""
 
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = _automaton()
         for texts in batches:
             yield texts.map(lambda t: t if t is None else masked(t, find(t, automaton)))
 
-    return docs.withColumn(text_col, F.pandas_udf(mask, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text_col)))
+    return docs.withColumn(text_col, F.pandas_udf(mask, "string")(F.col(text_col)))
 
 
 def masked(text: str, found: dict[str, list[tuple[int, int]]]) -> str:

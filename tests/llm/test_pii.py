@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from quarry.llm import pii
 
@@ -11,7 +12,7 @@ def brute(text):
     text = text or ""
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(x) <= 255 for x in m[0].split(".")):
+        if all(re.fullmatch(r"0*([0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])", x) for x in m[0].split(".")):
             out.append(("ip", *m.span()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in m[0] if c.isdigit()]
@@ -50,3 +51,18 @@ def test_added_kinds_and_redaction(spark):
     texts = {r["doc_id"]: r["text"] for r in pii.redacted(df).collect()}
     assert texts == {1: "Account no: [account], see [url]. Bye", 2: None, 3: "mail [email] now"}
     assert pii.personal_data(df.filter("false")).count() == 0
+
+
+def test_long_texts_take_linear_time(spark):
+    """Digits, signs and cues by the hundred thousand; an address part of any length."""
+    check(spark, ["0" * 5000 + ".1.1.1", "1.1.1." + "0" * 5000 + "7", "9" * 5000 + ".1.1.1"])
+    pieces = ["1", "1.", "1 ", "+1(", "+", "@", "a@b", "a.b@", "x@y.z", "account ", "http://", "http://.", "é@", "1-", "4111 1111 1111 1111 "]
+    began = time.perf_counter()
+    for p in pieces:
+        pii.find(p * (300_000 // len(p)), pii._automaton())
+    assert time.perf_counter() - began < 60
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(7, "a@b.org", "x"), (7, "a@b.org", "x"), (None, "a@b.org", "y")], SCHEMA)
+    assert sorted((str(r["doc_id"]), r["spans"]) for r in pii.personal_data(df).collect()) == [("7", "email:0:7"), ("7", "email:0:7"), ("None", "email:0:7")]
