@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from pathlib import Path
 
 import duckdb
@@ -88,6 +89,21 @@ def test_links_against_all_pairs(spark):
     assert linked
 
 
+def test_links_name_their_parts(spark):
+    token = "Zx9kQ2mW7pL4vB8nT3rY"
+    texts = [f"login: alice1 then {token} at https://db.example.org/x", f"user=bob1 {token} user=bob2", f"{token} user=bob2", "password=hunter22 https://h.org/a", "password=hunter22", f"user=bob1 {'word ' * 50}{token}"]
+    got = {r["doc_id"]: r["links"] for r in secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "opaque:19:39+ident:0:13+endpoint:43:67", 1: "opaque:10:30+ident:0:9", 2: "opaque:0:20+ident:21:30", 3: "assign:0:17+endpoint:18:33", 4: "", 5: ""}
+
+
+def test_secrets_in_long_texts(spark):
+    """A few hundred thousand characters of anything a pattern might try again and again."""
+    pieces = ["a-", "aA1", "AKIA", "password ", "password=", "user=", "0123456789abcdef", "https://", "jdbc:", "token'", "\n", "é", "Zx9kQ2mW7pL4vB8nT3rY ", "password=hunter22 user=bob "]
+    began = time.perf_counter()
+    secrets_match(spark, [p * (200_000 // len(p)) for p in pieces])
+    assert time.perf_counter() - began < 120
+
+
 def test_secrets_edges(spark):
     df = spark.createDataFrame([(1, "token=abcdef", 1), (1, "token=abcdef", 1), (None, None, 2)], "doc_id long, text string, row long")
     assert sorted((str(r["doc_id"]), r["n_assign"]) for r in secrets.secret_report(df).collect()) == [("1", 1), ("1", 1), ("None", 0)]
