@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import decontam, exact_dedup, queries, secrets
 
@@ -153,8 +154,39 @@ def test_digest_index_across_batches(spark):
     two = spark.createDataFrame([(0, "a\tb", "x", "x"), (9, "new", "x", "x"), (9, "new", "x", "x"), (None, "new", "x", "x")], schema)
     from quarry.llm.common import work_path
 
-    index = exact_dedup.DigestIndex(spark, "digest_test", work_path(spark, "digest_test"), 4)
-    take = lambda df: sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in index.dedup(df).collect()))
-    assert take(one) == [("1", 1, 2, True), ("2", 2, 2, True), ("3", 1, 2, False), ("4", 2, 2, False)]
-    assert take(two) == [("0", 1, 1, False), ("9", 9, 3, False), ("9", 9, 3, True), ("None", 9, 3, False)]
+    path = work_path(spark, "digest_test")
+    index = exact_dedup.DigestIndex(spark, "digest_test", 4, path)
+    take = lambda df, index=index: sorted(((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"]) for r in index.dedup(df).collect()))
+    first = [("1", 1, 2, True), ("2", 2, 2, True), ("3", 1, 2, False), ("4", 2, 2, False)]
+    second = [("0", 1, 1, False), ("9", 9, 3, False), ("9", 9, 3, True), ("None", 9, 3, False)]
+    assert take(one) == first
+    assert take(two) == second
+    # each again, in any order of rows: nothing is lost and the index does not grow
+    assert take(one) == first and take(two.orderBy(F.desc("doc_id"))) == second and take(one) == first
     assert take(one.filter("false")) == []
+    assert spark.table("digest_test").count() == spark.table("digest_test").select("text_sha256").distinct().count() == 3
+    # a later session finds the table by its path
+    spark.sql("DROP TABLE digest_test")
+    again = exact_dedup.DigestIndex(spark, "digest_test", 4, path)
+    assert take(two, again) == second
+    again.drop()
+
+
+def test_dedup_in_batches_is_that_of_one(spark):
+    """Any number of batches by ranges of ids, against plain Python; a hot text and a hot id among them."""
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 1, *range(2, 60)]), r.choice(["a", "a", "a", " a", "b\tc", "b  c", "", None, *map(str, range(40))])) for _ in range(400)]
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups: dict = {}
+    for d, t in rows:
+        groups.setdefault(norm(t), []).append((d is None, d or 0))
+    want = sorted((str(d), None if min(groups[norm(t)])[0] else min(groups[norm(t)])[1], len(groups[norm(t)])) for d, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables = len(spark.catalog.listTables())
+    for n in (1, 2, 5):
+        got = exact_dedup.deduplicated(df, batches=n).collect()
+        assert sorted((str(x["doc_id"]), x["keep_id"], x["group_size"]) for x in got) == want
+        kept = [x for x in got if x["kept"]]
+        assert len(kept) == len(groups) and all(x["doc_id"] == x["keep_id"] for x in kept)
+    assert len(spark.catalog.listTables()) == tables
+    assert exact_dedup.deduplicated(df.filter("false")).count() == 0
