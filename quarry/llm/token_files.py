@@ -4,10 +4,10 @@ A segment holds whole documents in order: doc ids, token counts, the ids themsel
 cut into blocks; each block starts with a reset model, has its own checksum and can be decoded
 alone (with the segment's header). Three predictions are mixed for each id: order 2 and order 1
 (the id last seen after the last two ids, the last id, in the block) and order 0 (the id's
-share of the segment, kept in the header). Two adaptive probabilities for each pair of
-confidences, one by order and one joint, are mixed by a weight that follows the better one;
-the mixed probabilities drive a carry-less range coder of 64 bits that emits words of 32.
-Everything is integer arithmetic, so any machine decodes what another wrote.
+share within the frequent or the rare half of the segment's ids, from the counts in the header,
+and an adaptive share of the halves). Their weights are adaptive, one set for each pair of
+surenesses of the two guesses; the mixed shares drive a carry-less range coder of 64 bits that
+emits words of 32. Everything is integer arithmetic, so any machine decodes what another wrote.
 
 Blocks of a segment are coded side by side, one array element each: that is what makes
 adaptive coding in numpy affordable. Segments travel as a binary column, so any store that
@@ -16,6 +16,7 @@ Spark writes can hold them.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -32,19 +33,31 @@ from tokenizers import Tokenizer
 
 from quarry.llm.common import partitions, small, text_of, written
 
-MAGIC = b"QTS1"
+MAGIC = b"QTS2"
 #: Ids in a block, and about how many in a segment. A document is never cut between segments.
-BLOCK, SEGMENT = 1024, 1 << 21
-#: Texts tokenized at once, and pre-tokens whose ids are remembered.
-TEXTS, REMEMBERED = 512, 500_000
-CONTEXTS = 256
-#: Texts of these characters are cut here just as by the tokenizer; others are left to it whole.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026]*")
-#: The pattern of byte-level pre-tokens, with the letters and numbers among those characters spelt out.
+BLOCK, SEGMENT = 1024, 1 << 22
+#: Characters tokenized at once (a longer text alone), and pre-tokens whose ids are remembered.
+CHARS, REMEMBERED = 200_000, 500_000
+CONTEXTS = 512
+#: The letters and numbers among the characters whose pre-tokens are cut here; texts with others are left to the library whole.
 LETTERS, NUMBERS = "A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
-PRE_TOKEN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{LETTERS}{NUMBERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]")
-WORD_ALONE = re.compile(f" ?[{LETTERS}]+")
-EVENT_BITS, ID_BITS = 12, 18
+PLAIN = "\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026"
+#: The pattern of byte-level pre-tokens that ``_starts`` follows, and what it cuts from an apostrophe on.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SHORT, LONG = "stmd", ("re", "ve", "ll")
+#: Classes of characters: rare ones, letters, numbers, others, the space, other white space.
+RARE, LETTER, NUMBER, OTHER, BLANK, WHITE = range(6)
+CLASSES = np.full(0x2028, RARE, np.uint8)
+for _c in range(len(CLASSES) - 1):
+    if re.match(f"[{PLAIN}]", chr(_c)):
+        CLASSES[_c] = LETTER if re.match(f"[{LETTERS}]", chr(_c)) else NUMBER if re.match(f"[{NUMBERS}]", chr(_c)) else BLANK if _c == 32 else WHITE if _c < 32 else OTHER
+#: How a byte-level model spells bytes (as Latin-1 letters): visible ones as they are, the others, in order, from 256 on. The line break stays.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN) if b != 10}
+SLOT_BITS = 20
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
+EVENT_BITS, ID_BITS = 15, 18
 WORD, HALF = np.uint64(1 << 32), np.uint64(32)
 SEGMENT_SCHEMA = "part int, at long, n_tokens long, data binary"
 
@@ -53,60 +66,128 @@ def order0(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to a total of 2**ID_BITS; what occurs has 1 at least."""
     total = 1 << ID_BITS
     seen = np.flatnonzero(counts)
-    spare = total - len(seen)
-    share = counts[seen].astype(np.int64) * spare // max(1, int(counts[seen].sum()))
-    share += 1
-    share[np.argmax(share)] += total - int(share.sum())
     out = np.zeros(len(counts), np.int64)
-    out[seen] = share
+    if len(seen):
+        spare = total - len(seen)
+        share = counts[seen].astype(np.int64) * spare // max(1, int(counts[seen].sum()))
+        share += 1
+        share[np.argmax(share)] += total - int(share.sum())
+        out[seen] = share
     return out
 
 
+def frequent(counts: np.ndarray) -> np.ndarray:
+    """1 for ids of the rarer half of the mass, 0 for the others; ties by id."""
+    order = np.argsort(-counts, kind="stable")
+    before = np.cumsum(counts[order]) - counts[order]
+    rare = np.zeros(len(counts), np.int32)
+    rare[order[2 * before >= counts.sum()]] = 1
+    return rare
+
+
 class _Model:
-    """State of all blocks: what each context saw last and how sure it is (id * 4 + sureness), and the mixed probabilities."""
+    """State of all blocks, side by side.
+
+    Order 2 and order 1: what each context saw last and how sure it is (id * 4 + sureness).
+    Order 0: how often an id is of the frequent half, after the halves of the last two.
+    The weights of the three are learned for each pair of surenesses.
+    """
 
     def __init__(self, blocks: int):
-        self.lane = np.arange(blocks, dtype=np.int32)
+        # indices are of the size numpy takes them in
+        self.lane = np.arange(blocks)
+        self.base = self.lane * CONTEXTS
         self.seen = [np.full(blocks * CONTEXTS, -4, np.int32) for _ in range(2)]
-        self.last = np.zeros(blocks, np.int32)
-        self.before = np.zeros(blocks, np.int32)
-        # by order: 4 confidences; joint: 4 x 4
-        self.alone = [np.full(blocks * 4, 1 << 10, np.int32) for _ in range(2)]
-        self.joint = [np.full(blocks * 16, 1 << 10, np.int32) for _ in range(2)]
-        self.weight = [np.full(blocks, 128, np.int32) for _ in range(2)]
-
-    def predict(self, n: int) -> None:
-        """For the first n blocks: the two guesses, and shares (of 2**EVENT_BITS) of either being right."""
-        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
-        base = lane * CONTEXTS
-        self.at = [base + ((last * 10007 + before * 30011 >> 3) & (CONTEXTS - 1)), base + (last * 25173 >> 2 & (CONTEXTS - 1))]
-        held = [s.take(a) for s, a in zip(self.seen, self.at, strict=True)]
-        self.guess = [h >> 2 for h in held]
-        self.sure = [h & 3 for h in held]
-        self.of_alone = [lane * 4 + s for s in self.sure]
-        self.of_joint = lane * 16 + self.sure[0] * 4 + self.sure[1]
-        self.p_alone = [p.take(i) for p, i in zip(self.alone, self.of_alone, strict=True)]
-        self.p_joint = [p.take(self.of_joint) for p in self.joint]
-        mixed = [a + (w[:n] * (j - a) >> 8) for w, j, a in zip(self.weight, self.p_joint, self.p_alone, strict=True)]
-        whole = 1 << EVENT_BITS
-        first = np.minimum(np.maximum(mixed[0], 16), whole - 64)
-        second = np.maximum((whole - first) * mixed[1] >> EVENT_BITS, 8)
-        self.shares = first, np.minimum(second, whole - first - 16)
-
-    def update(self, ids: np.ndarray, event: np.ndarray) -> None:
+        self.last, self.before, self.halves = (np.zeros(blocks, np.int64) for _ in range(3))
+        # shares of the order-2 guess, and of the order-1 guess among the rest; of the frequent half
+        self.first, self.second = (np.full(blocks * 16, share, np.int32) for share in (1 << 12, 1 << 11))
+        self.half = np.full(blocks * 4, 1 << 14, np.int32)
+        self.bounds = np.zeros((5, blocks), np.int32)
+        self.bounds[4] = 1 << EVENT_BITS
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """For the first n blocks both guesses; ``bounds`` says where each event begins, of 2**EVENT_BITS.
+
+        Events: the order-2 guess, the order-1 guess, another id of the frequent half, one of the rare half.
+        """
+        last, base, lane = self.last[:n], self.base[:n], self.lane[:n]
+        mixed = last * 10007
+        mixed += self.before[:n] * 30011
+        mixed >>= 3
+        mixed &= CONTEXTS - 1
+        mixed += base
+        alone = last * 25173
+        alone >>= 2
+        alone &= CONTEXTS - 1
+        alone += base
+        self.at = mixed, alone
+        two, one = self.held = self.seen[0].take(mixed, mode="clip"), self.seen[1].take(alone, mode="clip")
+        sure = two & 3
+        sure <<= 2
+        sure += one & 3
+        self.sure, self.state = sure + (lane << 4), (lane << 2) + self.halves[:n]
+        self.p = self.first.take(self.sure, mode="clip"), self.second.take(self.sure, mode="clip"), self.half.take(self.state, mode="clip")
+        whole, (a, b, c) = 1 << EVENT_BITS, self.bounds[1:4, :n]
+        # the shares learned stay within 1/1024 and 1023/1024 by themselves; every event keeps some
+        np.minimum(self.p[0], whole - 256, out=a)
+        a += 32
+        rest = whole - a
+        b[:] = rest
+        b *= self.p[1]
+        b >>= EVENT_BITS
+        np.minimum(b, rest - 128, out=b)
+        b += 16
+        rest -= b
+        b += a
+        c[:] = rest
+        c *= self.p[2]
+        c >>= EVENT_BITS
+        np.minimum(c, rest - 32, out=c)
+        c += 16
+        c += b
+        return two >> 2, one >> 2
+
+    def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and share of the events."""
+        flat, at = self.bounds.ravel(), event * len(self.lane)
+        at += self.lane[: len(event)]
+        start = flat.take(at, mode="clip")
+        at += len(self.lane)
+        return start, flat.take(at, mode="clip") - start
+
+    def update(self, ids: np.ndarray, event: np.ndarray, rare: np.ndarray) -> None:
         n = len(ids)
-        for k in range(2):
-            pa, pj, w = self.p_alone[k], self.p_joint[k], self.weight[k][:n]
-            goal = (event == k).astype(np.int32) << EVENT_BITS
-            da, dj, better = goal - pa >> 4, goal - pj >> 4, np.sign(np.abs(goal - pa) - np.abs(goal - pj)) * 2
-            if k:  # the second guess learns only where the first was wrong
-                learns = event > 0
-                da, dj, better = da * learns, dj * learns, better * learns
-            self.alone[k][self.of_alone[k]] = pa + da
-            self.joint[k][self.of_joint] = pj + dj
-            np.minimum(np.maximum(w + better, 16), 240, out=w)
-            right = self.guess[k] == ids
-            self.seen[k][self.at[k]] = (ids << 2) + np.minimum(self.sure[k] + 1, 3) * right
+        whole = np.int32(1 << EVENT_BITS)
+        hit, other, p = event == 0, event > 1, self.p
+        step = hit * whole
+        step -= p[0]
+        step >>= 4
+        step += p[0]
+        self.first[self.sure] = step
+        step = (event == 1) * whole
+        step -= p[1]
+        step >>= 4
+        step *= ~hit
+        step += p[1]
+        self.second[self.sure] = step
+        step = (event == 2) * whole
+        step -= p[2]
+        step >>= 5
+        step *= other
+        step += p[2]
+        self.half[self.state] = step
+        fresh = ids << 2
+        for seen, at, held in zip(self.seen, self.at, self.held, strict=True):
+            # a guess that was right is surer by one, up to 3; another id takes its place
+            more = held & 3
+            more += more < 3
+            more *= held >> 2 == ids
+            more += fresh
+            seen[at] = more
+        halves = self.halves[:n]
+        halves &= 1
+        halves <<= 1
+        halves += rare
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
@@ -119,9 +200,11 @@ class _Coder:
         self.range = np.full(blocks, 2**64 - 1, np.uint64)
 
     def narrow(self, rows, start: np.ndarray, share: np.ndarray, bits: int):
-        """Returns which of the rows give out a word; low must be read before it is shifted."""
-        unit = self.range.take(rows) >> np.uint64(bits)
-        low, size = self.low.take(rows) + unit * start.astype(np.uint64), unit * share.astype(np.uint64)
+        """rows: indices or a slice. Returns which of them give out a word, and the words."""
+        size = self.range[rows] >> np.uint64(bits)
+        low = size * start.astype(np.uint64, copy=False)
+        low += self.low[rows]
+        size *= share.astype(np.uint64, copy=False)
         out = np.flatnonzero(size < WORD)
         l, s = low[out], size[out]
         cut = (l >> HALF) != ((l + s - np.uint64(1)) >> HALF)
@@ -143,19 +226,27 @@ def _shape(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(grid.reshape(blocks, BLOCK).T), alive
 
 
+def _table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each id: the half, and begin and share within the half."""
+    rare = frequent(counts)
+    shares = [order0(np.where(rare == h, counts, 0)) for h in (0, 1)]
+    begins = [np.cumsum(x) - x for x in shares]
+    return rare.astype(np.int32), np.where(rare, begins[1], begins[0]).astype(np.uint64), (shares[0] + shares[1]).astype(np.uint64)
+
+
 def encode(ids: np.ndarray) -> bytes:
-    """Order-0 table, block table (words, checksum) and words."""
+    """The ids' counts, block table (words, checksum) and words."""
     counts = np.bincount(ids, minlength=1)
-    share = order0(counts)
-    begin = np.cumsum(share) - share
+    rare, begin, share = _table(counts)
     grid, alive = _shape(ids)
     blocks = grid.shape[1]
     model, coder = _Model(blocks), _Coder(blocks)
     out_block, out_word = [], []
+    every = model.lane
 
-    def put(rows: np.ndarray, start, of, bits) -> None:
+    def put(lanes: np.ndarray, rows, start, of, bits) -> None:
         out, words = coder.narrow(rows, start, of, bits)
-        out_block.append(rows[out].astype(np.int32))
+        out_block.append(lanes[out].astype(np.int32))
         out_word.append(words.astype(np.uint32))
 
     for k in range(BLOCK):
@@ -163,19 +254,16 @@ def encode(ids: np.ndarray) -> bytes:
         if not n:
             break
         now = grid[k, :n]
-        model.predict(n)
-        first, second = model.shares
-        event = np.where(model.guess[0] == now, 0, np.where(model.guess[1] == now, 1, 2))
-        start = np.where(event == 0, 0, np.where(event == 1, first, first + second))
-        of = np.where(event == 0, first, np.where(event == 1, second, (1 << EVENT_BITS) - first - second))
-        rows = model.lane[:n]
-        put(rows, start, of, EVENT_BITS)
-        rows = np.flatnonzero(event == 2)
-        put(rows, begin.take(now[rows]), share.take(now[rows]), ID_BITS)
-        model.update(now, event)
-    every = np.arange(blocks)
+        two, one = model.predict(n)
+        half = rare.take(now)
+        event = np.where(two == now, 0, np.where(one == now, 1, half + 2))
+        put(every[:n], slice(0, n), *model.interval(event), EVENT_BITS)
+        rows = np.flatnonzero(event > 1)
+        named = now.take(rows)
+        put(rows, rows, begin.take(named), share.take(named), ID_BITS)
+        model.update(now, event, half)
     for shift in (32, 0):
-        out_block.append(every)
+        out_block.append(every.astype(np.int32))
         # the upper end's leading word, so that what follows may be anything
         out_word.append(((coder.low + (coder.range >> np.uint64(1))) >> np.uint64(shift)).astype(np.uint32))
     block, words = np.concatenate(out_block), np.concatenate(out_word)
@@ -183,31 +271,39 @@ def encode(ids: np.ndarray) -> bytes:
     sizes = np.bincount(block, minlength=blocks)
     sums = [zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)]
     seen = np.flatnonzero(counts)
-    head = struct.pack("<II", len(seen), blocks)
-    return b"".join([head, seen.astype("<u4").tobytes(), share[seen].astype("<u4").tobytes(), sizes.astype("<u4").tobytes(), np.array(sums, "<u4").tobytes(), words.astype("<u4").tobytes()])
+    told = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts[seen].astype("<u8").tobytes())
+    head = struct.pack("<III", len(seen), len(told), blocks)
+    return b"".join([head, told, sizes.astype("<u4").tobytes(), np.array(sums, "<u4").tobytes(), words.astype("<u4").tobytes()])
 
 
 def decode(raw: bytes, n_ids: int) -> np.ndarray:
-    n_seen, blocks = struct.unpack_from("<II", raw)
-    take = np.frombuffer(raw, "<u4", offset=8)
-    seen, share, sizes, sums, words = np.split(take, np.cumsum([n_seen, n_seen, blocks, blocks]))
-    seen, share = seen.astype(np.int64), share.astype(np.int64)
-    begin = np.cumsum(share) - share
-    of_slot = np.repeat(np.arange(len(seen)), share)
+    n_seen, n_told, blocks = struct.unpack_from("<III", raw)
+    try:
+        told = zlib.decompress(raw[12 : 12 + n_told])
+    except zlib.error as e:
+        raise ValueError("the table of counts is damaged") from e
+    seen = np.cumsum(np.frombuffer(told, "<u4", n_seen).astype(np.int64))
+    counts = np.zeros(int(seen[-1]) + 1, np.int64)
+    counts[seen] = np.frombuffer(told, "<u8", n_seen, offset=4 * n_seen)
+    sizes, sums, words = np.split(np.frombuffer(raw[12 + n_told :], "<u4"), [blocks, 2 * blocks])
+    rare, begin, share = _table(counts)
+    # the id of every slot, of both halves one after the other
+    of_slot = np.concatenate([np.repeat(seen[rare[seen] == h], share[seen[rare[seen] == h]].astype(np.int64)) for h in (0, 1)]).astype(np.int32)
     words = np.concatenate([words.astype(np.uint64), np.zeros(4, np.uint64)])
-    grid, alive = _shape(np.zeros(n_ids, np.int64))
+    grid, alive = _shape(np.zeros(n_ids, np.int32))
     model, coder = _Model(blocks), _Coder(blocks)
     at = np.cumsum(sizes.astype(np.int64)) - sizes
     code = (words[at] << HALF) | words[at + 1]
     at = at + 2
 
     def slots(rows, bits) -> np.ndarray:
-        unit = coder.range[rows] >> np.uint64(bits)
-        return np.minimum((code[rows] - coder.low[rows]) // unit, np.uint64((1 << bits) - 1)).astype(np.int64)
+        slot = code[rows] - coder.low[rows]
+        slot //= coder.range[rows] >> np.uint64(bits)
+        return np.minimum(slot, np.uint64((1 << bits) - 1)).astype(np.int64)
 
     def take_words(rows, start, of, bits) -> None:
         out, _ = coder.narrow(rows, start, of, bits)
-        out = rows[out]
+        out = rows[out] if isinstance(rows, np.ndarray) else out
         code[out] = (code[out] << HALF) | words[at[out]]
         at[out] += 1
 
@@ -215,21 +311,21 @@ def decode(raw: bytes, n_ids: int) -> np.ndarray:
         n = alive[k]
         if not n:
             break
-        rows = model.lane[:n]
-        model.predict(n)
-        first, second = model.shares
-        slot = slots(rows, EVENT_BITS)
-        event = (slot >= first).astype(np.int8) + (slot >= first + second)
-        start = np.where(event == 0, 0, np.where(event == 1, first, first + second))
-        of = np.where(event == 0, first, np.where(event == 1, second, (1 << EVENT_BITS) - first - second))
-        take_words(rows, start, of, EVENT_BITS)
-        now = np.where(event == 0, model.guess[0], model.guess[1])
-        rows = np.flatnonzero(event == 2)
-        index = of_slot[slots(rows, ID_BITS)]
-        take_words(rows, begin[index], share[index], ID_BITS)
-        now[rows] = seen[index]
+        two, one = model.predict(n)
+        slot = slots(slice(0, n), EVENT_BITS)
+        event = np.zeros(n, np.int64)
+        for begins in model.bounds[1:4, :n]:
+            event += slot >= begins
+        take_words(slice(0, n), *model.interval(event), EVENT_BITS)
+        now = np.where(event == 0, two, one)
+        rows = np.flatnonzero(event > 1)
+        slot = slots(rows, ID_BITS)
+        slot += (event[rows] - 2) << ID_BITS
+        named = of_slot.take(slot, mode="clip")
+        take_words(rows, begin.take(named), share.take(named), ID_BITS)
+        now[rows] = named
         grid[k, :n] = now
-        model.update(now, event)
+        model.update(now, event, rare.take(now, mode="clip"))
     ids = np.ascontiguousarray(grid.T).ravel()[:n_ids]
     for b in range(blocks):
         if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != sums[b]:
@@ -258,86 +354,205 @@ def unpack(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [int(d) if k else None for d, k in zip(named, known, strict=True)], sizes, decode(body[17 * n :], n_ids)
 
 
+def _starts(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of plain texts start; the texts lie one after the other and end at ``ends``."""
+    n = len(code)
+    kind = CLASSES.take(code)
+    first = np.zeros(n + 1, bool)  # of a text
+    first[0] = True
+    first[ends] = True
+    space = kind >= BLANK
+    before = np.empty(n, np.uint8)
+    before[0], before[1:] = RARE, kind[:-1]
+    before[first[:n]] = RARE
+    # the last white space before a word is cut off, and a blank there goes with the word
+    last = np.zeros(n, bool)
+    last[:-1] = space[:-1] & ~space[1:] & ~first[1:n]
+    start = np.where(space, (before < BLANK) | last, (before != kind) & (before != BLANK))
+    marks = np.flatnonzero((code == 39) & start)
+    if len(marks):
+        text_end = ends[np.searchsorted(ends, marks, side="right")]
+        padded = np.concatenate((code, np.zeros(2, code.dtype)))
+        one, two = padded[marks + 1], padded[marks + 2]
+        size = np.where(np.isin(one, [ord(c) for c in SHORT]), 2, 0)
+        for a, b in LONG:
+            size = np.where((one == ord(a)) & (two == ord(b)), 3, size)
+        size = np.where(marks + size <= text_end, size, 0)
+        cut, size = marks[size > 0], size[size > 0]
+        start[cut + 1] = False
+        end = cut + size
+        start[end[end < n]] = True
+    return np.flatnonzero(start)
+
+
 class Ids:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer cuts a text by its pattern and merges within each pre-token alone, so
-    the library encodes each pre-token once and the ids are remembered, within bounds. Texts
-    with rare characters, or with the name of an added token, go to the library whole.
+    the library encodes each pre-token once and the ids are remembered, within bounds. Many
+    texts are cut at once in numpy; pre-tokens are found by a hash and compared letter by letter
+    with the one remembered. Texts with rare characters, with the name of an added token, or
+    with a pre-token whose hash is another's go to the library whole.
     """
 
     def __init__(self, path: str):
         self.coder = Tokenizer.from_file(path)
         plan = json.loads(self.coder.to_str())
         first = plan["pre_tokenizer"] or {}
-        self.cuts = plan["normalizer"] is None and first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True)
-        self.pattern = re.compile(PRE_TOKEN)
+        same = public_tokenizers.PATTERN == PATTERN
+        self.cuts = same and plan["normalizer"] is None and first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True)
         self.added = [t.content for t in self.coder.get_added_tokens_decoder().values()]
-        self.line = self.whole(["\n"])[0]
+        self.up = self.down = np.empty(0, np.uint64)
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # pre-token to its place in sizes and ends
-        self.flat, self.sizes, self.ends = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known: dict[int, int] = {}  # hash of a pre-token to its number
+        self.slot_hash, self.slot_at = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
+        self.flat, self.sizes, self.begins = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
+        self.letters, self.lengths, self.spelt = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, words: list[str]) -> list[list[int]]:
-        """Ids of words, told in one text by line breaks, which are pre-tokens of their own there."""
-        ids = self.whole(["\n".join(words)])[0]
-        cuts = [-1, *(i for i, x in enumerate(ids) if x == self.line[0]), len(ids)]
-        return [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(words) + 1 and len(self.line) == 1 else self.whole(words)
-
-    def _learn(self, fresh: list[str]) -> None:
-        alone = [w for w in fresh if WORD_ALONE.fullmatch(w)]
-        other = [w for w in fresh if not WORD_ALONE.fullmatch(w)]
-        read = (self._lines(alone) if alone else []) + (self.whole(other) if other else [])
-        self.known.update(zip(alone + other, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
+    def _alone(self, words: list[str]) -> list[list[int]]:
+        """Ids of words of letters, which are pre-tokens as they are: the library's model merges each."""
+        spelt = "\n".join(words).encode().decode("latin-1").translate(BYTES).split("\n")
+        return [[t.id for t in self.coder.model.tokenize(w)] for w in spelt]
+
+    def _learn(self, hashes: list[int], words: list[str], alone: list[bool]) -> None:
+        letters = iter(self._alone([w for w, a in zip(words, alone, strict=True) if a]))
+        other = iter(self.whole([w for w, a in zip(words, alone, strict=True) if not a]))
+        read = [next(letters) if a else next(other) for a in alone]
+        self.known.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(read), np.uint32)])
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, read), np.int64)])
-        self.ends = np.cumsum(self.sizes)
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, read), np.int32)])
+        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.letters = np.concatenate([self.letters, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, words), np.int32)])
+        self.spelt = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+
+    def _numbers(self, text: str, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The number of each pre-token; those met first are learned."""
+        if len(self.up) <= len(code):
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(code), b, np.uint64)))) for b in (BASE, UNBASE))
+        running = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code + np.uint64(1)) * self.up[: len(code)], out=running[1:])
+        hashes = (running[starts + lengths] - running[starts]) * self.down[starts]
+        hashes ^= hashes >> np.uint64(29)
+        hashes *= np.uint64(0xBF58476D1CE4E5B9)
+        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+        at = np.where(self.slot_hash.take(slots) == hashes, self.slot_at.take(slots), -1)
+        missed = np.flatnonzero(at < 0)
+        if len(missed):
+            met, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
+            met_list = met.tolist()
+            fresh = [i for i, h in enumerate(met_list) if h not in self.known]
+            if fresh:
+                begin, size = starts[missed[first[fresh]]], lengths[missed[first[fresh]]]
+                alone = (CLASSES.take(code[begin + size - 1]) == LETTER) & (code[begin] != 39)
+                self._learn([met_list[i] for i in fresh], [text[s : s + k] for s, k in zip(begin.tolist(), size.tolist(), strict=True)], alone.tolist())
+            numbers = np.fromiter(map(self.known.__getitem__, met_list), np.int32, len(met_list))
+            at[missed] = numbers[back]
+            self.slot_hash[slots[missed]], self.slot_at[slots[missed]] = hashes[missed], at[missed]
+        return at
+
+    def _of_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, where each text's end, and which texts met a foreign hash."""
+        text = "".join(texts)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum([len(t) for t in texts])
+        if not len(code):
+            return np.empty(0, np.uint32), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        if len(self.sizes) > REMEMBERED:
+            self._forget()
+        starts = _starts(code, ends)
+        lengths = np.diff(starts, append=len(code))
+        at = self._numbers(text, code, starts, lengths)
+        wrong = np.zeros(len(texts), bool)
+        differs = self.lengths.take(at) != lengths
+        spelt = np.repeat(self.spelt.take(at) - starts, lengths)
+        spelt += np.arange(len(code))
+        odd = np.flatnonzero(self.letters.take(spelt, mode="clip") != code)
+        if len(odd) or differs.any():
+            wrong[np.searchsorted(ends, np.concatenate((odd, starts[differs])), side="right")] = True
+        sizes = self.sizes.take(at)
+        stops = np.cumsum(sizes, dtype=np.int64)
+        place = np.repeat(self.begins.take(at) - stops + sizes, sizes)
+        place += np.arange(len(place))
+        bounds = np.concatenate((np.zeros(1, np.int64), stops))[np.searchsorted(starts, ends, side="left")]
+        return self.flat.take(place), bounds, wrong
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.cuts and PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added) for t in texts]
-        odd = iter(self.whole([t for t, p in zip(texts, plain, strict=True) if not p]))
-        cut = [self.pattern.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        fresh = set(chain.from_iterable(cut)) - self.known.keys()
-        if fresh:
-            self._learn(list(fresh))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        first = np.repeat(self.ends[at] - ends, sizes)
-        ids = self.flat[first + np.arange(len(first))]
-        bounds = np.concatenate(([0], ends))[np.cumsum([len(c) for c in cut])]
-        return [ids[e - n : e] if p else np.array(next(odd), np.uint32) for p, e, n in zip(plain, bounds, np.diff(bounds, prepend=0), strict=True)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        held, size = [], 0
+
+        def settle() -> None:
+            ids, bounds, wrong = self._of_plain([texts[i] for i in held])
+            for i, begin, end, bad in zip(held, np.concatenate((np.zeros(1, np.int64), bounds))[:-1].tolist(), bounds.tolist(), wrong.tolist(), strict=True):
+                if not bad:
+                    out[i] = ids[begin:end]
+
+        for i, t in enumerate(texts):
+            if self.cuts and _plain(t) and not any(a in t for a in self.added):
+                held.append(i)
+                size += len(t)
+                if size >= CHARS:
+                    settle()
+                    held, size = [], 0
+        if held:
+            settle()
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        return out
+
+
+_plain = re.compile(f"[{PLAIN}]*").fullmatch
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about a few million characters."""
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= 16 * CHARS:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+@functools.lru_cache(1)
+def _ids(tokenizer: str) -> Ids:
+    """Kept by a worker from task to task, with what it remembers."""
+    return Ids(tokenizer)
 
 
 def _write(tokenizer: str, end_id: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids_of = Ids(tokenizer)
+        ids_of = _ids(tokenizer)
         docs: list[int | None] = []
         parts: list[np.ndarray] = []
+        sizes: list[int] = []
         part, at, held = None, 0, 0
+        end = np.array([end_id], np.uint32)
 
         def segment() -> pd.DataFrame:
-            data = pack(docs, [len(p) for p in parts], np.concatenate(parts).astype(np.int64))
+            data = pack(docs, sizes, np.concatenate(parts).astype(np.int32))
             return pd.DataFrame({"part": [part], "at": [at], "n_tokens": [held], "data": [data]})
 
         for batch in batches:
             part = int(batch["part"].iloc[0]) if len(batch) else part
-            for i in range(0, len(batch), TEXTS):
-                piece = batch.iloc[i : i + TEXTS]
-                for doc_id, ids in zip(piece["doc_id"], ids_of.of(piece["text"].to_list()), strict=True):
+            texts, named = batch["text"].to_list(), batch["doc_id"].to_list()
+            for i, j in _slices(texts):
+                for doc_id, ids in zip(named[i:j], ids_of.of(texts[i:j]), strict=True):
                     docs.append(None if doc_id is None else int(doc_id))
-                    parts.append(np.append(ids, np.uint32(end_id)))
-                    held += len(parts[-1])
+                    parts += [ids, end]
+                    sizes.append(len(ids) + 1)
+                    held += sizes[-1]
                     if held >= SEGMENT:
                         yield segment()
-                        docs, parts, at, held = [], [], at + held, 0
+                        docs, parts, sizes, at, held = [], [], [], at + held, 0
         if docs:
             yield segment()
 
@@ -349,8 +564,9 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Returns the written segments (part, at, n_tokens, data): parts follow one another in the
     order, ``at`` counts the ids before the segment in its part. Null text is empty text and
-    gives the end id alone; repeated rows repeat; an empty table gives no segments; other
-    columns are not kept.
+    gives the end id alone; repeated rows repeat; an empty table gives no segments; texts of any
+    length are tokenized whole; rows of equal id follow one another in any order; other columns
+    are not kept.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("text"))
@@ -370,7 +586,10 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_index(segments: DataFrame) -> DataFrame:
-    """Decode segments, checking every checksum: (doc_id, start, n_tokens, ids_crc32) per document."""
+    """Decode segments, checking every checksum: (doc_id, start, n_tokens, ids_crc32) per document.
+
+    Null ids and repeated rows come back as they were written; no segments give no rows.
+    """
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # one row per part, not per document
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
