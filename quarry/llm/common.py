@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -42,13 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if path is not None:
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Bytes of rows that go to a Python worker at once. Bounds its memory whatever the texts' lengths, but for one text.
+BATCH_BYTES = 4 << 20
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The rows, for a step in Python: the session's bound on the bytes of a batch is lowered if it is larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key))) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
 
 
 #: At most so many rows are ever broadcast; beyond, a join shuffles.

@@ -15,7 +15,8 @@ from quarry.llm.common import written
 
 def _linked_to_least(sided: DataFrame) -> DataFrame:
     """sided (u, v): every neighbour of u, and u, tied to the least of them."""
-    least = sided.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the edges of a hub can be split over tasks against its one row
+    least = written(sided.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return sided.join(least, "u")
 
 

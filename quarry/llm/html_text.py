@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small, written
+from quarry.llm.common import in_batches, small, written
 
 #: What a tag does to the blocks and the open elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,7 +267,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST, 1)).alias("host"),
     )
-    votes = rows.select("host", "html").mapInPandas(_votes, "host string, path string, score long").filter("score > 0")
+    votes = in_batches(rows).select("host", "html").mapInPandas(_votes, "host string, path string, score long").filter("score > 0")
     counted = votes.groupBy("host", "path").agg(F.struct(F.count("*").alias("n"), F.sum("score").alias("score")).alias("won"))
     winners = written(counted.groupBy("host").agg(F.max(F.struct("won", "path")).alias("top")).select("host", F.col("top.path").alias("path")), "host-paths")
     return rows.join(small(winners), "host", "left").select("page_id", "url", "html", "path").mapInPandas(_texts, "page_id string, url string, text string")

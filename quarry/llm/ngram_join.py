@@ -3,8 +3,9 @@
 Equal shingle sets are one node. Nodes that may be similar share a token of their prefixes
 (the first n - ceil(t n) + 1 tokens in one global order). The order is rare first, by a sketch
 of token counts over the whole corpus, so that shared passages bring nobody together; it
-decides the cost and never the result. A token that few nodes share gives their pairs. For
-the others, which near copies in great numbers share:
+decides the cost and never the result. A token that few nodes (``PAIRED`` at most) share is a
+bucket small enough to give its pairs, which parities of the token sets then thin out: most
+small groups of copies are found so. For the others, which near copies in great numbers share:
 
 * every node joins the group of one leader met under its prefix tokens, and is compared with
   that leader alone: this settles most near copies by one comparison each;
@@ -23,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import small, text_of, written
+from quarry.llm.common import in_batches, small, text_of, written
 from quarry.llm.components import components
 from quarry.llm.shingles import set_digests, shingle_sets
 
 #: Counters of the token count sketch, by leading bits; fixed, so what is broadcast is 2 MB.
 SKETCH_BITS = 21
 SKETCH_CHUNK = 1 << 16
+#: Partial counts that are added up at once.
+FAN = 64
 #: A token that at most so many nodes share gives their pairs; a group is formed around others.
 PAIRED = 32
 #: Stands for a null doc_id on the way through pandas, where a null would turn ids into floats.
@@ -56,7 +60,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 
 def _nodes_and_sketch(width: int):
-    """Rows (doc_id, key, n, node), and the task's token counts as rows (chunk, counts)."""
+    """Rows (doc_id, key, n, node), and the task's token counts as rows (chunk, part, counts)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << SKETCH_BITS, np.int32)
@@ -65,10 +69,11 @@ def _nodes_and_sketch(width: int):
                 met, often = np.unique(hashes >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 counts[met] += often.astype(np.int32)
                 ids, keys = (batch[c].iloc[at : at + len(ends)].to_numpy() for c in ("doc_id", "key"))
-                yield pd.DataFrame({"doc_id": ids, "key": keys, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "counts": None})
+                yield pd.DataFrame({"doc_id": ids, "key": keys, "n": np.diff(ends, prepend=0), "node": _signed(set_digests(hashes, ends)), "chunk": None, "part": None, "counts": None})
+        task = TaskContext.get().partitionId()
         for chunk, part in enumerate(counts.reshape(-1, SKETCH_CHUNK)):
             if part.any():
-                yield pd.DataFrame({"doc_id": [None], "key": None, "n": None, "node": None, "chunk": chunk, "counts": [_packed(part)]})
+                yield pd.DataFrame({"doc_id": [None], "key": None, "n": None, "node": None, "chunk": chunk, "part": task, "counts": [_packed(part)]})
 
     return run
 
@@ -77,14 +82,17 @@ def _summed(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(SKETCH_CHUNK, np.int64)
     for raw in rows["counts"]:
         total += _unpacked(raw)
-    return pd.DataFrame({"chunk": [key[0]], "counts": [_packed(total)], "total": [int(total.sum())]})
+    return pd.DataFrame({"chunk": [key[0]], "part": [key[1]], "counts": [_packed(total)], "total": [int(total.sum())]})
 
 
 def _levels(sketch: DataFrame) -> np.ndarray:
     """How frequent the tokens of each counter are, 0 to 255. The driver gets one byte per counter, whatever the corpus."""
-    schema = "chunk int, counts binary, total long"
-    salted = sketch.withColumn("salt", F.spark_partition_id() % 16)
-    sums = written(salted.groupBy("chunk", "salt").applyInPandas(_summed, schema).groupBy("chunk").applyInPandas(_summed, schema), "token-sketch")
+    # a tree over the tasks: no group holds more than FAN of their counts, however many tasks there are
+    tasks, sums = (sketch.agg(F.max("part")).first()[0] or 0) + 1, sketch
+    while tasks > 1 or sums is sketch:
+        sums = sums.groupBy("chunk", F.floor(F.col("part") / FAN).cast("int").alias("part")).applyInPandas(_summed, "chunk int, part int, counts binary, total long")
+        tasks = -(-tasks // FAN)
+    sums = written(sums, "token-sketch")
     mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
 
     def level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,15 +204,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     given = F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(text_col).alias("text"))
     keyed = rows.withColumn("key", _key("doc_id", "text") if keys else F.lit(0).cast("long"))
-    seen = keyed.mapInPandas(_nodes_and_sketch(width), "doc_id long, key long, n long, node long, chunk int, counts binary")
-    seen = written(seen.select(given, "key", "n", "node", "chunk", "counts"), "shingled")
-    levels = _levels(seen.filter("chunk is not null").select("chunk", "counts"))
+    seen = in_batches(keyed).mapInPandas(_nodes_and_sketch(width), "doc_id long, key long, n long, node long, chunk int, part int, counts binary")
+    seen = written(seen.select(given, "key", "n", "node", "chunk", "part", "counts"), "shingled")
+    levels = _levels(seen.filter("chunk is not null").select("chunk", "part", "counts"))
 
-    prefixed = rows.mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>, bits binary").select("node", given, "n", "keys", "bits")
+    prefixed = in_batches(rows).mapInPandas(_prefixes(width, percent, levels), "node long, doc_id long, n long, keys array<long>, bits binary").select("node", given, "n", "keys", "bits")
     nodes = prefixed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.count("*").alias("copies"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
     nodes = written(nodes, "nodes")
     posted = nodes.select("node", "n", "copies", F.explode("keys").alias("key"))
     buckets = posted.groupBy("key").agg(F.count("*").alias("met"), F.max(F.struct("copies", "node")).alias("leader")).filter("met > 1")
+    # written, here and below, so that a hot key meets a table of one row a key, and its rows can be split
+    buckets = written(buckets, "buckets")
     met = posted.join(buckets, "key").select("node", "n", "key", F.struct("leader.copies", "met", "leader.node").alias("leader"))
     met = written(met, "met")
 
@@ -222,14 +232,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = pairs.select("node").union(pairs.select(F.col("home").alias("node"))).union(homes.select("node")).distinct()
     wanted = written(nodes.select("node", "doc_id").join(wanted, "node", "left_semi"), "wanted")
     held = rows.join(small(wanted.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).distinct()), "doc_id", "left_semi")
-    sets = held.mapInPandas(_sets(width), "node long, n long, tokens array<long>").filter("n > 0")
+    sets = in_batches(held).mapInPandas(_sets(width), "node long, n long, tokens array<long>").filter("n > 0")
     # repeated rows repeat their set; that only repeats comparisons
     sets = written(sets.join(small(wanted.select("node")), "node", "left_semi").select("node", "tokens"), "sets")
 
     lead = sets.select(F.col("node").alias("home"), F.col("tokens").alias("lead"))
     shared = F.size(F.array_intersect("tokens", "lead"))
     linked = 100 * shared >= percent * (F.size("tokens") + F.size("lead") - shared)
-    ties = written(pairs.join(sets, "node").join(lead, "home").filter(linked).select("node", "home").distinct(), "ties")
+    # not made distinct within the join: that would keep a leader's many copies in one task
+    ties = written(pairs.join(sets, "node").join(lead, "home").filter(linked).select("node", "home"), "ties-repeated")
+    ties = written(ties.distinct(), "ties")
     first = components(ties.select(F.col("node").alias("u"), F.col("home").alias("v")), "first-components")
     state = homes.join(ties.select("node", "home", F.lit(True).alias("tied")), ["node", "home"], "left").join(first, "node", "left")
     tied = F.coalesce("tied", F.col("node") == F.col("home"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of
+from quarry.llm.common import in_batches, text_of
 
 #: The kinds, those of the base first, in the order of their spans.
 BASE = ("email", "ip", "card", "phone")
@@ -168,7 +168,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     counts = ", ".join(f"n_{k} long" for k in BASE + ADDED)
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInPandas(_report, f"doc_id string, {counts}, base_sha256 string, spans string")
+    return in_batches(rows).mapInPandas(_report, f"doc_id string, {counts}, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for texts in batches:
             yield texts.map(lambda t: t if t is None else masked(t, find(t, automaton)))
 
-    return docs.withColumn(text_col, F.pandas_udf(mask, "string")(F.col(text_col)))
+    return in_batches(docs).withColumn(text_col, F.pandas_udf(mask, "string")(F.col(text_col)))
 
 
 def masked(text: str, found: dict[str, list[tuple[int, int]]]) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarry.llm.common import partitions, small, text_of, written
+from quarry.llm.common import in_batches, partitions, small, text_of, written
 
 MAGIC = b"QTS2"
 #: Ids in a block, and about how many in a segment. A document is never cut between segments.
@@ -572,7 +572,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).alias("text"))
     rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("__id").asc_nulls_first()).sortWithinPartitions(F.col("__id").asc_nulls_first())
     rows = rows.select(F.spark_partition_id().alias("part"), F.col("__id").cast("string").alias("doc_id"), "text")
-    return written(rows.mapInPandas(_write(tokenizer, end_id), SEGMENT_SCHEMA), "tokens")
+    return written(in_batches(rows).mapInPandas(_write(tokenizer, end_id), SEGMENT_SCHEMA), "tokens")
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -594,7 +594,7 @@ def read_index(segments: DataFrame) -> DataFrame:
     # one row per part, not per document
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = written(totals.select("part", F.coalesce(before, F.lit(0)).alias("offset")), "token-offsets")
-    docs = segments.mapInPandas(_read, "part int, doc_id string, begin long, n_tokens long, ids_crc32 long")
+    docs = in_batches(segments).mapInPandas(_read, "part int, doc_id string, begin long, n_tokens long, ids_crc32 long")
     start = (F.col("begin") + F.col("offset")).alias("start")
     return docs.join(small(offsets), "part").select(F.col("doc_id").cast("long").alias("doc_id"), start, "n_tokens", "ids_crc32")
 

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, written
+from quarry.llm.common import in_batches, text_of, written
 
 #: The words of the grammar.
 INSULTS = "asshole bastard bitch clown coward cretin disgusting dumb filth filthy fool freak garbage idiot idiots idiotic imbecile jerk loser losers moron morons moronic parasite pathetic pig scum stupid trash vermin worthless".split()
@@ -270,11 +270,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty table gives no rows; columns other than id and text are not read.
     """
     model = fit(docs, labels, ~held_out(F.col("doc_id")), id_col, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), scores(F.col(text_col), model).alias("score"))
+    rows = in_batches(docs).select(F.col(id_col).alias("doc_id"), scores(F.col(text_col), model).alias("score"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows scored below one half, all columns."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")), text_col=text_col, **options)
-    return docs.withColumn("__score", scores(F.col(text_col), model)).filter("__score < 0.5").drop("__score")
+    return in_batches(docs).withColumn("__score", scores(F.col(text_col), model)).filter("__score < 0.5").drop("__score")
