@@ -1,6 +1,6 @@
 """Mixing sources to target weights with soft membership.
 
-A classifier fitted on the labelled table gives every document a posterior over domains.
+A multinomial regression fitted on the labelled table gives every document a posterior over domains.
 Document rates are the nonnegative least-squares fit of expected domain token totals to
 their targets: projected gradient steps from equal rates, in the metric that makes the
 step length one. A step needs only one number per domain from the whole corpus, so rates
@@ -10,6 +10,7 @@ are never stored between steps: a document's rate is the fold of the few step ve
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -19,27 +20,30 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, text_of, written
 
-#: Least variance of a feature within a domain.
-VARIANCE_FLOOR = 1e-4
-#: Number of features.
-WIDTH = 8
+#: How strongly the classifier's weights are held near nought.
+DECAY = 0.5
 
 
 def features(text: Column) -> Column:
-    """Shares of a text that tell languages and junk apart, about 0 to 1 each, as one array."""
+    """Shares of a text that tell languages and junk apart, about 0 to 1 each, and their roots, as one array."""
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.greatest(F.size(F.split(text, SPACE)), F.lit(1)).cast("double")
-    share = [
-        F.regexp_count(text, F.lit(r"[àâçèêëîïôœùû]")) * 5 / size,
-        F.regexp_count(text, F.lit(r"[äöüß]")) * 5 / size,
-        F.regexp_count(text, F.lit(r"[ñíóá¿¡]")) * 5 / size,
-        F.regexp_count(text, F.lit(r"th|wh|sh")) * 5 / size,
-        F.regexp_count(text, F.lit(r"[A-Z]")) / size,
-        F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size,
-        F.regexp_count(text, F.lit(r"[0-9]")) / size,
-        words * 4 / size,
-    ]
-    return F.array(*[F.least(x, F.lit(1.0)) for x in share])
+
+    def of(words: Column) -> Column:
+        n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
+        share = [
+            F.regexp_count(text, F.lit(r"[àâçèêëîïôœùû]")) * 5 / size,
+            F.regexp_count(text, F.lit(r"[äöüß]")) * 5 / size,
+            F.regexp_count(text, F.lit(r"[ñíóá¿¡]")) * 5 / size,
+            F.regexp_count(text, F.lit(r"[tws]h")) * 5 / size,
+            F.regexp_count(text, F.lit(r"[A-Z]")) / size,
+            F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size,
+            n_words * 4 / size,
+            F.size(F.array_distinct(words)) / n_words,
+        ]
+        share = [F.least(x, F.lit(1.0)) for x in share]
+        return bound(F.array(*share), lambda x: F.concat(x, F.transform(x, F.sqrt), F.array(F.log1p(n_words) / 10)))
+
+    return bound(F.split(text, SPACE), of)
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,44 +51,55 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _logs(model: dict[str, tuple[float, list[float], list[float]]], names: list[str], x: Column) -> Column:
-    """Naive Bayes with one normal density per feature and domain."""
-    logs = []
-    for name in names:
-        prior, mean, var = model[name]
-        terms = [-0.5 * (F.get(x, F.lit(j)) - m) * (F.get(x, F.lit(j)) - m) / v for j, (m, v) in enumerate(zip(mean, var, strict=True))]
-        constant = float(np.log(prior) - 0.5 * np.sum(np.log(var)))
-        logs.append(sum(terms, F.lit(constant)))
-    return F.array(*logs)
+def softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 400, tolerance: float = 1e-5) -> np.ndarray:
+    """Ridge multinomial regression (features and a constant by classes), by steps in a fixed metric that bounds the curvature."""
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    w = np.zeros((z.shape[1], classes))
+    step = np.linalg.inv(z.T @ z / 2 + DECAY * np.eye(z.shape[1]))
+    want = np.eye(classes)[y]
+    for _ in range(rounds):
+        p = np.exp((u := z @ w) - u.max(1, keepdims=True))
+        move = step @ (z.T @ (want - p / p.sum(1, keepdims=True)) - DECAY * w)
+        w += move
+        if np.abs(move).max() < tolerance:
+            break
+    w[:-1] /= scale[:, None]
+    w[-1] -= mean @ w[:-1]
+    return w
 
 
 @dataclass
 class Domains:
-    """What the labelled table says: domain names in order, and the model over features."""
+    """What the labelled table says: domain names in order, and weights over features (the last for the constant), one column a name."""
 
     names: list[str]
-    model: dict[str, tuple[float, list[float], list[float]]]
+    weights: np.ndarray | None
 
     @staticmethod
     def fitted(labelled: DataFrame, domain: Column, text_col: str = "text") -> Domains:
-        """From the labelled rows, as sums per domain. Rows whose domain is null teach nothing."""
-        rows = labelled.select(domain.alias("domain"), features(text_of(text_col)).alias("x")).filter(F.col("domain").isNotNull())
-        sums = [f(F.get("x", F.lit(j))).alias(f"{n}{j}") for n, f in (("m", F.avg), ("v", F.var_pop)) for j in range(WIDTH)]
-        found = {r["domain"]: r for r in rows.groupBy("domain").agg(F.count("*").alias("n"), *sums).collect()}
-        total = sum(r["n"] for r in found.values())
-        model = {k: (r["n"] / total, [r[f"m{j}"] for j in range(WIDTH)], [max(r[f"v{j}"], VARIANCE_FLOOR) for j in range(WIDTH)]) for k, r in found.items()}
-        return Domains(sorted(found) or ["all"], model)
+        """From a bounded number of labelled rows. Rows whose domain is null teach nothing; one domain alone takes all."""
+        rows = labelled.select(domain.alias("domain"), features(text_of(text_col)).alias("x")).filter(F.col("domain").isNotNull()).collect()
+        # in an order of their own, so that the sums do not depend on that of the rows
+        found = sorted((r["domain"], r["x"]) for r in rows)
+        names = sorted({d for d, _ in found})
+        if len(names) < 2:
+            return Domains(names or ["all"], None)
+        return Domains(names, softmax(np.array([x for _, x in found]), np.array([names.index(d) for d, _ in found]), len(names)))
 
     def scored(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Add tokens (words) and p (the posterior over names) to the rows."""
         text = text_of(text_col)
-        p = bound(features(text), self._shares) if self.model else F.array(F.lit(1.0))
+        p = bound(features(text), self._shares) if self.weights is not None else F.array(F.lit(1.0))
         return docs.withColumns({"tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("double"), "p": p})
 
     def _shares(self, x: Column) -> Column:
-        likely = lambda logs: F.transform(logs, lambda v: F.exp(v - F.array_max(logs)))
+        of = lambda k: sum((F.get(x, F.lit(j)) * float(w) for j, w in enumerate(self.weights[:-1, k])), F.lit(float(self.weights[-1, k])))
+        logs = F.array(*[of(k) for k in range(len(self.names))])
+        likely = lambda v: bound(F.array_max(v), lambda top: F.transform(v, lambda e: F.exp(e - top)))
         scaled = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, v: a + v), lambda z: F.transform(e, lambda v: v / z))
-        return bound(_logs(self.model, self.names, x), lambda logs: bound(likely(logs), scaled))
+        return bound(logs, lambda v: bound(likely(v), scaled))
 
 
 def _rate(steps: list[np.ndarray], p: Column, t: Column) -> Column:
@@ -103,18 +118,19 @@ class Rates:
     mean: float
     steps: list[np.ndarray]
     report: dict[str, dict[str, float]]
+    settled: bool
 
     def of(self, tokens: str = "tokens", p: str = "p") -> Column:
         return bound(F.struct(F.col(p).alias("p"), (F.col(tokens) / self.mean).alias("t")), lambda s: _rate(self.steps, s["p"], s["t"]))
 
 
-def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | None = None, rounds: int = 12, tolerance: float = 1e-4) -> Rates:
+def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | None = None, rounds: int = 40, tolerance: float = 1e-4) -> Rates:
     """Fit rates to rows (tokens, p).
 
     ``weights`` are relative target weights per domain; by default the natural shares to
     the power 0.7, which raises rare domains. The total is the least that thins out no
-    domain. ``rounds`` bounds the steps; they stop once every total is within
-    ``tolerance`` of its target. Rows without tokens keep rate 1: they weigh nothing.
+    domain. Steps stop once every total is within ``tolerance`` of its target; if ``rounds``
+    of them don't reach that, ``settled`` is false and a warning tells the totals. Rows without tokens keep rate 1: they weigh nothing.
     """
     n = len(names)
     mean = float(scored.agg(F.avg("tokens")).first()[0] or 0) or 1.0
@@ -141,7 +157,10 @@ def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | N
         made = rated.agg(*[F.sum(F.get("p", F.lit(d)) * F.col("t") * F.col("rate")).alias(f"e{d}") for d in range(n)]).first()
         reached = np.array([made[f"e{d}"] or 0.0 for d in range(n)])
     report = {k: {"natural": natural[d] * mean, "target": target[d] * mean, "fitted": reached[d] * mean} for d, k in enumerate(names)}
-    return Rates(mean, steps, report)
+    settled = bool(np.max(np.abs(target - reached)) <= tolerance * max(target.sum(), 1e-12))
+    if not settled:
+        warnings.warn(f"rates did not settle in {rounds} steps: {report}", stacklevel=2)
+    return Rates(mean, steps, report, settled)
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -178,7 +197,8 @@ def fitted(docs: DataFrame, labels: DataFrame, **options) -> tuple[Domains, Data
 def mixed_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, tokens, domain, posterior, rate) for all documents; domain is the likeliest.
 
-    Domains are language and quality of the labelled rows. Null and empty texts have no
+    Domains are language and quality of the labelled rows; of equally likely ones the first by
+    name is told. Null and empty texts have no
     tokens and keep rate 1; repeated rows get equal rates; an empty table gives no rows;
     other columns are not read.
     """
@@ -191,7 +211,9 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents, each repeated by its rate; all columns of docs, and no others.
 
-    Rates are worked out anew from each row's own text, so text is never shuffled.
+    Rates are worked out anew from each row's own text, so text is never shuffled. Null and
+    empty texts keep rate 1 and stay once; equal rows get equal numbers of copies; an empty
+    table gives no rows.
     """
     domains, _, rates = fitted(docs, labels, **options)
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id").alias("__id"), text_of().alias("__text"))

@@ -58,3 +58,32 @@ def test_nulls_and_empty(spark):
     assert mixing.mixed(docs, labels).columns == docs.columns
     assert mixing.mixed_rates(docs.filter("false"), labels).count() == 0
     assert mixing.mixed(docs.filter("false"), labels).count() == 0
+
+
+def test_posteriors_on_held_out_labels(spark, data):
+    """Fitted on four fifths of the labelled rows, the likeliest domain is right for nearly all of the rest, rare poor ones too."""
+    data = data.replace("sf0.001", "sf0.1")
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    rows = mixing.labelled_rows(docs, labels).withColumn("domain", mixing.quality_domain("lang", "__quality"))
+    domains = mixing.Domains.fitted(rows.filter("doc_id % 5 <> 0"), F.col("domain"))
+    found = domains.scored(rows.filter("doc_id % 5 = 0")).select("domain", "p").collect()
+    right = [(r["domain"], domains.names[int(np.argmax(r["p"]))] == r["domain"]) for r in found]
+    assert len(right) > 500 and np.mean([x for _, x in right]) >= 0.97
+    assert np.mean([x for d, x in right if d.endswith("poor")]) >= 0.9
+    assert min(np.mean([x for d, x in right if d == n]) for n in domains.names) >= 0.7
+    assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in found)
+
+
+def test_order_of_rows_and_ties(spark):
+    """Equal texts under two labels are equally likely both; the result does not depend on the order of rows."""
+    rows = [(i, t, "en") for i, t in enumerate(["one two three", "%% ## &&", "one two three", "%% ## &&"] * 3)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(8)] + [(8, 0), (8, 1)], "doc_id long, quality int")
+    take = lambda r: sorted(map(tuple, mixing.mixed_rates(spark.createDataFrame(r, "doc_id long, text string, lang string"), labels).collect()))
+    assert take(rows) == take(rows[::-1])
+
+
+def test_rates_that_do_not_settle_are_told(tables):
+    docs, labels = tables
+    domains, scored, _ = mixing.fitted(docs, labels)
+    with pytest.warns(UserWarning, match="did not settle"):
+        assert not mixing.fit_rates(scored, domains.names, rounds=0).settled
