@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text becomes a string of word classes: insults (with weights), threats, targets, negations,
-words of reported speech, quotation marks, clause ends. Transducers rewrite that string one
+words of reported speech, quotation marks, ends of clauses and lines. Transducers rewrite that string one
 after the other, composed into one machine: negation marks the insults it reaches, reported
 speech those that are only told, targets those that are aimed at someone, threats need what
 they are aimed at. What comes out of a clause is counted by kind with its weights; a
@@ -26,20 +26,25 @@ from quarry.llm.common import in_batches, text_of, written
 
 #: The words of the grammar.
 INSULTS = "asshole bastard bitch clown coward cretin disgusting dumb filth filthy fool freak garbage idiot idiots idiotic imbecile jerk loser losers moron morons moronic parasite pathetic pig scum stupid trash vermin worthless".split()
-THREATS = "kill destroy hurt murder beat stab shoot crush burn hang strangle".split()
-TARGETS = "you your you're youre u ur he she they him her them this that these those people everyone du dich dir ihr euch tu te toi vous ti usted ustedes".split()
-NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't without hardly nor neither".split()
-REPORTS = "said says say told tells called calls quoted quotes wrote writes claimed claims reported reportedly allegedly accused".split()
-
-TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.;!?:\n\"“”„«»]")
-ENDS, QUOTES = frozenset(".;!?:\n"), frozenset("\"“”„«»")
+THREATS = "kill destroy hurt murder beat stab shoot crush burn hang strangle töten umbringen erschießen verprügeln erwürgen zerstören tuer frapper étrangler détruire brûler matar golpear estrangular destruir quemar".split()
+TARGETS = "you your you're youre u ur he she they him her them this that these those people everyone du dich dir dein deine ihr euch sie ihn ihm tu te toi ton ta vous votre il elle lui eux ti usted ustedes vosotros tú él ella ellos".split()
+NEGATIONS = "not never no isn't aren't wasn't weren't don't doesn't didn't won't can't cannot without hardly nor neither nicht nie niemals kein keine keinen keiner ohne pas jamais aucun aucune sans nunca jamás sin ningún ninguna tampoco".split()
+REPORTS = "said says say told tells called calls quoted quotes wrote writes claimed claims reported reportedly allegedly accused sagte sagt schrieb nannte behauptete angeblich dit disait écrit affirma selon prétend dijo dice escribió llamó según afirmó".split()
+
+#: A plain quotation mark opens before a word and closes elsewhere; “ opens in some languages and closes in others. Typographic apostrophes count as plain ones.
+TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.;!?:\n\"“„«”»]")
+OPENING = re.compile(r"(?<![^\s(\[])\"(?=\S)")
+ENDS, OPENS, CLOSES = frozenset(".;!?"), frozenset("„«"), frozenset('”»"')
 #: What the composed machine can say of a clause, in the order of the model's inputs.
 KINDS = ("insult", "aimed", "negated", "told", "threat")
 #: At most so many labelled texts are read to learn words and weights; a sample by hash.
 LABELLED = 20_000
 #: Stems of these lengths are learned beside whole words, with at least this much evidence (G, in nats).
 STEMS = (4, 5, 6, 7, 8)
-EVIDENCE, LEXICON = 10.0, 5_000
+EVIDENCE = 10.0
+
+#: What ends a clause; a colon only for negation and aim.
+BREAKS = ("end", "line", "colon")
 
 Step = Callable[[object, str], tuple[object, str]]
 
@@ -81,25 +86,31 @@ def negation(reach: int = 3) -> Transducer:
             return reach, s
         if s in ("insult", "threat"):
             return max(left - 1, 0), "negated" if left else s
-        return (0 if s == "end" else max(left - 1, 0)), s
+        return (0 if s in BREAKS else max(left - 1, 0)), s
 
     return Transducer(0, step)
 
 
-def reported() -> Transducer:
-    """An insult or threat in quotation marks, or after a word of reporting in its clause, is only told."""
+def reported(reach: int = 60) -> Transducer:
+    """An insult or threat in quotation marks, or after a word of reporting in its clause, is only told.
+
+    A colon does not end what is reported. A quotation ends with its mark, its line or after
+    ``reach`` words, so that a stray mark does not excuse the rest of a text.
+    """
 
     def step(state, s):
         quoted, reporting = state
         if s == "quote":
-            return (not quoted, reporting), s
+            return (0 if quoted else reach, reporting), s
+        if s in ("open", "close"):
+            return (reach if s == "open" else 0, reporting), s
         if s == "report":
-            return (quoted, True), s
-        if s == "end":
-            return (quoted, False), s
-        return state, "told" if s in ("insult", "threat") and (quoted or reporting) else s
+            return (max(quoted - 1, 0), True), s
+        if s in ("end", "line"):
+            return (0 if s == "line" else quoted, False), s
+        return (max(quoted - 1, 0), reporting), "told" if s in ("insult", "threat") and (quoted or reporting) else s
 
-    return Transducer((False, False), step)
+    return Transducer((0, False), step)
 
 
 def aimed(reach: int = 4) -> Transducer:
@@ -107,7 +118,7 @@ def aimed(reach: int = 4) -> Transducer:
 
     def step(state, s):
         near, waits = state
-        if s == "end":
+        if s in BREAKS:
             return (0, 0), s
         if s == "target":
             return (reach, 0), "threat" if waits else s
@@ -132,7 +143,8 @@ class _Classes(dict):
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.fixed = {w: (c, 1.0) for c, words in (("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
-        self.fixed |= {c: ("end", 0.0) for c in ENDS} | {c: ("quote", 0.0) for c in QUOTES}
+        self.fixed |= {"\n": ("line", 0.0), ":": ("colon", 0.0), "“": ("quote", 0.0)}
+        self.fixed |= {c: (k, 0.0) for k, marks in (("end", ENDS), ("open", OPENS), ("close", CLOSES)) for c in marks}
 
     def __missing__(self, word: str) -> tuple[str, float]:
         found = self.fixed.get(word, ("word", 0.0))
@@ -148,7 +160,7 @@ class _Classes(dict):
 def counts(text: str, classes: _Classes, machine: Transducer) -> list[float]:
     """Weights by kind, the heaviest word, and how many clauses match, of a whole text."""
     out = [0.0] * (len(KINDS) + 2)
-    met = [classes[w] for w in TOKEN.findall(text.lower())]
+    met = [classes[w] for w in TOKEN.findall(OPENING.sub("„", text.lower().replace("’", "'")))]
     if not any(c == "insult" or c == "threat" for c, _ in met):
         return out
     clause = False
@@ -158,7 +170,7 @@ def counts(text: str, classes: _Classes, machine: Transducer) -> list[float]:
             out[KINDS.index(said)] += weight
             out[-2] = max(out[-2], weight)
             clause = True
-        elif said == "end":
+        elif said in ("end", "line"):
             out[-1] += clause
             clause = False
     out[-1] += clause
@@ -182,7 +194,7 @@ class Model:
 
 def learned_words(rows: DataFrame) -> dict[str, float]:
     """Words (after "=") and stems that labels show to be insults, with weights up to 1. Texts of equal word sets count once, as toxic if one is."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+(?:['’][\p{L}]+)?"), F.lit(0))))
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.replace(F.lower("text"), F.lit("’"), F.lit("'")), F.lit(r"[\p{L}]+(?:'[\p{L}]+)?"), F.lit(0))))
     rows = rows.select("toxic", words.alias("words")).filter(F.size("words") > 0)
     # words hold no spaces, so that equal digests are equal sets
     rows = rows.groupBy(F.sha2(F.array_join("words", " "), 256)).agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
@@ -198,8 +210,8 @@ def learned_words(rows: DataFrame) -> dict[str, float]:
     rate = (F.col("t") + 0.25) / (F.col("n") + 0.5)
     gain = F.col("t") * F.log(rate / share) + (F.col("n") - F.col("t")) * F.log((1 - rate) / (1 - share))
     strong = by_form.withColumns({"gain": gain, "rate": rate}).filter((F.col("gain") >= EVIDENCE) & (F.col("rate") >= max(0.8, share)))
-    best = strong.orderBy(F.desc("gain"), "form").limit(LEXICON).collect()
-    return {r["form"]: float(r["rate"]) for r in best}
+    # all of them: the bounded sample bounds how many forms can have so much evidence
+    return {r["form"]: float(r["rate"]) for r in strong.orderBy("form").collect()}
 
 
 def _features(lexicon: dict[str, float]):
@@ -241,7 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col:
     rows = written(rows, "toxicity-labelled")
     lexicon = {f"={w}": 0.9 for w in INSULTS} | learned_words(rows)
     found = rows.mapInPandas(_features(lexicon), "toxic int, x array<double>").collect()
-    x, y = inputs([r["x"] for r in found]), np.array([r["toxic"] for r in found], float)
+    # in an order of their own, so that the sums do not depend on that of the rows
+    found = sorted((r["toxic"], r["x"]) for r in found)
+    x, y = inputs([x for _, x in found]), np.array([t for t, _ in found], float)
     if len(set(y)) < 2:
         x, y = inputs([[0.0] * 7, [0.9, 0, 0, 0, 0, 0.9, 1], [0, 0.9, 0, 0, 0, 0.9, 1], [0, 0, 0.9, 0, 0, 0.9, 1], [0, 0, 0, 0.9, 0, 0.9, 1], [0, 0, 0, 0, 1, 1, 1]]), np.array([0, 1, 1, 0, 0, 1.0])
     return Model(lexicon, logistic(x, y))
@@ -275,6 +289,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows scored below one half, all columns."""
+    """The rows scored below one half, all columns; null and empty texts stay, repeated rows share a fate."""
     model = fit(docs, labels, ~held_out(F.col("doc_id")), text_col=text_col, **options)
-    return in_batches(docs).withColumn("__score", scores(F.col(text_col), model)).filter("__score < 0.5").drop("__score")
+    return in_batches(docs).filter(scores(F.col(text_col), model) < 0.5)

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -20,6 +21,41 @@ def test_grammar(text, kind):
     assert got[kind] > 0 and sum(got[k] > 0 for k in tox.KINDS) == 1
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("You aren’t an idiot", "negated"), ('A 5" pipe. You are an idiot.', "aimed"), ('A pipe" here. You are an idiot.', "aimed"), ("He said: you are an idiot", "told"),
+        ('"a stray mark\nYou idiot', "aimed"), ('"' + "word " * 70 + "you idiot", "aimed"), ("„Du idiot“ rief er", "told"), ("“You idiot”, he went on", "told"), ("«tu idiot» dit-il", "told"),
+        ("Du bist kein idiot", "negated"), ("Ich werde dich töten", "threat"), ("te voy a matar", "threat"), ("sin idiot", "negated"),
+    ],
+)
+def test_marks_and_languages(text, kind):
+    got = said(text)
+    assert got[kind] > 0 and sum(got[k] > 0 for k in tox.KINDS) == 1
+
+
+def test_long_texts_take_linear_time():
+    began = time.perf_counter()
+    for piece in ("idiot ", '"', "a'", "you not ", "“", "\n", "killyou", ":"):
+        said(piece * (500_000 // len(piece)))
+    assert time.perf_counter() - began < 60
+
+
+def test_scores_against_counting_by_hand(spark):
+    """Without usable labels the model is that of the fixed words: each score is the logistic of the counts, row by row, in any order."""
+    texts = [None, "", "you idiot", "you are not an idiot", "kill you", "word " * 50, "idiot"] * 2
+    docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t in enumerate(texts)], "doc_id long, text string, words string, score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = tox.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in tox.toxicity(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        x = np.log1p(list(said(t or "").values()))
+        z = np.append(x, list(said(t or "").values())[-2]) @ model.weights[:-1] + model.weights[-1]
+        assert np.isclose(got[i], 1 / (1 + np.exp(-z)))
+    kept = tox.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in got if got[i] < 0.5}
+
+
 def test_clauses_end_what_reaches():
     assert said("He is not. Idiot")["insult"] > 0
     assert said("They said so. Idiot")["insult"] > 0
