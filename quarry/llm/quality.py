@@ -1,9 +1,9 @@
 """Quality by co-training two views of a document.
 
-The content view sees the text's statistics, the metadata view what is known about the page
-(language, source, length). Both start from the labelled rows. In every round each view names
+The content view sees the words of a text, the metadata view what is known about the page
+(language, source, length) and the look of it (characters and lines). Both start from the labelled rows. In every round each view names
 the unlabelled documents it is surest of, and the other view learns them as its own. Each
-view is then calibrated on the labelled rows, and one logistic step over the calibrated
+view is then calibrated on labelled rows kept apart, and one logistic step over the calibrated
 views scores all documents. Features and scores are built-in expressions.
 
 Every unlabelled row takes part: a round scores them all in Spark, finds how sure a row must
@@ -28,29 +28,39 @@ from quarry.llm.toxicity import held_out, logistic
 LABELLED = 20_000
 #: Bins of raw scores from -20 to 20, and pieces in which the sums of tasks are added up.
 BINS, PIECES = 8_000, 16
+#: One labelled row in so many is kept to calibrate the views and to mix them.
+FOLDS = 4
 #: Hash buckets of languages and sources in the metadata view.
 LANGS, SOURCES = 16, 64
 
 
+def _n_words(words: Column) -> Column:
+    return F.greatest(F.size(words), F.lit(1)).cast("double")
+
+
+def _words_lines(text: Column) -> tuple[Column, Column, Column]:
+    """Letters of a whole text, its words and its lines."""
+    return F.greatest(F.length(text), F.lit(1)).cast("double"), F.array_remove(F.split(text, SPACE), ""), F.array_remove(F.split(text, r"[\r\n]+"), "")
+
+
 def content(text: Column) -> list[Column]:
-    """Shares and ratios of a whole text."""
-    size = F.greatest(F.length(text), F.lit(1)).cast("double")
-    words = F.array_remove(F.split(text, SPACE), "")
-    n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
-    lines = F.array_remove(F.split(text, r"[\r\n]+"), "")
-    n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
-    upper, digits = F.regexp_count(text, F.lit(r"\p{Lu}")) / size, F.regexp_count(text, F.lit(r"\p{Nd}")) / size
-    symbols = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size
+    """The words of a whole text: how many, how long, how often repeated, how they form sentences."""
+    size, words, lines = _words_lines(text)
+    n_words, n_lines = _n_words(words), _n_words(lines)
     ends = F.regexp_count(text, F.lit(r"[.!?](\s|$)")) / n_words
     unique_words, unique_lines = F.size(F.array_distinct(words)) / n_words, F.size(F.array_distinct(lines)) / n_lines
-    return [upper, F.sqrt(upper), digits, symbols, F.sqrt(symbols), ends, F.log1p(ends * 20), unique_words, unique_lines, size / n_words / 10, F.log1p(n_words) / 10, n_words / n_lines / 100, (n_words < 20).cast("double")]
+    return [ends, F.log1p(ends * 20), unique_words, unique_words * unique_words, unique_lines, size / n_words / 10, F.log1p(n_words) / 10, (n_words < 20).cast("double")]
 
 
-def metadata(lang: Column, source: Column, n_chars: Column) -> list[Column]:
-    """What is known without reading the text."""
+def metadata(lang: Column, source: Column, n_chars: Column, text: Column | None = None) -> list[Column]:
+    """What the page is like without its words: language, source, length, and of its text the characters and lines."""
     one = lambda c, n: [(F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(n)) == i).cast("double") for i in range(n)]
     log = F.log1p(F.greatest(F.coalesce(n_chars.cast("double"), F.lit(0.0)), F.lit(0.0))) / 10
-    return [log, log * log, (log < 0.5).cast("double"), *one(lang, LANGS), *one(source, SOURCES)]
+    size, words, lines = _words_lines(text_of() if text is None else text)
+    upper, digits = (F.regexp_count(text_of() if text is None else text, F.lit(p)) / size for p in (r"\p{Lu}", r"\p{Nd}"))
+    symbols = F.regexp_count(text_of() if text is None else text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size
+    form = [upper, F.sqrt(upper), digits, symbols, F.sqrt(symbols), _n_words(words) / _n_words(lines) / 100, F.log1p(_n_words(lines)) / 10]
+    return [log, log * log, (log < 0.5).cast("double"), *form, *one(lang, LANGS), *one(source, SOURCES)]
 
 
 @dataclass
@@ -122,10 +132,7 @@ def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, po
         for k in (0, 1):
             rows = list(given[k])
             views[k] = View.fitted(np.vstack([own[k], pools[k][rows]]), np.concatenate([y, [given[k][i] for i in rows]]))
-    for v, x in zip(views, own, strict=True):
-        v.calibration = tuple(logistic(v.raw(x)[:, None], y, decay=1e-3))
-    mix = logistic(np.column_stack([v.logit(x) for v, x in zip(views, own, strict=True)]), y, decay=1e-3)
-    return CoTrained(*views, mix, len(given[0]) + len(given[1]))
+    return CoTrained(*views, _calibrated(views, own, y), len(given[0]) + len(given[1]))
 
 
 def _rows(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -242,14 +249,27 @@ def _refitted(pool: DataFrame, rules: list[Given], own: tuple[np.ndarray, np.nda
     return views, given
 
 
-def co_train_all(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool: DataFrame, n: int, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> CoTrained:
+def _calibrated(views: list[View], own: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Calibrate each view on rows, and say how they are mixed."""
+    for v, x in zip(views, own, strict=True):
+        v.calibration = tuple(logistic(v.raw(x)[:, None], y, decay=1e-3))
+    return logistic(np.column_stack([v.logit(x) for v, x in zip(views, own, strict=True)]), y, decay=1e-3)
+
+
+def co_train_all(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool: DataFrame, n: int, held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, rounds: int = 4, sure: float = 0.95, share: float = 0.1) -> CoTrained:
     """``co_train`` over a pool that stays in Spark: n rows of columns a0.., b0.., lang, source, draw.
 
+    ``held`` are labelled rows (both views' features, classes) that nothing was fitted to: on
+    these the views are calibrated and mixed, if they have both classes.
+
     Where a bin holds more rows than may still be given, ``draw``, fixed for each row, says which.
     """
     start = co_train(a, b, y, a[:0], b[:0])
-    if len(set(y)) < 2 or not n:
+    apart = (held[:2], held[2]) if held is not None and len(set(held[2])) == 2 else ((a, b), y)
+    if len(set(y)) < 2:
         return start
+    if not n:
+        return CoTrained(start.text, start.page, _calibrated([start.text, start.page], *apart), 0)
     own, views, rules, given = (a, b), [start.text, start.page], [], 0
     edge = int(np.ceil((np.log(sure / (1 - sure)) + 20) * BINS / 40))
     most = [max(1, int(share * n * p)) for p in (np.mean(y), 1 - np.mean(y))]
@@ -270,10 +290,7 @@ def co_train_all(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool: DataFrame, n
         if not fresh:
             break
         views, given = _refitted(pool, rules, own, y, views)
-    for v, x in zip(views, own, strict=True):
-        v.calibration = tuple(logistic(v.raw(x)[:, None], y, decay=1e-3))
-    mix = logistic(np.column_stack([v.logit(x) for v, x in zip(views, own, strict=True)]), y, decay=1e-3)
-    return CoTrained(*views, mix, given)
+    return CoTrained(*views, _calibrated(views, *apart), given)
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, **options) -> CoTrained:
@@ -293,8 +310,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, **options) ->
     marked = rows.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).drop("doc_id")
     n = marked.count()
     found = marked.filter(F.col("draw") < limit / max(n, limit)).toPandas()
-    y = (found["quality"].to_numpy() > 0).astype(float)
-    return co_train_all(*_rows(found), y, pool, pool.count(), **options)
+    # in an order of their own, so that the sums do not depend on that of the rows
+    found = found.sort_values(list(found.columns)).reset_index(drop=True)
+    apart = (found["draw"].to_numpy() * 1e9).astype(np.int64) % FOLDS == 0
+    y, (x, z) = (found["quality"].to_numpy() > 0).astype(float), _rows(found)
+    return co_train_all(x[~apart], z[~apart], y[~apart], pool, pool.count(), (x[apart], z[apart], y[apart]), **options)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -313,7 +333,7 @@ def quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows scored one half or more, all columns."""
+    """The rows scored one half or more, all columns; null and empty texts are scored as empty, repeated rows share a fate."""
     model = fit(docs, labels, **options)
     score = model.score(content(text_of()), metadata(F.col("lang"), F.col("source"), F.col("n_chars")))
     return docs.filter(score >= 0.5)
