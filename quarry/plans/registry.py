@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, privacy, relations
+from quarry.plans import corpus, evidence, privacy, relations
 
-MODULES = (corpus, privacy, relations)
+MODULES = (corpus, evidence, privacy, relations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
