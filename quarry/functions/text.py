@@ -52,7 +52,7 @@ def pasted(html: Column) -> Column:
 
 
 def safe_category(category: Column) -> Column:
-    return F.when(category.rlike(r"^[a-z][a-z0-9-]{0,39}$"), category).otherwise("sensitive")
+    return F.when(category.rlike(r"^[a-z0-9][a-z0-9-]{0,63}$"), category).otherwise("sensitive")
 
 
 def option_normal(text: Column) -> Column:
