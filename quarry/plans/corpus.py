@@ -56,12 +56,6 @@ def a2_event_families(spark, sf_dir):
     return found.groupBy("event_type").agg(F.count("*").alias("raw"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
 
 
-def a4_conservation(spark, sf_dir):
-    """Families whose counters do not add up: none."""
-    found = a2_event_families(spark, sf_dir)
-    return found.filter("raw - kept <> dropped").select("event_type")
-
-
 def a5_coverage_share(spark, sf_dir):
     return classify.coverage_share(items(spark, sf_dir))
 
@@ -190,7 +184,7 @@ def h2_revisions(spark, sf_dir):
     return relate.revisions(now, was, "o_orderkey", "digest")
 
 
-QUERIES = {f.__name__: f for f in (p1_classify, p2_dependent_artifacts, p5_normalized, p11_release_document, a1_dispositions, a2_event_families, a4_conservation, a5_coverage_share, a8_per_document, a11_ordered_json, a12_document_digest, a14_release_counts, a17_membership, a20_percent_complete, w1_occurrence, w3_monotone, w7_ordinal_ids, w10_neighbours, w11_byte_cut, i1_replay_collapse, i2_projected_ids, i5_adjacent_mirrors, o7_top_documents, o9_page, u2_cover_faults, u6_concat, j7_most_overlap, j8_evidence, h2_revisions)}
+QUERIES = {f.__name__: f for f in (p1_classify, p2_dependent_artifacts, p5_normalized, p11_release_document, a1_dispositions, a2_event_families, a5_coverage_share, a8_per_document, a11_ordered_json, a12_document_digest, a14_release_counts, a17_membership, a20_percent_complete, w1_occurrence, w3_monotone, w7_ordinal_ids, w10_neighbours, w11_byte_cut, i1_replay_collapse, i2_projected_ids, i5_adjacent_mirrors, o7_top_documents, o9_page, u2_cover_faults, u6_concat, j7_most_overlap, j8_evidence, h2_revisions)}
 
 REVIEWED_SQL = ITEMS_SQL + """,
 talk as (select *, event_type = 'message' and actor_type in ('human', 'ai') and trim(coalesce(content, '')) <> '' as talks from items),
@@ -208,7 +202,6 @@ ORACLE = {
     "p11_release_document": "select doc_id, 'document-' || doc_id as title, case when source in ('src0', 'src1', 'src2') then source else 'local-agent-history' end as source_system from documents",
     "a1_dispositions": f"with {ITEMS_SQL} select disposition, disposition like 'keep%' as kept, count(*) as n from classified group by 1, 2",
     "a2_event_families": f"with {ITEMS_SQL} select event_type, count(*) as raw, count(*) filter (disposition like 'keep%') as kept, count(*) filter (disposition not like 'keep%') as dropped from classified group by 1",
-    "a4_conservation": f"with {ITEMS_SQL} select event_type from classified group by 1 having count(*) - count(*) filter (disposition like 'keep%') <> count(*) filter (disposition not like 'keep%')",
     "a5_coverage_share": f"with {REVIEWED_SQL} select review_type, count(*) as events, cast(sum(length(review_text)) as bigint) as chars, round(sum(length(review_text)) / sum(sum(length(review_text))) over (), 9) as share, review_type = 'message' as reviewed from reviewed group by 1",
     "a8_per_document": f"with {ITEMS_SQL} select document_id, count(*) as turns, cast(sum(length(content)) as bigint) as chars, cast(sum(strlen(content)) as bigint) as bytes from conv group by 1",
     "a11_ordered_json": f"""with {ITEMS_SQL} select document_id, '[' || string_agg('{{"sequence":' || sequence || ',"role":"' || role || '"}}', ',' order by sequence) || ']' as turns from conv group by 1""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, evidence, privacy, relations, review
+from quarry.plans import corpus, evidence, privacy, relations, release, review
 
-MODULES = (corpus, evidence, privacy, relations, review)
+MODULES = (corpus, evidence, privacy, relations, release, review)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
