@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,20 @@ CREDENTIAL_CATEGORY = r"(?i)(?:credential|token|secret|password|api[-_]?key|priv
 GENERIC_MARKERS = ("loaded a tool, ran commands", "read files, ran commands", "ran commands")
 
 
+def is_credential(text: Column) -> Column:
+    """Whether a text holds a credential. Each pattern is tried only on texts with one of the words that it needs."""
+    low = F.lower(text)
+    any_of = lambda t, words: functools.reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words.split()])
+    needs = (
+        any_of(text, "-----BEGIN"),
+        any_of(text, "sk- sk_live_ sk_test_ pk_live_ pk_test_ gho_ ghp_ ghs_ ghu_ github_pat_ glpat- npm_ AKIA AIza xox"),
+        any_of(low, "bearer"),
+        any_of(text, "eyJ"),
+        any_of(low, "key token password secret") & any_of(text, ": ="),
+    )
+    return functools.reduce(Column.__or__, [need & text.rlike(part) for need, part in zip(needs, CREDENTIAL_PARTS, strict=True)])
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units: characters beyond the first plane count twice."""
     return (F.length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))).cast("long")

@@ -82,4 +82,4 @@ def segments(spans: DataFrame, by: str) -> DataFrame:
     edges = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(x["s"], x["e"])))))
     cut = packed.withColumn("edges", edges).select(by, "all", F.explode(F.zip_with(F.slice("edges", F.lit(1), F.size("edges") - 1), F.slice("edges", F.lit(2), F.size("edges") - 1), lambda a, b: F.struct(a.alias("s"), b.alias("e")))).alias("p"))
     over = F.transform(F.filter("all", lambda x: (x["s"] <= F.col("p.s")) & (F.col("p.e") <= x["e"])), lambda x: x["id"])
-    return cut.select(by, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.array_sort(over).alias("ids"))
+    return cut.select(by, F.col("p.s").alias("start"), F.col("p.e").alias("end"), F.array_sort(F.array_distinct(over)).alias("ids"))

@@ -34,21 +34,24 @@ def without_overlaps(spans: Column) -> Column:
 
 def applied(text: Column, spans: Column) -> Column:
     """Text with each span as a tag. Overlapping spans give adjacent tags; one wholly inside others gives none; what one has hidden stays hidden."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("done"))
+    # pieces, joined at the end: a text is copied once, not once for each span
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("done"))
 
     def add(acc, x):
         gap = F.when(x["s"] > acc["done"], F.substring(text, acc["done"] + 1, x["s"] - acc["done"])).otherwise("")
         tag = F.when(x["e"] > acc["done"], F.concat(F.lit('<redacted category="'), x["c"], F.lit('"/>'))).otherwise("")
-        return F.struct(F.concat(acc["out"], gap, tag).alias("out"), F.greatest(acc["done"], x["e"]).alias("done"))
+        return F.struct(F.concat(acc["out"], F.array(gap, tag)).alias("out"), F.greatest(acc["done"], x["e"]).alias("done"))
 
-    return F.aggregate(ordered(spans), start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["done"] + 1, F.length(text))))
+    return F.aggregate(ordered(spans), start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["done"] + 1, F.length(text))))
 
 
 def matches(text: Column, pattern: str, category: str) -> Column:
     """All leftmost matches as spans, from the gaps between them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.transform(hits, lambda h, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(h).alias("n")))
+    # zipped, so that a text is cut once and not once for each hit
+    zipped = F.filter(F.arrays_zip(hits.alias("hit"), gaps.alias("gap")), lambda x: x["hit"].isNotNull())
+    pairs = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("n")))
     start = F.struct(F.array().cast(f"array<{SPAN}>").alias("found"), F.lit(0).alias("at"))
 
     def add(acc, x):

@@ -67,9 +67,8 @@ def a8_per_document(spark, sf_dir):
 
 def a11_ordered_json(spark, sf_dir):
     """Turns of each document as one JSON list in order."""
-    one = F.struct(F.col("sequence"), F.col("role"))
-    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.concat(F.lit('{"sequence":'), x["sequence"], F.lit(',"role":"'), x["role"], F.lit('"}')))
-    return conversation_items(spark, sf_dir).groupBy("document_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("turns"))
+    one = F.struct("sequence", "role")
+    return conversation_items(spark, sf_dir).groupBy("document_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("turns"))
 
 
 def a12_document_digest(spark, sf_dir):

@@ -30,7 +30,7 @@ def j13_semi(spark, sf_dir):
 
 
 def j14_anti(spark, sf_dir):
-    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    asked = table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(asked, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -101,7 +101,7 @@ ORACLE = {
     "j12_changes": """with n as (select p_partkey, sha256(p_name) as d from part where p_size > 8), w as (select p_partkey, sha256(case when p_partkey % 9 = 0 then 'old' else p_name end) as d from part where p_retailprice > 950)
       select coalesce(n.p_partkey, w.p_partkey) as p_partkey, case when n.d is null then 'removed' when w.d is null then 'added' else 'changed' end as change, w.d as old, n.d as new from n full outer join w on n.p_partkey = w.p_partkey where n.d is distinct from w.d""",
     "j13_semi": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 200000)",
-    "j14_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "j14_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)",
     "w2_resequenced": "select 'event-' || event_id as item_id, row_number() over (partition by user_id order by event_id) as sequence from events where event_type not in ('view', 'click')",
     "w9_latest": "select o_custkey, o_orderkey, o_orderstatus from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
     "w12_first_wins": f"select 'user-' || user_id as document_id, {_KIND} as event_type, 'event-' || min(event_id) as item_id, count(*) - 1 as duplicates from events group by 1, 2",
