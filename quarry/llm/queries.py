@@ -54,6 +54,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+OP2_SQL = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents),
+s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' ')) end) ss from w),
+n as (select doc_id, len(ss) n from s),
+-- equal sets are one node, so that copies meet once
+k as (select doc_id, n, case when n > 0 then md5(array_to_string(list_sort(ss), chr(10))) else 'empty' || doc_id end as node, ss from s join n using (doc_id)),
+r as (select node, min(n) n, any_value(ss) ss from k where n > 0 group by 1),
+x as (select node, n, unnest(ss) g from r),
+p as (select a.node u, b.node v from x a join x b on a.g = b.g and a.node < b.node and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) group by a.node, b.node, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e as (select u, v from p union all select v, u from p),
+c(node, least_id) as (select node, min(doc_id) from k group by 1
+  union select e.v, c.least_id from c join e on e.u = c.node),
+m as (select node, min(least_id) component_id from c group by 1)
+select k.doc_id, k.n as n_shingles, m.component_id from k join m using (node)
+"""
+
 OP6_SQL = r"""
 with w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') ws from documents),
 d as (select distinct doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) s from w where len(ws) >= 5),
@@ -89,4 +105,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_benchmark_decontamination": OP6_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_ngram_jaccard_join": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL, "op9_exact_dedup": OP9_SQL}
