@@ -23,9 +23,12 @@ def text_of(column: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where the session names none."""
+    """The folder all executors share. A local one is made only where the session names none and runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
