@@ -252,13 +252,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at_key = placed.groupBy("key", "home").agg(
         F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("n_least"), F.max("n").alias("n_most"),
     )
-    mixed = at_key.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("key")
-    asked = placed.join(mixed, "key", "left_semi").withColumnRenamed("home", "own")
+    at_key = written(at_key, "at-key")
+    mixed = written(at_key.groupBy("key").agg(F.min("least").alias("a"), F.max("most").alias("b")).filter("a <> b").select("key"), "mixed-keys")
+    # narrow tables of their own: sent to the nodes where small, else joined so that a hot key can be split
+    at_key = written(at_key.join(small(mixed), "key", "left_semi"), "at-mixed-key")
+    asked = placed.join(small(mixed), "key", "left_semi").withColumnRenamed("home", "own")
     near = (F.col("n_most") * 100 >= F.col("n") * percent) & (F.col("n_least") * percent <= F.col("n") * 100)
     other = (F.col("least") != F.col("component")) | (F.col("most") != F.col("component"))
     # of two tied nodes one asks: the one of the larger component number
     turn = ~F.col("tied") | (F.col("least") < F.col("component"))
-    queries = asked.join(at_key, "key").filter(near & other & turn).select("node", "component", "home").distinct()
+    queries = asked.join(small(at_key), "key").filter(near & other & turn).select("node", "component", "home").distinct()
     queries = written(queries, "queries")
 
     members = state.join(queries.select("home").distinct(), "home", "left_semi")
