@@ -25,23 +25,27 @@ DECAY = 0.5
 
 
 def features(text: Column) -> Column:
-    """Shares of a text that tell languages and junk apart, about 0 to 1 each, and their roots, as one array."""
+    """(tokens, x): the number of words, and shares of a text that tell languages and junk apart, about 0 to 1 each, with their roots.
+
+    The text is cut to words once; the classes of letters are of one byte each in Latin-1, which Java's patterns look up at once.
+    """
     size = F.greatest(F.length(text), F.lit(1)).cast("double")
 
     def of(words: Column) -> Column:
         n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
         share = [
-            F.regexp_count(text, F.lit(r"[àâçèêëîïôœùû]")) * 5 / size,
+            F.regexp_count(text, F.lit(r"[àâçèêëîïôùû]")) * 5 / size,
             F.regexp_count(text, F.lit(r"[äöüß]")) * 5 / size,
             F.regexp_count(text, F.lit(r"[ñíóá¿¡]")) * 5 / size,
             F.regexp_count(text, F.lit(r"[tws]h")) * 5 / size,
             F.regexp_count(text, F.lit(r"[A-Z]")) / size,
-            F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size,
+            F.regexp_count(text, F.lit(r"[!-+/:-@\[-`{-~-]")) / size,
             n_words * 4 / size,
             F.size(F.array_distinct(words)) / n_words,
         ]
         share = [F.least(x, F.lit(1.0)) for x in share]
-        return bound(F.array(*share), lambda x: F.concat(x, F.transform(x, F.sqrt), F.array(F.log1p(n_words) / 10)))
+        x = bound(F.array(*share), lambda x: F.concat(x, F.transform(x, F.sqrt), F.array(F.log1p(n_words) / 10)))
+        return F.struct(F.size(F.array_remove(words, "")).cast("double").alias("tokens"), x.alias("x"))
 
     return bound(F.split(text, SPACE), of)
 
@@ -80,7 +84,7 @@ class Domains:
     @staticmethod
     def fitted(labelled: DataFrame, domain: Column, text_col: str = "text") -> Domains:
         """From a bounded number of labelled rows. Rows whose domain is null teach nothing; one domain alone takes all."""
-        rows = labelled.select(domain.alias("domain"), features(text_of(text_col)).alias("x")).filter(F.col("domain").isNotNull()).collect()
+        rows = labelled.select(domain.alias("domain"), features(text_of(text_col))["x"].alias("x")).filter(F.col("domain").isNotNull()).collect()
         # in an order of their own, so that the sums do not depend on that of the rows
         found = sorted((r["domain"], r["x"]) for r in rows)
         names = sorted({d for d, _ in found})
@@ -90,9 +94,10 @@ class Domains:
 
     def scored(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Add tokens (words) and p (the posterior over names) to the rows."""
-        text = text_of(text_col)
-        p = bound(features(text), self._shares) if self.weights is not None else F.array(F.lit(1.0))
-        return docs.withColumns({"tokens": F.size(F.array_remove(F.split(text, SPACE), "")).cast("double"), "p": p})
+        share = self._shares if self.weights is not None else lambda x: F.array(F.lit(1.0))
+        both = bound(features(text_of(text_col)), lambda f: F.struct(f["tokens"].alias("tokens"), share(f["x"]).alias("p")))
+        names = [F.col(f"`{c}`") for c in docs.columns if c not in ("tokens", "p")]
+        return docs.select(*names, both.alias("__both")).select(*names, "__both.*")
 
     def _shares(self, x: Column) -> Column:
         of = lambda k: sum((F.get(x, F.lit(j)) * float(w) for j, w in enumerate(self.weights[:-1, k])), F.lit(float(self.weights[-1, k])))
