@@ -83,6 +83,8 @@ def contained_items(
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no item, all columns; null and empty texts stay."""
+    """The documents that hold no item, all columns; null and empty texts stay, repeated rows share a fate."""
     bad = written(contained_items(docs, items, id_col, text_col, **options).select(F.col("key").alias("__key")).distinct(), "contaminated")
-    return docs.withColumn("__key", keyed(docs, id_col, text_col)).join(small(bad), "__key", "left_anti").drop("__key")
+    # rows as one value, so that no column of theirs can clash
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), keyed(docs, id_col, text_col).alias("__key"))
+    return rows.join(small(bad), "__key", "left_anti").select("row.*")

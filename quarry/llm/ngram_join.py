@@ -307,5 +307,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = docs.join(small(once), mine, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
     if often.isEmpty():
         return out
-    repeated = docs.join(small(often), mine, "left_semi").withColumn("__text", text_of(text_col))
-    return out.unionByName(repeated.dropDuplicates([id_col, "__text"]).drop("__text"))
+    # rows as one value, so that no column of theirs can clash
+    repeated = docs.join(small(often), mine, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return out.unionByName(repeated.dropDuplicates(["id", "text"]).select("row.*"))

@@ -148,6 +148,17 @@ def test_containment_against_brute_force(spark):
     assert decontam.decontaminated(a, b.filter("false")).count() == len(docs)
 
 
+def test_containment_of_repeated_rows_long_texts_and_clashing_columns(spark):
+    """Rows and items that repeat, null ids, a text of half a million words, columns named like those within."""
+    item = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, item, "a", "b"), (1, item, "a", "b"), (None, item, "a", "b"), (2, "word " * 500_000 + item, "a", "b"), (3, "w1 w2", "a", "b"), (3, None, "a", "b")], "doc_id long, text string, __key string, row string")
+    items = spark.createDataFrame([(7, item), (8, item), (8, item), (9, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contained_items(docs, items).collect()}
+    assert got == {(d, i) for d in (1, 2, None) for i in (7, 8)}
+    clean = decontam.decontaminated(docs, items)
+    assert clean.columns == docs.columns and sorted(map(repr, clean.collect())) == sorted(map(repr, docs.filter("doc_id = 3").collect()))
+
+
 def test_digest_index_across_batches(spark):
     schema = "doc_id long, text string, batch string, keep_id string"
     one = spark.createDataFrame([(3, "a  b", "x", "x"), (1, "a b", "x", "x"), (2, None, "x", "x"), (4, "", "x", "x")], schema)
