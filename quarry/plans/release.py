@@ -14,9 +14,6 @@ from quarry.operators import authority, relate, spans
 from quarry.plans.evidence import literal, values
 from quarry.sources.items import conversation_items, table
 
-LINE = F.concat_ws(":", "l_orderkey", "l_linenumber")
-
-
 def picked(c, *values_):
     return F.get(F.array(*[F.lit(v) for v in values_]), (c % len(values_)).cast("int"))
 
