@@ -113,8 +113,8 @@ def p15_bounded_texts(spark, sf_dir):
 
 def p18_masked_reasons(spark, sf_dir):
     """Reasons that name a unit or belong to the story family are replaced when released."""
-    reason = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("semantic-unit:"), "p_partkey")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("oxygen.story/"), "p_brand")).otherwise(F.col("p_type"))
-    masked = F.when(reason.startswith("semantic-unit:"), "Project event").when(reason.startswith("oxygen.story"), "Story evidence").otherwise(reason)
+    reason = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("semantic-unit:"), "p_partkey")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("project.story/"), "p_brand")).otherwise(F.col("p_type"))
+    masked = F.when(reason.startswith("semantic-unit:"), "Project event").when(reason.startswith("project.story"), "Story evidence").otherwise(reason)
     return table(spark, sf_dir, "part").select("p_partkey", masked.alias("reason"))
 
 
