@@ -129,6 +129,15 @@ class Rates:
         return bound(F.struct(F.col(p).alias("p"), (F.col(tokens) / self.mean).alias("t")), lambda s: _rate(self.steps, s["p"], s["t"]))
 
 
+def _unit(total: float) -> float:
+    """Sums are of whole multiples of 1 / unit, so that they do not depend on the order of rows: as fine as 16 times ``total`` has room for in 64 bits."""
+    return 2.0 ** min(40, 58 - int(total).bit_length())
+
+
+def _exact(x: Column, unit: float) -> Column:
+    return F.sum(F.rint(x * unit).cast("long"))
+
+
 def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | None = None, rounds: int = 40, tolerance: float = 1e-4) -> Rates:
     """Fit rates to rows (tokens, p).
 
@@ -138,15 +147,18 @@ def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | N
     of them don't reach that, ``settled`` is false and a warning tells the totals. Rows without tokens keep rate 1: they weigh nothing.
     """
     n = len(names)
-    mean = float(scored.agg(F.avg("tokens")).first()[0] or 0) or 1.0
+    whole = F.col("tokens").cast("long")
+    total, squares, n_rows = scored.agg(F.sum(whole), F.sum((whole * whole).cast("decimal(38,0)")), F.count("tokens")).first()
+    mean = (total or 0) / max(n_rows, 1) or 1.0
+    unit = _unit(float(squares or 0) / mean**2)
     t = F.col("tokens") / mean
     at = lambda d: F.get("p", F.lit(d)) * t
     pairs = list(itertools.combinations_with_replacement(range(n), 2))
-    sums = scored.agg(*[F.sum(at(d)).alias(f"e{d}") for d in range(n)], *[F.sum(at(a) * at(b)).alias(f"g{a}_{b}") for a, b in pairs]).first()
-    natural = np.array([sums[f"e{d}"] or 0.0 for d in range(n)])
+    sums = scored.agg(*[_exact(at(d), unit).alias(f"e{d}") for d in range(n)], *[_exact(at(a) * at(b), unit).alias(f"g{a}_{b}") for a, b in pairs]).first()
+    natural = np.array([(sums[f"e{d}"] or 0) / unit for d in range(n)])
     gram = np.zeros((n, n))
     for a, b in pairs:
-        gram[a, b] = gram[b, a] = sums[f"g{a}_{b}"] or 0.0
+        gram[a, b] = gram[b, a] = (sums[f"g{a}_{b}"] or 0) / unit
     held = natural > 1e-9
     share = np.array([weights.get(k, 0.0) for k in names]) if weights else np.where(held, natural, 0.0) ** 0.7
     share = np.where(held, share, 0.0)
@@ -155,12 +167,12 @@ def fit_rates(scored: DataFrame, names: list[str], weights: dict[str, float] | N
     target = share * float(np.max(natural[wanted] / share[wanted])) if wanted.any() else natural * 0
     metric = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     steps: list[np.ndarray] = []
-    reached = natural
+    reached, unit = natural, _unit(max(target.sum(), natural.sum()))
     while len(steps) < rounds and np.max(np.abs(target - reached)) > tolerance * max(target.sum(), 1e-12):
         steps.append(metric @ (target - reached))
         rated = scored.select("p", t.alias("t"), _rate(steps, F.col("p"), t).alias("rate"))
-        made = rated.agg(*[F.sum(F.get("p", F.lit(d)) * F.col("t") * F.col("rate")).alias(f"e{d}") for d in range(n)]).first()
-        reached = np.array([made[f"e{d}"] or 0.0 for d in range(n)])
+        made = rated.agg(*[_exact(F.get("p", F.lit(d)) * F.col("t") * F.col("rate"), unit).alias(f"e{d}") for d in range(n)]).first()
+        reached = np.array([(made[f"e{d}"] or 0) / unit for d in range(n)])
     report = {k: {"natural": natural[d] * mean, "target": target[d] * mean, "fitted": reached[d] * mean} for d, k in enumerate(names)}
     settled = bool(np.max(np.abs(target - reached)) <= tolerance * max(target.sum(), 1e-12))
     if not settled:

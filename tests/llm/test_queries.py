@@ -22,7 +22,7 @@ def test_against_sql(spark, data, name):
     names = [c[0] for c in want.description]
     got = queries.queries()[name](spark, data)
     assert sorted(got.columns) == sorted(names)
-    assert sorted(map(repr, got.select(*names).toPandas().itertuples(index=False, name=None))) == sorted(map(repr, want.fetch_df().itertuples(index=False, name=None)))
+    assert sorted(repr(tuple(r)) for r in got.select(*names).collect()) == sorted(map(repr, want.fetchall()))
 
 
 def base(text):
