@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, evidence, handover, privacy, relations, release, review
+from quarry.plans import corpus, edits, evidence, handover, privacy, relations, release, review, sharding
 
-MODULES = (corpus, evidence, handover, privacy, relations, release, review)
+MODULES = (corpus, edits, evidence, handover, privacy, relations, release, review, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
