@@ -9,29 +9,36 @@ from pyspark.sql import functions as F
 TIMESTAMPED = r"^(\d{1,3}:\d{2})Speaker\s+([A-Z])\s*(.*)$"
 LABELLED = r"^(?:\[(\d{1,3}:\d{2}(?::\d{2})?)\] *)?([^:：]+?)[:：] *(\S.*)$"
 LABEL = r"^[\p{L}\p{N}]+(?:[.'’-][\p{L}\p{N}]+)*(?: +[\p{L}\p{N}]+(?:[.'’-][\p{L}\p{N}]+)*)*$"
-NOT_SPEAKERS = "agenda attendees date duration location notes participants subject summary time title topic".split()
+NOT_SPEAKERS = [
+    "agenda", "answer", "author", "created", "date", "description", "duration", "file", "id", "key", "language", "location", "meeting id", "meeting title", "metadata", "name", "note", "owner", "path", "project",
+    "project id", "question", "schema", "source", "speaker", "status", "summary", "time", "title", "todo", "topic", "type", "updated", "uri", "url", "value", "version", "warning",
+]
+NOT_FIRST = ["action", "chapter", "meeting", "phase", "project", "section", "step"]
+ROLES = ("Speaker", "说话人")
 
 
 def lines_of(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line from 1, text) of the lines that are not blank, trimmed."""
+    """(id, line from 1, text, control) of the lines that are not blank, trimmed; control tells of control characters anywhere in the line."""
     split = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|\r|\n")).alias("pos", "text"))
-    return split.select("id", (F.col("pos") + 1).alias("line"), F.trim("text").alias("text")).filter("text <> ''")
+    return split.select("id", (F.col("pos") + 1).alias("line"), F.trim("text").alias("text"), F.col("text").rlike(r"\p{Cc}").alias("control")).filter("text <> ''")
 
 
 def speaker_label(label: Column) -> Column:
     """Whether a label can be a speaker's: short, of words with a letter, capitalised, and none of metadata."""
     words = F.split(label, " +")
     lower = F.exists(words, lambda w: w.rlike(r"^\p{Ll}"))
-    return (F.length(label) <= 24) & label.rlike(LABEL) & label.rlike(r"\p{L}") & ~F.lower(label).isin(NOT_SPEAKERS) & (~lower | label.startswith("Speaker"))
+    role = label.startswith(ROLES[0]) | label.startswith(ROLES[1])
+    named = ~F.lower(label).isin(NOT_SPEAKERS) & ~F.lower(F.element_at(words, 1)).isin(NOT_FIRST)
+    return (F.length(label) <= 24) & label.rlike(LABEL) & label.rlike(r"\p{L}") & named & (~lower | role)
 
 
 def with_forms(lines: DataFrame) -> DataFrame:
-    """Adds what each line is: form (timestamped, labelled, other), clock, speaker and body."""
+    """Adds what each line is: form (timestamped, labelled, other), clock, speaker and body. A line with control characters is no speaker's."""
     label = F.trim(F.regexp_extract("text", LABELLED, 2))
     body = F.regexp_extract("text", LABELLED, 3)
     odd_body = body.rlike(r"^[/\\]") | F.element_at(F.split(body, " "), 1).rlike("[:：]")
     stamped = F.col("text").rlike(TIMESTAMPED)
-    spoken = F.col("text").rlike(LABELLED) & speaker_label(label) & ~odd_body
+    spoken = F.col("text").rlike(LABELLED) & speaker_label(label) & ~odd_body & ~F.col("control")
     pick = lambda a, b: F.when(stamped, F.nullif(a, F.lit(""))).when(spoken, F.nullif(b, F.lit("")))
     return lines.select(
         "*",

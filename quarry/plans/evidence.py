@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import records as rec
 from quarry.functions import text as txt
-from quarry.operators import meetings
 from quarry.sources.items import conversation_items, table
 
 
@@ -235,31 +234,7 @@ def i7_duplicate_units(spark, sf_dir):
     return units.join(other, "of", "left").select("id", code.alias("code")).filter("code is not null")
 
 
-MEETINGS = [
-    (1, "0:05Speaker A hello there\ngoing on\n\n0:09Speaker B  yes\n12:30Speaker A bye"), (2, "Anna: good morning\nBen: hi Anna\nand all\nAnna: let us begin"), (3, "[0:05] Anna Lee: one\n[0:07] Ben: two\nnote: not a speaker\nThree words here: x"), (4, "Just prose here.\nAnother line, with: colon\nthird"), (5, "Anna: alone"), (6, "preface\nAnna: one\nBen: two\nAnna: three"),
-    (7, "Date: 2024-01-02\nAgenda: things\nplain words\nmore"), (8, "intro\nmore\n0:01Speaker A x\n0:02Speaker B y"), (9, "Speaker 1: eins\nSpeaker 2: zwei"), (10, "anna: lower\nben: case\ncarl: names"), (11, "Anna： full width\nBen: http://x.org/a\nCarl: /path"), (12, ""),
-]
-_MEET = f"""lines as (select id, unnest(range(1, len(ls) + 1)) as line, trim(unnest(ls)) as text from (select id, string_split(text, chr(10)) as ls from {values(MEETINGS, "id", "text")})),
-formed as (select *, regexp_extract(text, '^(\\d{{1,3}}:\\d{{2}})Speaker\\s+([A-Z])\\s*(.*)$', ['a', 'b', 'c']) as st, regexp_extract(text, '^(?:\\[(\\d{{1,3}}:\\d{{2}}(?::\\d{{2}})?)\\] *)?([^:：]+?)[:：] *(\\S.*)$', ['a', 'b', 'c']) as la from lines where text <> ''),
-said as (select id, line, text, st, la, case when st.b <> '' then 'timestamped' when la.c <> '' and length(trim(la.b)) <= 24 and regexp_matches(trim(la.b), '^[\\p{{L}}\\p{{N}}]+(?:[.''’-][\\p{{L}}\\p{{N}}]+)*(?: +[\\p{{L}}\\p{{N}}]+(?:[.''’-][\\p{{L}}\\p{{N}}]+)*)*$') and regexp_matches(la.b, '\\p{{L}}')
-  and lower(trim(la.b)) not in ({", ".join(repr(w) for w in meetings.NOT_SPEAKERS)}) and (la.b like 'Speaker%' or not regexp_matches(la.b, '(^| )\\p{{Ll}}')) and not regexp_matches(la.c, '^[/\\\\]') and not regexp_matches(string_split(la.c, ' ')[1], '[:：]') then 'labelled' else 'other' end as form from formed),
-formats as (select id, case when count_if(form = 'timestamped') >= greatest(1, count(*) // 2) then 'timestamped' when (count(*) = 1 and count_if(form = 'labelled') = 1) or count_if(form = 'labelled') >= greatest(2, count(*) // 2) then 'speaker-labeled' else 'plain' end as format from said group by id)"""
-
-
-def meeting_lines(spark):
-    return meetings.with_forms(meetings.lines_of(literal(spark, MEETINGS, "id int, text string"), "id", "text"))
-
-
-def l1_formats(spark, sf_dir):
-    return meetings.formats(meeting_lines(spark))
-
-
-def l2_l3_w4_records(spark, sf_dir):
-    found = meetings.records(meeting_lines(spark))
-    return found.select("id", F.col("order").cast("long").alias("order"), "clock", "speaker", "text", F.col("source_line").cast("long").alias("source_line"))
-
-
-QUERIES = {f.__name__: f for f in (s1_jsonl_scan, s1_refused_lines, s3_bounded_scan, s4_structured_cwd, s5_locations, s6_path_relations, s7_discovery, s8_session_identity, s10_message_texts, s11_unknown_senders, s13_import_identities, s14_project_documents, s17_copied_files, s18_archive_members, k2_array_rows, c1_canonical_rows, c6_corpus_digest, c5_row_digests, c7_json_paths, c9_checksums, i3_rewritten_ids, i4_meeting_record_ids, i6_last_messages, i7_duplicate_units, l1_formats, l2_l3_w4_records)}
+QUERIES = {f.__name__: f for f in (s1_jsonl_scan, s1_refused_lines, s3_bounded_scan, s4_structured_cwd, s5_locations, s6_path_relations, s7_discovery, s8_session_identity, s10_message_texts, s11_unknown_senders, s13_import_identities, s14_project_documents, s17_copied_files, s18_archive_members, k2_array_rows, c1_canonical_rows, c6_corpus_digest, c5_row_digests, c7_json_paths, c9_checksums, i3_rewritten_ids, i4_meeting_record_ids, i6_last_messages, i7_duplicate_units)}
 
 ORACLE = {
     "s1_jsonl_scan": f"select conv_id as file, turn + 1 as line, concat_ws('-', 'e', conv_id, turn) as event_id, lower(role) as type, length(text) as n_chars from conversations where {_GOOD}",
@@ -286,10 +261,4 @@ ORACLE = {
     "i6_last_messages": "with n as (select conv_id, max_by(text, turn) as last from conversations group by 1), m as (select conv_id, case when conv_id % 3 = 0 then last || '!' else last end as text from n) select conv_id, length(text) as n_chars from m where not exists (select 1 from conversations c where c.conv_id = m.conv_id and c.text = m.text)",
     "i7_duplicate_units": """with u as (select o_orderkey as id, case when o_orderkey % 7 = 0 then 'duplicate' else 'work' end as kind, case when o_orderkey % 7 = 0 then case when o_orderkey % 5 = 0 then o_orderkey else o_orderkey - o_orderkey % 11 end when o_orderkey % 97 = 0 then 1 end as of_id from orders),
       c as (select u.id, case when (u.kind = 'duplicate') <> (u.of_id is not null) then 'kind' when u.kind = 'duplicate' and u.of_id = u.id then 'itself' when u.kind = 'duplicate' and o.kind is null then 'unknown' when u.kind = 'duplicate' and o.kind = 'duplicate' then 'chain' end as code from u left join u o on o.id = u.of_id) select * from c where code is not null""",
-    "l1_formats": f"with {_MEET} select * from formats",
-    "l2_l3_w4_records": f"""with {_MEET}, b as (select s.*, format, format = 'plain' or (format = 'timestamped' and form = 'timestamped') or (format = 'speaker-labeled' and form = 'labelled') as begins from said s join formats using (id)),
-      n as (select *, sum(begins::int) over (partition by id order by line) as nth from b),
-      g as (select id, nth, format, min(line) as source_line, max(case when begins and format <> 'plain' then case when form = 'timestamped' then st.a else nullif(la.a, '') end end) as clock, max(case when begins and format <> 'plain' then case when form = 'timestamped' then st.b else trim(la.b) end end) as speaker,
-        string_agg(case when begins and format = 'timestamped' then trim(st.c) when begins and format = 'speaker-labeled' then trim(la.c) else text end, ' ' order by line) as text from n where nth > 0 or format = 'speaker-labeled' group by 1, 2, 3)
-      select id, row_number() over (partition by id order by nth) as order, clock, speaker, text, source_line from g""".replace(" as order,", ' as "order",'),
 }
