@@ -5,8 +5,6 @@ Orders stand for chapters and units, customers for owners and runs, lines for me
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,15 +12,6 @@ from quarry.functions import records as rec
 from quarry.plans.evidence import literal, values
 from quarry.sources.items import conversation_items, table
 
-FRAGMENTS = ("the", "then", "de la", "und")
-
-
-def g5_known_fragments(spark, sf_dir):
-    """Texts with all known fragments hidden: the leftmost first, of those at one place the longest."""
-    known = "|".join(re.escape(f) for f in sorted(FRAGMENTS, key=len, reverse=True))
-    hidden = F.regexp_replace("text", known, '<redacted category="sensitive"/>')
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(hidden, 256).alias("hidden_sha256"))
-
 
 def g15_publishable(spark, sf_dir):
     """Occurrences that may be published, and those that are: credentials never, others if a contributor said so."""
@@ -182,12 +171,11 @@ def v91_receipt_chain(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    g5_known_fragments, g15_publishable, l7_proposal_states, x2_handoff, f4_bulk_faults, f6_lesson_context, t9_lane_receipts, t10_release_chapters, v2_evidence_split, v3_scoped_units, v12_mapping_faults, v17_owner_bundles,
+    g15_publishable, l7_proposal_states, x2_handoff, f4_bulk_faults, f6_lesson_context, t9_lane_receipts, t10_release_chapters, v2_evidence_split, v3_scoped_units, v12_mapping_faults, v17_owner_bundles,
     v20_forbidden_keys, v24_language_rows, v27_retained_choices, v35_stale_questions, v37_presentations, v39_kind_labels, v49_support_items, v50_session_heads, v51_selected_sessions, v91_receipt_chain,
 )}
 
 ORACLE = {
-    "g5_known_fragments": "select doc_id, sha256(regexp_replace(text, 'de la|then|the|und', '<redacted category=\"sensitive\"/>', 'g')) as hidden_sha256 from documents",
     "g15_publishable": "select l_linenumber <> 1 and l_returnflag <> 'R' as can_publish, l_linenumber <> 1 and l_returnflag <> 'R' and l_linestatus = 'O' as is_public, count(*) as n from lineitem group by 1, 2",
     "l7_proposal_states": "select l_orderkey, case when bool_or(l_returnflag = 'A') then 'accepted' when count(*) filter (l_returnflag = 'R') = 0 then 'awaiting' when count(*) filter (l_returnflag = 'R') <= 2 then 'correctable' else 'exhausted' end as state from lineitem group by 1",
     "x2_handoff": "select o_custkey, count(*) filter (o_orderstatus <> 'P') as confirmed, count(*) as total, count(*) filter (o_orderstatus = 'P') = 0 and o_custkey % 3 <> 0 as handed_on from orders group by o_custkey",

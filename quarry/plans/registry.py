@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, edits, evidence, handover, minutes, privacy, receipted, relations, release, review, sharding
+from quarry.plans import corpus, edits, evidence, handover, minutes, privacy, receipted, redaction, relations, release, review, sharding
 
-MODULES = (corpus, edits, evidence, handover, minutes, privacy, receipted, relations, release, review, sharding)
+MODULES = (corpus, edits, evidence, handover, minutes, privacy, receipted, redaction, relations, release, review, sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

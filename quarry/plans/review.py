@@ -185,12 +185,6 @@ def j11_narratives(spark, sf_dir):
     return packed.select("o_custkey", F.size("all").cast("long").alias("n"), F.sha2(F.array_join(F.transform("all", lambda x: F.concat_ws(":", x["l_orderkey"], x["l_linenumber"])), ","), 256).alias("digest"))
 
 
-def j16_known_fragments(spark, sf_dir):
-    """Which known fragments stand in which texts: the few fragments are sent to every text, no pair of texts is made."""
-    known = literal(spark, [(1, "the "), (2, " und "), (3, "que"), (4, "not there at all")], "fragment int, needle string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(known), F.col("text").contains(F.col("needle"))).groupBy("fragment").agg(F.count("*").alias("n"))
-
 
 def j17_grounded_claims(spark, sf_dir):
     """Claims cut from turns: grounded where the normalised claim stands in the cited turn."""
@@ -326,25 +320,6 @@ def n4_trimmed(spark, sf_dir):
     return literal(spark, SPACED, "id int, text string").select("id", F.hex(F.encode(cut, "UTF-8")).alias("trimmed"))
 
 
-NEEDLES = [(1, "aaaa", "aa"), (2, "abc", "d"), (3, "", "a"), (4, "a", ""), (5, "éaéaé", "éaé")]
-
-
-def n6_overlapping(spark, sf_dir):
-    rows = literal(spark, NEEDLES, "id int, text string, needle string")
-    return rows.select("id", F.array_join(rec.overlapping_ranges(F.col("text"), F.col("needle")).cast("array<string>"), ",").alias("starts"))
-
-
-EDITS = [(1, "revise", "old", "new 5"), (2, "delete", "old", "new 5"), (3, "revise", "a", "see https://x.org"), (4, "revise", "a", "b\nc"), (5, "revise", "a.", "b. c."), (6, "revise", "a", "plain"), (7, "add", "", "   "), (8, "revise", "1", "2"), (9, "revise", "x", "/usr/lib/python/y")]
-
-
-def n13_needs_evidence(spark, sf_dir):
-    """Edits that bring in numbers, places, paragraphs or sentences."""
-    rows, new, old = literal(spark, EDITS, "id int, op string, old string, new string"), F.col("new"), F.col("old")
-    sentences = lambda c: F.regexp_count(c, F.lit(r"[.!?。！？](\s|$)"))
-    brings = (new.rlike(r"\d") & ~old.rlike(r"\d")) | new.rlike(r"https?://|[A-Za-z]:\\|/([^\s/]+/){2,}") | (new.contains("\n") & ~old.contains("\n")) | (sentences(new) > sentences(old))
-    return rows.select("id", ((F.col("op") != "delete") & (F.trim("new") != "") & brings).alias("needs_evidence"))
-
-
 def n16_categories(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 5 == 0, F.concat("p_brand", F.lit(" API-Key"))).when(F.col("p_size") % 5 == 1, "PrivateKey").when(F.col("p_size") % 5 == 2, "tokens").otherwise(F.col("p_type")).alias("category"))
     return rows.groupBy(F.col("category").rlike(txt.CREDENTIAL_CATEGORY).alias("credential")).agg(F.count("*").alias("n"))
@@ -411,9 +386,9 @@ def r2_merged_counters(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     p1_source_dispositions, p6_pseudonyms, p7_directions, p8_source_ids, p9_contents, p10_release_items, p13_sequences, p14_corpus_faults, p15_bounded_texts, p18_masked_reasons, p19_exact_keys, p21_null_safe,
-    j2_latest_receipts, j3_run_items, j5_currency, j6_span_units, j9_candidates, j10_exact_rows, j11_narratives, j16_known_fragments, j17_grounded_claims, j18_copied_units,
+    j2_latest_receipts, j3_run_items, j5_currency, j6_span_units, j9_candidates, j10_exact_rows, j11_narratives, j17_grounded_claims, j18_copied_units,
     a4_conservation, a10_guards, a15_projects, a16_document_starts, a19_review_summary, a21_privacy_totals, w6_phases, w8_context, o5_documents_listing, o10_probe_cap, o11_longest_first,
-    u1_known_ids, u3_shards, u4_key_sets, u7_merged_units, n4_trimmed, n6_overlapping, n13_needs_evidence, n16_categories, n18_phase_labels, n20_safe_categories, d3_transcript_days, d6_stale_leases, d7_suppressed_clocks, m1_shard_counts, r1_arrays, r2_merged_counters,
+    u1_known_ids, u3_shards, u4_key_sets, u7_merged_units, n4_trimmed, n16_categories, n18_phase_labels, n20_safe_categories, d3_transcript_days, d6_stale_leases, d7_suppressed_clocks, m1_shard_counts, r1_arrays, r2_merged_counters,
 )}
 
 _EV = "case event_type when 'view' then 'tool_call' when 'click' then 'tool_call' when 'error' then 'tool_result' when 'signup' then 'system' when 'purchase' then 'artifact' else event_type end"
@@ -445,7 +420,6 @@ ORACLE = {
     "j9_candidates": "with a as (select 'conv-' || conv_id || ':turn-' || (turn + case when conv_id % 4 = 0 then 1 else 0 end - case when conv_id % 9 = 0 and turn > 0 then 1 else 0 end) as item_id, count(*) as n from conversations group by 1), k as (select 'conv-' || conv_id || ':turn-' || turn as item_id, case lower(role) when 'user' then 'human' when 'assistant' then 'ai' else lower(role) end as actor from conversations) select item_id, case when actor is null then 'unknown' when n > 1 then 'repeated' else actor end as found from a left join k using (item_id)",
     "j10_exact_rows": "select o_orderkey as unit, case when o_orderkey % 50 = 1 then 'unknown' when o_orderkey % 50 = 2 then 'missing' else 'repeated' end as code from orders where o_orderkey % 50 in (1, 2) or o_orderkey % 40 = 3",
     "j11_narratives": "select o_custkey, count(*) as n, sha256(string_agg(l_orderkey || ':' || l_linenumber, ',' order by l_orderkey, l_linenumber)) as digest from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' group by 1",
-    "j16_known_fragments": "select f as fragment, count(*) as n from documents, (values (1, 'the '), (2, ' und '), (3, 'que'), (4, 'not there at all')) k(f, needle) where contains(text, needle) group by 1",
     "j17_grounded_claims": f"with c as (select conv_id, case when conv_id % 3 = 0 then turn + 1 else turn end as turn, '  ' || text[5:28] || ' !' as claim from conversations) select c.conv_id, count(*) filter (contains({_CLAIM.format('t.text')}, {_CLAIM.format('claim')})) as n_grounded, count(*) as n_claims from c left join conversations t on t.conv_id = c.conv_id and t.turn = c.turn group by 1",
     "j18_copied_units": "select coalesce(o_orderpriority, 'Unclassified') as category, count(*) as n from lineitem left join (select * from orders where o_orderkey % 3 <> 0) on o_orderkey = l_orderkey group by 1",
     "a4_conservation": "select distinct 'user-' || user_id as document_id, 'dropped' as code from events where user_id % 9 = 0",
@@ -465,8 +439,6 @@ ORACLE = {
     "u4_key_sets": "select user_id, string_agg(event_type, ',' order by event_type) as unreported from (select distinct user_id, event_type from events except select user_id, event_type from events where user_id % 5 <> 0 or event_type not in ('error', 'view')) group by 1",
     "u7_merged_units": "select l_orderkey, case when count(distinct case when l_orderkey % 10 = 0 then l_linestatus else 'x' end) = 1 then string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) else 'conflict' end as members from lineitem group by 1",
     "n4_trimmed": "select id, hex(encode(t)) as trimmed from (values (1, 'a'), (2, 'b'), (3, 'c'), (4, chr(8203) || 'd'), (5, ''), (6, 'e' || chr(12288) || 'f')) x(id, t)",
-    "n6_overlapping": f"select id, array_to_string(list_filter(range(0, length(text) - length(needle) + 1), lambda i: needle <> '' and substr(text, i + 1, length(needle)) = needle), ',') as starts from {values(NEEDLES, 'id', 'text', 'needle')}",
-    "n13_needs_evidence": f"select id, op <> 'delete' and trim(new) <> '' and ((regexp_matches(new, '\\d') and not regexp_matches(old, '\\d')) or regexp_matches(new, 'https?://|[A-Za-z]:\\\\|/([^\\s/]+/){{2,}}') or (contains(new, chr(10)) and not contains(old, chr(10))) or len(regexp_extract_all(new, '[.!?](\\s|$)')) > len(regexp_extract_all(old, '[.!?](\\s|$)'))) as needs_evidence from {values(EDITS, 'id', 'op', 'old', 'new')}",
     "n16_categories": "select regexp_matches(case p_size % 5 when 0 then p_brand || ' API-Key' when 1 then 'PrivateKey' when 2 then 'tokens' else p_type end, 'credential|token|secret|password|api[-_]?key|private[-_]?key', 'i') as credential, count(*) as n from part group by 1",
     "n18_phase_labels": f"select label, regexp_matches(label, '^[A-Za-z0-9]+([-''][A-Za-z0-9]+)*(\\s+[A-Za-z0-9]+([-''][A-Za-z0-9]+)*)?$') and lower(label) not in ('project evolution', 'project update', 'workflow progress', 'general work', 'other', 'later stage') as ok from {values([(p,) for p in PHASES], 'label')}",
     "n20_safe_categories": f"select id, case when regexp_matches(category, '^[a-z0-9][a-z0-9-]{{0,63}}$') then category else 'sensitive' end as category from {values([(i, c) for i, c in enumerate(CATEGORY)], 'id', 'category')}",
