@@ -79,7 +79,40 @@ def test_odd_markup(page, lines):
     assert len(got) == len(lines) and all(w is None or w == g for w, g in zip(lines, got, strict=True))
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<div>", "<p", "<div></p>", "<a =\"", "<!--", "<script>", "</", "<div class='x", "<b><p>x", "&#", "<td>x"])
+@pytest.mark.parametrize(
+    ("page", "lines"),
+    [
+        # classes of layout and of what an article is about
+        ('<div class="page has-sidebar"><div class="content"><p>all of the article text here</p>', ["all of the article text here"]),
+        ('<div id="main" class="with-share social-enabled"><p>all of the article text here</p></div>', ["all of the article text here"]),
+        (f'<article><section class="related-work"><h2>Work</h2></section><section class="search-methods"><p>how</p></section>{LONG}<div class="footer-notes"><p>notes</p></div></article>', ["Work", "how", None, "notes"]),
+        (f'<article><div class="hero-banner"><h1>Title</h1></div>{LONG}<div class="related-posts"><p>no</p></div><div class="user-comments"><p>no</p></div></article>', ["Title", None]),
+        # an element that holds the page is the page's, whatever its class; long comments are not
+        (f'<body><nav>Menu</nav><div class="sponsored-story"><h1>Title</h1>{LONG}</div><div class="comments"><p>no</p></div></body>', ["Title", None]),
+        (f'<body><div class="widget-area search"><div class="share">{LONG}</div></div></body>', [None]),
+        (f'<body><article>{LONG}</article><div class="comments">{LONG}{LONG}{LONG}</div></body>', [None]),
+        # raw elements that close themselves, that nest, that never end
+        ('<p>one <svg class="icon"/> two</p><p>three four five</p>', ["one two", "three four five"]),
+        ("<p>one</p><svg><title>no</title><path d=x></svg><p>two</p>", ["one", "two"]),
+        ("<p>one</p><button>x<p>two</p>", ["one", "two"]),
+        ("<p>one</p><button><div>no</div></button><p>two</p>", ["one", "two"]),
+        ("<p>one</p><button>x<p>two</p><button>y</button><p>three</p>", ["one", "two", "three"]),
+        ("<p>one</p><select><option>no<option>no</select><p>two</p>", ["one", "two"]),
+        ("<p>one</p><template><p>x</p><template>y</template><div>LEAK</div></template><p>two</p>", ["one", "two"]),
+        ("<div><p>one</p><template></div><p>no</p></template><p>two</p></div>", ["one", "two"]),
+        ("<p>one</p><noscript><p>no</p></noscript><p>two</p>", ["one", "two"]),
+        ("<p>one</p><template>x<p>two</p>", ["one", "two"]),
+    ],
+)
+def test_no_text_is_lost(spark, page, lines):
+    """Alone and as three pages of one host."""
+    got = html_text.main_text(page, None).split("\n")
+    assert len(got) == len(lines) and all(w is None or w == g for w, g in zip(lines, got, strict=True))
+    df = spark.createDataFrame([(i, "http://a.org/x", page) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extracted(df).collect()} == {"\n".join(got)}
+
+
+@pytest.mark.parametrize("piece", ["<button>x", "<template>x", "<div class=ad>x", "<div class=ad><h1>x", "<svg></p>", "<a ", "<div>", "<p", "<div></p>", "<a =\"", "<!--", "<script>", "</", "<div class='x", "<b><p>x", "&#", "<td>x"])
 def test_long_pages_take_linear_time(piece):
     """A million characters of any of these, with a stray quotation mark, are read in seconds."""
     began = time.perf_counter()
