@@ -1,8 +1,9 @@
 """Quality by co-training two views of a document.
 
-The content view sees the words of a text, the metadata view what is known about the page
-(language, source, length) and the look of it (characters and lines). Both start from the labelled rows. In every round each view names
-the unlabelled documents it is surest of, and the other view learns them as its own. Each
+The content view sees the text (words, sentences, lines, characters), the metadata view only
+what is known about the page without it: language, source, length. Both start from the labelled
+rows. In every round each view names the unlabelled documents it is surest of, and the other view
+learns them as its own. Each
 view is then calibrated on labelled rows kept apart, and one logistic step over the calibrated
 views scores all documents. Features and scores are built-in expressions.
 
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +28,10 @@ from quarry.llm.toxicity import held_out, logistic
 
 #: At most about so many labelled rows, a sample by hash.
 LABELLED = 20_000
-#: Bins of raw scores from -20 to 20, and pieces in which the sums of tasks are added up.
-BINS, PIECES = 8_000, 16
+#: Bins of raw scores from -20 to 20, and how many tasks' sums are added up at once.
+BINS, FAN = 8_000, 64
+#: Digits that means, scales and weights keep: what the order of additions leaves is beyond them.
+DIGITS = 9
 #: One labelled row in so many is kept to calibrate the views and to mix them.
 FOLDS = 4
 #: Hash buckets of languages and sources in the metadata view.
@@ -44,23 +48,22 @@ def _words_lines(text: Column) -> tuple[Column, Column, Column]:
 
 
 def content(text: Column) -> list[Column]:
-    """The words of a whole text: how many, how long, how often repeated, how they form sentences."""
+    """A whole text: words, how many, how long, how often repeated, how they form sentences and lines; characters of each kind."""
     size, words, lines = _words_lines(text)
     n_words, n_lines = _n_words(words), _n_words(lines)
     ends = F.regexp_count(text, F.lit(r"[.!?](\s|$)")) / n_words
     unique_words, unique_lines = F.size(F.array_distinct(words)) / n_words, F.size(F.array_distinct(lines)) / n_lines
-    return [ends, F.log1p(ends * 20), unique_words, unique_words * unique_words, unique_lines, size / n_words / 10, F.log1p(n_words) / 10, (n_words < 20).cast("double")]
+    upper, digits = (F.regexp_count(text, F.lit(p)) / size for p in (r"\p{Lu}", r"\p{Nd}"))
+    symbols = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size
+    form = [upper, F.sqrt(upper), digits, symbols, F.sqrt(symbols), n_words / n_lines / 100, F.log1p(n_lines) / 10]
+    return [ends, F.log1p(ends * 20), unique_words, unique_words * unique_words, unique_lines, size / n_words / 10, F.log1p(n_words) / 10, (n_words < 20).cast("double"), *form]
 
 
-def metadata(lang: Column, source: Column, n_chars: Column, text: Column | None = None) -> list[Column]:
-    """What the page is like without its words: language, source, length, and of its text the characters and lines."""
+def metadata(lang: Column, source: Column, n_chars: Column) -> list[Column]:
+    """What is known about the page without its text: language, source, length."""
     one = lambda c, n: [(F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(n)) == i).cast("double") for i in range(n)]
     log = F.log1p(F.greatest(F.coalesce(n_chars.cast("double"), F.lit(0.0)), F.lit(0.0))) / 10
-    size, words, lines = _words_lines(text_of() if text is None else text)
-    upper, digits = (F.regexp_count(text_of() if text is None else text, F.lit(p)) / size for p in (r"\p{Lu}", r"\p{Nd}"))
-    symbols = F.regexp_count(text_of() if text is None else text, F.lit(r"[^\p{L}\p{N}\s.,]")) / size
-    form = [upper, F.sqrt(upper), digits, symbols, F.sqrt(symbols), _n_words(words) / _n_words(lines) / 100, F.log1p(_n_words(lines)) / 10]
-    return [log, log * log, (log < 0.5).cast("double"), *form, *one(lang, LANGS), *one(source, SOURCES)]
+    return [log, log * log, (log < 0.5).cast("double"), *one(lang, LANGS), *one(source, SOURCES)]
 
 
 @dataclass
@@ -176,19 +179,24 @@ def _total(pool: DataFrame, of: Callable[[tuple[np.ndarray, np.ndarray], np.ndar
     """The sum over all batches of what ``of`` makes of one, added up in pieces before the driver gets it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, salt = 0.0, 0
+        total, met = 0.0, False
         for batch in batches:
             if len(batch):
-                total, salt = total + of(_rows(batch), batch["draw"].to_numpy()), int(batch["draw"].iloc[0] * 1e6) % PIECES
-        if not np.isscalar(total):
-            yield pd.DataFrame({"salt": [salt], "sums": [total.tobytes()]})
+                total, met = total + of(_rows(batch), batch["draw"].to_numpy()), True
+        if met:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [total.tobytes()]})
 
     def added(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"salt": [key[0]], "sums": [np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0).tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "sums": [np.sum([np.frombuffer(x) for x in rows.sort_values("part")["sums"]], axis=0).tobytes()]})
 
-    schema = "salt int, sums binary"
-    found = pool.mapInPandas(run, schema).groupBy("salt").applyInPandas(added, schema).collect()
-    return np.sum([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["salt"])], axis=0)
+    schema = "part int, sums binary"
+    # a tree over the tasks: no group holds more than FAN of their sums, however many tasks there are
+    sums, tasks = pool.mapInPandas(run, schema), pool.rdd.getNumPartitions()
+    while tasks > FAN:
+        of_part = F.floor(F.col("part") / FAN).cast("int")
+        sums, tasks = sums.withColumn("up", of_part).groupBy("up").applyInPandas(added, schema), -(-tasks // FAN)
+    found = sums.collect()
+    return np.sum([np.frombuffer(r["sums"]) for r in sorted(found, key=lambda r: r["part"])], axis=0)
 
 
 def _quota(counts: np.ndarray, most: int) -> np.ndarray:
@@ -213,6 +221,7 @@ def _refitted(pool: DataFrame, rules: list[Given], own: tuple[np.ndarray, np.nda
         scale = np.sqrt(np.maximum((m[len(v.mean) + 1 :] + (x**2).sum(0)) / n - mean**2, 0))
         scale = np.where(scale > 1e-7, scale, 1.0)
         slope = v.weights[:-1] / v.scale
+        mean, scale = np.round(mean, DIGITS), np.round(scale, DIGITS)
         views.append(View(mean, scale, np.append(slope * scale, v.weights[-1] + slope @ (mean - v.mean))))
 
     def newton(x, y, v):
@@ -246,7 +255,7 @@ def _refitted(pool: DataFrame, rules: list[Given], own: tuple[np.ndarray, np.nda
         # a Newton step squares the error
         if largest < 1e-4:
             break
-    return views, given
+    return [View(v.mean, v.scale, np.round(v.weights, DIGITS)) for v in views], given
 
 
 def _calibrated(views: list[View], own: tuple[np.ndarray, np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -262,7 +271,8 @@ def co_train_all(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool: DataFrame, n
     ``held`` are labelled rows (both views' features, classes) that nothing was fitted to: on
     these the views are calibrated and mixed, if they have both classes.
 
-    Where a bin holds more rows than may still be given, ``draw``, fixed for each row, says which.
+    Where a bin holds more rows than may still be given, ``draw``, fixed by what a row holds, says
+    which; rows that are equal share it. Scores do not depend on the order of rows or on their partitions.
     """
     start = co_train(a, b, y, a[:0], b[:0])
     apart = (held[:2], held[2]) if held is not None and len(set(held[2])) == 2 else ((a, b), y)
@@ -297,17 +307,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, **options) ->
     """Learn from at most about ``limit`` labelled rows outside the held-out fold, and from all unlabelled rows.
 
     A document labelled twice is good only if both labels say so. Labelled rows are sampled
-    row by row, so that a repeated doc_id brings no more of them.
+    row by row, so that a repeated doc_id brings no more of them; equal ones count once.
     """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     a, b = content(text_of()), metadata(F.col("lang"), F.col("source"), F.col("n_chars"))
     bucket = lambda c, n: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(n)).cast("int").alias(c)
     features = [*[c.alias(f"a{i}") for i, c in enumerate(a)], *[c.alias(f"b{i}") for i, c in enumerate(b[: -LANGS - SOURCES])], bucket("lang", LANGS), bucket("source", SOURCES)]
-    # drawn by row, not by text or id, and written, so that it stays
-    draw = (F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit("quality")), F.lit(1_000_000_000)) / 1e9).alias("draw")
+    # drawn by all that is read of a row, so that neither order nor partitions matter
+    draw = (F.pmod(F.xxhash64(F.lit("quality"), "doc_id", "text", "lang", "source", "n_chars"), F.lit(1_000_000_000)) / 1e9).alias("draw")
     rows = written(docs.select("doc_id", draw, *features).join(small(written(known, "quality-labels")), "doc_id", "left"), "quality-features")
     pool = rows.filter("quality is null").drop("doc_id", "quality")
-    marked = rows.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).drop("doc_id")
+    marked = rows.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).distinct().drop("doc_id")
     n = marked.count()
     found = marked.filter(F.col("draw") < limit / max(n, limit)).toPandas()
     # in an order of their own, so that the sums do not depend on that of the rows

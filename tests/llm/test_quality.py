@@ -76,3 +76,28 @@ def test_sums_give_the_views_of_local_rows(spark):
     for v, own, f, k in zip(got, (a[:300], b[:300]), x, taken, strict=True):
         want = q.View.fitted(np.vstack([own, f[k >= 0]]), np.concatenate([y[:300], k[k >= 0]]))
         assert np.allclose(v.raw(f), want.raw(f), atol=1e-5)
+
+
+def test_order_and_partitions_do_not_matter(spark, data):
+    """The same scores for the same rows, repeated ones too, in whatever order and tasks they come."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    docs = docs.union(docs.filter("doc_id < 20"))
+    shown = lambda df: sorted(tuple(r) for r in q.quality(df, labels).select("doc_id", "content_score", "metadata_score", "score").collect())
+    one, other = shown(docs.coalesce(1)), shown(docs.orderBy(F.desc("n_chars")).repartition(7, "text"))
+    assert len(one) == docs.count() and [r[0] for r in one] == [r[0] for r in other]
+    assert np.abs(np.array([r[1:] for r in one]) - np.array([r[1:] for r in other])).max() < 1e-6
+
+
+def test_sums_in_a_tree(spark, monkeypatch):
+    """More tasks than are added up at once."""
+    docs, labels = quality_rows(spark, 3_000)
+    whole = [r["score"] for r in q.quality(docs.coalesce(1), labels).orderBy("doc_id").collect()]
+    monkeypatch.setattr(q, "FAN", 2)
+    assert np.allclose([r["score"] for r in q.quality(docs.repartition(11), labels).orderBy("doc_id").collect()], whole, atol=1e-6)
+
+
+def test_metadata_view_never_reads_the_text(spark):
+    docs, labels = quality_rows(spark, 100)
+    model = q.fit(docs, labels)
+    page = model.page.column(q.metadata(F.col("lang"), F.col("source"), F.col("n_chars")))
+    assert docs.drop("text").select(page.alias("x")).count() == docs.count()
