@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 #: Record ids that only say where a record stood, and file names that are never copied.
 POSITIONAL_ID = r"^line-[0-9]+(:[0-9]+)?$"
-SENSITIVE_NAME = r"(?i)(^|[/._-])(env|secret|secrets|credential|credentials|token|tokens|password|passwd|id_rsa|private[_-]?key)([/._-]|$)"
+SENSITIVE_NAME = r"(?i)(auth\.json|\.credentials\.json|credentials|\.env(\.|$)|id_rsa|id_ed25519|id_ecdsa|\.pem$|\.key$|token|secret|password|\.netrc|\.npmrc|\.pypirc)"
+
+
+def sensitive_name(path: Column) -> Column:
+    """Whether a file's own name, not its folders, tells of secrets."""
+    return F.regexp_extract(path, r"[^/]*$", 0).rlike(SENSITIVE_NAME)
 
 
 def canonical(**fields: Column | str) -> Column:

@@ -23,6 +23,21 @@ def values(rows, *names):
     return f"(values {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) as t({', '.join(names)})"
 
 
+def dealt(spark, sf_dir, rows, schema):
+    """Every event in one of the forms, by its number: the form's rows, the first column the event's id instead of the form's, which is kept as form."""
+    forms = literal(spark, rows, schema)
+    first, ids = forms.columns[0], sorted({r[0] for r in rows})
+    events = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(ids) + ids[0]).alias("form"))
+    # a fixed few rows
+    named = F.broadcast(forms.withColumnRenamed(first, "of_form"))
+    return events.join(named, F.col("form") == F.col("of_form")).drop("of_form").withColumnRenamed("event_id", first)
+
+
+def dealt_values(rows, *names):
+    ids = sorted({r[0] for r in rows})
+    return f"(select e.event_id as {names[0]}, t.{names[0]} as form, {', '.join(f't.{n}' for n in names[1:])} from events e join {values(rows, *names)} on t.{names[0]} = e.event_id % {len(ids)} + {ids[0]})"
+
+
 def log_lines(spark, sf_dir):
     """Conversations as session logs: one JSON object a line; every seventh line is not an object, every eleventh blank."""
     turn = F.struct(F.lit("event").alias("schema"), F.concat_ws("-", F.lit("e"), "conv_id", "turn").alias("event_id"), F.lower("role").alias("type"), F.struct(F.col("text"), F.concat(F.lit("/work/p"), F.col("conv_id") % 3).alias("cwd")).alias("payload"))
@@ -65,28 +80,33 @@ META = [(1, 1, '{"type":"session_meta","payload":{"cwd":"/a","id":"s1"}}'), (1,
 
 def s4_structured_cwd(spark, sf_dir):
     """The working folder from the fields meant for it, never from a message's body."""
-    rows = literal(spark, META, "file int, line int, raw string")
+    rows = dealt(spark, sf_dir, META, "file int, line int, raw string")
     kind, inner, top = (F.get_json_object("raw", p) for p in ("$.type", "$.payload.cwd", "$.cwd"))
     return rows.select("file", "line", F.coalesce(F.when(kind.isin("session_meta", "turn_context"), inner), top).alias("cwd"))
 
 
 PATHS = [(1, "/work/repo"), (2, "/work/repo/sub/./x/.."), (3, "/work"), (4, "/work/other"), (5, "/home/x"), (6, "relative"), (7, "C:\\Work\\Repo"), (8, "/mnt/c/work/REPO/src"), (9, "//server/x"), (10, None), (11, "/../work/repo/"), (12, "c:/work/Elsewhere")]
 _CUT = "list_reduce(list_filter(string_split({0}, '/'), lambda x: x not in ('', '.')), lambda a, x: case when x = '..' then list_slice(a, 1, len(a) - 1) else list_append(a, x) end, []::varchar[])"
-_LOCATED = f"""located as (select id, path, case when regexp_matches(path, '^[A-Za-z]:[\\\\/]') then 'windows' when regexp_matches(path, '^/mnt/[A-Za-z](/|$)') then 'windows' when regexp_matches(path, '^/([^/]|$)') then 'posix' end as kind,
+_PLACE = """{0} as (select id, path, case when regexp_matches(path, '^[A-Za-z]:[\\\\/]') then 'windows' when regexp_matches(path, '^/mnt/[A-Za-z](/|$)') then 'windows' when regexp_matches(path, '^/([^/]|$)') then 'posix' end as kind,
   case when regexp_matches(path, '^[A-Za-z]:[\\\\/]') then lower(path[1]) when regexp_matches(path, '^/mnt/[A-Za-z](/|$)') then lower(path[6]) else '' end as root,
-  case when regexp_matches(path, '^[A-Za-z]:[\\\\/]') then {_CUT.format("replace(lower(path[4:]), chr(92), '/')")} when regexp_matches(path, '^/mnt/[A-Za-z](/|$)') then {_CUT.format("lower(path[7:])")} else {_CUT.format("path")} end as parts
-  from {values(PATHS, "id", "path")})"""
+  case when regexp_matches(path, '^[A-Za-z]:[\\\\/]') then {2} when regexp_matches(path, '^/mnt/[A-Za-z](/|$)') then {3} else {4} end as parts
+  from {1})"""
+_CUTS = [_CUT.format(x) for x in ("replace(lower(path[4:]), chr(92), '/')", "lower(path[7:])", "path")]
+_LOCATED = _PLACE.format("located", dealt_values(PATHS, "id", "path"), *_CUTS) + ", " + _PLACE.format("known", values([p for p in PATHS if p[0] in (1, 7)], "id", "path"), *_CUTS)
 
 
 def s5_locations(spark, sf_dir):
-    rows = literal(spark, PATHS, "id int, path string").withColumn("at", rec.location(F.col("path")))
+    rows = dealt(spark, sf_dir, PATHS, "id int, path string").withColumn("at", rec.location(F.col("path")))
     return rows.filter("at is not null").select("id", "at.kind", "at.root", F.array_join("at.parts", "/").alias("parts"))
 
 
 def s6_path_relations(spark, sf_dir):
-    rows = literal(spark, PATHS, "id int, path string").withColumn("at", rec.location(F.col("path")))
-    here, there = rows.select("id", "at"), rows.select(F.col("id").alias("other"), F.col("at").alias("to"))
-    return here.join(F.broadcast(there), F.col("other").isin(1, 7)).select("id", "other", rec.path_relation(F.col("at"), F.col("to")).alias("relation"))
+    """How each event's folder lies to two known ones."""
+    at = F.col("path")
+    here = dealt(spark, sf_dir, PATHS, "id int, path string").select("id", rec.location(at).alias("at"))
+    there = literal(spark, [p for p in PATHS if p[0] in (1, 7)], "other int, path string").select("other", rec.location(at).alias("to"))
+    both = here.withColumn("other", F.explode(F.array(F.lit(1), F.lit(7)))).join(F.broadcast(there), "other")
+    return both.select("id", "other", rec.path_relation(F.col("at"), F.col("to")).alias("relation"))
 
 
 _RELATION = """case when a.kind is null or b.kind is null then 'missing_unparseable' when a.kind <> b.kind or a.root <> b.root then 'unrelated' when a.parts = b.parts then 'exact'
@@ -155,17 +175,19 @@ def s14_project_documents(spark, sf_dir):
     return docs.filter(F.trim("text") != "").select("doc_id", name.alias("name"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-NAMES = [(1, "notes.md"), (2, "config/.env"), (3, "API_Token.txt"), (4, "id_rsa"), (5, "tokenizer.py"), (6, "my-password-list.txt"), (7, "../up.txt"), (8, "/abs.txt"), (9, "a\\b.txt"), (10, "c:x.txt"), (11, "Notes.md"), (12, "dir/file.json"), (13, "dir/../file.json"), (14, "credentials")]
-_SENSITIVE = "(^|[/._-])(env|secret|secrets|credential|credentials|token|tokens|password|passwd|id_rsa|private[_-]?key)([/._-]|$)"
+NAMES = list(enumerate(["notes.md", "config/.env", "API_Token.txt", "id_rsa", "tokenizer.py", "my-password-list.txt", "../up.txt", "/abs.txt", "a\\b.txt", "c:x.txt", "Notes.md", "dir/file.json", "dir/../file.json", "credentials", "auth.json", "x/id_ed25519", "id_ecdsa.pub", "server.pem", "pem.txt", "x.key", "keys.txt", "home/.netrc", ".npmrc", ".pypirc", "mytokens2.txt", ".env.local", "x.envy", "secrets/plain.txt", "CREDENTIALS.csv"], 1))
 
 
 def s17_copied_files(spark, sf_dir):
-    return literal(spark, NAMES, "id int, name string").filter(~F.col("name").rlike(rec.SENSITIVE_NAME))
+    """Files of events that are copied: never those whose own name tells of secrets."""
+    return dealt(spark, sf_dir, NAMES, "id int, name string").filter(~rec.sensitive_name(F.col("name"))).select("id", "name")
 
 
 def s18_archive_members(spark, sf_dir):
     """Names of an archive that are refused, and why."""
-    rows = literal(spark, NAMES, "id int, name string").withColumn("n", F.count("*").over(Window.partitionBy(F.lower("name"))))
+    # an archive for each few events, so that names meet
+    archive = F.floor(F.col("id") / len(NAMES))
+    rows = dealt(spark, sf_dir, NAMES, "id int, name string").withColumn("n", F.count("*").over(Window.partitionBy(archive, F.lower("name"))))
     code = F.when(F.col("name").startswith("/") | F.col("name").rlike("^[A-Za-z]:"), "absolute").when(F.col("name").contains("\\"), "backslash").when(F.array_contains(F.split("name", "/"), ".."), "climbs").when(F.col("n") > 1, "same_name")
     return rows.select("id", code.alias("code")).filter("code is not null")
 
@@ -240,17 +262,17 @@ ORACLE = {
     "s1_jsonl_scan": f"select conv_id as file, turn + 1 as line, concat_ws('-', 'e', conv_id, turn) as event_id, lower(role) as type, length(text) as n_chars from conversations where {_GOOD}",
     "s1_refused_lines": f"select conv_id as file, count(*) as n_refused from conversations where {_N} % 11 <> 5 and {_N} % 7 = 3 group by 1",
     "s3_bounded_scan": "with t as (select conv_id as file, row_number() over w as nth, sum(strlen(text)) over w as bytes from conversations window w as (partition by conv_id order by turn rows unbounded preceding)) select file, count(*) filter (nth <= 4 and bytes <= 3000) as n_read, cast(max(bytes) filter (nth <= 4 and bytes <= 3000) as bigint) as n_bytes, bool_or(not (nth <= 4 and bytes <= 3000)) as stopped from t group by 1",
-    "s4_structured_cwd": f"select file, line, coalesce(case when json_extract_string(raw, '$.type') in ('session_meta', 'turn_context') then json_extract_string(raw, '$.payload.cwd') end, json_extract_string(raw, '$.cwd')) as cwd from {values(META, 'file', 'line', 'raw')}",
+    "s4_structured_cwd": f"select file, line, coalesce(case when json_extract_string(raw, '$.type') in ('session_meta', 'turn_context') then json_extract_string(raw, '$.payload.cwd') end, json_extract_string(raw, '$.cwd')) as cwd from {dealt_values(META, 'file', 'line', 'raw')} m",
     "s5_locations": f"with {_LOCATED} select id, kind, root, array_to_string(parts, '/') as parts from located where kind is not null",
-    "s6_path_relations": f"with {_LOCATED} select a.id, b.id as other, {_RELATION} as relation from located a, located b where b.id in (1, 7)",
-    "s7_discovery": f"with {_LOCATED}, r as (select a.id, min(list_position({list(RANKED)}, {_RELATION})) as rank from located a, located b where b.id in (1, 7) group by 1) select {list(RANKED)}[rank] as relation, count(*) as n_files from r group by 1",
+    "s6_path_relations": f"with {_LOCATED} select a.id, b.id as other, {_RELATION} as relation from located a, known b",
+    "s7_discovery": f"with {_LOCATED}, r as (select a.id, min(list_position({list(RANKED)}, {_RELATION})) as rank from located a, known b group by 1) select {list(RANKED)}[rank] as relation, count(*) as n_files from r group by 1",
     "s8_session_identity": "with f as (select conv_id, min_by('s' || length(text) % 50, turn) as s from conversations where role <> 'system' group by 1) select conv_id, sha256('agent' || chr(0) || s)[1:16] as identity, count(*) over (partition by s) > 1 as duplicate from f",
     "s10_message_texts": f"with {_SENT} select conv_id as uuid, row_number() over (partition by conv_id order by turn) as sequence, actor, sha256(body) as text_sha256 from sent where body <> '' and actor is not null",
     "s11_unknown_senders": f"with {_SENT} select sender, count(*) as n from sent where actor is null group by 1",
     "s13_import_identities": """with n as (select doc_id, case when doc_id % 4 <> 0 then 'id-' || doc_id % 500 else 'doc-' || sha256(to_json({content: sha256(text), locator: source, record: doc_id})) end as identity from documents) select doc_id, identity, count(*) over (partition by identity) > 1 as duplicate from n""",
     "s14_project_documents": "select doc_id, regexp_replace(source || ' / ' || lang || ' #' || doc_id, '[^A-Za-z0-9._-]+', '-', 'g') as name, strlen(text) as n_bytes from documents where doc_id % 10 <> 0 and trim(text) <> ''",
-    "s17_copied_files": f"select id, name from {values(NAMES, 'id', 'name')} where not regexp_matches(name, '{_SENSITIVE}', 'i')",
-    "s18_archive_members": f"with c as (select id, case when name like '/%' or regexp_matches(name, '^[A-Za-z]:') then 'absolute' when contains(name, chr(92)) then 'backslash' when list_contains(string_split(name, '/'), '..') then 'climbs' when count(*) over (partition by lower(name)) > 1 then 'same_name' end as code from {values(NAMES, 'id', 'name')}) select * from c where code is not null",
+    "s17_copied_files": f"select id, name from {dealt_values(NAMES, 'id', 'name')} m where not regexp_matches(regexp_extract(name, '[^/]*$'), '(auth\\.json|\\.credentials\\.json|credentials|\\.env(\\.|$)|id_rsa|id_ed25519|id_ecdsa|\\.pem$|\\.key$|token|secret|password|\\.netrc|\\.npmrc|\\.pypirc)', 'i')",
+    "s18_archive_members": f"with c as (select id, case when name like '/%' or regexp_matches(name, '^[A-Za-z]:') then 'absolute' when contains(name, chr(92)) then 'backslash' when list_contains(string_split(name, '/'), '..') then 'climbs' when count(*) over (partition by id // {len(NAMES)}, lower(name)) > 1 then 'same_name' end as code from {dealt_values(NAMES, 'id', 'name')} m) select * from c where code is not null",
     "k2_array_rows": "select conv_id, turn, role from conversations",
     "c1_canonical_rows": "with l as (select doc_id, to_json({doc_id: doc_id, lang: lang, missing: null::varchar, source: source, text: text}) as j from documents) select doc_id, sha256(j) as digest, strlen(j) as n_bytes from l",
     "c6_corpus_digest": "with l as (select conv_id, turn, to_json({role: role, text: text, turn: turn})::varchar as j from conversations) select conv_id, sha256(string_agg(j || chr(10), '' order by turn)) as digest, cast(sum(strlen(j) + 1) as bigint) as n_bytes, count(*) as n_rows from l group by 1",

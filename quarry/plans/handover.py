@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import records as rec
-from quarry.plans.evidence import literal, values
+from quarry.plans.evidence import dealt, dealt_values
 from quarry.sources.items import conversation_items, table
 
 
@@ -102,7 +102,7 @@ KEYS = [(1, '{"title":"a","source_path":"x"}'), (2, '{"Title":"a"}'), (3, '{"Sou
 def v20_forbidden_keys(spark, sf_dir):
     """Objects with a key that may not be there, however it is written."""
     plain = F.transform(F.json_object_keys("raw"), lambda k: F.lower(F.regexp_replace(k, "[^A-Za-z0-9]", "")))
-    return literal(spark, KEYS, "id int, raw string").select("id", F.exists(plain, lambda k: k.isin("sourcepath", "rawtext")).alias("forbidden"))
+    return dealt(spark, sf_dir, KEYS, "id int, raw string").select("id", F.exists(plain, lambda k: k.isin("sourcepath", "rawtext")).alias("forbidden"))
 
 
 def v24_language_rows(spark, sf_dir):
@@ -132,7 +132,7 @@ SHOWN = [(1, "en", "a,b", "Hi"), (1, "zh", "a,b", "你好"), (2, "en", "a,b", "H
 
 def v37_presentations(spark, sf_dir):
     """The Chinese form of each question, if its options are those of the question; no other form in its stead."""
-    rows, want = literal(spark, SHOWN, "id int, lang string, options string, text string"), F.when(F.col("id") == 3, "a,c").otherwise("a,b")
+    rows, want = dealt(spark, sf_dir, SHOWN, "id int, lang string, options string, text string"), F.when(F.col("form") == 3, "a,c").otherwise("a,b")
     fits = (F.col("lang") == "zh") & (F.col("options") == want)
     return rows.groupBy("id").agg(F.max(F.when(fits, F.col("text"))).alias("text"))
 
@@ -187,11 +187,11 @@ ORACLE = {
     "v3_scoped_units": "with w as (select o_orderkey + case when o_orderkey % 81 = 0 then 100000000 else 0 end as k from orders where o_orderkey % 9 = 0), h as (select l_orderkey, count(*) as n from lineitem group by 1) select count(n) as n_units, cast(sum(n) as bigint) as n_members, count(*) - count(n) as n_missing from w left join h on l_orderkey = k",
     "v12_mapping_faults": "with a as (select p_partkey as id, p_partkey % 10 as shard from part), m as (select distinct l_partkey as id, l_partkey % 10 + case when l_partkey % 53 = 0 then 1 else 0 end as shard from lineitem where l_quantity < 30) select coalesce(a.id, m.id) as id, coalesce(a.shard, m.shard) as shard, case when a.id is null then 'not_assigned' else 'not_mapped' end as code from a full outer join m on a.id = m.id and a.shard = m.shard where a.id is null or m.id is null",
     "v17_owner_bundles": "select o_orderkey, case when o_orderstatus = 'P' then 'not_represented' else 'other_owner' end as code from orders where o_orderstatus = 'P' or o_orderkey % 45 = 0",
-    "v20_forbidden_keys": f"select id, len(list_filter(json_keys(raw), lambda k: lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')) in ('sourcepath', 'rawtext'))) > 0 as forbidden from {values(KEYS, 'id', 'raw')}",
+    "v20_forbidden_keys": f"select id, len(list_filter(json_keys(raw), lambda k: lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')) in ('sourcepath', 'rawtext'))) > 0 as forbidden from {dealt_values(KEYS, 'id', 'raw')} m",
     "v24_language_rows": "select coalesce(lang, 'missing') as lang, count(*) as n from (select distinct doc_id from labels) left join (select * from documents where doc_id % 8 <> 3) using (doc_id) group by 1",
     "v27_retained_choices": "select case when p_partkey % 5 = 0 then 'new' when p_partkey % 4 = 0 then 'changed' else 'kept' end as state, count(*) as n from part group by 1",
     "v35_stale_questions": "select p_partkey as l_partkey, coalesce(string_agg(distinct l_returnflag, ',' order by l_returnflag), '') as kinds from part left join lineitem on l_partkey = p_partkey where p_size % 7 = 0 group by 1",
-    "v37_presentations": f"select id, max(case when lang = 'zh' and options = case when id = 3 then 'a,c' else 'a,b' end then text end) as text from {values(SHOWN, 'id', 'lang', 'options', 'text')} group by 1",
+    "v37_presentations": f"select id, max(case when lang = 'zh' and options = case when form = 3 then 'a,c' else 'a,b' end then text end) as text from {dealt_values(SHOWN, 'id', 'lang', 'options', 'text')} m group by 1",
     "v39_kind_labels": "select case c_mktsegment when 'BUILDING' then 'build' when 'MACHINERY' then 'machine' when 'HOUSEHOLD' then 'home' else 'other' end as label, count(*) as n from customer group by 1",
     "v49_support_items": "select 'conv-' || conv_id || ':turn-' || turn as item_id, length(text) as chars from conversations where (conv_id, turn) in (select (event_id % 40, event_id % 9) from events)",
     "v50_session_heads": "select conv_id, coalesce(length(arg_min(text, turn) filter (role = 'system')) > 20, false) as named from conversations group by 1",

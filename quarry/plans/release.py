@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import records as rec
 from quarry.operators import authority, relate, spans
-from quarry.plans.evidence import literal, values
+from quarry.plans.evidence import dealt, dealt_values
 from quarry.sources.items import conversation_items, table
 
 def picked(c, *values_):
@@ -63,7 +63,7 @@ G4_WANT = [(1, 'A😀<redacted category="private-personal"/>Z'), (2, "keep this"
 
 def g4_active_spans(spark, sf_dir):
     """Texts with their active spans as tags; a span out of range gives null."""
-    rows = literal(spark, SPANNED, "id int, text string, s int, e int, c string, status string")
+    rows = dealt(spark, sf_dir, SPANNED, "id int, text string, s int, e int, c string, status string")
     active = (F.coalesce("status", F.lit("active")) == "active") & F.col("s").isNotNull()
     bad = active & ~((F.col("s") >= 0) & (F.col("s") < F.col("e")) & (F.col("e") <= F.length("text")))
     category = F.when(F.col("c").rlike("^[a-z0-9][a-z0-9-]{0,63}$"), F.col("c")).otherwise("sensitive")
@@ -350,7 +350,7 @@ QUERIES = {f.__name__: f for f in (
 
 _EDITS = "edits as (select l_orderkey, l_linenumber as id, cast(l_quantity as int) as s, cast(l_quantity + l_partkey % 7 as int) as e from lineitem)"
 ORACLE = {
-    "g4_active_spans": f"select * from {values(G4_WANT, 'id', 'text')}",
+    "g4_active_spans": f"select id, text from {dealt_values(G4_WANT, 'id', 'text')} m",
     "g6_decision_states": f"with {_SPANS} select case when state = 'needs_confirmation' and l_returnflag = 'R' then 'confirmed_redact' when state = 'needs_confirmation' and l_returnflag = 'A' then 'confirmed_keep' else 'not_actionable' end as result, count(*) as n_spans from spans join lineitem on l_orderkey = chapter and l_linenumber = n group by 1",
     "g7_release_gate": f"""with {_SPANS} select o_orderkey, case when o_orderkey % 41 = 0 then 'no_job' when o_orderkey % 47 = 0 then 'rejected' when o_orderkey % 43 = 0 then 'not_complete' when o_orderkey % 53 = 0 then 'counts' when o_orderkey % 59 = 0 then 'no_digest' when o_orderkey % 61 = 0 then 'receipt' when o_orderkey % 67 = 0 then 'changed' else review_code end as code from orders left join reviewed on chapter = o_orderkey""",
     "g8_worker_coverage": "select conv_id, case when conv_id % 13 = 1 then 'no_report' when conv_id % 11 = 0 then 'digest' else 'turns' end as code from conversations where conv_id % 13 = 1 or conv_id % 11 = 0 or conv_id % 7 = 0 group by 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import records as rec
 from quarry.functions import text as txt
 from quarry.operators import projection
-from quarry.plans.evidence import literal, values
+from quarry.plans.evidence import dealt, dealt_values
 from quarry.sources.items import conversation_items, event_items, items, table
 
 FIELDS = {
@@ -55,7 +55,7 @@ DIRECTIONS = [(1, "a", "a"), (2, "a", None), (3, None, "b"), (4, "a", "b"), (5,
 
 
 def p7_directions(spark, sf_dir):
-    rows = literal(spark, DIRECTIONS, "id int, payload string, source string")
+    rows = dealt(spark, sf_dir, DIRECTIONS, "id int, payload string, source string")
     clash = F.coalesce(F.col("payload") != F.col("source"), F.lit(False))
     way = F.coalesce("payload", "source")
     return rows.select("id", F.when(clash, "conflict").when(way.isNotNull() & ~way.isin("a", "b"), "not_allowed").otherwise(F.coalesce(way, F.lit("none"))).alias("direction"))
@@ -107,7 +107,7 @@ TEXTS = [(1, "fine"), (2, ""), (3, "  "), (4, "tab\there"), (5, "äöü" * 5), (
 
 
 def p15_bounded_texts(spark, sf_dir):
-    rows = literal(spark, TEXTS, "id int, text string")
+    rows = dealt(spark, sf_dir, TEXTS, "id int, text string")
     return rows.select("id", rec.bounded_text(F.col("text"), 16).alias("ok"))
 
 
@@ -124,7 +124,7 @@ OBJECTS = [(1, '{"id":1,"text":"a"}'), (2, '{"id":1}'), (3, '{"id":1,"text":"a",
 def p19_exact_keys(spark, sf_dir):
     keys, want = F.json_object_keys("raw"), F.array(F.lit("id"), F.lit("text"))
     exact = (F.size(F.array_except(keys, want)) == 0) & (F.size(F.array_except(want, keys)) == 0)
-    return literal(spark, OBJECTS, "id int, raw string").select("id", F.coalesce(exact, F.lit(False)).alias("exact"))
+    return dealt(spark, sf_dir, OBJECTS, "id int, raw string").select("id", F.coalesce(exact, F.lit(False)).alias("exact"))
 
 
 def p21_null_safe(spark, sf_dir):
@@ -317,7 +317,7 @@ _ES = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u20
 
 def n4_trimmed(spark, sf_dir):
     cut = F.regexp_replace("text", rf"^[{_ES}]+|[{_ES}]+$", "")
-    return literal(spark, SPACED, "id int, text string").select("id", F.hex(F.encode(cut, "UTF-8")).alias("trimmed"))
+    return dealt(spark, sf_dir, SPACED, "id int, text string").select("id", F.hex(F.encode(cut, "UTF-8")).alias("trimmed"))
 
 
 def n16_categories(spark, sf_dir):
@@ -330,15 +330,15 @@ PHASES = ["Kick off", "project update", "Very long label here", "Fix-up", "Later
 
 def n18_phase_labels(spark, sf_dir):
     generic = ("project evolution", "project update", "workflow progress", "general work", "other", "later stage")
-    rows = literal(spark, [(p,) for p in PHASES], "label string")
-    return rows.select("label", (F.col("label").rlike(r"^[A-Za-z0-9]+([-'][A-Za-z0-9]+)*(\s+[A-Za-z0-9]+([-'][A-Za-z0-9]+)*)?$") & ~F.lower("label").isin(*generic)).alias("ok"))
+    rows = dealt(spark, sf_dir, list(enumerate(PHASES)), "id int, label string")
+    return rows.select("id", "label", (F.col("label").rlike(r"^[A-Za-z0-9]+([-'][A-Za-z0-9]+)*(\s+[A-Za-z0-9]+([-'][A-Za-z0-9]+)*)?$") & ~F.lower("label").isin(*generic)).alias("ok"))
 
 
 CATEGORY = ["credential", "Bad", "third-party", "", None, "-x", "a" * 64, "a" * 65, "9lives"]
 
 
 def n20_safe_categories(spark, sf_dir):
-    rows = literal(spark, [(i, c) for i, c in enumerate(CATEGORY)], "id int, category string")
+    rows = dealt(spark, sf_dir, list(enumerate(CATEGORY)), "id int, category string")
     return rows.select("id", txt.safe_category(F.col("category")).alias("category"))
 
 
@@ -347,7 +347,7 @@ TITLES = [(1, "transcript_2024-02-29_10.11.12", "x"), (2, "transcript_2023-02-29
 
 def d3_transcript_days(spark, sf_dir):
     """The one real day named by a title and an id; null where there is none or two."""
-    rows = literal(spark, TITLES, "id int, title string, name string")
+    rows = dealt(spark, sf_dir, TITLES, "id int, title string, name string")
     day = lambda c: F.try_to_date(F.nullif(F.regexp_extract(c, r"transcript_(\d{4}-\d{2}-\d{2})_\d{2}\.\d{2}\.\d{2}", 1), F.lit("")), "yyyy-MM-dd")
     days = F.array_distinct(F.array_compact(F.array(day("title"), day("name"))))
     return rows.select("id", F.when(F.size(days) == 1, F.get(days, F.lit(0))).alias("day"))
@@ -401,7 +401,7 @@ ORACLE = {
       when spoken and who in ('human', 'speaker', 'user') then case when interaction = 'correction' then 'keep_human_feedback' else 'keep_human_dialogue' end when spoken and (tog or record_type = 'agent_message') then 'keep_agent_coordination'
       when spoken and who in ('ai', 'assistant') and coalesce(role, '') in ('', 'assistant') then 'keep_agent_dialogue' else 'drop_ambiguous' end as disposition from f""",
     "p6_pseudonyms": "select 'actor-' || sha256(to_json(['conv-' || conv_id, case lower(role) when 'user' then 'human' when 'assistant' then 'ai' else lower(role) end])) as name, 1 as n_actors, count(*) as n_items from conversations group by 1",
-    "p7_directions": f"select id, case when payload <> source then 'conflict' when coalesce(payload, source) not in ('a', 'b') then 'not_allowed' else coalesce(payload, source, 'none') end as direction from {values(DIRECTIONS, 'id', 'payload', 'source')}",
+    "p7_directions": f"select id, case when payload <> source then 'conflict' when coalesce(payload, source) not in ('a', 'b') then 'not_allowed' else coalesce(payload, source, 'none') end as direction from {dealt_values(DIRECTIONS, 'id', 'payload', 'source')} m",
     "p8_source_ids": "select event_id, case when event_id % 3 <> 0 and event_id % 7 <> 0 and event_id % 5 <> 0 then 'r' || event_id end as record_id from events",
     "p9_contents": "select doc_id, case when doc_id % 2 <> 0 and text <> '' then text[1:20] when doc_id % 3 <> 0 then lang else source end as content from documents",
     "p10_release_items": f"""select 'conv-' || conv_id || ':turn-' || turn as item_id, case when turn % 4 = 3 then 'record' else 'message' end as event_type, case when turn % 4 = 3 then 'participant' else case lower(role) when 'user' then 'human' when 'assistant' then 'ai' else lower(role) end end as actor_type, sha256(text) as content from conversations
@@ -409,9 +409,9 @@ ORACLE = {
     "p13_sequences": "select conv_id, count(*) as n from conversations where conv_id % 5 <> 0 or turn <> 2 group by 1 having min(turn) <> 0 or max(turn) + 1 <> count(*) or count(distinct turn) <> count(*)",
     "p14_corpus_faults": """with r as (select 'conv-' || conv_id as d, conv_id as n, case when conv_id % 17 = 3 and turn = 1 then 'bad id!' else 'conv-' || conv_id || ':turn-' || turn end as i, case when conv_id % 13 = 4 and turn = 2 then 2 else turn + 1 end as s from conversations)
       select 'item_id_invalid' as code, d as id from r where i = 'bad id!' union all select 'item_id_repeated', i from r group by i having count(*) > 1 union all select 'sequence_repeated', d from r group by d, s having count(*) > 1 union all select distinct 'item_count', d from r where n % 11 = 5""",
-    "p15_bounded_texts": f"select id, coalesce(trim(text) <> '' and strlen(text) <= 16 and not regexp_matches(text, '[\\x00-\\x1f\\x7f]'), false) as ok from {values(TEXTS, 'id', 'text')}",
+    "p15_bounded_texts": f"select id, coalesce(trim(text) <> '' and strlen(text) <= 16 and not regexp_matches(text, '[\\x00-\\x1f\\x7f]'), false) as ok from {dealt_values(TEXTS, 'id', 'text')} m",
     "p18_masked_reasons": "select p_partkey, case p_size % 3 when 0 then 'Project event' when 1 then 'Story evidence' else p_type end as reason from part",
-    "p19_exact_keys": f"select id, coalesce(list_sort(json_keys(raw)) = ['id', 'text'], false) as exact from {values(OBJECTS, 'id', 'raw')}",
+    "p19_exact_keys": f"select id, coalesce(list_sort(json_keys(raw)) = ['id', 'text'], false) as exact from {dealt_values(OBJECTS, 'id', 'raw')} m",
     "p21_null_safe": "select nullif(quality, 0) is not distinct from nullif(toxic, 0) as same, count(*) as n from labels group by 1",
     "j2_latest_receipts": "select c_custkey, (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate desc, o_orderkey desc limit 1) as latest from customer",
     "j3_run_items": "select 'run-1' as run, null as item_id union all select 'run-1', 'conv-' || conv_id || ':turn-' || turn from conversations where lower(role) = 'system'",
@@ -438,11 +438,11 @@ ORACLE = {
     "u3_shards": "with s as (select o_custkey + case when o_orderkey % 301 = 0 then 10000000 else 0 end as id, o_custkey % 7 + case when o_orderkey % 400 = 3 then 1 else 0 end as shard from orders where o_orderkey % 3 = 0), p as (select id, count(distinct shard) as n from s group by 1), b as (select coalesce(c_custkey, id) as id, case when c_custkey is null then 'unknown' when n is null then 'missing' when n > 1 then 'overlap' end as code from customer full outer join p on id = c_custkey) select * from b where code is not null",
     "u4_key_sets": "select user_id, string_agg(event_type, ',' order by event_type) as unreported from (select distinct user_id, event_type from events except select user_id, event_type from events where user_id % 5 <> 0 or event_type not in ('error', 'view')) group by 1",
     "u7_merged_units": "select l_orderkey, case when count(distinct case when l_orderkey % 10 = 0 then l_linestatus else 'x' end) = 1 then string_agg(distinct l_linenumber::varchar, ',' order by l_linenumber::varchar) else 'conflict' end as members from lineitem group by 1",
-    "n4_trimmed": "select id, hex(encode(t)) as trimmed from (values (1, 'a'), (2, 'b'), (3, 'c'), (4, chr(8203) || 'd'), (5, ''), (6, 'e' || chr(12288) || 'f')) x(id, t)",
+    "n4_trimmed": "select event_id as id, hex(encode(t)) as trimmed from events join (values (1, 'a'), (2, 'b'), (3, 'c'), (4, chr(8203) || 'd'), (5, ''), (6, 'e' || chr(12288) || 'f')) x(form, t) on form = event_id % 6 + 1",
     "n16_categories": "select regexp_matches(case p_size % 5 when 0 then p_brand || ' API-Key' when 1 then 'PrivateKey' when 2 then 'tokens' else p_type end, 'credential|token|secret|password|api[-_]?key|private[-_]?key', 'i') as credential, count(*) as n from part group by 1",
-    "n18_phase_labels": f"select label, regexp_matches(label, '^[A-Za-z0-9]+([-''][A-Za-z0-9]+)*(\\s+[A-Za-z0-9]+([-''][A-Za-z0-9]+)*)?$') and lower(label) not in ('project evolution', 'project update', 'workflow progress', 'general work', 'other', 'later stage') as ok from {values([(p,) for p in PHASES], 'label')}",
-    "n20_safe_categories": f"select id, case when regexp_matches(category, '^[a-z0-9][a-z0-9-]{{0,63}}$') then category else 'sensitive' end as category from {values([(i, c) for i, c in enumerate(CATEGORY)], 'id', 'category')}",
-    "d3_transcript_days": "select * from (values (1, date '2024-02-29'), (2, null), (3, null), (4, date '2024-05-06'), (5, null)) t(id, day)",
+    "n18_phase_labels": f"select id, label, regexp_matches(label, '^[A-Za-z0-9]+([-''][A-Za-z0-9]+)*(\\s+[A-Za-z0-9]+([-''][A-Za-z0-9]+)*)?$') and lower(label) not in ('project evolution', 'project update', 'workflow progress', 'general work', 'other', 'later stage') as ok from {dealt_values(list(enumerate(PHASES)), 'id', 'label')} m",
+    "n20_safe_categories": f"select id, case when regexp_matches(category, '^[a-z0-9][a-z0-9-]{{0,63}}$') then category else 'sensitive' end as category from {dealt_values(list(enumerate(CATEGORY)), 'id', 'category')} m",
+    "d3_transcript_days": "select event_id as id, day from events join (values (1, date '2024-02-29'), (2, null), (3, null), (4, date '2024-05-06'), (5, null)) t(form, day) on form = event_id % 5 + 1",
     "d6_stale_leases": "select user_id, coalesce(max(ts) filter (ts <= timestamp '2024-01-15 12:00:00') <= timestamp '2024-01-15 11:30:00', true) as stale from events group by 1",
     "d7_suppressed_clocks": "select user_id, case when count(*) filter (event_type = 'error' and event_id % 19 = 0) > 0 then 0 else count(ts) end as n_clocks from events group by 1",
     "m1_shard_counts": "select source, cast(greatest(1, ceil(sum(strlen(text) + 40) / 20000), ceil(sum(strlen(text)) / 20000), ceil(count(*) / 7)) as bigint) as n_shards from documents group by 1",
