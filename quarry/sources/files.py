@@ -58,15 +58,16 @@ def publish(df: DataFrame, path: str) -> str:
     return digest
 
 
-def replace_all(tables: dict[str, DataFrame], path: str) -> str:
-    """Replace a set of tables as one version: all are written under the version's digest, then the pointer is set. The same content keeps the version."""
-    spark = next(iter(tables.values())).sparkSession
-    digest = "-".join(content_digest(tables[k]) for k in sorted(tables))
-    if _named(spark, f"{path}/current") != digest:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{digest}/{name}")
-        spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
-    return digest
+def replace_all(tables: dict[str, DataFrame], path: str, tries: int = 10) -> str:
+    """Replace a set of tables as one version, whatever the version before; a reader finds the old one or the new one. The same content keeps the version."""
+    from quarry.sources.versions import Versions
+
+    kept = Versions(next(iter(tables.values())).sparkSession, path)
+    for _ in range(tries):
+        if kept.save(tables, kept.current()[0])["ok"]:
+            said = kept.current()[1]
+            return "-".join(said["digests"][k] for k in sorted(said["digests"]))
+    raise RuntimeError(f"{path} is being replaced by others")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
@@ -74,4 +75,6 @@ def published(spark: SparkSession, path: str) -> DataFrame:
 
 
 def current(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{_named(spark, f'{path}/current')}/{name}")
+    from quarry.sources.versions import Versions
+
+    return Versions(spark, path).read(name)
