@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, partitions, text_of, written
+from quarry.llm.common import SPACE, partitions, text_of, work_path, written
 
 
 def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,8 +35,8 @@ def digested(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class DigestIndex:
     """A table (text_sha256, keep_id, keep_row, batch), bucketed and sorted by text_sha256.
 
-    With ``path`` the table lies there and is found again by later sessions; without, the
-    catalogue owns it. One writer at a time: of two batches added at once each may keep a
+    With ``path``, a folder that all executors share, the table lies there and is found again by
+    later sessions; without, the catalogue owns it, in the warehouse. One writer at a time: of two batches added at once each may keep a
     text that both hold.
     """
 
@@ -119,9 +119,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cuts = sorted(set(cuts or []))
     part = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
     part = F.coalesce(part, F.lit(len(cuts)))
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", partitions(spark))
-    verdicts = [index.add(rows.filter(part == k), f"part-{k:04}") for k in range(len(cuts) + 1)]
-    index.drop()
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}", partitions(spark), work_path(spark, "digest-index"))
+    try:
+        verdicts = [index.add(rows.filter(part == k), f"part-{k:04}") for k in range(len(cuts) + 1)]
+    finally:
+        index.drop()
     if len(verdicts) == 1:
         verdict = verdicts[0]
     else:
