@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.work import written
+
 
 def occurrence(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """nth: how often the same key came up to this row, in order."""
@@ -84,3 +86,14 @@ def page_within(rows: DataFrame, by: str, order: list[str], text: str, limit_byt
     """Rows of each group in order until their bytes pass the limit."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running_bytes", F.sum(F.octet_length(text)).over(w).cast("long")).filter(F.col("running_bytes") <= limit_bytes)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows with ``name``, their place from 1 in the order of all rows, counted within ranges that are added up, so that no task meets all of them."""
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row a range
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = F.broadcast(sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before")))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__own", own).join(sizes, "__part").withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")

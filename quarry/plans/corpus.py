@@ -160,7 +160,7 @@ def j7_most_overlap(spark, sf_dir):
 
 def j8_evidence(spark, sf_dir):
     found = conversation_items(spark, sf_dir)
-    refs = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("turn-"), F.col("event_id") % 12)).otherwise(F.concat(F.lit("conv-"), F.col("event_id") % 60, F.lit(":turn-"), F.col("event_id") % 4)).alias("ref")).distinct()
+    refs = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("turn-"), F.col("event_id") % 12)).otherwise(F.concat(F.lit("conv-"), F.floor(F.col("event_id") / 4), F.lit(":turn-"), F.col("event_id") % 4)).alias("ref")).distinct()
     return relate.resolve_evidence(refs, found)
 
 
@@ -224,7 +224,7 @@ ORACLE = {
       b as (select p_partkey as label, 700 + (p_partkey * 37) % 3000 as s, 700 + (p_partkey * 37) % 3000 + 3 + p_partkey % 5 as e from part),
       t as (select id, label, least(a.e, b.e) - greatest(a.s, b.s) as overlap, row_number() over (partition by id order by least(a.e, b.e) - greatest(a.s, b.s) desc, b.s, label desc) as k from a join b on a.s < b.e and b.s < a.e)
       select id, label, overlap from t where k = 1""",
-    "j8_evidence": f"""with {ITEMS_SQL}, r as (select distinct case when event_id % 3 = 0 then 'turn-' || (event_id % 12) else 'conv-' || (event_id % 60) || ':turn-' || (event_id % 4) end as ref from events),
+    "j8_evidence": f"""with {ITEMS_SQL}, r as (select distinct case when event_id % 3 = 0 then 'turn-' || (event_id % 12) else 'conv-' || (event_id // 4) || ':turn-' || (event_id % 4) end as ref from events),
       tails as (select split_part(item_id, ':', -1) as tail, count(*) as n, min(item_id) as one from conv group by 1),
       t as (select ref, case when c.item_id is not null then 'exact' when n = 1 then 'suffix' when n > 1 then 'ambiguous' else 'missing' end as state, c.item_id, one from r left join conv c on c.item_id = ref left join tails on tail = ref)
       select ref, state, case state when 'exact' then item_id when 'suffix' then one end as item_id from t""",

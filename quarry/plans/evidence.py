@@ -61,9 +61,10 @@ def s1_jsonl_scan(spark, sf_dir):
 
 
 def s1_refused_lines(spark, sf_dir):
-    lines = log_lines(spark, sf_dir)
-    good = read_events(lines).select("file", "line")
-    return lines.filter(F.trim("raw") != "").join(good, ["file", "line"], "left_anti").groupBy("file").agg(F.count("*").alias("n_refused"))
+    """Lines of each file that are filled and no event."""
+    filled = log_lines(spark, sf_dir).filter(F.trim("raw") != "").withColumn("e", F.from_json("raw", EVENT))
+    good = F.coalesce(F.trim("raw").startswith("{") & (F.col("e.schema") == "event"), F.lit(False))
+    return filled.filter(~good).groupBy("file").agg(F.count("*").alias("n_refused"))
 
 
 def s3_bounded_scan(spark, sf_dir, most_lines=4, most_bytes=3000):

@@ -53,9 +53,11 @@ def f6_lesson_context(spark, sf_dir):
 
 
 def t9_lane_receipts(spark, sf_dir):
-    """One receipt for each lane: what came in, what went out, and how many."""
-    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("lane")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("all"), F.count_if(F.col("o_orderstatus") == "F").alias("n_out"))
-    return rows.select("lane", F.size("all").cast("long").alias("n_in"), "n_out", F.sha2(F.array_join(F.col("all").cast("array<string>"), ","), 256).alias("input_digest"))
+    """One receipt for each lane: what came in, what went out, and how many. A lane's digest is that of the digests of a thousand numbers each, in order."""
+    key = F.col("o_orderkey")
+    some = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("lane"), F.floor(key / 1_000).alias("block")).agg(F.count("*").alias("n_in"), F.count_if(F.col("o_orderstatus") == "F").alias("n_out"), F.sha2(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ","), 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"])
+    return some.groupBy("lane").agg(F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sha2(F.array_join(ordered, ","), 256).alias("input_digest"))
 
 
 def t10_release_chapters(spark, sf_dir):
@@ -144,7 +146,7 @@ def v39_kind_labels(spark, sf_dir):
 
 def v49_support_items(spark, sf_dir):
     """Items that support something, each once; the text is fetched for these only."""
-    cited = table(spark, sf_dir, "events").select(F.concat(F.lit("conv-"), F.col("event_id") % 40, F.lit(":turn-"), F.col("event_id") % 9).alias("item_id")).distinct()
+    cited = table(spark, sf_dir, "events").select(F.concat(F.lit("conv-"), F.floor(F.col("event_id") / 9), F.lit(":turn-"), F.col("event_id") % 9).alias("item_id")).distinct()
     return conversation_items(spark, sf_dir).join(cited, "item_id", "left_semi").select("item_id", F.length("content").cast("long").alias("chars"))
 
 
@@ -181,7 +183,7 @@ ORACLE = {
     "x2_handoff": "select o_custkey, count(*) filter (o_orderstatus <> 'P') as confirmed, count(*) as total, count(*) filter (o_orderstatus = 'P') = 0 and o_custkey % 3 <> 0 as handed_on from orders group by o_custkey",
     "f4_bulk_faults": "with s as (select l_orderkey, count(l_partkey) as n, count(distinct l_partkey) as d, max(l_partkey) as top from lineitem group by 1), c as (select o_orderkey as id, case when o_orderkey % 19 = 0 then 'kind' when o_orderkey % 23 = 0 then 'count' when n <> d then 'repeated' when top > (select max(p_partkey) - 3 from part) then 'foreign' end as code from orders left join s on l_orderkey = o_orderkey) select * from c where code is not null",
     "f6_lesson_context": "with c as (select l_orderkey, l_partkey as item, min(l_linenumber) as at_line from lineitem where l_partkey in (select p_partkey from part where p_size > 10) group by 1, 2) select l_orderkey, string_agg(item::varchar, ',' order by at_line, item) as items from c group by 1",
-    "t9_lane_receipts": "select o_orderpriority as lane, count(*) as n_in, count(*) filter (o_orderstatus = 'F') as n_out, sha256(string_agg(o_orderkey::varchar, ',' order by o_orderkey)) as input_digest from orders group by 1",
+    "t9_lane_receipts": "with b as (select o_orderpriority as lane, o_orderkey // 1000 as b, count(*) as n, count(*) filter (o_orderstatus = 'F') as f, sha256(string_agg(o_orderkey::varchar, ',' order by o_orderkey)) as d from orders group by 1, 2) select lane, sum(n)::bigint as n_in, sum(f)::bigint as n_out, sha256(string_agg(d, ',' order by b)) as input_digest from b group by 1",
     "t10_release_chapters": """select o_orderkey, '[' || coalesce(string_agg('{"insight":' || l_linenumber || ',"part":' || l_partkey || '}', ',' order by l_linenumber, l_partkey), '') || ']' as insights from orders left join (select * from lineitem where l_returnflag = 'A') on l_orderkey = o_orderkey where o_orderstatus = 'F' group by 1""",
     "v2_evidence_split": "select 'meta' as part, conv_id, turn, null::varchar as body from conversations union all select 'text', conv_id, null, sha256(text) from conversations",
     "v3_scoped_units": "with w as (select o_orderkey + case when o_orderkey % 81 = 0 then 100000000 else 0 end as k from orders where o_orderkey % 9 = 0), h as (select l_orderkey, count(*) as n from lineitem group by 1) select count(n) as n_units, cast(sum(n) as bigint) as n_members, count(*) - count(n) as n_missing from w left join h on l_orderkey = k",
@@ -193,7 +195,7 @@ ORACLE = {
     "v35_stale_questions": "select p_partkey as l_partkey, coalesce(string_agg(distinct l_returnflag, ',' order by l_returnflag), '') as kinds from part left join lineitem on l_partkey = p_partkey where p_size % 7 = 0 group by 1",
     "v37_presentations": f"select id, max(case when lang = 'zh' and options = case when form = 3 then 'a,c' else 'a,b' end then text end) as text from {dealt_values(SHOWN, 'id', 'lang', 'options', 'text')} m group by 1",
     "v39_kind_labels": "select case c_mktsegment when 'BUILDING' then 'build' when 'MACHINERY' then 'machine' when 'HOUSEHOLD' then 'home' else 'other' end as label, count(*) as n from customer group by 1",
-    "v49_support_items": "select 'conv-' || conv_id || ':turn-' || turn as item_id, length(text) as chars from conversations where (conv_id, turn) in (select (event_id % 40, event_id % 9) from events)",
+    "v49_support_items": "select 'conv-' || conv_id || ':turn-' || turn as item_id, length(text) as chars from conversations where (conv_id, turn) in (select (event_id // 9, event_id % 9) from events)",
     "v50_session_heads": "select conv_id, coalesce(length(arg_min(text, turn) filter (role = 'system')) > 20, false) as named from conversations group by 1",
     "v51_selected_sessions": "select case when user_id % 2 = 0 then 'default' else 'explicit' end as root, count(*) as n from events where user_id % 2 <> 0 or event_id % 5 = 0 group by 1",
     "v91_receipt_chain": "with r as (select l_orderkey, l_linenumber, min(l_partkey) as p from lineitem group by 1, 2) select l_orderkey, l_linenumber from r where p % 37 = 0 and exists (select 1 from r b where b.l_orderkey = r.l_orderkey and b.l_linenumber < r.l_linenumber)",

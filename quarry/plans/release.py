@@ -186,11 +186,12 @@ def f3_question_faults(spark, sf_dir):
 
 
 def f5_batch_digest(spark, sf_dir):
-    """Questions and bulk decisions in one order, type by type, as one digest for each brand; none at all has a digest too."""
+    """Questions and bulk decisions, type by type, as one digest for each brand: of the digests of a hundred numbers each, in order; none at all has a digest too."""
     probes = table(spark, sf_dir, "part").filter("p_size % 2 = 0").select("p_brand", F.lit("probe").alias("type"), F.col("p_partkey").alias("id"))
     bulk = table(spark, sf_dir, "part").filter("p_size % 5 = 0").select("p_brand", F.lit("bulk").alias("type"), F.col("p_partkey").alias("id"))
-    rows = probes.unionByName(bulk).select("p_brand", F.concat_ws(":", "type", "id").alias("name"))
-    found = rows.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("name")), "\n").alias("all"))
+    rows = probes.unionByName(bulk).select("p_brand", F.concat_ws(":", "type", "id").alias("name"), F.floor(F.col("id") / 100).alias("block"))
+    some = rows.groupBy("p_brand", "block").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("name")), "\n"), 256).alias("digest"))
+    found = some.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "\n").alias("all"))
     brands = table(spark, sf_dir, "part").select("p_brand").distinct().join(found, "p_brand", "left")
     return brands.select("p_brand", F.sha2(F.coalesce("all", F.lit("")), 256).alias("digest"))
 
@@ -296,7 +297,7 @@ def v48_roster(spark, sf_dir):
     """Names to look for: parts of at least four letters of account names, but those of systems; longest first is their rank."""
     parts = table(spark, sf_dir, "customer").select(F.explode(F.split(F.lower("c_name"), "[_.#-]")).alias("name")).union(table(spark, sf_dir, "supplier").select(F.explode(F.split(F.lower("s_name"), "[_.#-]"))))
     found = parts.filter("length(name) >= 4 and name not in ('customer', 'root', 'admin')").distinct()
-    return found.select("name", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "name")).cast("long").alias("rank"))
+    return relate.numbered(found.select("name"), [F.desc(F.length("name")), F.col("name")], "rank")
 
 
 def v52_stale_ids(spark, sf_dir):
@@ -370,7 +371,7 @@ ORACLE = {
     "t12_blockers": f"with {_SPANS} select chapter, string_agg(n || ':' || state, ',' order by n || ':' || state) as blockers from spans where state in ('needs_confirmation', 'odd') group by 1",
     "t13_project_map": """with p as (select o_custkey, o_orderpriority as k, count(*) as n from orders group by 1, 2) select o_custkey, '{' || string_agg('"' || k || '":' || n, ',' order by k) || '}' as projects, arg_max(k, (n, k)) as main_project from p group by 1""",
     "f3_question_faults": "with c as (select p_partkey, case when p_partkey % 31 = 0 then 'text' when p_size * 3 > 100 then 'score' when p_partkey % 17 = 0 or p_partkey % 13 = 0 then 'evidence' when p_partkey % 37 = 0 then 'foreign' when p_partkey % 23 <> 0 and p_partkey % 19 = 0 then 'options' when p_partkey % 23 = 0 or p_partkey % 29 = 0 then 'alike' end as code from part) select * from c where code is not null",
-    "f5_batch_digest": "with r as (select p_brand, 'probe:' || p_partkey as x from part where p_size % 2 = 0 union all select p_brand, 'bulk:' || p_partkey from part where p_size % 5 = 0), d as (select p_brand, string_agg(x, chr(10) order by x) as a from r group by 1) select p.p_brand, sha256(coalesce(a, '')) as digest from (select distinct p_brand from part) p left join d using (p_brand)",
+    "f5_batch_digest": "with r as (select p_brand, 'probe:' || p_partkey as x, p_partkey // 100 as b from part where p_size % 2 = 0 union all select p_brand, 'bulk:' || p_partkey, p_partkey // 100 from part where p_size % 5 = 0), e as (select p_brand, b, sha256(string_agg(x, chr(10) order by x)) as x from r group by 1, 2), d as (select p_brand, string_agg(x, chr(10) order by b) as a from e group by 1) select p.p_brand, sha256(coalesce(a, '')) as digest from (select distinct p_brand from part) p left join d using (p_brand)",
     "f7_lifecycle": "select case when p_partkey % 5 = 0 then case when p_partkey % 2 = 0 then 'history' else 'legacy' end when p_size % 3 = 0 then 'inactive' when p_partkey % 7 <> 0 then 'active' else 'needs_update' end as state, count(*) as n from part group by 1",
     "f8_answers": "select p_partkey, case when p_size % 4 = 0 then 'skip' when p_size % 4 = 1 and p_partkey % 3 <> 0 then 'other:' || p_brand when p_size % 4 = 2 then 'option-' || p_partkey % 3 end as answer from part",
     "f9_regenerated": "select case when p_partkey % 4 = 3 then 'missing' when p_partkey % 11 = 0 then 'target' when p_partkey % 3 = 0 or p_name = reverse(p_name) then 'unchanged' else 'ok' end as code, count(*) as n from part group by 1",

@@ -156,9 +156,9 @@ def j5_currency(spark, sf_dir):
 
 def j6_span_units(spark, sf_dir):
     """Redacted members and the units that hold them."""
-    spans = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"))
-    members = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("item"), F.col("l_orderkey").alias("unit"))
-    return spans.join(members, "item").groupBy("unit").agg(F.count("*").alias("n_spans"))
+    spans = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
+    members = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("unit"))
+    return spans.join(members, ["l_orderkey", "l_linenumber"]).groupBy("unit").agg(F.count("*").alias("n_spans"))
 
 
 def j9_candidates(spark, sf_dir):
@@ -204,13 +204,13 @@ def j18_copied_units(spark, sf_dir):
 
 
 def a4_conservation(spark, sf_dir):
-    """Documents whose counters do not add up: raw less replays is normalized, normalized less kept is dropped. One in nine tells a wrong number."""
+    """Documents whose counters do not add up: raw less replays is normalized, normalized less kept is dropped. One in nine tells a wrong number, one in eleven more documents than there were."""
     rows = event_items(spark, sf_dir).withColumn("n", F.col("sequence"))
     per = rows.groupBy("document_id").agg(F.count("*").alias("raw"), F.countDistinct("event_type", F.floor(F.col("n") / 7)).alias("normalized"))
     kept = rows.filter("event_type in ('artifact', 'system')").groupBy("document_id").agg(F.countDistinct("event_type", F.floor(F.col("n") / 7)).alias("kept"))
     dropped = rows.filter("event_type not in ('artifact', 'system')").groupBy("document_id").agg(F.countDistinct("event_type", F.floor(F.col("n") / 7)).alias("dropped"))
     user = F.regexp_extract("document_id", r"(\d+)", 1).cast("long")
-    told = per.join(kept, "document_id", "left").join(dropped, "document_id", "left").fillna(0).withColumn("kept", F.col("kept") + (user % 9 == 0).cast("int"))
+    told = per.join(kept, "document_id", "left").join(dropped, "document_id", "left").fillna(0).withColumn("kept", F.col("kept") + (user % 9 == 0).cast("int")).withColumn("normalized", F.when(user % 11 == 0, F.col("raw") + 1).otherwise(F.col("normalized")))
     code = F.when(F.col("normalized") > F.col("raw"), "replays").when(F.col("normalized") - F.col("kept") != F.col("dropped"), "dropped")
     return told.select("document_id", code.alias("code")).filter("code is not null")
 
@@ -422,7 +422,7 @@ ORACLE = {
     "j11_narratives": "select o_custkey, count(*) as n, sha256(string_agg(l_orderkey || ':' || l_linenumber, ',' order by l_orderkey, l_linenumber)) as digest from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' group by 1",
     "j17_grounded_claims": f"with c as (select conv_id, case when conv_id % 3 = 0 then turn + 1 else turn end as turn, '  ' || text[5:28] || ' !' as claim from conversations) select c.conv_id, count(*) filter (contains({_CLAIM.format('t.text')}, {_CLAIM.format('claim')})) as n_grounded, count(*) as n_claims from c left join conversations t on t.conv_id = c.conv_id and t.turn = c.turn group by 1",
     "j18_copied_units": "select coalesce(o_orderpriority, 'Unclassified') as category, count(*) as n from lineitem left join (select * from orders where o_orderkey % 3 <> 0) on o_orderkey = l_orderkey group by 1",
-    "a4_conservation": "select distinct 'user-' || user_id as document_id, 'dropped' as code from events where user_id % 9 = 0",
+    "a4_conservation": "select distinct 'user-' || user_id as document_id, case when user_id % 11 = 0 then 'replays' else 'dropped' end as code from events where user_id % 9 = 0 or user_id % 11 = 0",
     "a10_guards": "select *, orders = customer * 10 as agrees from (select (select count(*) from orders) as orders, (select count(*) from customer) as customer, (select count(*) from labels) as labels)",
     "a15_projects": f"""with i as (select 'conv-' || conv_id as d, 'message' as t, 'conv-' || conv_id || ':turn-' || turn as i from conversations union all select 'user-' || user_id, {_EV}, 'event-' || event_id from events), p as (select 'project-' || length(d) % 4 || '-' || t as project, count(*) as n_events, min(i) as first_item from i group by 1)
       select *, row_number() over (order by n_events desc, project) = 1 as primary_project from p""",

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line from 1, raw) of text files. Files may be split over tasks; blank lines count as lines."""
-    where = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    rows = spark.read.text(path, pathGlobFilter="*").select(F.col("_metadata.file_path").alias("file"), where.alias("at"), F.col("value").alias("raw"))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line"), "raw")
+    """(file, line from 1, raw) of text files. Files may be split over tasks; blank lines count as lines.
+
+    Lines are counted within the blocks that a file is read in, then blocks within their file, so that no
+    file meets in one task.
+    """
+    rows = spark.read.text(path, pathGlobFilter="*").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("raw"))
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "block").orderBy("nth"))
+    return rows.withColumn("own", own).join(sizes, ["file", "block"]).select("file", (F.col("own") + F.col("before")).cast("int").alias("line"), "raw")
 
 
 def parsed(lines: DataFrame, schema: str, expected: str) -> tuple[DataFrame, DataFrame]:
