@@ -157,6 +157,8 @@ union all select chapter, 'after_range' from c where chapter % 47 = 0 and chapte
 union all select chapter, 'after_range' from c where chapter % 59 = 0 and n >= 3 and q < 10
 union all select chapter, 'operation' from c where chapter % 53 = 0
 union all select chapter, 'active_base' from c where chapter % 59 = 0 and not (chapter % 37 = 0 and n <= 4)
+-- waiting alone, on a revision that nothing has made
+union all select chapter, 'before_text' from c where chapter % 59 = 0 and chapter % 37 = 0 and n = 1
 union all select chapter, 'redo_not_reverted' from c where chapter % 61 = 0
 union all select chapter, 'clock' from c where chapter % 67 = 0
 """
