@@ -1,17 +1,9 @@
 """Token ids in compact binary segments, written by an adaptive context-mixing range coder.
 
-A segment holds whole documents in order: doc ids, token counts, the ids themselves. Ids are
-cut into blocks; each block starts with a reset model, has its own checksum and can be decoded
-alone (with the segment's header). Three predictions are mixed for each id: order 2 and order 1
-(the id last seen after the last two ids, the last id, in the block) and order 0 (the id's
-share within the frequent or the rare half of the segment's ids, from the counts in the header,
-and an adaptive share of the halves). Their weights are adaptive, one set for each pair of
-surenesses of the two guesses; the mixed shares drive a carry-less range coder of 64 bits that
-emits words of 32. Everything is integer arithmetic, so any machine decodes what another wrote.
-
-Blocks of a segment are coded side by side, one array element each: that is what makes
-adaptive coding in numpy affordable. Segments travel as a binary column, so any store that
-Spark writes can hold them.
+A segment holds whole documents in order: doc ids, token counts, the ids themselves, cut into
+blocks that ``id_coder`` codes: each starts with a reset model, has its own checksum and can be
+decoded alone (with the segment's header). Segments travel as a binary column, so any store
+that Spark writes can hold them.
 """
 
 from __future__ import annotations
@@ -32,13 +24,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm.common import in_batches, partitions, small, text_of, written
+from quarry.llm.id_coder import BLOCK as BLOCK, decode, encode
 
-MAGIC = b"QTS2"
-#: Ids in a block, and about how many in a segment. A document is never cut between segments.
-BLOCK, SEGMENT = 1024, 1 << 22
+MAGIC = b"QTS3"
+#: About how many ids are in a segment. A document is never cut between segments.
+SEGMENT = 1 << 22
 #: Characters tokenized at once (a longer text alone), and pre-tokens whose ids are remembered.
 CHARS, REMEMBERED = 200_000, 500_000
-CONTEXTS = 512
 #: The letters and numbers among the characters whose pre-tokens are cut here; texts with others are left to the library whole.
 LETTERS, NUMBERS = "A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 PLAIN = "\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026"
@@ -57,282 +49,9 @@ BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN) if b != 10}
 SLOT_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
-EVENT_BITS, ID_BITS = 15, 18
-WORD, HALF = np.uint64(1 << 32), np.uint64(32)
 SEGMENT_SCHEMA = "part int, at long, n_tokens long, data binary"
 
 
-def order0(counts: np.ndarray) -> np.ndarray:
-    """Counts scaled to a total of 2**ID_BITS; what occurs has 1 at least."""
-    total = 1 << ID_BITS
-    seen = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.int64)
-    if len(seen):
-        spare = total - len(seen)
-        share = counts[seen].astype(np.int64) * spare // max(1, int(counts[seen].sum()))
-        share += 1
-        share[np.argmax(share)] += total - int(share.sum())
-        out[seen] = share
-    return out
-
-
-def frequent(counts: np.ndarray) -> np.ndarray:
-    """1 for ids of the rarer half of the mass, 0 for the others; ties by id."""
-    order = np.argsort(-counts, kind="stable")
-    before = np.cumsum(counts[order]) - counts[order]
-    rare = np.zeros(len(counts), np.int32)
-    rare[order[2 * before >= counts.sum()]] = 1
-    return rare
-
-
-class _Model:
-    """State of all blocks, side by side.
-
-    Order 2 and order 1: what each context saw last and how sure it is (id * 4 + sureness).
-    Order 0: how often an id is of the frequent half, after the halves of the last two.
-    The weights of the three are learned for each pair of surenesses.
-    """
-
-    def __init__(self, blocks: int):
-        # indices are of the size numpy takes them in
-        self.lane = np.arange(blocks)
-        self.base = self.lane * CONTEXTS
-        self.seen = [np.full(blocks * CONTEXTS, -4, np.int32) for _ in range(2)]
-        self.last, self.before, self.halves = (np.zeros(blocks, np.int64) for _ in range(3))
-        # shares of the order-2 guess, and of the order-1 guess among the rest; of the frequent half
-        self.first, self.second = (np.full(blocks * 16, share, np.int32) for share in (1 << 12, 1 << 11))
-        self.half = np.full(blocks * 4, 1 << 14, np.int32)
-        self.bounds = np.zeros((5, blocks), np.int32)
-        self.bounds[4] = 1 << EVENT_BITS
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the first n blocks both guesses; ``bounds`` says where each event begins, of 2**EVENT_BITS.
-
-        Events: the order-2 guess, the order-1 guess, another id of the frequent half, one of the rare half.
-        """
-        last, base, lane = self.last[:n], self.base[:n], self.lane[:n]
-        mixed = last * 10007
-        mixed += self.before[:n] * 30011
-        mixed >>= 3
-        mixed &= CONTEXTS - 1
-        mixed += base
-        alone = last * 25173
-        alone >>= 2
-        alone &= CONTEXTS - 1
-        alone += base
-        self.at = mixed, alone
-        two, one = self.held = self.seen[0].take(mixed, mode="clip"), self.seen[1].take(alone, mode="clip")
-        sure = two & 3
-        sure <<= 2
-        sure += one & 3
-        self.sure, self.state = sure + (lane << 4), (lane << 2) + self.halves[:n]
-        self.p = self.first.take(self.sure, mode="clip"), self.second.take(self.sure, mode="clip"), self.half.take(self.state, mode="clip")
-        whole, (a, b, c) = 1 << EVENT_BITS, self.bounds[1:4, :n]
-        # the shares learned stay within 1/1024 and 1023/1024 by themselves; every event keeps some
-        np.minimum(self.p[0], whole - 256, out=a)
-        a += 32
-        rest = whole - a
-        b[:] = rest
-        b *= self.p[1]
-        b >>= EVENT_BITS
-        np.minimum(b, rest - 128, out=b)
-        b += 16
-        rest -= b
-        b += a
-        c[:] = rest
-        c *= self.p[2]
-        c >>= EVENT_BITS
-        np.minimum(c, rest - 32, out=c)
-        c += 16
-        c += b
-        return two >> 2, one >> 2
-
-    def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and share of the events."""
-        flat, at = self.bounds.ravel(), event * len(self.lane)
-        at += self.lane[: len(event)]
-        start = flat.take(at, mode="clip")
-        at += len(self.lane)
-        return start, flat.take(at, mode="clip") - start
-
-    def update(self, ids: np.ndarray, event: np.ndarray, rare: np.ndarray) -> None:
-        n = len(ids)
-        whole = np.int32(1 << EVENT_BITS)
-        hit, other, p = event == 0, event > 1, self.p
-        step = hit * whole
-        step -= p[0]
-        step >>= 4
-        step += p[0]
-        self.first[self.sure] = step
-        step = (event == 1) * whole
-        step -= p[1]
-        step >>= 4
-        step *= ~hit
-        step += p[1]
-        self.second[self.sure] = step
-        step = (event == 2) * whole
-        step -= p[2]
-        step >>= 5
-        step *= other
-        step += p[2]
-        self.half[self.state] = step
-        fresh = ids << 2
-        for seen, at, held in zip(self.seen, self.at, self.held, strict=True):
-            # a guess that was right is surer by one, up to 3; another id takes its place
-            more = held & 3
-            more += more < 3
-            more *= held >> 2 == ids
-            more += fresh
-            seen[at] = more
-        halves = self.halves[:n]
-        halves &= 1
-        halves <<= 1
-        halves += rare
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-class _Coder:
-    """Ranges of all blocks. An interval that has become narrow is cut to one leading word, which goes out."""
-
-    def __init__(self, blocks: int):
-        self.low = np.zeros(blocks, np.uint64)
-        self.range = np.full(blocks, 2**64 - 1, np.uint64)
-
-    def narrow(self, rows, start: np.ndarray, share: np.ndarray, bits: int):
-        """rows: indices or a slice. Returns which of them give out a word, and the words."""
-        size = self.range[rows] >> np.uint64(bits)
-        low = size * start.astype(np.uint64, copy=False)
-        low += self.low[rows]
-        size *= share.astype(np.uint64, copy=False)
-        out = np.flatnonzero(size < WORD)
-        l, s = low[out], size[out]
-        cut = (l >> HALF) != ((l + s - np.uint64(1)) >> HALF)
-        s = np.where(cut, WORD - (l & (WORD - np.uint64(1))), s)
-        words = l >> HALF
-        low[out], size[out] = l << HALF, s << HALF
-        self.low[rows], self.range[rows] = low, size
-        return out, words
-
-
-def _shape(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids as blocks side by side (position, block), longest first, and how many blocks are that long."""
-    blocks = -(-len(ids) // BLOCK)
-    grid = np.zeros(blocks * BLOCK, np.int32)
-    grid[: len(ids)] = ids
-    alive = np.full(BLOCK, blocks)
-    if len(ids) % BLOCK:
-        alive[len(ids) % BLOCK :] -= 1
-    return np.ascontiguousarray(grid.reshape(blocks, BLOCK).T), alive
-
-
-def _table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each id: the half, and begin and share within the half."""
-    rare = frequent(counts)
-    shares = [order0(np.where(rare == h, counts, 0)) for h in (0, 1)]
-    begins = [np.cumsum(x) - x for x in shares]
-    return rare.astype(np.int32), np.where(rare, begins[1], begins[0]).astype(np.uint64), (shares[0] + shares[1]).astype(np.uint64)
-
-
-def encode(ids: np.ndarray) -> bytes:
-    """The ids' counts, block table (words, checksum) and words."""
-    counts = np.bincount(ids, minlength=1)
-    rare, begin, share = _table(counts)
-    grid, alive = _shape(ids)
-    blocks = grid.shape[1]
-    model, coder = _Model(blocks), _Coder(blocks)
-    out_block, out_word = [], []
-    every = model.lane
-
-    def put(lanes: np.ndarray, rows, start, of, bits) -> None:
-        out, words = coder.narrow(rows, start, of, bits)
-        out_block.append(lanes[out].astype(np.int32))
-        out_word.append(words.astype(np.uint32))
-
-    for k in range(BLOCK):
-        n = alive[k]
-        if not n:
-            break
-        now = grid[k, :n]
-        two, one = model.predict(n)
-        half = rare.take(now)
-        event = np.where(two == now, 0, np.where(one == now, 1, half + 2))
-        put(every[:n], slice(0, n), *model.interval(event), EVENT_BITS)
-        rows = np.flatnonzero(event > 1)
-        named = now.take(rows)
-        put(rows, rows, begin.take(named), share.take(named), ID_BITS)
-        model.update(now, event, half)
-    for shift in (32, 0):
-        out_block.append(every.astype(np.int32))
-        # the upper end's leading word, so that what follows may be anything
-        out_word.append(((coder.low + (coder.range >> np.uint64(1))) >> np.uint64(shift)).astype(np.uint32))
-    block, words = np.concatenate(out_block), np.concatenate(out_word)
-    words = words[np.argsort(block, kind="stable")]
-    sizes = np.bincount(block, minlength=blocks)
-    sums = [zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)]
-    seen = np.flatnonzero(counts)
-    told = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts[seen].astype("<u8").tobytes())
-    head = struct.pack("<III", len(seen), len(told), blocks)
-    return b"".join([head, told, sizes.astype("<u4").tobytes(), np.array(sums, "<u4").tobytes(), words.astype("<u4").tobytes()])
-
-
-def decode(raw: bytes, n_ids: int) -> np.ndarray:
-    n_seen, n_told, blocks = struct.unpack_from("<III", raw)
-    try:
-        told = zlib.decompress(raw[12 : 12 + n_told])
-    except zlib.error as e:
-        raise ValueError("the table of counts is damaged") from e
-    seen = np.cumsum(np.frombuffer(told, "<u4", n_seen).astype(np.int64))
-    counts = np.zeros(int(seen[-1]) + 1, np.int64)
-    counts[seen] = np.frombuffer(told, "<u8", n_seen, offset=4 * n_seen)
-    sizes, sums, words = np.split(np.frombuffer(raw[12 + n_told :], "<u4"), [blocks, 2 * blocks])
-    rare, begin, share = _table(counts)
-    # the id of every slot, of both halves one after the other
-    of_slot = np.concatenate([np.repeat(seen[rare[seen] == h], share[seen[rare[seen] == h]].astype(np.int64)) for h in (0, 1)]).astype(np.int32)
-    words = np.concatenate([words.astype(np.uint64), np.zeros(4, np.uint64)])
-    grid, alive = _shape(np.zeros(n_ids, np.int32))
-    model, coder = _Model(blocks), _Coder(blocks)
-    at = np.cumsum(sizes.astype(np.int64)) - sizes
-    code = (words[at] << HALF) | words[at + 1]
-    at = at + 2
-
-    def slots(rows, bits) -> np.ndarray:
-        slot = code[rows] - coder.low[rows]
-        slot //= coder.range[rows] >> np.uint64(bits)
-        return np.minimum(slot, np.uint64((1 << bits) - 1)).astype(np.int64)
-
-    def take_words(rows, start, of, bits) -> None:
-        out, _ = coder.narrow(rows, start, of, bits)
-        out = rows[out] if isinstance(rows, np.ndarray) else out
-        code[out] = (code[out] << HALF) | words[at[out]]
-        at[out] += 1
-
-    for k in range(BLOCK):
-        n = alive[k]
-        if not n:
-            break
-        two, one = model.predict(n)
-        slot = slots(slice(0, n), EVENT_BITS)
-        event = np.zeros(n, np.int64)
-        for begins in model.bounds[1:4, :n]:
-            event += slot >= begins
-        take_words(slice(0, n), *model.interval(event), EVENT_BITS)
-        now = np.where(event == 0, two, one)
-        rows = np.flatnonzero(event > 1)
-        slot = slots(rows, ID_BITS)
-        slot += (event[rows] - 2) << ID_BITS
-        named = of_slot.take(slot, mode="clip")
-        take_words(rows, begin.take(named), share.take(named), ID_BITS)
-        now[rows] = named
-        grid[k, :n] = now
-        model.update(now, event, rare.take(now, mode="clip"))
-    ids = np.ascontiguousarray(grid.T).ravel()[:n_ids]
-    for b in range(blocks):
-        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != sums[b]:
-            raise ValueError(f"block {b} does not match its checksum")
-    return ids
-
-
 def pack(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
     """A segment. A null doc id is kept as such."""
     known = np.array([d is not None for d in doc_ids], np.uint8)

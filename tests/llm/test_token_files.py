@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from quarry.llm import id_coder
 from quarry.llm import token_files as tf
 
 
@@ -19,6 +20,33 @@ def test_round_trip(n, kind):
         assert len(raw) < n
 
 
+def test_mixing_learns_from_contexts():
+    """Ids that follow from the last two cost far less than their shares say, in every block; blocks are independent."""
+    r = np.random.default_rng(5)
+    follow = r.permutation(512)
+    ids = np.zeros(40_960, np.int64)
+    for i in range(2, len(ids)):
+        ids[i] = follow[(ids[i - 1] + 7 * ids[i - 2]) % 512] if r.random() < 0.97 else r.integers(0, 512)
+    ids = np.resize(ids[:150], len(ids))
+    size = len(tf.encode(ids))
+    assert size * 8 < 4 * len(ids)
+    noise = r.permutation(ids)
+    assert 1.05 * len(tf.encode(noise)) > 7 * len(ids) / 8
+
+
+@pytest.mark.parametrize("counts", [[5], [0, 3, 0, 1], [1, 1, 1], [2**40, 1, 1, 1, 0, 7]])
+def test_tree_gives_each_id_its_place(counts):
+    tree = id_coder._Tree(np.array(counts))
+    seen = [i for i, c in enumerate(counts) if c]
+    assert sum(tree.size[i] for i in seen) == 1 << id_coder.ID_BITS
+    for i in seen:
+        node, path = 0, int(tree.path[i])
+        while node >= 0:
+            assert tree.start[node] <= tree.begin[i] and tree.begin[i] + tree.size[i] <= tree.start[node] + tree.below[node]
+            node, path = int(tree.child[2 * node + (path & 1)]), path >> 1
+        assert ~node == i and (tree.slots()[tree.begin[i] % (1 << id_coder.ID_BITS)] == i)
+
+
 def test_damage_is_found():
     raw = bytearray(tf.pack([1, None], [3, 2], np.array([5, 6, 2, 9, 2])))
     assert tf.unpack(bytes(raw))[0] == [1, None]
