@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import corpus, edits, evidence, handover, minutes, privacy, receipted, redaction, relations, release, review, sharding, told
+from quarry.plans import corpus, edits, evidence, handover, minutes, packaged, privacy, receipted, redaction, relations, release, review, sharding, told
 
-MODULES = (corpus, edits, evidence, handover, minutes, privacy, receipted, redaction, relations, release, review, sharding, told)
+MODULES = (corpus, edits, evidence, handover, minutes, packaged, privacy, receipted, redaction, relations, release, review, sharding, told)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
