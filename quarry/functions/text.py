@@ -50,6 +50,26 @@ def claim_normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_./:+-]+", " "), r" +", " "))
 
 
+#: What an instruction to add something starts with, once normal.
+DIRECTIONS = ("^(please )?(add|include)( that)? ", "^(请)?(补充|加入|加上)(说明)? ")
+
+
+def claim_variants(instruction: Column) -> Column:
+    """The normal claim of an instruction, with its direction and without; none of under three UTF-16 units. A null instruction has none."""
+    whole = claim_normal(instruction)
+    bare = whole
+    for pattern in DIRECTIONS:
+        bare = F.regexp_replace(bare, pattern, "")
+    return F.filter(F.array_distinct(F.array(whole, F.trim(bare))), lambda v: utf16_length(v) >= 3)
+
+
+def claim_supported(instruction: Column, contents: Column) -> Column:
+    """Whether a variant of the claim stands in one of the contents, each made normal; null counts as empty."""
+    sources = F.transform(F.coalesce(contents, F.array().cast("array<string>")), lambda c: claim_normal(F.coalesce(c, F.lit(""))))
+    claims = claim_variants(F.coalesce(instruction, F.lit("")))
+    return F.exists(claims, lambda v: F.exists(sources, lambda c: F.contains(c, v)))
+
+
 def language_class(text: Column) -> Column:
     """zh or en where that script has four fifths of the letters of both, else mixed."""
     han, latin = F.regexp_count(text, F.lit(r"\p{IsHan}")), F.regexp_count(text, F.lit(r"[A-Za-z]"))

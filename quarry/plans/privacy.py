@@ -68,10 +68,22 @@ def n1_lengths(spark, sf_dir):
     return docs.select("doc_id", F.length("text").cast("long").alias("points"), F.octet_length("text").cast("long").alias("bytes"), T.utf16_length(F.col("text")).alias("utf16"))
 
 
+#: Instructions' first words; the last is none.
+DIRECTED = ("Please add that ", "add: ", "INCLUDE that ", "请补充说明 ", "加上 ", "Please keep ", "")
+
+
 def n8_claims(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.claim_normal(F.concat("p_name", F.lit(" (v. 2)!  "), "p_type")).alias("claim"), T.slug(F.concat("p_type", F.lit(" / "), "p_brand")).alias("slug"))
 
 
+def n9_supported_claims(spark, sf_dir):
+    """Turns as instructions to add their beginning, held against their own text or, by conversation, the reversed one."""
+    t, text = F.col("turn"), F.coalesce("text", F.lit(""))
+    said = F.concat(F.element_at(F.array(*[F.lit(x) for x in DIRECTED]), F.pmod(t, F.lit(len(DIRECTED))).cast("int") + 1), F.when(t % 7 == 6, "").otherwise(F.substring(text, 1, 30)))
+    rows = table(spark, sf_dir, "conversations").filter("turn is not null").select("conv_id", "turn", said.alias("said"), F.array(F.when(F.col("conv_id") % 3 == 0, F.reverse(text)).otherwise(text)).alias("contents"))
+    return rows.select("conv_id", "turn", F.array_join(T.claim_variants(F.col("said")), "|").alias("variants"), T.claim_supported(F.col("said"), F.col("contents")).alias("supported"))
+
+
 def n10_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.language_class(F.col("text")).alias("language"))
 
@@ -126,12 +138,19 @@ def t8_language_policy(spark, sf_dir):
     return docs.rollup("source").agg(F.count("*").alias("n"), F.count_if(F.col("language") == "en").alias("en"), F.count_if(F.col("language") == "mixed").alias("mixed")).select(F.coalesce("source", F.lit("all")).alias("owner"), "n", "en", "mixed")
 
 
-QUERIES = {f.__name__: f for f in (g1_validate_findings, g2_greedy_spans, g3_apply_spans, g6_decisions, a6_categories, a7_name_leaks, n1_lengths, n8_claims, n10_language, n12_pasted_pages, n15_credentials, n19_escaped, n22_skeletons, d1_instants, x_hourly_windows, f1_friction, t8_language_policy)}
+QUERIES = {f.__name__: f for f in (n9_supported_claims, g1_validate_findings, g2_greedy_spans, g3_apply_spans, g6_decisions, a6_categories, a7_name_leaks, n1_lengths, n8_claims, n10_language, n12_pasted_pages, n15_credentials, n19_escaped, n22_skeletons, d1_instants, x_hourly_windows, f1_friction, t8_language_policy)}
 
 _CREDENTIAL = T.CREDENTIAL.replace("'", "''")
 _LANGUAGE = r"""case when h + l = 0 then 'mixed' when h * 5 >= (h + l) * 4 then 'zh' when l * 5 >= (h + l) * 4 then 'en' else 'mixed' end"""
 _LETTERS = r"len(regexp_extract_all(text, '\p{Han}')) as h, len(regexp_extract_all(text, '[A-Za-z]')) as l"
+_NORMAL = lambda x: rf"trim(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_./:+-]+', ' ', 'g'), ' +', ' ', 'g'))"
 ORACLE = {
+    "n9_supported_claims": f"""with t as (select conv_id, turn, coalesce(text, '') as text from conversations where turn is not null),
+      i as (select conv_id, turn, [{', '.join(f"'{x}'" for x in DIRECTED)}][turn % {len(DIRECTED)} + 1] || case when turn % 7 = 6 then '' else substring(text, 1, 30) end as said, case when conv_id % 3 = 0 then reverse(text) else text end as content from t),
+      w as (select *, {_NORMAL('said')} as whole, {_NORMAL('content')} as source from i),
+      v as (select *, trim(regexp_replace(regexp_replace(whole, '^(please )?(add|include)( that)? ', ''), '^(请)?(补充|加入|加上)(说明)? ', '')) as bare from w)
+      select conv_id, turn, case when length(whole) < 3 then '' else whole end || case when bare <> whole and length(bare) >= 3 then '|' || bare else '' end as variants,
+        (length(whole) >= 3 and contains(source, whole)) or (length(bare) >= 3 and contains(source, bare)) as supported from v""",
     "g1_validate_findings": """with t as (select conv_id * 100 + turn as item_id, length(text) as size from conversations),
       f as (select event_id, event_id % 60 * 100 + event_id % 9 as item_id, event_id % 30 as s, case when event_id % 13 <> 0 then event_id % 40 end as e, case when event_id % 11 = 0 then 'other' else 'sensitive' end as category from events)
       select event_id, case when size is null then 'unknown event id' when category = 'other' then 'unknown category' when e is null then 'offsets are not integers' when s >= e or e > size then 'offsets out of range' end as reject_reason from f left join t using (item_id)""",

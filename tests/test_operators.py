@@ -90,3 +90,11 @@ def test_stream_equals_batch(spark, data, tmp_path):
     sink.processAllAvailable()
     sink.stop()
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_claims(spark):
+    rows = [("Please add that it WORKS!", ["so, it works."]), ("add ab", ["ab"]), ("请补充说明 我们 成功 了", ["后来 我们 成功 了。"]), ("it works", []), (None, ["x"]), ("addition", None), ("😀 x", ["x"])]
+    df = spark.createDataFrame(rows, "i string, c array<string>")
+    got = df.select(T.claim_variants(F.col("i")), T.claim_supported(F.col("i"), F.col("c"))).collect()
+    assert [r[0] for r in got] == [["please add that it works", "it works"], ["add ab"], ["请补充说明 我们 成功 了", "我们 成功 了"], ["it works"], [], ["addition"], []]
+    assert [r[1] for r in got] == [True, False, True, False, False, False, False]
