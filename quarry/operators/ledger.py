@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from operator import itemgetter
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.groups import folded
+
 #: The longest text and the most transactions of a chapter, and what a new claim looks like.
 LONGEST, MOST = 20_000, 5_000
 LOCATOR = r"https?://|[A-Za-z]:\\|/(?:[^\s/]+/){2,}"
@@ -260,17 +262,22 @@ def _folded(blocks: list[dict], actions: list[dict]) -> tuple[Chapter, list[tupl
     return chapter, [(a, *chapter.act(a)) for a in sorted(actions, key=lambda a: a["seq"])]
 
 
-def _by_chapter(blocks: DataFrame, other: DataFrame, fold: Callable[[int, list[dict], list[dict]], list[dict]], schema: str, columns: list[str]) -> DataFrame:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-    made = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+def _by_chapter(blocks: DataFrame, other: DataFrame, fold: Callable[[list[dict], list[dict]], list[dict]], schema: str, columns: list[str]) -> DataFrame:
+    """What ``fold`` makes of each chapter's blocks and of its rows of ``other``: chapters are walked one after another, not called one by one."""
+    key, own = F.col("chapter").cast("long").alias("chapter"), ["block", "language", "text"]
+    names = [c.split()[0] for c in schema.split(", ")][1:]
+    rows = blocks.select(key, *own, F.lit(True).alias("is_block")).unionByName(other.select(key, *columns, F.lit(False).alias("is_block")), allowMissingColumns=True)
+    has = rows.columns[1:]
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [r | {"chapter": key[0].as_py()} for r in fold(left.to_pylist(), right.to_pylist())]
-        return pa.Table.from_pylist(rows, schema=made)
+    def run(chapter: int, held: list[tuple]) -> Iterator[tuple]:
+        left, right = [], []
+        for r in held:
+            x = dict(zip(has, r[1:], strict=True))
+            (left if x["is_block"] else right).append(x)
+        made = itemgetter(*names)
+        return ((chapter, *made(x)) for x in fold(left, right))
 
-    key = F.col("chapter").cast("long").alias("chapter")
-    left = blocks.filter("chapter is not null").select(key, "block", "language", "text").groupBy("chapter")
-    return left.cogroup(other.filter("chapter is not null").select(key, *columns).groupBy("chapter")).applyInArrow(run, schema)
+    return folded(rows, "chapter", run, schema)
 
 
 ACTION = ["seq", "kind", "block", "language", "start", "end", "inserted", "target", "supported"]

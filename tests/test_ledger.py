@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarry.functions import diff
-from quarry.operators import ledger, shards
+from quarry.operators import groups, ledger, shards
 
 BLOCK = "chapter long, block string, language string, text string"
 ACTION = "chapter long, seq long, kind string, block string, language string, start int, end int, inserted string, target string, supported boolean"
@@ -161,3 +161,31 @@ def test_shards_that_fail(spark, monkeypatch):
     assert got == {("p", "too_many_records"), ("q", None), ("r", "too_many_records")}
 
 
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_over_batches(spark):
+    """A group that runs over any number of batches is folded once, whole; small ones share a call."""
+    r = random.Random(3)
+    rows = sorted((f"g{r.randrange(9)}", k) for k in range(60))
+    want = {g: [x for x in rows if x[0] == g] for g, _ in rows}
+    for size in (1, 2, 7, 100):
+        batches = [groups.pa.RecordBatch.from_pylist([dict(zip("gk", x, strict=True)) for x in rows[i : i + size]]) for i in range(0, 60, size)]
+        assert [x for out in groups.walked(batches, lambda k, held: [(k, held)]) for x in out] == sorted(want.items())
+    assert list(groups.walked([], lambda k, held: [(k, held)])) == []
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    df = spark.createDataFrame([(g, k if k % 4 else None) for g, k in rows] + [(None, 5)], "g string, k long")
+    got = {x["g"]: (x["n"], x["low"]) for x in groups.folded(df, "g", lambda key, held: [(key, len(held), held[0][1])], "g string, n long, low long", order=("k",)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert got == {g: (len(v), None if any(k % 4 == 0 for _, k in v) else min(k for _, k in v)) for g, v in want.items()}
+
+
+def test_chapters_share_a_call(spark):
+    texts, acts = spark.createDataFrame([], BLOCK), spark.createDataFrame([], ACTION)
+    changes = spark.createDataFrame([], "chapter long, id string, block string, language string, kind string, start int, end int, before_text string, after_text string, base_revision int, applied_revision int")
+    for df in (ledger.transactions(texts, acts), ledger.outcomes(texts, acts), ledger.snapshots(texts, changes), ledger.replayed(texts, changes)):
+        assert "MapInArrow" in plan(df) and "CoGroup" not in plan(df)
