@@ -251,10 +251,14 @@ def i6_last_messages(spark, sf_dir):
 def i7_duplicate_units(spark, sf_dir):
     """Orders as units, one in seven a duplicate of another: faults of that relation."""
     units = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 == 0, "duplicate").otherwise("work").alias("kind"), F.when(F.col("o_orderkey") % 7 == 0, F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")).otherwise(F.col("o_orderkey") - F.col("o_orderkey") % 11)).when(F.col("o_orderkey") % 97 == 0, 1).alias("of"))
+    is_copy, named = F.col("kind") == "duplicate", F.col("of").isNotNull()
+    alone = F.when(is_copy != named, "kind").when(is_copy & (F.col("of") == F.col("id")), "itself")
+    faulty = units.select("id", alone.alias("code")).filter("code is not null")
+    # only a duplicate of another unit is looked up: what names none, or may not, does not meet in one task
+    asked = units.filter(is_copy & named & (F.col("of") != F.col("id"))).select("id", "of")
     other = units.select(F.col("id").alias("of"), F.col("kind").alias("of_kind"))
-    is_copy = F.col("kind") == "duplicate"
-    code = F.when(is_copy != F.col("of").isNotNull(), "kind").when(is_copy & (F.col("of") == F.col("id")), "itself").when(is_copy & F.col("of_kind").isNull(), "unknown").when(is_copy & (F.col("of_kind") == "duplicate"), "chain")
-    return units.join(other, "of", "left").select("id", code.alias("code")).filter("code is not null")
+    code = F.when(F.col("of_kind").isNull(), "unknown").when(F.col("of_kind") == "duplicate", "chain")
+    return faulty.unionByName(asked.join(other, "of", "left").select("id", code.alias("code")).filter("code is not null"))
 
 
 QUERIES = {f.__name__: f for f in (s1_jsonl_scan, s1_refused_lines, s3_bounded_scan, s4_structured_cwd, s5_locations, s6_path_relations, s7_discovery, s8_session_identity, s10_message_texts, s11_unknown_senders, s13_import_identities, s14_project_documents, s17_copied_files, s18_archive_members, k2_array_rows, c1_canonical_rows, c6_corpus_digest, c5_row_digests, c7_json_paths, c9_checksums, i3_rewritten_ids, i4_meeting_record_ids, i6_last_messages, i7_duplicate_units)}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions import time as C
 from quarry.operators import classify, relate, spans
+from quarry.plans import evidence
 from quarry.streaming import progress
 
 
@@ -135,3 +136,10 @@ def test_most_overlap_of_equal_spans(spark):
     many = lambda n, name: spark.range(n).select(F.col("id").alias(name), F.lit(3).cast("long").alias("s"), F.lit(9).cast("long").alias("e"))
     got = relate.most_overlap(many(300_000, "id"), many(200_000, "label"), 16).groupBy("label", "overlap").count().collect()
     assert [tuple(x) for x in got] == [(199_999, 6, 300_000)]
+
+
+def test_units_that_name_none_are_not_joined(spark, data):
+    found = evidence.i7_duplicate_units(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    # the left side's lines of the join
+    asked = [line for line in found.split("Join LeftOuter", 1)[1].splitlines()[1:] if line.lstrip(" +-").startswith(":")]
+    assert "isnotnull(of" in "\n".join(asked) or "% 7) = 0" in "\n".join(x for x in asked if "Filter" in x)
