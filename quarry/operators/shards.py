@@ -1,7 +1,7 @@
 """Dealing the records of a group to shards and bins: balanced, as few as fit, or first fit.
 
 Placing depends on what was placed before, so a group (a project, an owner) is placed in one
-task, from rows of an id and two numbers; groups are dealt out over all tasks. A group has
+task, from rows of an id and two numbers; groups are dealt out over all tasks, which walk them one after another. A group has
 at most MOST records: a larger one gives one row that says so, before its rows meet anywhere.
 Ids are compared by their UTF-8 bytes. Every placing takes logarithmic time in the shards.
 """
@@ -9,12 +9,13 @@ Ids are compared by their UTF-8 bytes. Every placing takes logarithmic time in t
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.groups import folded
+
 #: Records of a shard; targets and bytes of a bin. Then records of a group.
 SHARD_RECORDS, BIN_TARGETS, BIN_BYTES = 512, 64, 1_000_000
 MOST = 1_000_000
@@ -22,14 +23,19 @@ MOST = 1_000_000
 Record = tuple[bytes, int, int]
 
 
-def balanced(records: list[Record], count: int, second: bool = True) -> list[int]:
+def _largest_first(records: list[Record], second: bool = True) -> list[int]:
+    return sorted(range(len(records)), key=lambda i: (-records[i][1], -records[i][2] if second else 0, records[i][0]))
+
+
+def balanced(records: list[Record], count: int, second: bool = True, order: list[int] | None = None) -> list[int]:
     """The shard of each of the records (id, bytes, content bytes), the largest first, each to the lightest shard.
 
     Lightest by bytes, then content bytes (if ``second``), then records, then number.
     """
-    order = sorted(range(len(records)), key=lambda i: (-records[i][1], -records[i][2] if second else 0, records[i][0]))
+    if count == 1:
+        return [0] * len(records)
     heap, shard = [(0, 0, 0, k) for k in range(count)], [0] * len(records)
-    for i in order:
+    for i in _largest_first(records, second) if order is None else order:
         size, content, n, k = heap[0]
         heapq.heapreplace(heap, (size + records[i][1], content + records[i][2] * second, n + 1, k))
         shard[i] = k
@@ -40,8 +46,9 @@ def fewest(records: list[Record], most: int, envelope: int) -> list[int] | None:
     """Balanced shards of the least number at which each, with its envelope and commas, has ``most`` bytes or fewer; None if no number will do."""
     total, content = sum(r[1] for r in records), sum(r[2] for r in records)
     up = lambda a, b: -(-a // b)
+    order = _largest_first(records)
     for count in range(max(1, up(total, most), up(content, most), up(len(records), SHARD_RECORDS)), len(records) + 1):
-        shard = balanced(records, count)
+        shard = balanced(records, count, order=order)
         sizes = [envelope - 1] * count
         for r, k in zip(records, shard, strict=True):
             sizes[k] += r[1] + 1
@@ -93,24 +100,22 @@ PLACED = "id string, shard int, place int, error string"
 
 def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[int] | str]) -> DataFrame:
     """(group, id, shard, place, error): place counts within a shard by id; a group that can't be placed gives one row with its error, or one per faulty record."""
-    schema = pa.schema([("group", pa.string()), ("id", pa.string()), ("shard", pa.int32()), ("place", pa.int32()), ("error", pa.string())])
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids = rows["id"].to_pylist()
-        found = how([(i.encode(), b, c) for i, b, c in zip(ids, rows["bytes"].to_pylist(), rows["content_bytes"].to_pylist(), strict=True)])
-        name = key[0].as_py()
+    def run(name: str, rows: list[tuple]) -> Iterator[tuple]:
+        # rows come by id
+        found = how([(i.encode(), b, c) for _, i, b, c in rows])
         if isinstance(found, str):
-            return pa.Table.from_pylist([{"group": name, "error": found}], schema=schema)
-        out, seen = [], {}
-        for i in sorted(range(len(ids)), key=lambda i: ids[i].encode()):
-            seen[found[i]] = place = seen.get(found[i], -1) + 1
-            out.append({"group": name, "id": ids[i], "shard": found[i], "place": place})
-        return pa.Table.from_pylist(out, schema=schema)
+            yield name, None, None, None, found
+            return
+        seen: dict[int, int] = {}
+        for (_, i, _, _), k in zip(rows, found, strict=True):
+            seen[k] = place = seen.get(k, -1) + 1
+            yield name, i, k, place, None
 
     sized = records.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("group"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.col("content_bytes"), F.lit(0)).cast("long").alias("content_bytes"))
     large = sized.groupBy("group").count().filter(F.col("count") > MOST).select("group")
     # one row a large group, of which there are at most all rows / MOST
-    met = sized.join(F.broadcast(large), "group", "left_anti").groupBy("group").applyInArrow(run, f"group string, {PLACED}")
+    met = folded(sized.join(F.broadcast(large), "group", "left_anti"), "group", run, f"group string, {PLACED}", order=("id",))
     none = lambda kind: F.lit(None).cast(kind)
     return met.unionByName(large.select("group", none("string").alias("id"), none("int").alias("shard"), none("int").alias("place"), F.lit("too_many_records").alias("error")))
 

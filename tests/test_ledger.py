@@ -189,3 +189,9 @@ def test_chapters_share_a_call(spark):
     changes = spark.createDataFrame([], "chapter long, id string, block string, language string, kind string, start int, end int, before_text string, after_text string, base_revision int, applied_revision int")
     for df in (ledger.transactions(texts, acts), ledger.outcomes(texts, acts), ledger.snapshots(texts, changes), ledger.replayed(texts, changes)):
         assert "MapInArrow" in plan(df) and "CoGroup" not in plan(df)
+
+
+def test_groups_of_records_share_a_call(spark):
+    rows = spark.createDataFrame([], "project long, id string, bytes long, content_bytes long")
+    for df in (shards.semantic_shards(rows, "project", 100, 10), shards.balanced_groups(rows, "project", 5, 100), shards.bins(rows, "project")):
+        assert "MapInArrow" in plan(df) and "FlatMapGroups" not in plan(df)
