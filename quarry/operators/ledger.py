@@ -381,7 +381,8 @@ def faults(ledger: DataFrame, blocks: DataFrame, history: DataFrame) -> DataFram
     t = ledger.join(at, (functools.reduce(Column.__and__, same)) & (at["void"] | (ledger["base_revision"] == at["of"])), "left").select(ledger["*"], at["void"], F.when(~at["void"], at["text"]).alias("text"))
     # a chapter's windows hold its ledger, which is bounded
     of_id, of_chapter = Window.partitionBy("chapter", "id"), Window.partitionBy("chapter")
-    t = t.withColumn("n_id", F.count("*").over(of_id)).withColumn("is_void", F.max(F.coalesce("void", F.lit(False))).over(of_chapter)).withColumn("active", active)
+    # the chapter's comes first: the others are dealt out by it too
+    t = t.withColumn("is_void", F.max(F.coalesce("void", F.lit(False))).over(of_chapter)).withColumn("n_id", F.count("*").over(of_id)).withColumn("active", active)
     # the least of what came before tells of any conflict, without pairs
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     order = before(Window.partitionBy("chapter", "language", "block", "active").orderBy("start", "end", "id"))

@@ -30,10 +30,14 @@ select conv_id, turn, case when a <> b then head end::int as start_at, case when
 """
 
 
+def block_text(key, block):
+    return F.concat(F.lit("Order "), key, F.lit(" "), block, F.lit(" of customer "), F.col("o_custkey"), F.lit(": "), F.col("o_orderpriority"))
+
+
 def chapter_blocks(spark, sf_dir):
     """Two blocks for each order, one in each language."""
     key = F.col("o_orderkey")
-    text = lambda name: F.concat(F.lit("Order "), key, F.lit(f" {name} of customer "), F.col("o_custkey"), F.lit(": "), F.col("o_orderpriority"))
+    text = lambda name: block_text(key, F.lit(name))
     orders = table(spark, sf_dir, "orders")
     one = lambda block, language: orders.select(key.alias("chapter"), F.lit(block).alias("block"), F.lit(language).alias("language"), text(block).alias("text"))
     return one("a", "en").unionByName(one("b", "zh"))
@@ -53,7 +57,10 @@ def chapter_changes(spark, sf_dir, planted=True):
     """
     key, n = F.col("chapter"), F.col("n")
     block = F.when(n % 2 == 1, "a").otherwise("b")
-    rows = numbered_lines(spark, sf_dir).withColumnRenamed("l_orderkey", "chapter").withColumn("block", block).join(chapter_blocks(spark, sf_dir), ["chapter", "block"])
+    # lines are numbered by chapter and meet their order by it alone: its row gives the text of either block
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chapter"), "o_custkey", "o_orderpriority")
+    language = F.when(block == "a", "en").otherwise("zh")
+    rows = numbered_lines(spark, sf_dir).withColumnRenamed("l_orderkey", "chapter").join(orders, "chapter").withColumns({"block": block, "language": language, "text": block_text(key, block)})
     every = lambda k: (key % k == 0) & F.lit(planted)
     note = every(7) & n.isin(2, 4)
     start = F.when(n <= 2, 2).when((n == 3) & every(29), 4).when(n <= 4, 8).when(n == 7, 0).otherwise(6)
