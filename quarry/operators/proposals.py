@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as words
 from quarry.operators import fragments
+from quarry.sources.work import partitions
 
 #: Bounds of a proposal, relations of a match and the length of its reason, the form of a category.
 MOST_TEXT, MOST_OCCURRENCES, MOST_REASON = 1_000_000, 4_000, 2_000
@@ -31,7 +32,10 @@ def proposal_codes(targets: DataFrame, proposals: DataFrame, flagged: DataFrame)
     target_id of the targets that candidates name. What lies between occurrences must be the same in
     both texts, what lies in one must not, and texts are changed just where they are flagged.
     """
-    known = proposals.join(targets.withColumn("known", F.lit(True)), "target_id", "left").join(flagged.select("target_id").distinct().withColumn("flagged", F.lit(True)), "target_id", "left")
+    # all steps meet by target, in tasks of bounded size
+    n = partitions(targets.sparkSession, max(targets.count(), proposals.count()))
+    targets, proposals, flagged = (df.repartition(n, "target_id") for df in (targets, proposals, flagged.select("target_id")))
+    known = proposals.join(targets.withColumn("known", F.lit(True)), "target_id", "left").join(flagged.distinct().withColumn("flagged", F.lit(True)), "target_id", "left")
     known = known.withColumn("n_same", F.count("*").over(Window.partitionBy("target_id")))
     keyed = F.array_sort(F.transform("occurrences", lambda x: F.struct(x["os"].alias("os"), x["oe"].alias("oe"), x["ps"].alias("ps"), x["pe"].alias("pe"), x["category"].alias("category"))))
     known = known.withColumn("marks", keyed)

@@ -26,3 +26,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of texts that a task sorts at once.
+TASK_ROWS = 100_000
+
+
+def partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of at most about TASK_ROWS of ``rows``, the session's number at least: what a task holds does not grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))

@@ -91,3 +91,14 @@ def test_each_fault_of_a_match(spark):
     assert told(full[1:]) == {(1, 1, 0, "match_missing"), (2, 2, 4, "not_covered")}
     bad = [*full[:4], (2, 1, 0, 3, "inherited", "x"), (2, 3, 0, 3, "odd", "x"), (2, 2, 4, 7, "unrelated", "x"), (1, 1, 1, 4, "inherited", "x"), (1, 3, 2, 5, "inherited", "again")]
     assert told(bad) == {(2, 1, 0, "still_there"), (2, 3, 0, "match_shape"), (2, 2, 4, "credential_unrelated"), (1, 1, 1, "match_unfounded"), (1, 3, 2, "match_repeated")}
+
+
+def test_proposals_in_bounded_tasks(spark, monkeypatch):
+    from quarry.sources import work
+
+    monkeypatch.setattr(work, "TASK_ROWS", 10)
+    targets = spark.range(300).select(F.col("id").alias("target_id"), F.lit("a").alias("content"))
+    given = targets.select("target_id", F.sha2("content", 256).alias("content_digest"), F.col("content").alias("proposed"), F.expr("cast(array() as array<struct<os:int,oe:int,ps:int,pe:int,category:string>>)").alias("occurrences"))
+    found = proposals.proposal_codes(targets, given, targets.select("target_id").limit(0))
+    assert found.filter("code is not null").count() == 0 and found.count() == 300
+    assert "hashpartitioning(target_id" in (p := found._jdf.queryExecution().executedPlan().toString()) and ", 30)" in p
