@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions import text as words
+from quarry.operators.groups import in_batches
 from quarry.sources.work import written
 
 #: Characters of fragments in a chunk: an automaton of that many letters takes some hundred MB at most in a worker.
@@ -64,14 +65,18 @@ def _hits(chunk: Broadcast, text: str) -> Iterator[Hit]:
 def occurrences(texts: DataFrame, roster: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fragment_id, start, end): every place where a fragment stands in a text, in code points, overlapping ones too."""
     schema, every = "id long, fragment_id long, start int, end int", None
-    for chunk in chunks(roster):
+    held = chunks(roster)
+    rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # every chunk reads the texts: what made them is not done again for each
+    rows = written(rows, "texts") if len(held) > 1 else rows
+    for chunk in held:
 
         def run(batches: Iterator[pd.DataFrame], chunk: Broadcast = chunk) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = [(i, chunk.value[1][k][0], s, e) for i, t in zip(batch["id"], batch["text"], strict=True) for s, e, k in _hits(chunk, t or "")]
                 yield pd.DataFrame(rows, columns=["id", "fragment_id", "start", "end"])
 
-        found = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+        found = in_batches(rows).mapInPandas(run, schema)
         every = found if every is None else every.unionByName(found)
     return every
 
@@ -107,6 +112,7 @@ def redactor(roster: DataFrame) -> Callable[[Column], Column]:
 def redacted(texts: DataFrame, roster: DataFrame, text_col: str, into: str) -> DataFrame:
     """The rows with ``into``: the text without the roster's fragments."""
     take = redactor(roster)
+    in_batches(texts)
     return texts.withColumn(into, F.get(take(F.array(text_col)), F.lit(0)))
 
 
@@ -149,6 +155,7 @@ def redacted_value(df: DataFrame, roster: DataFrame, column: str) -> DataFrame:
     if strings is None:
         return df
     take = redactor(roster)
+    in_batches(df)
     said = F.array_distinct(F.filter(strings, lambda x: x.isNotNull()))
     both = df.withColumn("__said", F.coalesce(said, F.array().cast("array<string>"))).withColumn("__kept", take(F.col("__said")))
     look = lambda x: F.element_at(F.map_from_arrays("__said", "__kept"), x)

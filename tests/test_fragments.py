@@ -93,6 +93,26 @@ def test_each_fault_of_a_match(spark):
     assert told(bad) == {(2, 1, 0, "still_there"), (2, 3, 0, "match_shape"), (2, 2, 4, "credential_unrelated"), (1, 1, 1, "match_unfounded"), (1, 3, 2, "match_repeated")}
 
 
+def test_batches_are_bounded(spark):
+    """Texts go to Python by bytes, not by numbers of rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(key)
+    for use in (lambda df, ros: fragments.redacted(df, ros, "t", "o"), lambda df, ros: fragments.occurrences(df, ros, "i", "t"), lambda df, ros: fragments.redacted_value(df, ros, "t")):
+        spark.conf.set(key, 256 << 20)
+        use(spark.createDataFrame([(1, "ab")], "i long, t string"), spark.createDataFrame([(1, "a", "x")], ROSTER))
+        assert int(spark.conf.get(key)) <= 4 << 20
+    spark.conf.set(key, kept)
+
+
+def test_texts_are_made_once(spark, monkeypatch):
+    """However many chunks a roster has, what makes the texts is done once."""
+    monkeypatch.setattr(fragments, "CHUNK", 3)
+    made = spark.createDataFrame([(1, "abcde"), (2, "de")], "i long, t string").groupBy("i").agg(F.max("t").alias("t"))
+    found = fragments.occurrences(made, spark.createDataFrame([(1, "ab", "x"), (2, "cd", "x"), (3, "de", "x"), (4, "bcde", "x")], ROSTER), "i", "t")
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x["id"], x["fragment_id"], x["start"]) for x in found.collect()} == {(1, 1, 0), (1, 2, 2), (1, 3, 3), (1, 4, 1), (2, 3, 0)}
+
+
 def test_proposals_in_bounded_tasks(spark, monkeypatch):
     from quarry.sources import work
 
