@@ -1,30 +1,27 @@
 """Adaptive context-mixing range coder of token ids.
 
-An id is a path of binary decisions through a code tree over the ids of a segment, whose counts
-stand in the header: the first two branches, then whether it is the id guessed from its context.
-Three predictions of each decision are mixed:
+Three predictions of an id are mixed into one distribution, of which a step codes the whole id:
 
-* order 0: the share of a branch, at first as the counts have it, then adaptive within the
-  block; the guessed id's share of what lies below;
-* order 1 and order 2: what the id last seen in the block after the last id, after the last two,
-  says of the decision, as sure as such guesses were before (by how often they held in a row,
-  and how deep in the path), as long as the path follows it.
+* order 0: the id's share by the counts of a segment, which stand in the header; a code tree
+  over them gives each id its place, and the share of the root's two branches adapts within the
+  block;
+* order 1 and order 2: the id last seen in the block after the last id, after the last two.
 
-The predictions are added in the logistic domain under weights that learn from every decision,
-and the mixed share drives a carry-less range coder of 64 bits that emits words of 32. Once no
-guess follows the path, order 0 speaks alone: the rest of the path is coded at once, by the id's
-share of what lies below.
+An order's guess weighs as much as such guesses were right before, by how often in a row either
+order's held and whether the two agree; the weights learn from every id. The rest of the weight
+is order 0's. An id's interval is its place by order 0, widened by the weight of the guesses that
+name it and moved by that of the guesses before it: what all three say of it is added up. It
+narrows a carry-less range coder of 64 bits that emits words of 32.
 
 Blocks are reset, checksummed and independent of one another (with the header). Everything is
-integer arithmetic over fixed tables, so any machine decodes what another wrote.
+integer arithmetic over fixed values, so any machine decodes what another wrote.
 
-Blocks are coded side by side, one array element each, every block at its own decision: that is
-what makes adaptive coding in numpy affordable.
+Blocks are coded side by side, one array element each, all at the same place: that is what makes
+adaptive coding in numpy affordable.
 """
 
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections import deque
@@ -33,19 +30,16 @@ import numpy as np
 
 #: Ids in a block.
 BLOCK = 1024
-#: Branches decided one by one.
-DEEP = 2
-#: Remembered contexts of a block for each order, decisions whose shares adapt (the root, its children and one that is not read), kinds of guesses.
-CONTEXTS, TOP, KINDS = 512, 4, 16
-#: Shares are of 16 bits, those of ids in the header of 18, logits have 8 fractional bits, weights 14.
-ONE, SURE, UNIT, ID_BITS = 16, 2047, 14, 18
-#: How fast shares, surenesses and weights follow (shifts).
-SLOW, QUICK, LEARN = 5, 5, 15
+#: Remembered contexts of a block for each order; kinds of guesses (how often either held, whether they agree).
+CONTEXTS, KINDS = 512, 32
+#: Bits of ids' shares in the header, of weights and branches' shares, of places in the mixture.
+ID_BITS, UNIT, TOTAL = 18, 15, 30
+#: How fast weights follow (a shift) and their bounds; after how many ids the branches' shares follow, how fast, and their bound.
+RATE, MOST, OFTEN, SLOW, LEAST = 5, (24_000, 7000), 8, 4, 1024
+#: Weights of both guesses at first.
+FIRST = [k for k in (0, 750, 5000, 12_000) for _ in range(4)] + [k for k in (500, 3000, 8000, 15_000) for _ in range(4)], [0, 1750, 4000, 5500, 0, 1250, 3000, 4500] * 2 + [0] * 16
 WORD, HALF = np.uint64(1 << 32), np.uint64(32)
 
-STRETCH = np.array([max(-SURE, min(SURE, round(256 * math.log((k + 0.5) / (4095.5 - k))))) for k in range(4096)], np.int32)
-SQUASH = np.array([max(32, min(65504, round(65536 / (1 + math.exp(-s / 256))))) for s in range(-SURE, SURE + 1)], np.int32)
-
 
 def shares(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to a total of 2**ID_BITS; what occurs has 1 at least."""
@@ -61,8 +55,8 @@ def shares(counts: np.ndarray) -> np.ndarray:
 class _Tree:
     """Code tree over the ids that occur.
 
-    Of each decision: children (~id for a leaf), share of branch 1, begin and size of what lies
-    below. Of each id: the path, from its lowest bit on, begin and size.
+    Of each decision: children (~id for a leaf), begin and size of what lies below; of the root
+    both branches' sizes. Of each id: the path, from its lowest bit on, begin and size.
     """
 
     def __init__(self, counts: np.ndarray):
@@ -83,7 +77,7 @@ class _Tree:
         below, sizes = table[:, :2], table[:, 2:]
         self.child = np.where(below >= 0, last - below, below).astype(np.int32).ravel()
         self.below = sizes.sum(axis=1)
-        self.share = np.clip((sizes[:, 1] << ONE) // np.maximum(self.below, 1), 64, (1 << ONE) - 64).astype(np.int32)
+        self.sizes = sizes[0]
         self.path, self.begin, self.start = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64), np.zeros(len(pairs), np.int64)
         at, path, begin, depth = np.zeros(min(1, len(pairs)), np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), 0
         while len(at):
@@ -101,135 +95,132 @@ class _Tree:
         return np.repeat(seen, self.size[seen]).astype(np.int32)
 
 
-class _Guess:
-    """One order's guess of each block: the id last seen in the context, as a path."""
-
-    def __init__(self, blocks: int):
-        self.seen = np.full(blocks * CONTEXTS, -4, np.int32)
-        # surer after more hits in a row; less so at the first decisions
-        self.sure = np.tile(np.repeat(np.array([1, 2, 3, 4], np.int32) * 12_000 + 12_000, 4), blocks)
-        self.at, self.held, self.kind = (np.zeros(blocks, np.int64) for _ in range(3))
-        self.path, self.id = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-        self.live = np.zeros(blocks, bool)
-
-    def keep(self, rows: np.ndarray) -> None:
-        for name in ("at", "held", "kind", "path", "live", "id"):
-            setattr(self, name, getattr(self, name)[rows])
-
-    def begin(self, rows: np.ndarray, at: np.ndarray, base: np.ndarray, tree: _Tree) -> None:
-        held = self.seen.take(at, mode="clip")
-        self.at[rows], self.held[rows] = at, held
-        self.kind[rows] = base + ((held & 3) << 2)
-        self.live[rows] = held >= 0
-        self.id[rows] = held >> 2
-        self.path[rows] = tree.path.take(np.maximum(held >> 2, 0), mode="clip")
-
-    def learn(self, rows: np.ndarray, ids: np.ndarray) -> None:
-        """A guess that held is surer by one, up to 3; another id takes its place."""
-        held = self.held[rows]
-        more = np.minimum((held & 3) + 1, 3) * (held >> 2 == ids)
-        self.seen[self.at[rows]] = (ids << 2) + more
-
-    def predict(self, deep: np.ndarray, guess: np.ndarray) -> np.ndarray:
-        self.branch = np.where(deep, self.id == guess, self.path & 1).astype(np.int32)
-        self.p = self.sure.take(self.kind, mode="clip")
-        logit = STRETCH.take(self.p >> 4, mode="clip")
-        logit *= (self.branch << 1) - 1
-        logit *= self.live
-        return logit
-
-    def update(self, bit: np.ndarray, shallow: np.ndarray) -> None:
-        right = self.branch == bit
-        step = right.astype(np.int32) << ONE
-        step -= self.p
-        step >>= QUICK
-        step *= self.live
-        step += self.p
-        np.minimum(step, (1 << ONE) - 1, out=step)
-        self.sure[self.kind] = step
-        self.live &= right
-        self.path >>= 1
-        self.kind += shallow
-
-
 class _Model:
-    """State of all blocks that are not at their end, side by side."""
-
-    def __init__(self, blocks: int, tree: _Tree):
-        self.tree, self.lane = tree, np.arange(blocks)
-        head = np.zeros(TOP, np.int32)
-        head[: min(TOP, len(tree.share))] = tree.share[:TOP]
-        self.top = np.tile(head, blocks)
-        self.two, self.one = _Guess(blocks), _Guess(blocks)
-        self.node, self.depth = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
-        self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-        self.weights = [np.full(blocks, int(w * (1 << UNIT)), np.int32) for w in (1.0, 0.6, 0.4)]
-        self.contexts(self.lane)
-
-    def keep(self, rows: np.ndarray) -> None:
-        for name in ("lane", "node", "depth", "last", "before"):
-            setattr(self, name, getattr(self, name)[rows])
-        self.weights = [w[rows] for w in self.weights]
-        self.two.keep(rows)
-        self.one.keep(rows)
-
-    def contexts(self, rows: np.ndarray) -> None:
-        lane, last = self.lane[rows], self.last[rows]
-        both = (last * 10007 + self.before[rows] * 30011 >> 3) & (CONTEXTS - 1)
-        self.two.begin(rows, both + lane * CONTEXTS, lane * KINDS, self.tree)
-        self.one.begin(rows, (last * 25173 >> 2 & (CONTEXTS - 1)) + lane * CONTEXTS, lane * KINDS, self.tree)
-        self.node[rows] = self.depth[rows] = 0
-
-    def predict(self) -> np.ndarray:
-        """The share of branch 1 of each block's decision, of 2**ONE."""
-        self.deep = deep = self.depth >= DEEP
-        self.guess = np.where(self.two.live, self.two.id, self.one.id)
-        self.slot = self.lane * TOP
-        self.slot += np.where(deep, TOP - 1, self.node)
-        self.p0 = self.top.take(self.slot, mode="clip")
-        rows = np.flatnonzero(deep)
-        share = (self.tree.size.take(self.guess[rows], mode="clip") << ONE) // self.tree.below.take(self.node[rows], mode="clip")
-        self.p0[rows] = np.minimum(np.maximum(share, 32), (1 << ONE) - 32)
-        self.logits = STRETCH.take(self.p0 >> 4, mode="clip"), self.two.predict(deep, self.guess), self.one.predict(deep, self.guess)
-        total = self.logits[0] * self.weights[0]
-        for s, w in zip(self.logits[1:], self.weights[1:], strict=True):
-            total += s * w
-        total >>= UNIT
-        total += SURE
-        self.p = SQUASH.take(total, mode="clip")
-        return self.p
-
-    def update(self, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Learn the branches taken; the rows that mix no more, and those of them short of an id. ``node`` has ids as ~id."""
-        whole = bit << ONE
-        error = whole - self.p
-        for s, w in zip(self.logits, self.weights, strict=True):
-            s *= error
-            s >>= LEARN
-            w += s
-            np.minimum(w, 5 << UNIT, out=w)
-            np.maximum(w, -(1 << UNIT), out=w)
-        whole -= self.p0
-        whole >>= SLOW
-        whole += self.p0
-        self.top[self.slot] = np.minimum(whole, (1 << ONE) - 1)
-        shallow = ~self.deep
-        self.two.update(bit, shallow)
-        self.one.update(bit, shallow)
-        self.depth += 1
-        below = self.tree.child.take(2 * self.node + bit, mode="clip")
-        self.node = np.where(shallow, below, np.where(bit, ~self.guess, self.node))
-        mixed = shallow & (self.two.live | self.one.live)
-        return np.flatnonzero((self.node < 0) | ~mixed), np.flatnonzero((self.node >= 0) & ~mixed)
-
-    def learn(self, rows: np.ndarray) -> np.ndarray:
-        """The ids found in these rows, which become contexts."""
-        ids = ~self.node[rows]
-        self.two.learn(rows, ids)
-        self.one.learn(rows, ids)
-        self.before[rows], self.last[rows] = self.last[rows], ids
-        self.contexts(rows)
-        return ids
+    """State of blocks side by side; ids are given as ranks, their order of place."""
+
+    def __init__(self, blocks: int, counts: np.ndarray):
+        tree = _Tree(counts)
+        seen = np.flatnonzero(tree.size)
+        self.ids = seen[np.argsort(tree.begin[seen], kind="stable")].astype(np.int32)
+        self.rank = np.zeros(len(counts), np.int32)
+        self.rank[self.ids] = np.arange(len(self.ids))
+        begin, size = tree.begin[self.ids], tree.size[self.ids]
+        # places below the root's branches, and the first rank below the second
+        self.places = tree.sizes
+        self.half = np.int32(np.count_nonzero(begin < self.places[0]))
+        self.slots = self.rank.take(tree.slots())
+        # of each rank, begin within its branch and size
+        self.spot = (begin - (begin >= self.places[0]) * self.places[0] << 20) + size
+        self.share = np.full(blocks, int(self.places[1] << UNIT) // int(self.places.sum()), np.int64)
+        self.met = np.zeros(blocks, np.int64)
+        self.seen = [np.full(blocks * CONTEXTS, int(np.argmax(size)) << 2, np.int32) for _ in range(2)]
+        self.weights = np.tile((np.array(FIRST[0], np.int32) << UNIT) + np.array(FIRST[1], np.int32), blocks)
+        self.lane, self.kinds = np.arange(blocks) * CONTEXTS, np.arange(blocks) * KINDS
+        self.last, self.before = np.zeros(blocks, np.int32), np.zeros(blocks, np.int32)
+        self.step = 0
+
+    def drop(self) -> None:
+        """The last block is at its end."""
+        for name in ("share", "met", "lane", "kinds", "last", "before"):
+            setattr(self, name, getattr(self, name)[:-1])
+        self.scale = [s[:-1] for s in self.scale]
+
+    def predict(self) -> None:
+        """What each order says of the next id."""
+        if self.step % OFTEN == 0:
+            if self.step:
+                self.share += (self.met * ((1 << UNIT) // OFTEN) - self.share) >> SLOW
+                self.met[:] = 0
+            np.clip(self.share, LEAST, (1 << UNIT) - LEAST, out=self.share)
+            self.scale = [(s << UNIT) // max(1, int(n)) for s, n in zip(((1 << UNIT) - self.share, self.share), self.places, strict=True)]
+        self.step += 1
+        both = self.before * 30011
+        both += self.last * 10007
+        both >>= 3
+        both &= CONTEXTS - 1
+        one = self.last * 25173
+        one >>= 2
+        one &= CONTEXTS - 1
+        self.at = both + self.lane, one + self.lane
+        self.held = [s.take(a, mode="clip") for s, a in zip(self.seen, self.at, strict=True)]
+        self.guess = [h >> 2 for h in self.held]
+        self.same = self.guess[0] == self.guess[1]
+        self.often = [h & 3 for h in self.held]
+        kind = self.often[0] << 2
+        kind += self.often[1]
+        kind |= self.same.view(np.int8) << 4
+        self.kind = self.kinds + kind
+        weights = self.weights.take(self.kind, mode="clip")
+        self.weight = [weights >> UNIT, weights & ((1 << UNIT) - 1)]
+        left = (1 << UNIT) - self.weight[0]
+        left -= self.weight[1]
+        self.bonus = [w.astype(np.int64) << (TOTAL - UNIT) for w in self.weight]
+        self.unit = [s * left >> UNIT for s in self.scale]
+        self.floor = self.unit[0] * self.places[0]
+
+    def alone(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of ids by order 0."""
+        upper = rank >= self.half
+        unit = np.where(upper, self.unit[1], self.unit[0])
+        spot = self.spot.take(rank, mode="clip")
+        begin = spot >> 20
+        begin *= unit
+        begin += self.floor * upper
+        spot &= (1 << 20) - 1
+        spot *= unit
+        return begin, spot
+
+    def mixed(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of ids in the mixture."""
+        begin, size = self.alone(rank)
+        for g, b in zip(self.guess, self.bonus, strict=True):
+            begin += b * (g < rank)
+            size += b * (g == rank)
+        return begin, size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        """The ids at these places of the mixture."""
+        rest, hits = place, []
+        for k, g in enumerate(self.guess):
+            begin, size = self.alone(g)
+            begin += self.bonus[1 - k] * (self.guess[1 - k] < g)
+            size += self.bonus[k]
+            if k:
+                size += self.bonus[0] * self.same
+            np.subtract(place, begin, out=begin)
+            hits.append(begin.view(np.uint64) < size.view(np.uint64))
+            rest = rest - self.bonus[k] * (begin >= size)
+        upper = rest >= self.floor
+        rest -= self.floor * upper
+        place = (rest.view(np.uint64) // np.where(upper, self.unit[1], self.unit[0]).view(np.uint64)).view(np.int64)
+        place += upper * self.places[0]
+        rank = self.slots.take(place, mode="clip")
+        for g, h in zip(self.guess, hits, strict=True):
+            np.copyto(rank, g, where=h)
+        return rank
+
+    def learn(self, rank: np.ndarray) -> None:
+        """The ids found: contexts remember them, weights follow what held."""
+        fresh = rank << 2
+        fresh += 1
+        for k in range(2):
+            held = self.guess[k] == rank
+            self.seen[k][self.at[k]] = np.where(held, self.held[k] + (self.often[k] < 3), fresh)
+            if k:
+                # the second guess has no weight beside the same first one
+                held = held > self.same
+            step = held.astype(np.int32)
+            step <<= UNIT
+            w = self.weight[k]
+            step -= w
+            step >>= RATE
+            w += step
+            np.minimum(w, MOST[k], out=w)
+        self.weight[0] <<= UNIT
+        self.weight[0] += self.weight[1]
+        self.weights[self.kind] = self.weight[0]
+        self.met += rank >= self.half
+        self.before, self.last = self.last, rank
 
 
 class _Coder:
@@ -239,34 +230,17 @@ class _Coder:
         self.low = np.zeros(blocks, np.uint64)
         self.range = np.full(blocks, 2**64 - 1, np.uint64)
 
-    def keep(self, rows: np.ndarray) -> None:
-        self.low, self.range = self.low[rows], self.range[rows]
-
-    def split(self, share: np.ndarray) -> np.ndarray:
-        """Sizes of branch 1, which comes first."""
-        self.size = self.range >> np.uint64(ONE)
-        return self.size * share.astype(np.uint64)
-
-    def narrow(self, one: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take the branches. Which blocks give out a word, and the words."""
-        zero = bit == 0
-        self.low += one * zero
-        self.size <<= np.uint64(ONE)
-        self.size -= one
-        self.range = np.where(zero, self.size, one)
-        return self.give(np.flatnonzero(self.range < WORD))
-
-    def units(self, rows: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        return self.range[rows] // whole.astype(np.uint64)
-
-    def place(self, rows: np.ndarray, unit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Take ``size`` units from ``begin`` on, as ``narrow``."""
-        self.low[rows] += unit * begin.astype(np.uint64)
-        unit = unit * size.astype(np.uint64)
-        self.range[rows] = unit
-        return self.give(rows[unit < WORD])
-
-    def give(self, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def drop(self) -> None:
+        self.low, self.range = self.low[:-1], self.range[:-1]
+
+    def unit(self) -> np.ndarray:
+        return self.range >> np.uint64(TOTAL)
+
+    def narrow(self, unit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take ``size`` units from ``begin`` on. Which blocks give out a word, and the words."""
+        self.low += unit * begin.view(np.uint64)
+        self.range = unit * size.view(np.uint64)
+        out = np.flatnonzero(self.range < WORD)
         low, size = self.low[out], self.range[out]
         cut = (low >> HALF) != ((low + size - np.uint64(1)) >> HALF)
         size = np.where(cut, WORD - (low & (WORD - np.uint64(1))), size)
@@ -274,63 +248,44 @@ class _Coder:
         return out, low >> HALF
 
 
-def _lengths(n: int) -> np.ndarray:
-    """Ids of each block."""
-    sizes = np.full(-(-n // BLOCK), BLOCK)
-    if n % BLOCK:
-        sizes[-1] = n % BLOCK
-    return sizes
-
-
 def encode(ids: np.ndarray) -> bytes:
     """The ids' counts, block table (words, checksum) and words."""
     counts = np.bincount(ids, minlength=1)
-    sizes = _lengths(len(ids))
-    blocks = len(sizes)
-    tree = _Tree(counts)
-    model, coder = _Model(blocks, tree), _Coder(blocks)
-    at = np.arange(blocks) * BLOCK
-    left, now = sizes.copy(), ids.take(at, mode="clip")
-    path = tree.path.take(now, mode="clip")
+    blocks, over = -(-len(ids) // BLOCK), len(ids) % BLOCK
+    model, coder = _Model(blocks, counts), _Coder(blocks)
+    ranks = np.zeros(blocks * BLOCK, np.int32)
+    ranks[: len(ids)] = model.rank.take(ids)
+    ranks = np.ascontiguousarray(ranks.reshape(blocks, BLOCK).T)
+    lanes = np.arange(blocks).astype(np.uint16 if blocks <= 1 << 16 else np.uint32)
     out_block, out_word = [], []
 
-    def put(lanes: np.ndarray, words: np.ndarray) -> None:
-        out_block.append(lanes.astype(np.int32))
-        out_word.append(words.astype(np.uint32))
-
-    while len(left):
-        share = model.predict()
-        bit = np.where(model.deep, model.guess == now, path & 1).astype(np.int32)
-        path >>= 1
-        out, words = coder.narrow(coder.split(share), bit)
-        put(model.lane[out], words)
-        done, short = model.update(bit)
-        if len(short):
-            node, named = model.node[short], now[short]
-            out, words = coder.place(short, coder.units(short, tree.below.take(node, mode="clip")), tree.begin.take(named, mode="clip") - tree.start.take(node, mode="clip"), tree.size.take(named, mode="clip"))
-            put(model.lane[out], words)
-            model.node[short] = ~named
-        model.learn(done)
-        at[done] += 1
-        left[done] -= 1
-        now[done] = ids.take(at[done], mode="clip")
-        path[done] = tree.path.take(now[done], mode="clip")
-        ended = done[left[done] == 0]
-        if len(ended):
-            for shift in (32, 0):
-                # the middle of what is left, so that what follows may be anything
-                put(model.lane[ended], (coder.low[ended] + (coder.range[ended] >> np.uint64(1))) >> np.uint64(shift))
-            rows = np.flatnonzero(left)
-            model.keep(rows)
-            coder.keep(rows)
-            at, left, path, now = at[rows], left[rows], path[rows], now[rows]
+    def put(at: np.ndarray, words: np.ndarray) -> None:
+        out_block.append(lanes[at])
+        out_word.append(words.astype("<u4"))
+
+    def end(at: np.ndarray) -> None:
+        for shift in (32, 0):
+            # the middle of what is left, so that what follows may be anything
+            put(at, (coder.low[at] + (coder.range[at] >> np.uint64(1))) >> np.uint64(shift))
+
+    for i in range(BLOCK):
+        if over and i == over:
+            end(np.array([blocks - 1]))
+            model.drop()
+            coder.drop()
+        now = ranks[i, : len(coder.low)]
+        model.predict()
+        put(*coder.narrow(coder.unit(), *model.mixed(now)))
+        model.learn(now)
+    end(np.arange(len(coder.low)))
     block, words = np.concatenate(out_block), np.concatenate(out_word)
     words = words[np.argsort(block, kind="stable")]
-    sums = [zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)]
+    plain = ids.astype("<u4")
+    sums = [zlib.crc32(plain[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)]
     seen = np.flatnonzero(counts)
     told = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts[seen].astype("<u8").tobytes())
     head = struct.pack("<III", len(seen), len(told), blocks)
-    return b"".join([head, told, np.bincount(block, minlength=blocks).astype("<u4").tobytes(), np.array(sums, "<u4").tobytes(), words.astype("<u4").tobytes()])
+    return b"".join([head, told, np.bincount(block, minlength=blocks).astype("<u4").tobytes(), np.array(sums, "<u4").tobytes(), words.tobytes()])
 
 
 def decode(raw: bytes, n_ids: int) -> np.ndarray:
@@ -346,39 +301,28 @@ def decode(raw: bytes, n_ids: int) -> np.ndarray:
     sizes, sums, words = np.split(np.frombuffer(raw[12 + n_told :], "<u4"), [blocks, 2 * blocks])
     # words beyond a damaged block's end are noughts; its checksum tells
     words = np.concatenate([words, np.zeros(4, "<u4")]).astype(np.uint64)
-    tree = _Tree(counts)
-    model, coder = _Model(blocks, tree), _Coder(blocks)
+    model, coder = _Model(blocks, counts), _Coder(blocks)
     take = np.cumsum(sizes.astype(np.int64)) - sizes
     code = (words.take(take, mode="clip") << HALF) | words.take(take + 1, mode="clip")
     take += 2
-    at, left = np.arange(blocks) * BLOCK, _lengths(n_ids)
-    ids, slots = np.zeros(n_ids, np.int32), tree.slots()
-
-    def read(out: np.ndarray) -> None:
+    over, ranks = n_ids % BLOCK, np.zeros((BLOCK, blocks), np.int32)
+    for i in range(BLOCK):
+        if over and i == over:
+            model.drop()
+            coder.drop()
+            code, take = code[:-1], take[:-1]
+        model.predict()
+        unit = coder.unit()
+        place = np.minimum((code - coder.low) // unit, np.uint64((1 << TOTAL) - 1))
+        rank = model.find(place.view(np.int64))
+        out, _ = coder.narrow(unit, *model.mixed(rank))
         code[out] = (code[out] << HALF) | words.take(take[out], mode="clip")
         take[out] += 1
-
-    while len(left):
-        one = coder.split(model.predict())
-        bit = (code - coder.low < one).astype(np.int32)
-        read(coder.narrow(one, bit)[0])
-        done, short = model.update(bit)
-        if len(short):
-            node = model.node[short]
-            unit, start = coder.units(short, tree.below.take(node, mode="clip")), tree.start.take(node, mode="clip")
-            place = np.minimum((code[short] - coder.low[short]) // unit, (tree.below.take(node, mode="clip") - 1).astype(np.uint64)).astype(np.int64)
-            named = slots.take(start + place, mode="clip")
-            read(coder.place(short, unit, tree.begin.take(named, mode="clip") - start, tree.size.take(named, mode="clip"))[0])
-            model.node[short] = ~named
-        ids[at[done]] = model.learn(done)
-        at[done] += 1
-        left[done] -= 1
-        if not left[done].all():
-            rows = np.flatnonzero(left)
-            model.keep(rows)
-            coder.keep(rows)
-            at, left, code, take = at[rows], left[rows], code[rows], take[rows]
+        model.learn(rank)
+        ranks[i, : len(rank)] = rank
+    ids = model.ids.take(ranks.T.ravel()[:n_ids])
+    plain = ids.astype("<u4")
     for b in range(blocks):
-        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != sums[b]:
+        if zlib.crc32(plain[b * BLOCK : (b + 1) * BLOCK]) != sums[b]:
             raise ValueError(f"block {b} does not match its checksum")
     return ids

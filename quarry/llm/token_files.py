@@ -26,11 +26,11 @@ from tokenizers import Tokenizer
 from quarry.llm.common import in_batches, partitions, small, text_of, written
 from quarry.llm.id_coder import BLOCK as BLOCK, decode, encode
 
-MAGIC = b"QTS3"
+MAGIC = b"QTS4"
 #: About how many ids are in a segment. A document is never cut between segments.
 SEGMENT = 1 << 22
 #: Characters tokenized at once (a longer text alone), and pre-tokens whose ids are remembered.
-CHARS, REMEMBERED = 200_000, 500_000
+CHARS, REMEMBERED = 200_000, 1_000_000
 #: The letters and numbers among the characters whose pre-tokens are cut here; texts with others are left to the library whole.
 LETTERS, NUMBERS = "A-Za-z\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 PLAIN = "\t\n\r\x20-\x7E\u00A1-\u024F\u2013\u2014\u2018-\u201D\u2026"
@@ -43,10 +43,12 @@ CLASSES = np.full(0x2028, RARE, np.uint8)
 for _c in range(len(CLASSES) - 1):
     if re.match(f"[{PLAIN}]", chr(_c)):
         CLASSES[_c] = LETTER if re.match(f"[{LETTERS}]", chr(_c)) else NUMBER if re.match(f"[{NUMBERS}]", chr(_c)) else BLANK if _c == 32 else WHITE if _c < 32 else OTHER
-#: How a byte-level model spells bytes (as Latin-1 letters): visible ones as they are, the others, in order, from 256 on. The line break stays.
-_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
-BYTES = {b: 256 + i for i, b in enumerate(_HIDDEN) if b != 10}
-SLOT_BITS = 20
+#: How a byte-level model spells bytes: visible ones as they are, the others, in order, from 256 on.
+SPELT = np.arange(256, dtype="<u2")
+_hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+SPELT[_hidden] = 256 + np.arange(len(_hidden))
+#: Slots for remembered pre-tokens at first; they double when half are taken.
+SLOT_BITS = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
 SEGMENT_SCHEMA = "part int, at long, n_tokens long, data binary"
@@ -104,14 +106,38 @@ def _starts(code: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype: type):
+        self.data, self.n = np.empty(0, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        n = self.n + len(values)
+        if n > len(self.data):
+            grown = np.empty(max(n, 2 * len(self.data)), self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : n] = values
+        self.n = n
+
+
+def _within(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    stops = np.cumsum(sizes, dtype=np.int64)
+    at = np.repeat(begins - stops + sizes, sizes)
+    at += np.arange(len(at))
+    return at
+
+
 class Ids:
     """Ids of whole texts by the tokenizers library.
 
     A byte-level tokenizer cuts a text by its pattern and merges within each pre-token alone, so
     the library encodes each pre-token once and the ids are remembered, within bounds. Many
     texts are cut at once in numpy; pre-tokens are found by a hash and compared letter by letter
-    with the one remembered. Texts with rare characters, with the name of an added token, or
-    with a pre-token whose hash is another's go to the library whole.
+    with the one remembered. Texts with rare characters, with the name of an added
+    token, or with a pre-token whose hash is another's go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -125,32 +151,73 @@ class Ids:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a pre-token to its number
-        self.slot_hash, self.slot_at = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
-        self.flat, self.sizes, self.begins = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
-        self.letters, self.lengths, self.spelt = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64)
+        # of each pre-token its hash, its ids and letters and where they lie
+        self.hashes, self.sizes, self.begins, self.lengths, self.spelt = map(_Column, (np.uint64, np.int32, np.int64, np.int32, np.int64))
+        self.flat, self.letters = _Column(np.uint32), _Column(np.uint32)
+        self._slots(SLOT_BITS)
+
+    def _slots(self, bits: int) -> None:
+        """Empty slots, into which all that is remembered is entered."""
+        self.bits = bits
+        self.slot_hash, self.slot_at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self._enter(self.hashes.data[: self.hashes.n], np.arange(self.hashes.n, dtype=np.int32))
+
+    def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Give numbers a slot each: the one their hash names, or the next that is free."""
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(slots):
+            free = self.slot_at[slots] < 0
+            self.slot_at[slots[free]] = numbers[free]
+            won = self.slot_at[slots] == numbers
+            self.slot_hash[slots[won]] = hashes[won]
+            slots, hashes, numbers = (slots[~won] + 1) & ((1 << self.bits) - 1), hashes[~won], numbers[~won]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not remembered."""
+        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = self.slot_at.take(slots)
+        other = np.flatnonzero((self.slot_hash.take(slots) != hashes) & (at >= 0))
+        slots = slots[other]
+        while len(other):
+            slots = (slots + 1) & ((1 << self.bits) - 1)
+            at[other] = self.slot_at.take(slots)
+            on = (self.slot_hash.take(slots) != hashes[other]) & (at[other] >= 0)
+            other, slots = other[on], slots[on]
+        return at
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _alone(self, words: list[str]) -> list[list[int]]:
+    def _alone(self, code: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
         """Ids of words of letters, which are pre-tokens as they are: the library's model merges each."""
-        spelt = "\n".join(words).encode().decode("latin-1").translate(BYTES).split("\n")
-        return [[t.id for t in self.coder.model.tokenize(w)] for w in spelt]
-
-    def _learn(self, hashes: list[int], words: list[str], alone: list[bool]) -> None:
-        letters = iter(self._alone([w for w, a in zip(words, alone, strict=True) if a]))
-        other = iter(self.whole([w for w, a in zip(words, alone, strict=True) if not a]))
-        read = [next(letters) if a else next(other) for a in alone]
-        self.known.update(zip(hashes, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(read), np.uint32)])
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, read), np.int32)])
-        self.begins = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
-        self.letters = np.concatenate([self.letters, np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)])
-        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, words), np.int32)])
-        self.spelt = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-
-    def _numbers(self, text: str, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        lines = code.take(_within(begins, lengths + 1), mode="clip")
+        lines[np.cumsum(lengths + 1) - 1] = 10
+        spelt = SPELT.take(np.frombuffer(lines.tobytes().decode("utf-32-le").encode(), np.uint8)).tobytes().decode("utf-16-le")
+        merged = self.coder.model.tokenize
+        return [[t.id for t in merged(w)] for w in spelt.split(chr(SPELT[10]))[:-1]]
+
+    def _learn(self, hashes: np.ndarray, code: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> None:
+        """Remember the pre-tokens at these places of a text."""
+        words = (CLASSES.take(code[begins + lengths - 1]) == LETTER) & (code[begins] != 39)
+        order = np.argsort(~words, kind="stable")
+        hashes, begins, lengths, n = hashes[order], begins[order], lengths[order], np.count_nonzero(words)
+        read = self._alone(code, begins[:n], lengths[:n])
+        read += self.whole([code[b:e].tobytes().decode("utf-32-le") for b, e in zip(begins[n:].tolist(), (begins + lengths)[n:].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, read), np.int64, len(read))
+        numbers = np.arange(self.sizes.n, self.sizes.n + len(hashes), dtype=np.int32)
+        self.begins.add(self.flat.n + np.cumsum(sizes) - sizes)
+        self.spelt.add(self.letters.n + np.cumsum(lengths) - lengths)
+        self.flat.add(np.fromiter(chain.from_iterable(read), np.uint32, int(sizes.sum())))
+        self.letters.add(code[_within(begins, lengths)])
+        self.hashes.add(hashes)
+        self.sizes.add(sizes)
+        self.lengths.add(lengths)
+        if 2 * self.sizes.n > 1 << self.bits:
+            self._slots((2 * self.sizes.n).bit_length())
+        else:
+            self._enter(hashes, numbers)
+
+    def _numbers(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The number of each pre-token; those met first are learned."""
         if len(self.up) <= len(code):
             self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(code), b, np.uint64)))) for b in (BASE, UNBASE))
@@ -159,20 +226,12 @@ class Ids:
         hashes = (running[starts + lengths] - running[starts]) * self.down[starts]
         hashes ^= hashes >> np.uint64(29)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
-        slots = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        at = np.where(self.slot_hash.take(slots) == hashes, self.slot_at.take(slots), -1)
+        at = self._find(hashes)
         missed = np.flatnonzero(at < 0)
         if len(missed):
-            met, first, back = np.unique(hashes[missed], return_index=True, return_inverse=True)
-            met_list = met.tolist()
-            fresh = [i for i, h in enumerate(met_list) if h not in self.known]
-            if fresh:
-                begin, size = starts[missed[first[fresh]]], lengths[missed[first[fresh]]]
-                alone = (CLASSES.take(code[begin + size - 1]) == LETTER) & (code[begin] != 39)
-                self._learn([met_list[i] for i in fresh], [text[s : s + k] for s, k in zip(begin.tolist(), size.tolist(), strict=True)], alone.tolist())
-            numbers = np.fromiter(map(self.known.__getitem__, met_list), np.int32, len(met_list))
-            at[missed] = numbers[back]
-            self.slot_hash[slots[missed]], self.slot_at[slots[missed]] = hashes[missed], at[missed]
+            met, first = np.unique(hashes[missed], return_index=True)
+            self._learn(met, code, starts[missed[first]], lengths[missed[first]])
+            at[missed] = self._find(hashes[missed])
         return at
 
     def _of_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,24 +241,22 @@ class Ids:
         ends = np.cumsum([len(t) for t in texts])
         if not len(code):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
-        if len(self.sizes) > REMEMBERED:
+        if self.sizes.n > REMEMBERED:
             self._forget()
         starts = _starts(code, ends)
         lengths = np.diff(starts, append=len(code))
-        at = self._numbers(text, code, starts, lengths)
+        at = self._numbers(code, starts, lengths)
         wrong = np.zeros(len(texts), bool)
-        differs = self.lengths.take(at) != lengths
-        spelt = np.repeat(self.spelt.take(at) - starts, lengths)
+        differs = self.lengths.data.take(at) != lengths
+        spelt = np.repeat(self.spelt.data.take(at) - starts, lengths)
         spelt += np.arange(len(code))
-        odd = np.flatnonzero(self.letters.take(spelt, mode="clip") != code)
+        odd = np.flatnonzero(self.letters.data.take(spelt, mode="clip") != code)
         if len(odd) or differs.any():
             wrong[np.searchsorted(ends, np.concatenate((odd, starts[differs])), side="right")] = True
-        sizes = self.sizes.take(at)
-        stops = np.cumsum(sizes, dtype=np.int64)
-        place = np.repeat(self.begins.take(at) - stops + sizes, sizes)
-        place += np.arange(len(place))
-        bounds = np.concatenate((np.zeros(1, np.int64), stops))[np.searchsorted(starts, ends, side="left")]
-        return self.flat.take(place), bounds, wrong
+        sizes = self.sizes.data.take(at)
+        place = _within(self.begins.data.take(at), sizes)
+        bounds = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)))[np.searchsorted(starts, ends, side="left")]
+        return self.flat.data.take(place), bounds, wrong
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)

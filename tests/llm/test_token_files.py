@@ -34,6 +34,19 @@ def test_mixing_learns_from_contexts():
     assert 1.05 * len(tf.encode(noise)) > 7 * len(ids) / 8
 
 
+def test_an_id_takes_one_step(monkeypatch):
+    """However many guesses follow it: a block takes as many steps as it has ids, both ways, and surprises beside sure guesses come back."""
+    steps, real = [], id_coder._Model.predict
+    monkeypatch.setattr(id_coder._Model, "predict", lambda self: (steps.append(1), real(self))[1])
+    r = np.random.default_rng(3)
+    ids = np.resize([7, 7, 9], 5 * id_coder.BLOCK + 100)
+    ids[r.choice(len(ids), 300, replace=False)] = r.integers(0, 50_257, 300)
+    raw = tf.encode(ids)
+    assert len(steps) == id_coder.BLOCK
+    assert (tf.decode(raw, len(ids)) == ids).all()
+    assert len(steps) == 2 * id_coder.BLOCK
+
+
 @pytest.mark.parametrize("counts", [[5], [0, 3, 0, 1], [1, 1, 1], [2**40, 1, 1, 1, 0, 7]])
 def test_tree_gives_each_id_its_place(counts):
     tree = id_coder._Tree(np.array(counts))
@@ -94,3 +107,18 @@ def test_remembered_pre_tokens_give_the_library_s_ids(monkeypatch):
     ids = tf.Ids(public_tokenizers.path("byte_bpe_50k.json"))
     for i in range(0, len(texts), 100):
         assert [x.tolist() for x in ids.of(texts[i : i + 100])] == ids.whole(texts[i : i + 100])
+
+
+def test_slots_double_and_words_met_first_are_given_to_the_model_once(monkeypatch):
+    monkeypatch.setattr(tf, "SLOT_BITS", 2)
+    r = np.random.default_rng(11)
+    texts = [" ".join("".join(r.choice(list("abcßéX"), r.integers(1, 6))) for _ in range(200)) + " 12 %% it's\n" for _ in range(20)]
+    ids = tf.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+    met = []
+    for _ in range(2):
+        for i in range(0, len(texts), 4):
+            assert [x.tolist() for x in ids.of(texts[i : i + 4])] == ids.whole(texts[i : i + 4])
+        met.append(ids.sizes.n)
+    known = met[0]
+    assert met[1] == known and len(np.unique(ids.hashes.data[:known])) == known
+    assert len(ids.slot_at) >= 2 * known == 2 * np.count_nonzero(ids.slot_at >= 0)
