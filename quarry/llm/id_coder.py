@@ -178,26 +178,36 @@ class _Model:
             size += b * (g == rank)
         return begin, size
 
-    def find(self, place: np.ndarray) -> np.ndarray:
-        """The ids at these places of the mixture."""
-        rest, hits = place, []
+    def find(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids at these places of the mixture, their begin and size in it."""
+        rest, guesses = place, []
         for k, g in enumerate(self.guess):
             begin, size = self.alone(g)
             begin += self.bonus[1 - k] * (self.guess[1 - k] < g)
             size += self.bonus[k]
             if k:
                 size += self.bonus[0] * self.same
-            np.subtract(place, begin, out=begin)
-            hits.append(begin.view(np.uint64) < size.view(np.uint64))
-            rest = rest - self.bonus[k] * (begin >= size)
+            past = place - begin
+            guesses.append((past.view(np.uint64) < size.view(np.uint64), g, begin, size))
+            rest = rest - self.bonus[k] * (past >= size)
         upper = rest >= self.floor
-        rest -= self.floor * upper
-        place = (rest.view(np.uint64) // np.where(upper, self.unit[1], self.unit[0]).view(np.uint64)).view(np.int64)
-        place += upper * self.places[0]
-        rank = self.slots.take(place, mode="clip")
-        for g, h in zip(self.guess, hits, strict=True):
-            np.copyto(rank, g, where=h)
-        return rank
+        floor = self.floor * upper
+        unit = np.where(upper, self.unit[1], self.unit[0])
+        slot = ((rest - floor).view(np.uint64) // unit.view(np.uint64)).view(np.int64)
+        slot += upper * self.places[0]
+        rank = self.slots.take(slot, mode="clip")
+        size = self.spot.take(rank, mode="clip")
+        begin = size >> 20
+        begin *= unit
+        begin += floor
+        # with the weight of the guesses before
+        begin += place - rest
+        size &= (1 << 20) - 1
+        size *= unit
+        for held, *found in guesses:
+            for to, what in zip((rank, begin, size), found, strict=True):
+                np.copyto(to, what, where=held)
+        return rank, begin, size
 
     def learn(self, rank: np.ndarray) -> None:
         """The ids found: contexts remember them, weights follow what held."""
@@ -250,7 +260,9 @@ class _Coder:
 
 def encode(ids: np.ndarray) -> bytes:
     """The ids' counts, block table (words, checksum) and words."""
-    counts = np.bincount(ids, minlength=1)
+    # in pieces, as counting copies them
+    top = int(ids.max()) + 1
+    counts = sum(np.bincount(ids[i : i + 256 * BLOCK], minlength=top) for i in range(0, len(ids), 256 * BLOCK))
     blocks, over = -(-len(ids) // BLOCK), len(ids) % BLOCK
     model, coder = _Model(blocks, counts), _Coder(blocks)
     ranks = np.zeros(blocks * BLOCK, np.int32)
@@ -280,8 +292,7 @@ def encode(ids: np.ndarray) -> bytes:
     end(np.arange(len(coder.low)))
     block, words = np.concatenate(out_block), np.concatenate(out_word)
     words = words[np.argsort(block, kind="stable")]
-    plain = ids.astype("<u4")
-    sums = [zlib.crc32(plain[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)]
+    sums = [zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4")) for b in range(blocks)]
     seen = np.flatnonzero(counts)
     told = zlib.compress(np.diff(seen, prepend=0).astype("<u4").tobytes() + counts[seen].astype("<u8").tobytes())
     head = struct.pack("<III", len(seen), len(told), blocks)
@@ -314,8 +325,8 @@ def decode(raw: bytes, n_ids: int) -> np.ndarray:
         model.predict()
         unit = coder.unit()
         place = np.minimum((code - coder.low) // unit, np.uint64((1 << TOTAL) - 1))
-        rank = model.find(place.view(np.int64))
-        out, _ = coder.narrow(unit, *model.mixed(rank))
+        rank, begin, size = model.find(place.view(np.int64))
+        out, _ = coder.narrow(unit, begin, size)
         code[out] = (code[out] << HALF) | words.take(take[out], mode="clip")
         take[out] += 1
         model.learn(rank)

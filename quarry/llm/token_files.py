@@ -110,12 +110,12 @@ class _Column:
     """An array that grows at its end."""
 
     def __init__(self, dtype: type):
-        self.data, self.n = np.empty(0, dtype), 0
+        self.data, self.n = np.zeros(1, dtype), 0
 
     def add(self, values: np.ndarray) -> None:
         n = self.n + len(values)
         if n > len(self.data):
-            grown = np.empty(max(n, 2 * len(self.data)), self.data.dtype)
+            grown = np.empty(n + n // 4, self.data.dtype)
             grown[: self.n] = self.data[: self.n]
             self.data = grown
         self.data[self.n : n] = values
@@ -152,14 +152,14 @@ class Ids:
 
     def _forget(self) -> None:
         # of each pre-token its hash, its ids and letters and where they lie
-        self.hashes, self.sizes, self.begins, self.lengths, self.spelt = map(_Column, (np.uint64, np.int32, np.int64, np.int32, np.int64))
-        self.flat, self.letters = _Column(np.uint32), _Column(np.uint32)
+        self.hashes, self.sizes, self.begins, self.lengths, self.spelt = map(_Column, (np.uint64, np.int32, np.uint32, np.int32, np.uint32))
+        self.flat, self.letters = _Column(np.uint32), _Column(np.uint16)
         self._slots(SLOT_BITS)
 
     def _slots(self, bits: int) -> None:
         """Empty slots, into which all that is remembered is entered."""
         self.bits = bits
-        self.slot_hash, self.slot_at = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.slot_at = np.full(1 << bits, -1, np.int32)
         self._enter(self.hashes.data[: self.hashes.n], np.arange(self.hashes.n, dtype=np.int32))
 
     def _enter(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
@@ -169,19 +169,18 @@ class Ids:
             free = self.slot_at[slots] < 0
             self.slot_at[slots[free]] = numbers[free]
             won = self.slot_at[slots] == numbers
-            self.slot_hash[slots[won]] = hashes[won]
-            slots, hashes, numbers = (slots[~won] + 1) & ((1 << self.bits) - 1), hashes[~won], numbers[~won]
+            slots, numbers = (slots[~won] + 1) & ((1 << self.bits) - 1), numbers[~won]
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for those not remembered."""
         slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         at = self.slot_at.take(slots)
-        other = np.flatnonzero((self.slot_hash.take(slots) != hashes) & (at >= 0))
+        other = np.flatnonzero((self.hashes.data.take(at, mode="clip") != hashes) & (at >= 0))
         slots = slots[other]
         while len(other):
             slots = (slots + 1) & ((1 << self.bits) - 1)
             at[other] = self.slot_at.take(slots)
-            on = (self.slot_hash.take(slots) != hashes[other]) & (at[other] >= 0)
+            on = (self.hashes.data.take(at[other], mode="clip") != hashes[other]) & (at[other] >= 0)
             other, slots = other[on], slots[on]
         return at
 
@@ -248,7 +247,7 @@ class Ids:
         at = self._numbers(code, starts, lengths)
         wrong = np.zeros(len(texts), bool)
         differs = self.lengths.data.take(at) != lengths
-        spelt = np.repeat(self.spelt.data.take(at) - starts, lengths)
+        spelt = np.repeat(self.spelt.data.take(at).astype(np.int64) - starts, lengths)
         spelt += np.arange(len(code))
         odd = np.flatnonzero(self.letters.data.take(spelt, mode="clip") != code)
         if len(odd) or differs.any():
@@ -314,7 +313,7 @@ def _write(tokenizer: str, end_id: int):
         end = np.array([end_id], np.uint32)
 
         def segment() -> pd.DataFrame:
-            data = pack(docs, sizes, np.concatenate(parts).astype(np.int32))
+            data = pack(docs, sizes, np.concatenate(parts).view(np.int32))
             return pd.DataFrame({"part": [part], "at": [at], "n_tokens": [held], "data": [data]})
 
         for batch in batches:
