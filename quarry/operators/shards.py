@@ -1,26 +1,37 @@
 """Dealing the records of a group to shards and bins: balanced, as few as fit, or first fit.
 
 Placing depends on what was placed before, so a group (a project, an owner) is placed in one
-task, from rows of an id and two numbers; groups are dealt out over all tasks, which walk them one after another. A group has
-at most MOST records: a larger one gives one row that says so, before its rows meet anywhere.
+task, from rows of an id and two numbers; groups are dealt out over all tasks, which walk them one after another.
+Of a group of more than HELD records only the distinct sizes and their counts meet in a task: records of one size are
+placed in turn, so that their rank by id names their place in that turn, and a join tells each its bin.
 Ids are compared by their UTF-8 bytes. Every placing takes logarithmic time in the shards.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.groups import folded
+from quarry.operators.groups import folded, in_batches
 
-#: Records of a shard; targets and bytes of a bin. Then records of a group.
+#: Records of a shard; targets and bytes of a bin. Then records of a group that a task holds, and placings that it gives at once.
 SHARD_RECORDS, BIN_TARGETS, BIN_BYTES = 512, 64, 1_000_000
-MOST = 1_000_000
+HELD, PIECE = 100_000, 50_000
+#: Records beyond which a group is refused, for one who wants that; by default none is.
+MOST: int | None = None
 
 Record = tuple[bytes, int, int]
+#: Bytes, content bytes, and how many records of a group have them.
+Size = tuple[int, int, int]
+#: Bytes and content bytes, the rank of the first of some records that have them, and the shards of these.
+Piece = tuple[int, int, int, np.ndarray]
 
 
 def _largest_first(records: list[Record], second: bool = True) -> list[int]:
@@ -95,11 +106,84 @@ def first_fit(records: list[Record], most_bytes: int, most_records: int) -> list
     return at
 
 
+def first_fit_counted(sizes: Iterable[Size], most_bytes: int, most_records: int) -> Iterator[Piece]:
+    """What ``first_fit`` gives, from the distinct sizes alone, the largest first.
+
+    Neighbouring bins that hold the same are one run, and a size splits only the last run that it reaches: runs
+    grow with the sizes, not with the bins. Those with room for the present size lie by number, the others by
+    free bytes, until a size is small enough.
+    """
+    room: list[tuple[int, int, int, int]] = []
+    waiting: list[tuple[int, int, int, int]] = []
+    made = 0
+    for size, content, n in sizes:
+        while waiting and -waiting[0][0] >= size:
+            free, first, bins, held = heapq.heappop(waiting)
+            heapq.heappush(room, (first, bins, -free, held))
+        rank = 0
+        while rank < n:
+            first, bins, free, held = heapq.heappop(room) if room else (made, 0, most_bytes, 0)
+            each = most_records - held if size <= 0 else min(free // size, most_records - held)
+            if not bins:
+                # new bins; a record larger than a bin has one for itself
+                each = max(each, 1)
+                bins = -(-(n - rank) // each)
+                made += bins
+            taken = min(n - rank, bins * each)
+            for a in range(0, taken, PIECE):
+                yield size, content, rank + a, first + np.arange(a, min(a + PIECE, taken)) // each
+            rank += taken
+            full, part = divmod(taken, each)
+            rest = full + (part > 0)
+            for at, count, left, has in ((first, full, free - each * size, held + each), (first + full, rest - full, free - part * size, held + part), (first + rest, bins - rest, free, held)):
+                if count and has < most_records:
+                    heapq.heappush(*((room, (at, count, left, has)) if left >= size else (waiting, (-left, at, count, has))))
+
+
 PLACED = "id string, shard int, place int, error string"
 
 
-def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[int] | str]) -> DataFrame:
-    """(group, id, shard, place, error): place counts within a shard by id; a group that can't be placed gives one row with its error, or one per faulty record."""
+def _turns(sizes: DataFrame, how: Callable[[Iterator[Size]], Iterator[Piece]]) -> DataFrame:
+    """The shard of the record of each rank among those of one size (group, bytes, content_bytes, rank, shard), from the sizes and their counts."""
+    made = pa.schema([("group", pa.string()), ("bytes", pa.int64()), ("content_bytes", pa.int64()), ("rank", pa.int32()), ("shard", pa.int32())])
+
+    def batch(name: str, pieces: list[Piece]) -> pa.RecordBatch:
+        counts = [len(p[3]) for p in pieces]
+        columns = [np.repeat(np.array([p[k] for p in pieces], np.int64), counts) for k in (0, 1)]
+        ranks, shard = (np.concatenate(x) for x in ([p[2] + np.arange(n) for p, n in zip(pieces, counts, strict=True)], [p[3] for p in pieces]))
+        return pa.RecordBatch.from_arrays([pa.repeat(name, sum(counts)), *map(pa.array, columns), pa.array(ranks, pa.int32()), pa.array(shard, pa.int32())], schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for name, own in groupby(rows, itemgetter(0)):
+            held, n = [], 0
+            for piece in how(row[1:] for row in own):
+                held.append(piece)
+                n += len(piece[3])
+                if n >= PIECE:
+                    yield batch(name, held)
+                    held, n = [], 0
+            if held:
+                yield batch(name, held)
+
+    dealt = sizes.repartition("group").sortWithinPartitions("group", F.desc("bytes"), F.desc("content_bytes"))
+    return in_batches(dealt).mapInArrow(run, "group string, bytes long, content_bytes long, rank int, shard int")
+
+
+def _counted(records: DataFrame, how: Callable[[Iterator[Size]], Iterator[Piece]]) -> DataFrame:
+    """Groups of any number of records: their sizes are placed, then the records told by size and rank."""
+    size = ("group", "bytes", "content_bytes")
+    turns = _turns(records.groupBy(*size).agg(F.count("*").alias("n")), how)
+    ranked = records.withColumn("rank", F.row_number().over(Window.partitionBy(*size).orderBy("id")) - 1)
+    place = F.row_number().over(Window.partitionBy("group", "shard").orderBy("id")) - 1
+    return turns.join(ranked, [*size, "rank"]).select("group", "id", "shard", place.alias("place"), F.lit(None).cast("string").alias("error"))
+
+
+def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[int] | str], counted: Callable[[Iterator[Size]], Iterator[Piece]] | None = None, second: bool = True) -> DataFrame:
+    """(group, id, shard, place, error): place counts within a shard by id; a group that can't be placed gives one row with its error, or one per faulty record.
+
+    ``counted`` does what ``how`` does, from sizes and their counts; content bytes are 0 there, unless ``second``.
+    """
 
     def run(name: str, rows: list[tuple]) -> Iterator[tuple]:
         # rows come by id
@@ -113,11 +197,22 @@ def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[i
             yield name, i, k, place, None
 
     sized = records.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("group"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.col("content_bytes"), F.lit(0)).cast("long").alias("content_bytes"))
-    large = sized.groupBy("group").count().filter(F.col("count") > MOST).select("group")
-    # one row a large group, of which there are at most all rows / MOST
-    met = folded(sized.join(F.broadcast(large), "group", "left_anti"), "group", run, f"group string, {PLACED}", order=("id",))
-    none = lambda kind: F.lit(None).cast(kind)
-    return met.unionByName(large.select("group", none("string").alias("id"), none("int").alias("shard"), none("int").alias("place"), F.lit("too_many_records").alias("error")))
+    beyond = lambda n: F.broadcast(sized.groupBy("group").count().filter(F.col("count") > n).select("group"))
+    most, refused = MOST if counted else 1_000_000, None
+    if most is not None:
+        refused = beyond(most)
+        sized = sized.join(refused, "group", "left_anti")
+    schema = f"group string, {PLACED}"
+    if counted:
+        # one row a large group, of which there are at most all rows / HELD
+        large = beyond(HELD)
+        rest = sized.join(large, "group", "left_semi")
+        found = folded(sized.join(large, "group", "left_anti"), "group", run, schema, order=("id",)).unionByName(_counted(rest if second else rest.withColumn("content_bytes", F.lit(0).cast("long")), counted))
+    else:
+        found = folded(sized, "group", run, schema, order=("id",))
+    if refused is None:
+        return found
+    return found.unionByName(refused.select("group", F.lit("too_many_records").alias("error")), allowMissingColumns=True)
 
 
 def semantic_shards(records: DataFrame, group: str, most: int, envelope: int) -> DataFrame:
@@ -148,4 +243,4 @@ def balanced_groups(records: DataFrame, group: str, identities: int, target_byte
 
 def bins(records: DataFrame, group: str, most_bytes: int = BIN_BYTES, most_records: int = BIN_TARGETS) -> DataFrame:
     """Bins of each group's records by first fit, the largest first; a record larger than a bin has one for itself."""
-    return _placed(records, group, lambda rows: first_fit(rows, most_bytes, most_records))
+    return _placed(records, group, lambda rows: first_fit(rows, most_bytes, most_records), lambda sizes: first_fit_counted(sizes, most_bytes, most_records), second=False)

@@ -160,6 +160,39 @@ def test_shards_that_fail(spark, monkeypatch):
     got = {(x["group"], x["error"]) for x in shards.bins(rows, "project").collect()}
     assert got == {("p", "too_many_records"), ("q", None), ("r", "too_many_records")}
 
+def odd_records(spark):
+    """Groups of few and many records: equal sizes and ids, nulls, nothing, and more than a bin or shard holds."""
+    r = random.Random(8)
+    rows = [(g, r.choice([None, "é", "😀", "Z", f"{i}"]) if i % 9 == 0 else f"{g}{i:03}", r.choice([None, 0, 1, 5, 7, 20, r.randrange(40), 130 if g == "big" else 3]), r.choice([None, 0, 3, r.randrange(9)])) for g, n in (("a", 1), ("b", 3), ("c", 4), ("big", 90), ("many", 300), (None, 9)) for i in range(n)]
+    return spark.createDataFrame(rows, "project string, id string, bytes int, content_bytes int")
+
+
+def placed(df):
+    return sorted(tuple(x) for x in df.select("group", F.col("id"), "shard", "place").fillna(-1).collect()), {x["error"] for x in df.collect()}
+
+
+def test_large_groups_in_bins(spark, monkeypatch):
+    """Groups too large to hold are placed whole, as if they were held."""
+    rows = odd_records(spark).cache()
+    for most, records in ((100, 4), (60, 50), (100, 1)):
+        want = placed(shards.bins(rows, "project", most, records))
+        assert want[1] == {None} and len(want[0]) == 398
+        with monkeypatch.context() as m:
+            m.setattr(shards, "HELD", 3)
+            assert placed(shards.bins(rows, "project", most, records)) == want
+
+
+def test_a_million_records_in_bins(spark):
+    rows = spark.range(1_000_001).select(F.lit("g").alias("project"), F.col("id").cast("string").alias("id"), (F.col("id") % 5 + 1).alias("bytes"), F.lit(0).alias("content_bytes"))
+    found = shards.bins(rows, "project", 10, 4)
+    of = found.join(rows, "id").groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("place").alias("place"))
+    got = of.agg(F.sum("n"), F.max("bytes"), F.max("n"), F.sum((F.col("place") + 1 != F.col("n")).cast("int")), F.count("*"), F.max("shard")).first()
+    # pairs of 5, of 4, threes of 3; then 2 and 1 fill up
+    sizes = [(b, 0, 200_001 if b == 1 else 200_000) for b in (5, 4, 3, 2, 1)]
+    bins = max(int(x[3].max()) for x in shards.first_fit_counted(sizes, 10, 4)) + 1
+    assert tuple(got) == (1_000_001, 10, 4, 0, bins, bins - 1)
+
+
 
 
 
