@@ -10,6 +10,7 @@ Ids are compared by their UTF-8 bytes. Every placing takes logarithmic time in t
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -53,12 +54,50 @@ def balanced(records: list[Record], count: int, second: bool = True, order: list
     return shard
 
 
+def balanced_counted(sizes: Iterable[Size], count: int, content: int, records: int) -> Iterator[Piece]:
+    """What ``balanced`` gives, from the distinct sizes, the largest first; ``content`` is the sum of their absolute content bytes, ``records`` of their counts.
+
+    A shard is one integer of its bytes, content bytes, records and number, which has their order and grows by one sum.
+    """
+    heap = list(range(count))
+    for size, more, n in sizes:
+        step = ((size * (2 * content + 1) + more) * (records + 1) + 1) * count
+        for a in range(0, n, PIECE):
+            yield size, more, a, np.array([heapq.heapreplace(heap, heap[0] + step) % count for _ in range(a, min(a + PIECE, n))])
+
+
+def _counts(records: int, total: int, content: int, most: int, envelope: int) -> range:
+    """The numbers of shards to try: with fewer, one shard at least has too much, whichever has what."""
+    up = lambda a, b: -(-a // b)
+    # bytes and commas of all shards, beside what surrounds them
+    room, used = most - envelope + 1, total + records
+    least = up(used, room) if room > 0 else records + 1 if used > 0 else 1
+    return range(max(1, up(total, most), up(content, most), up(records, SHARD_RECORDS), least), records + 1)
+
+
+def fewest_counted(sizes: Iterable[Size], most: int, envelope: int) -> Iterator[Piece | str]:
+    """What ``fewest`` gives, from the distinct sizes, the largest first; nothing if one is over ``most``, an error if no number will do."""
+    held = [array("q"), array("q"), array("q")]
+    for row in sizes:
+        for column, x in zip(held, row, strict=True):
+            column.append(x)
+        if row[0] > most:
+            return
+    records, total, content, signed = sum(held[2]), *(sum(f(x) * n for x, n in zip(held[k], held[2], strict=True)) for k, f in ((0, int), (1, abs), (1, int)))
+    for count in _counts(records, total, signed, most, envelope):
+        used = np.full(count, envelope - 1)
+        for size, _, _, shard in balanced_counted(zip(*held, strict=True), count, content, records):
+            np.add.at(used, shard, size + 1)
+        if used.max() <= most:
+            yield from balanced_counted(zip(*held, strict=True), count, content, records)
+            return
+    yield "envelope_too_large"
+
+
 def fewest(records: list[Record], most: int, envelope: int) -> list[int] | None:
     """Balanced shards of the least number at which each, with its envelope and commas, has ``most`` bytes or fewer; None if no number will do."""
-    total, content = sum(r[1] for r in records), sum(r[2] for r in records)
-    up = lambda a, b: -(-a // b)
     order = _largest_first(records)
-    for count in range(max(1, up(total, most), up(content, most), up(len(records), SHARD_RECORDS)), len(records) + 1):
+    for count in _counts(len(records), sum(r[1] for r in records), sum(r[2] for r in records), most, envelope):
         shard = balanced(records, count, order=order)
         sizes = [envelope - 1] * count
         for r, k in zip(records, shard, strict=True):
@@ -143,21 +182,29 @@ def first_fit_counted(sizes: Iterable[Size], most_bytes: int, most_records: int)
 PLACED = "id string, shard int, place int, error string"
 
 
-def _turns(sizes: DataFrame, how: Callable[[Iterator[Size]], Iterator[Piece]]) -> DataFrame:
-    """The shard of the record of each rank among those of one size (group, bytes, content_bytes, rank, shard), from the sizes and their counts."""
-    made = pa.schema([("group", pa.string()), ("bytes", pa.int64()), ("content_bytes", pa.int64()), ("rank", pa.int32()), ("shard", pa.int32())])
+TURNS = "group string, bytes long, content_bytes long, rank int, shard int, error string"
+#: Places the sizes of a group, given the sum of its bytes, of its absolute content bytes, and its records.
+Counted = Callable[[Iterator[Size], int, int, int], Iterator[Piece | str]]
+
+
+def _turns(sizes: DataFrame, how: Counted) -> DataFrame:
+    """The shard of the record of each rank among those of one size, from the sizes and their counts; one row for a group with an error."""
+    made = pa.schema(list(zip(("group", "bytes", "content_bytes", "rank", "shard", "error"), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()), strict=True)))
 
     def batch(name: str, pieces: list[Piece]) -> pa.RecordBatch:
         counts = [len(p[3]) for p in pieces]
         columns = [np.repeat(np.array([p[k] for p in pieces], np.int64), counts) for k in (0, 1)]
         ranks, shard = (np.concatenate(x) for x in ([p[2] + np.arange(n) for p, n in zip(pieces, counts, strict=True)], [p[3] for p in pieces]))
-        return pa.RecordBatch.from_arrays([pa.repeat(name, sum(counts)), *map(pa.array, columns), pa.array(ranks, pa.int32()), pa.array(shard, pa.int32())], schema=made)
+        return pa.RecordBatch.from_arrays([pa.repeat(name, sum(counts)), *map(pa.array, columns), pa.array(ranks, pa.int32()), pa.array(shard, pa.int32()), pa.nulls(sum(counts), pa.string())], schema=made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for name, own in groupby(rows, itemgetter(0)):
+        for (name, *sums), own in groupby(rows, itemgetter(0, 4, 5, 6)):
             held, n = [], 0
-            for piece in how(row[1:] for row in own):
+            for piece in how((row[1:4] for row in own), *sums):
+                if isinstance(piece, str):
+                    yield pa.RecordBatch.from_pylist([{"group": name, "error": piece}], schema=made)
+                    continue
                 held.append(piece)
                 n += len(piece[3])
                 if n >= PIECE:
@@ -166,20 +213,22 @@ def _turns(sizes: DataFrame, how: Callable[[Iterator[Size]], Iterator[Piece]]) -
             if held:
                 yield batch(name, held)
 
-    dealt = sizes.repartition("group").sortWithinPartitions("group", F.desc("bytes"), F.desc("content_bytes"))
-    return in_batches(dealt).mapInArrow(run, "group string, bytes long, content_bytes long, rank int, shard int")
+    of = lambda c: F.sum(c).over(Window.partitionBy("group"))
+    summed = sizes.repartition("group").select("group", "bytes", "content_bytes", "n", of(F.col("bytes") * F.col("n")), of(F.abs("content_bytes") * F.col("n")), of(F.col("n")))
+    return in_batches(summed.sortWithinPartitions("group", F.desc("bytes"), F.desc("content_bytes"))).mapInArrow(run, TURNS)
 
 
-def _counted(records: DataFrame, how: Callable[[Iterator[Size]], Iterator[Piece]]) -> DataFrame:
+def _counted(records: DataFrame, how: Counted) -> DataFrame:
     """Groups of any number of records: their sizes are placed, then the records told by size and rank."""
     size = ("group", "bytes", "content_bytes")
     turns = _turns(records.groupBy(*size).agg(F.count("*").alias("n")), how)
     ranked = records.withColumn("rank", F.row_number().over(Window.partitionBy(*size).orderBy("id")) - 1)
     place = F.row_number().over(Window.partitionBy("group", "shard").orderBy("id")) - 1
-    return turns.join(ranked, [*size, "rank"]).select("group", "id", "shard", place.alias("place"), F.lit(None).cast("string").alias("error"))
+    # an error has no record
+    return turns.join(ranked, [*size, "rank"], "left").select("group", "id", "shard", F.when(F.col("shard").isNotNull(), place).alias("place"), "error")
 
 
-def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[int] | str], counted: Callable[[Iterator[Size]], Iterator[Piece]] | None = None, second: bool = True) -> DataFrame:
+def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[int] | str], counted: Counted, second: bool = True) -> DataFrame:
     """(group, id, shard, place, error): place counts within a shard by id; a group that can't be placed gives one row with its error, or one per faulty record.
 
     ``counted`` does what ``how`` does, from sizes and their counts; content bytes are 0 there, unless ``second``.
@@ -198,18 +247,15 @@ def _placed(records: DataFrame, group: str, how: Callable[[list[Record]], list[i
 
     sized = records.filter(F.col(group).isNotNull()).select(F.col(group).cast("string").alias("group"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("bytes"), F.lit(0)).cast("long").alias("bytes"), F.coalesce(F.col("content_bytes"), F.lit(0)).cast("long").alias("content_bytes"))
     beyond = lambda n: F.broadcast(sized.groupBy("group").count().filter(F.col("count") > n).select("group"))
-    most, refused = MOST if counted else 1_000_000, None
-    if most is not None:
-        refused = beyond(most)
+    refused = None
+    if MOST is not None:
+        refused = beyond(MOST)
         sized = sized.join(refused, "group", "left_anti")
-    schema = f"group string, {PLACED}"
-    if counted:
-        # one row a large group, of which there are at most all rows / HELD
-        large = beyond(HELD)
-        rest = sized.join(large, "group", "left_semi")
-        found = folded(sized.join(large, "group", "left_anti"), "group", run, schema, order=("id",)).unionByName(_counted(rest if second else rest.withColumn("content_bytes", F.lit(0).cast("long")), counted))
-    else:
-        found = folded(sized, "group", run, schema, order=("id",))
+    # one row a large group, of which there are at most all rows / HELD
+    large = beyond(HELD)
+    rest = sized.join(large, "group", "left_semi")
+    found = folded(sized.join(large, "group", "left_anti"), "group", run, f"group string, {PLACED}", order=("id",))
+    found = found.unionByName(_counted(rest if second else rest.withColumn("content_bytes", F.lit(0).cast("long")), counted))
     if refused is None:
         return found
     return found.unionByName(refused.select("group", F.lit("too_many_records").alias("error")), allowMissingColumns=True)
@@ -226,7 +272,7 @@ def semantic_shards(records: DataFrame, group: str, most: int, envelope: int) ->
     def how(rows: list[Record]) -> list[int] | str:
         return "record_too_large" if any(r[1] > most for r in rows) else fewest(rows, most, envelope) or "envelope_too_large"
 
-    found = _placed(records, group, how)
+    found = _placed(records, group, how, lambda sizes, *_: fewest_counted(sizes, most, envelope))
     over = records.filter((F.col("bytes") > most) & F.col(group).isNotNull()).select(F.col(group).cast("string").alias("group"), F.col("id").cast("string").alias("id"), F.lit("record_too_large").alias("error"))
     return found.filter(F.coalesce(F.col("error") != "record_too_large", F.lit(True))).unionByName(over, allowMissingColumns=True)
 
@@ -234,13 +280,14 @@ def semantic_shards(records: DataFrame, group: str, most: int, envelope: int) ->
 def balanced_groups(records: DataFrame, group: str, identities: int, target_bytes: int) -> DataFrame:
     """Groups cut to parts of about ``target_bytes`` and at most about ``identities`` records, balanced by bytes, then by records."""
     up = lambda a, b: -(-a // b)
+    parts = lambda n, total: min(n, max(1, up(n, identities), up(total, target_bytes)))
 
     def how(rows: list[Record]) -> list[int]:
-        return balanced(rows, min(len(rows), max(1, up(len(rows), identities), up(sum(r[1] for r in rows), target_bytes))), second=False)
+        return balanced(rows, parts(len(rows), sum(r[1] for r in rows)), second=False)
 
-    return _placed(records, group, how)
+    return _placed(records, group, how, lambda sizes, total, content, n: balanced_counted(sizes, parts(n, total), content, n), second=False)
 
 
 def bins(records: DataFrame, group: str, most_bytes: int = BIN_BYTES, most_records: int = BIN_TARGETS) -> DataFrame:
     """Bins of each group's records by first fit, the largest first; a record larger than a bin has one for itself."""
-    return _placed(records, group, lambda rows: first_fit(rows, most_bytes, most_records), lambda sizes: first_fit_counted(sizes, most_bytes, most_records), second=False)
+    return _placed(records, group, lambda rows: first_fit(rows, most_bytes, most_records), lambda sizes, *_: first_fit_counted(sizes, most_bytes, most_records), second=False)

@@ -168,7 +168,8 @@ def odd_records(spark):
 
 
 def placed(df):
-    return sorted(tuple(x) for x in df.select("group", F.col("id"), "shard", "place").fillna(-1).collect()), {x["error"] for x in df.collect()}
+    found = [tuple(x) for x in df.select("group", "id", "shard", "place", "error").collect()]
+    return sorted(found, key=str), {x[4] for x in found}
 
 
 def test_large_groups_in_bins(spark, monkeypatch):
@@ -192,6 +193,34 @@ def test_a_million_records_in_bins(spark):
     bins = max(int(x[3].max()) for x in shards.first_fit_counted(sizes, 10, 4)) + 1
     assert tuple(got) == (1_000_001, 10, 4, 0, bins, bins - 1)
 
+def test_large_groups_in_parts(spark, monkeypatch):
+    rows = odd_records(spark).cache()
+    for identities, target in ((4, 50), (1_000, 70), (1_000, 10**9), (1, 1)):
+        want = placed(shards.balanced_groups(rows, "project", identities, target))
+        assert want[1] == {None} and len(want[0]) == 398
+        with monkeypatch.context() as m:
+            m.setattr(shards, "HELD", 3)
+            assert placed(shards.balanced_groups(rows, "project", identities, target)) == want
+
+
+def test_large_groups_in_shards(spark, monkeypatch):
+    rows = odd_records(spark).cache()
+    for most, envelope, errors in ((150, 10, {None}), (150, 149, {"envelope_too_large"}), (100, 10, {None, "record_too_large"})):
+        want = placed(shards.semantic_shards(rows, "project", most, envelope))
+        assert want[1] == errors
+        with monkeypatch.context() as m:
+            m.setattr(shards, "HELD", 3)
+            assert placed(shards.semantic_shards(rows, "project", most, envelope)) == want
+
+
+def test_a_million_records_in_parts(spark):
+    rows = spark.range(1_000_001).select(F.lit("g").alias("project"), F.col("id").cast("string").alias("id"), (F.col("id") % 5 + 1).alias("bytes"), F.lit(0).alias("content_bytes"))
+    of = shards.balanced_groups(rows, "project", 10, 10**9).join(rows, "id").groupBy("shard").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("place").alias("place"))
+    got = of.agg(F.sum("n"), F.count("*"), F.max("shard"), F.min("bytes"), F.max("bytes"), F.sum((F.col("place") + 1 != F.col("n")).cast("int"))).first()
+    # parts of 10 or 11 records, filled up by single bytes
+    assert tuple(got[:3]) == (1_000_001, 100_001, 100_000) and got[4] - got[3] <= 1 and got[5] == 0
+
+
 
 
 
